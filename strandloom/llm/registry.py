@@ -12,10 +12,11 @@ from .op8_token_counts import op8_token_counts
 from .op9_sharding import op9_sharding
 from .op2_language import op2_language
 from .op5_quality import op5_quality
+from .op3_fingerprint import op3_fingerprint
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality)}
+    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:

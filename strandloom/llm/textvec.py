@@ -6,21 +6,27 @@ import functools
 
 import numpy as np
 
-#: Odd, so that it has an inverse modulo 2**64.
+#: Odd, so that no power of it loses bits modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLANKS = b" \t\n\v\f\r"
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, n of each."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    out = []
-    for b in (BASE, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of BASE."""
+    p = np.full(n, BASE, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def sequences(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of each run of values; a run goes from its start to the next one's."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = np.diff(start, append=len(values))
+    offset = np.arange(start[0], len(values)) - np.repeat(start, length)
+    power = _powers(1 << max(6, int(length.max()).bit_length()))
+    return np.add.reduceat(values[start[0] :] * power[offset], start - start[0])
 
 
 @functools.cache
@@ -60,11 +66,7 @@ def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarra
     inside = ~_blank()[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = 1 << max(16, int(len(data)).bit_length())
-    power, inverse = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start])
+    hashes = mix(sequences(np.where(inside, data.astype(np.uint64) + np.uint64(1), np.uint64(0)), start))
     return hashes, start, end, np.searchsorted(start, at)
 
 
