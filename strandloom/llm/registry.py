@@ -13,10 +13,11 @@ from .op9_sharding import op9_sharding
 from .op2_language import op2_language
 from .op5_quality import op5_quality
 from .op3_fingerprint import op3_fingerprint
+from .op10_decontaminate import op10_decontaminate
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint)}
+    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

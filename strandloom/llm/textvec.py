@@ -58,12 +58,15 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words between white space: their hashes, byte starts and ends, and (one more than texts) where each text's words begin."""
+def words(texts: list[bytes], lower: bool = True, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space: their hashes, byte starts and ends, and (one more than texts) where each text's words begin.
+
+    inner: a mark for each byte that words are made of, where it isn't all but white space.
+    """
     data, at = joined(texts)
     if lower:
         data = _lower()[data]
-    inside = ~_blank()[data]
+    inside = ~_blank()[data] if inner is None else inner[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     hashes = mix(sequences(np.where(inside, data.astype(np.uint64) + np.uint64(1), np.uint64(0)), start))
@@ -84,8 +87,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     length = np.minimum(count, n)[text]
     total = np.zeros(len(begin), np.uint64)
     padded = np.concatenate([hashes, np.zeros(n, np.uint64)])
-    factor = np.uint64(1)
     for k in range(n):
-        factor = factor * BASE if k else BASE
+        factor = np.uint64(pow(int(BASE), k + 1, 1 << 64))
         total += np.where(length > k, mix(padded[begin + k] + np.uint64(k)) * factor, np.uint64(0))
     return mix(total + length.astype(np.uint64)), out_first
