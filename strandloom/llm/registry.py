@@ -14,11 +14,12 @@ from .op2_language import op2_language
 from .op5_quality import op5_quality
 from .op3_fingerprint import op3_fingerprint
 from .op10_decontaminate import op10_decontaminate
+from .op6_licenses import OP6_SQL, op6_licenses
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint, op10_decontaminate, op6_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op6_licenses": OP6_SQL}
