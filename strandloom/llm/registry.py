@@ -15,10 +15,11 @@ from .op5_quality import op5_quality
 from .op3_fingerprint import op3_fingerprint
 from .op10_decontaminate import op10_decontaminate
 from .op6_licenses import OP6_SQL, op6_licenses
+from .op4_jaccard import op4_jaccard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint, op10_decontaminate, op6_licenses)}
+    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint, op10_decontaminate, op6_licenses, op4_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
