@@ -1,12 +1,77 @@
-"""Corpus preparation as five stages over the documents table."""
+"""Corpus preparation in five stages over the documents table.
+
+Each stage takes what the one before it kept, read again from Parquet. A null in
+any column is allowed: a null text counts as empty, and rows with a null doc_id
+pass the stage that compares documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strandloom.llm import op1_bpe, op2_language, op4_jaccard, op7_line_dedup, op10_decontaminate
+from strandloom.llm.common import shared_dir
+
+#: Texts of which no language can be told, or none with at least this score, are rejected.
+LEAST_SCORE = 0.3
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language can be told."""
+    model = op2_language.fit(docs.filter(op2_language.fold("doc_id", 3) != 1), "doc_id", "text", "lang")
+    told = op2_language.predict(docs, model, carry=True)
+    kept = told.filter((F.col("lang_pred") != op2_language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that many documents share; the documents stay, with the rest of their text."""
+    kept = op7_line_dedup.dedup_lines(docs, carry=True)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least doc_id of each group of near duplicates; of rows that repeat a doc_id, one."""
+    linked = op4_jaccard.link_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    stay = linked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().withColumn("_stays", F.lit(True))
+    kept = docs.join(stay, "doc_id", "left").filter(F.col("_stays") | F.col("doc_id").isNull())
+    if not linked.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").isEmpty():
+        alone = F.row_number().over(W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+        kept = kept.withColumn("_row", alone).filter((F.col("_row") == 1) | F.col("doc_id").isNull())
+    return kept.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    marked = op10_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every text, and digests of them and of what they decode to."""
+    return op1_bpe.round_trip(docs, with_ids=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("byte_bpe", bpe),
+]
+#: Language identification, tiling and encoding are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents; each one's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        path = shared_dir(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

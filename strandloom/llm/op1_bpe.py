@@ -13,6 +13,7 @@ import functools
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -183,23 +184,26 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     return df.select(id_col, ids_col).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """Encode each text and decode its ids; return digests of both.
 
     n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 for
-    every row; a null text counts as empty.
+    every row, and with_ids the ids too; a null text counts as empty.
     """
     path = path or public_tokenizers.path(RANKS)
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batch: pa.RecordBatch) -> dict:
         decimal = _decimals(path)
-        counts, ids_sha, decoded_sha = [], [], []
+        counts, ids_sha, decoded_sha, kept = [], [], [], []
         for ids, _ in _encoded([t or "" for t in batch.column(text_col).to_pylist()], encoder(path, pattern), False):
             counts.append(len(ids))
+            kept.append(np.array(ids, np.int32) if with_ids else None)
             ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())
-        return {"n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}
+        return {"n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "ids": kept}
 
     return map_texts(df, [id_col, text_col], schema, run, text_col)
 
