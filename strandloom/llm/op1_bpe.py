@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -22,6 +23,8 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .common import documents, map_texts
 
+#: A Spark task has one core; the library's own threads would take those of others, and memory for each.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 RANKS = "byte_bpe_50k.tiktoken"
 #: Longer texts are encoded in pieces; a piece ends between a visible ASCII character and a space or newline, where the pattern always ends a match.
 PIECE = 1 << 16
@@ -121,6 +124,11 @@ def decode_ids(ids: list[int], path: str | None = None) -> bytes:
     return b"".join([table[i] for i in ids])
 
 
+def packed_ids(ids: list[int], path: str) -> bytes:
+    """The ids as little-endian numbers: of two bytes if the vocabulary allows it, else of four."""
+    return np.array(ids, "<u2" if len(token_bytes(path)) <= 1 << 16 else "<u4").tobytes()
+
+
 def character_spans(ids: list[int], path: str | None = None) -> list[tuple[int, int]]:
     """The first and behind-the-last character that each token touches in the decoded text.
 
@@ -188,19 +196,20 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """Encode each text and decode its ids; return digests of both.
 
     n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 for
-    every row, and with_ids the ids too; a null text counts as empty.
+    every row; a null text counts as empty. with_ids adds the ids as `packed_ids`
+    makes them.
     """
     path = path or public_tokenizers.path(RANKS)
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if with_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+        schema = schema.add("ids", T.BinaryType())
 
     def run(batch: pa.RecordBatch) -> dict:
         decimal = _decimals(path)
         counts, ids_sha, decoded_sha, kept = [], [], [], []
         for ids, _ in _encoded([t or "" for t in batch.column(text_col).to_pylist()], encoder(path, pattern), False):
             counts.append(len(ids))
-            kept.append(np.array(ids, np.int32) if with_ids else None)
+            kept.append(packed_ids(ids, path) if with_ids else None)
             ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())
         return {"n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "ids": kept}
