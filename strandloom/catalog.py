@@ -2,5 +2,326 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.operators import blocks, bubbles, hints, kmers, reads
+from strandloom.plans import derived
+from strandloom.plans.derived import MATRIX_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def register(function):
+        key = name or function.__name__
+        QUERIES[key] = function
+        if sql:
+            ORACLES[key] = sql
+        return function
+
+    return register
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.informative_reads(derived.alleles(spark, sf_dir))
+
+
+# Common table expressions of the SQL side. They use joins and correlated
+# conditions where the engine uses windows.
+_TRIM = """
+ends AS (SELECT chrom, rid, min(snp_idx) AS lo, max(snp_idx) AS hi FROM m WHERE allele >= 0 GROUP BY ALL),
+t AS (SELECT m.* FROM m JOIN ends USING (chrom, rid) WHERE snp_idx BETWEEN lo AND hi)"""
+_READS = _TRIM + """,
+a AS (SELECT t.* FROM t JOIN (SELECT chrom, rid FROM t GROUP BY ALL HAVING count(*) >= 2) USING (chrom, rid)),
+span AS (SELECT chrom, rid, min(snp_idx) AS first, max(snp_idx) AS last FROM a GROUP BY ALL),
+size AS (SELECT chrom, max(snp_idx) + 1 AS n_snp FROM a GROUP BY ALL)"""
+_PAIRS = """
+pair AS (SELECT x.chrom, x.snp_idx AS s, count(*) FILTER (WHERE x.allele = y.allele) AS same,
+           count(*) FILTER (WHERE x.allele <> y.allele) AS diff
+         FROM a x JOIN a y ON x.chrom = y.chrom AND x.rid = y.rid AND y.snp_idx = x.snp_idx + 1
+         WHERE x.allele >= 0 AND y.allele >= 0 GROUP BY ALL)"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",".join([MATRIX_SQL, *parts])
+
+
+def _words_sql(name: str, n: int) -> str:
+    """Windows of n calls by n-fold self-join, with their complements."""
+    joins = " ".join(f"JOIN a a{j} ON a{j}.chrom = a0.chrom AND a{j}.rid = a0.rid AND a{j}.snp_idx = a0.snp_idx + {j} AND a{j}.allele >= 0" for j in range(1, n))
+    word = " + ".join(f"a{j}.allele * {1 << (n - 1 - j)}" for j in range(n))
+    return f"""
+{name}_half AS (SELECT a0.chrom, a0.snp_idx AS s, ({word})::BIGINT AS w FROM a a0 {joins} WHERE a0.allele >= 0),
+{name} AS (SELECT chrom, s, w, count(*) AS cnt FROM
+  (SELECT * FROM {name}_half UNION ALL SELECT chrom, s, {(1 << n) - 1} - w FROM {name}_half) GROUP BY ALL)"""
+
+
+def _graph_sql(k: int) -> str:
+    mask, full = (1 << k) - 1, (1 << (k + 1)) - 1
+    return ",".join([_READS, _words_sql("node", k), _words_sql("edge", k + 1), f"""
+made AS (
+  SELECT u.chrom, u.s, u.w * 2 + v.w % 2 AS e, (u.cnt + v.cnt) // 2 AS weight,
+    row_number() OVER (PARTITION BY u.chrom, u.s ORDER BY (u.cnt + v.cnt) // 2 DESC, u.w * 2 + v.w % 2) AS rank
+  FROM node u JOIN node v ON v.chrom = u.chrom AND v.s = u.s + 1 AND u.w % {1 << (k - 1)} = v.w // 2
+  WHERE NOT EXISTS (SELECT 1 FROM edge WHERE edge.chrom = u.chrom AND edge.s = u.s)),
+patched AS (
+  SELECT chrom, s, w AS e, cnt AS weight FROM edge
+  UNION ALL SELECT chrom, s, e, weight FROM made WHERE rank = 1
+  UNION ALL SELECT chrom, s, {full} - e, weight FROM made WHERE rank = 1),
+heavy AS (SELECT chrom, s, max(weight) AS most FROM patched GROUP BY ALL),
+live AS (SELECT p.* FROM patched p JOIN heavy USING (chrom, s)
+  WHERE CASE WHEN most >= 15 THEN weight * 2 >= most ELSE weight * 5 >= most END),
+ends_of AS (SELECT chrom, s, e // 2 AS w FROM live UNION SELECT chrom, s + 1, e & {mask} FROM live)"""])
+
+
+# Reads.
+
+
+@_query(_with(_TRIM) + " SELECT chrom, rid, snp_idx, allele FROM t")
+def gap_trim(spark, sf_dir):
+    return reads.gap_trim(derived.alleles(spark, sf_dir))
+
+
+@_query(_with(_READS) + " SELECT chrom, rid, snp_idx, allele FROM a")
+def informative_reads(spark, sf_dir):
+    return _reads(spark, sf_dir)
+
+
+@_query(_with(_READS) + " SELECT chrom, count(*) FILTER (WHERE allele >= 0) AS alleles, count(*) AS calls, count(DISTINCT rid) AS reads FROM a GROUP BY chrom")
+def allele_totals(spark, sf_dir):
+    return reads.allele_totals(_reads(spark, sf_dir))
+
+
+@_query(_with(_READS) + """,
+seen AS (SELECT DISTINCT chrom, snp_idx FROM a),
+tied AS (SELECT DISTINCT x.chrom, x.snp_idx FROM a x JOIN a y ON x.chrom = y.chrom AND x.rid = y.rid AND y.snp_idx = x.snp_idx + 1),
+begun AS (SELECT chrom, snp_idx FROM seen WHERE NOT EXISTS
+  (SELECT 1 FROM tied WHERE tied.chrom = seen.chrom AND tied.snp_idx = seen.snp_idx - 1))
+SELECT s.chrom, s.snp_idx, b.snp_idx AS island FROM seen s ASOF JOIN begun b ON s.chrom = b.chrom AND s.snp_idx >= b.snp_idx""")
+def coverage_islands(spark, sf_dir):
+    return reads.coverage_islands(_reads(spark, sf_dir))
+
+
+@_query(_with(_READS) + " SELECT x.chrom, y.snp_idx, x.rid FROM a x JOIN a y ON x.chrom = y.chrom AND x.rid = y.rid AND y.snp_idx = x.snp_idx + 1")
+def adjacent_snp_read_intersect(spark, sf_dir):
+    return reads.adjacent_reads(_reads(spark, sf_dir))
+
+
+@_query(_with(_READS) + """, point AS (SELECT DISTINCT chrom, snp_idx FROM a WHERE snp_idx % 3 = 0)
+SELECT span.chrom, span.rid, point.snp_idx AS pos FROM span JOIN point
+  ON span.chrom = point.chrom AND point.snp_idx BETWEEN span.first AND span.last""")
+def read_snp_overlap(spark, sf_dir):
+    own = _reads(spark, sf_dir)
+    spans = reads.read_spans(own).select("chrom", "rid", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
+    points = own.filter(F.col("snp_idx") % 3 == 0).select("chrom", F.col("snp_idx").alias("pos")).distinct()
+    return reads.bin_overlap(spans, points, 64).select("chrom", "rid", "pos")
+
+
+# The graph.
+
+
+@_query(_with(_READS, _PAIRS) + " SELECT chrom, s, same, diff FROM pair")
+def pair_counts(spark, sf_dir):
+    return kmers.pair_counts(_reads(spark, sf_dir))
+
+
+def _register_graph(k: int) -> None:
+    tail = "" if k == 2 else f"_k{k}"
+    base = _with(_graph_sql(k))
+    mask = (1 << k) - 1
+
+    def at(f):
+        return lambda spark, sf_dir: f(_reads(spark, sf_dir))
+
+    def patched(own):
+        return kmers.edge_patch(kmers.kmer_nodes(own, k), kmers.kmer_edges(own, k), k)
+
+    def trimmed(own):
+        return kmers.edge_trim(patched(own))
+
+    for name, run, sql in (
+        ("kmer_nodes", lambda own: kmers.kmer_nodes(own, k), "SELECT chrom, s, w, cnt FROM node"),
+        ("kmer_edges", lambda own: kmers.kmer_edges(own, k), "SELECT chrom, s, w AS e, cnt FROM edge"),
+        ("edge_patch", patched, "SELECT chrom, s, e, weight FROM patched"),
+        ("edge_trim", trimmed, "SELECT chrom, s, e, weight FROM live"),
+        ("isolated_node_reset", lambda own: kmers.graph(own, k)[0], "SELECT chrom, s, w, cnt FROM node SEMI JOIN ends_of USING (chrom, s, w)"),
+        ("out_degree", lambda own: kmers.degrees(trimmed(own), k, True), "SELECT chrom, s, e // 2 AS w, count(*) AS degree FROM live GROUP BY ALL"),
+        ("in_degree", lambda own: kmers.degrees(trimmed(own), k, False), f"SELECT chrom, s + 1 AS s, e & {mask} AS w, count(*) AS degree FROM live GROUP BY ALL"),
+        ("edge_endpoint_join", lambda own: kmers.endpoints(kmers.kmer_edges(own, k), kmers.kmer_nodes(own, k), k).select("chrom", "s", "e", "u", "v", "cnt", "cnt_u", "cnt_v"),
+         f"SELECT e.chrom, e.s, e.w AS e, e.w // 2 AS u, e.w & {mask} AS v, e.cnt, u.cnt AS cnt_u, v.cnt AS cnt_v FROM edge e, node u, node v WHERE u.chrom = e.chrom AND u.s = e.s AND u.w = e.w // 2 AND v.chrom = e.chrom AND v.s = e.s + 1 AND v.w = e.w & {mask}"),
+        ("graph_stats", lambda own: kmers.graph_stats(*kmers.graph(own, k)), "SELECT chrom, (SELECT count(*) FROM ends_of x WHERE x.chrom = live.chrom) AS n_nodes, count(*) AS n_edges FROM live GROUP BY chrom"),
+        ("symmetry_check", lambda own: kmers.symmetry_check(trimmed(own), k).select("chrom", "s", "e"),
+         f"SELECT l.chrom, l.s, l.e FROM live l WHERE l.e < {1 << k} AND NOT EXISTS (SELECT 1 FROM live r WHERE r.chrom = l.chrom AND r.s = l.s AND r.e = {2 * mask + 1} - l.e AND r.weight = l.weight)"),
+        ("ambiguous_pairs", lambda own: bubbles.ambiguous_pairs(trimmed(own), k),
+         "SELECT chrom, snp_idx FROM (" + " UNION ".join(f"SELECT chrom, s + {j} AS snp_idx, (e >> {k - j}) % 2 = (e >> {k - j + 1}) % 2 AS equal FROM live WHERE e <= {mask}" for j in range(1, k + 1)) + ") GROUP BY ALL HAVING count(DISTINCT equal) = 2"),
+    ):
+        _query(f"{base} {sql}", name + tail)(at(run))
+
+
+for _k in (2, 3, 4, 5):
+    _register_graph(_k)
+
+_AMBIGUOUS = ORACLES["ambiguous_pairs"].replace("SELECT chrom, snp_idx FROM (", ", amb AS (SELECT chrom, snp_idx FROM (", 1) + "),"
+_SEGMENTS = _AMBIGUOUS + """
+bound AS (
+  SELECT y.chrom, y.snp_idx, min(span.first) AS l_bound, max(span.last) AS r_bound
+  FROM a x JOIN a y ON x.chrom = y.chrom AND x.rid = y.rid AND y.snp_idx = x.snp_idx + 1
+  JOIN amb ON amb.chrom = y.chrom AND amb.snp_idx = y.snp_idx
+  JOIN span ON span.chrom = x.chrom AND span.rid = x.rid GROUP BY ALL)"""
+
+
+@_query(_SEGMENTS + " SELECT chrom, snp_idx, l_bound, r_bound FROM bound")
+def bubble_bounds(spark, sf_dir):
+    own = _reads(spark, sf_dir)
+    return bubbles.bubble_bounds(bubbles.ambiguous_pairs(kmers.graph(own, 2)[1], 2), own)
+
+
+@_query(_SEGMENTS + """,
+cut AS (SELECT b.chrom, b.snp_idx, b.l_bound > (SELECT max(p.snp_idx) FROM bound p WHERE p.chrom = b.chrom AND p.snp_idx < b.snp_idx) AS is_new FROM bound b),
+named AS (SELECT b.*, (SELECT count(*) FROM cut WHERE cut.chrom = b.chrom AND cut.snp_idx <= b.snp_idx AND is_new) AS bubble FROM bound b)
+SELECT chrom, bubble, min(l_bound) AS l_bound, max(r_bound) AS r_bound, count(*) AS n_pairs FROM named GROUP BY ALL""")
+def bubble_segments(spark, sf_dir):
+    return bubbles.bubble_segments(bubble_bounds(spark, sf_dir))
+
+
+# Hints.
+
+_EVERY = """
+every AS (SELECT size.chrom, g.s, coalesce(same + diff, 0) AS total, coalesce(abs(same - diff), 0) AS gap
+  FROM size, LATERAL (SELECT unnest(range(0, n_snp - 1)) AS s) g LEFT JOIN pair ON pair.chrom = size.chrom AND pair.s = g.s)"""
+_LIMIT = """
+counted AS (SELECT d.d, e.chrom, count(*) FILTER (WHERE total < 5) + count(*) FILTER (WHERE gap <= d.d) AS n FROM every e, (SELECT unnest(range(6, 20)) AS d) d GROUP BY ALL),
+limits AS (SELECT size.chrom, coalesce((SELECT max(d) FROM counted c WHERE c.chrom = size.chrom AND c.n < 0.05 * n_snp), 5) AS threshold FROM size)"""
+
+
+def _pairs_and_sizes(spark, sf_dir):
+    own = _reads(spark, sf_dir)
+    return kmers.pair_counts(own), reads.variant_counts(own)
+
+
+@_query(_with(_READS, _PAIRS, _EVERY) + " SELECT chrom, s AS snp_idx FROM every WHERE total < 5 UNION SELECT chrom, s + 1 FROM every WHERE total < 5")
+def low_depth_hint(spark, sf_dir):
+    return hints.low_depth_hint(*_pairs_and_sizes(spark, sf_dir))
+
+
+@_query(_with(_READS, _PAIRS, _EVERY, _LIMIT) + " SELECT chrom, threshold FROM limits")
+def diff_threshold(spark, sf_dir):
+    return hints.diff_threshold(*_pairs_and_sizes(spark, sf_dir))
+
+
+@_query(_with(_READS, _PAIRS, _EVERY, _LIMIT) + """, low AS (SELECT chrom, s FROM every JOIN limits USING (chrom) WHERE gap < threshold)
+SELECT chrom, s AS snp_idx FROM low UNION SELECT chrom, s + 1 FROM low""")
+def low_diff_hint(spark, sf_dir):
+    return hints.low_diff_hint(*_pairs_and_sizes(spark, sf_dir))
+
+
+@_query(_with(_READS, _PAIRS, _EVERY) + """ SELECT e.chrom, g.gap, count(*) FILTER (WHERE e.gap <= g.gap) AS up_to
+FROM every e, (SELECT unnest(range(0, 20)) AS gap) g GROUP BY ALL""")
+def cumulative_hist(spark, sf_dir):
+    return hints.cumulative(*_pairs_and_sizes(spark, sf_dir))
+
+
+# Blocks.
+
+_BLOCKS = """
+seen AS (SELECT DISTINCT chrom, snp_idx FROM a),
+step AS (SELECT seen.chrom, seen.snp_idx, coalesce(same = diff, true) AS tie, (diff > same)::INTEGER AS turn
+  FROM seen LEFT JOIN pair ON pair.chrom = seen.chrom AND pair.s = seen.snp_idx - 1),
+blk AS (SELECT s.chrom, b.snp_idx AS block, s.snp_idx, s.tie, s.turn
+  FROM step s ASOF JOIN (SELECT chrom, snp_idx FROM step WHERE tie) b ON s.chrom = b.chrom AND s.snp_idx >= b.snp_idx),
+phased AS (SELECT x.chrom, x.block, x.snp_idx, (coalesce(sum(y.turn) FILTER (WHERE NOT y.tie), 0) % 2)::INTEGER AS phase
+  FROM blk x JOIN blk y ON x.chrom = y.chrom AND x.block = y.block AND y.snp_idx <= x.snp_idx GROUP BY ALL),
+bounds AS (SELECT chrom, block, min(snp_idx) AS lo, max(snp_idx) AS hi FROM phased GROUP BY ALL)"""
+_MAJORITY = _with(_READS, _PAIRS, _BLOCKS)
+
+
+def _majority(spark, sf_dir):
+    own = _reads(spark, sf_dir)
+    return own, blocks.majority_blocks(own, kmers.pair_counts(own))
+
+
+@_query(_MAJORITY + " SELECT chrom, block, snp_idx, phase FROM phased")
+def majority_blocks(spark, sf_dir):
+    return _majority(spark, sf_dir)[1]
+
+
+@_query(_with(_READS) + """ SELECT x.chrom, x.rid AS block, x.first AS first_snp, x.last AS last_snp FROM span x WHERE NOT EXISTS
+(SELECT 1 FROM span y WHERE y.chrom = x.chrom AND y.first <= x.first AND y.last >= x.last
+  AND (y.first < x.first OR y.last > x.last OR y.rid < x.rid))""")
+def shadow_blocks(spark, sf_dir):
+    spans = reads.read_spans(_reads(spark, sf_dir))
+    return blocks.shadow_blocks(spans.select("chrom", F.col("rid").alias("block"), F.col("first").alias("first_snp"), F.col("last").alias("last_snp")))
+
+
+def _delta_sql(turned: str) -> str:
+    return _MAJORITY + f""",
+own AS (SELECT a.chrom, b.block, a.rid, a.snp_idx, (a.allele <> p.phase)::BIGINT AS wrong, a.allele >= 0 AS called
+  FROM a JOIN span USING (chrom, rid) JOIN bounds b ON b.chrom = a.chrom AND b.lo <= span.first AND span.last <= b.hi
+  JOIN phased p ON p.chrom = a.chrom AND p.block = b.block AND p.snp_idx = a.snp_idx),
+each AS (SELECT x.chrom, x.block, x.snp_idx AS "pivot", x.rid, count(*) FILTER (WHERE y.called) AS n,
+    coalesce(sum(y.wrong) FILTER (WHERE y.called), 0) AS old,
+    coalesce(sum(CASE WHEN {turned} THEN 1 - y.wrong ELSE y.wrong END) FILTER (WHERE y.called), 0) AS new
+  FROM own x JOIN own y ON x.chrom = y.chrom AND x.block = y.block AND x.rid = y.rid GROUP BY ALL)
+SELECT chrom, block, "pivot", sum(least(old, n - old))::BIGINT AS old_mec, sum(least(new, n - new))::BIGINT AS new_mec FROM each GROUP BY ALL"""
+
+
+@_query(_delta_sql("y.snp_idx > x.snp_idx"))
+def mec_switch_delta(spark, sf_dir):
+    return blocks.mec_switch_delta(*_majority(spark, sf_dir))
+
+
+@_query(_delta_sql("y.snp_idx = x.snp_idx"))
+def mec_flip_delta(spark, sf_dir):
+    return blocks.mec_flip_delta(*_majority(spark, sf_dir))
+
+
+_CONNECT = _MAJORITY + """,
+near AS (SELECT b.chrom, p.block AS before, p.lo AS p_lo, p.hi AS p_hi, b.block, b.lo AS c_lo, b.hi AS c_hi
+  FROM bounds b ASOF JOIN bounds p ON p.chrom = b.chrom AND b.lo > p.lo),
+crossing AS (SELECT near.*, span.rid FROM near JOIN span ON span.chrom = near.chrom
+  AND span.first BETWEEN p_lo AND p_hi AND span.last BETWEEN c_lo AND c_hi),
+hit AS (SELECT c.chrom, c.before, c.block, c.rid, count(p.phase) AS nl, count(q.phase) AS nr,
+    count(*) FILTER (WHERE a.allele = p.phase) AS l, count(*) FILTER (WHERE a.allele = q.phase) AS r
+  FROM crossing c JOIN a ON a.chrom = c.chrom AND a.rid = c.rid AND a.allele >= 0
+  LEFT JOIN phased p ON p.chrom = c.chrom AND p.block = c.before AND p.snp_idx = a.snp_idx
+  LEFT JOIN phased q ON q.chrom = c.chrom AND q.block = c.block AND q.snp_idx = a.snp_idx
+  GROUP BY ALL HAVING nl > 0 AND nr > 0),
+total AS (SELECT chrom, block, sum(least(l + r, nl + nr - l - r))::BIGINT AS kept_mec,
+    sum(least(l + nr - r, nl - l + r))::BIGINT AS reverse_mec FROM hit GROUP BY ALL),
+joined AS (SELECT near.chrom, near.block, near.before, coalesce(kept_mec, 0) AS kept_mec, coalesce(reverse_mec, 0) AS reverse_mec,
+    CASE WHEN kept_mec > reverse_mec THEN 1 WHEN kept_mec < reverse_mec THEN 0 ELSE -1 END AS state
+  FROM near LEFT JOIN total USING (chrom, block))"""
+
+
+@_query(_CONNECT + " SELECT chrom, block, before, kept_mec, reverse_mec, state FROM joined")
+def block_connect_mec(spark, sf_dir):
+    return blocks.block_connect(*_majority(spark, sf_dir))
+
+
+@_query(_CONNECT + """,
+state AS (SELECT b.chrom, b.block, coalesce(j.state, -1) AS state FROM bounds b LEFT JOIN joined j ON j.chrom = b.chrom AND j.block = b.block),
+grp AS (SELECT s.chrom, s.block, g.block AS "group" FROM state s ASOF JOIN (SELECT * FROM state WHERE state = -1) g ON g.chrom = s.chrom AND s.block >= g.block)
+SELECT g.chrom, g.block, g."group", (count(*) FILTER (WHERE s.state = 1) % 2)::INTEGER AS turned
+FROM grp g JOIN state s ON s.chrom = g.chrom AND s.block BETWEEN g."group" AND g.block GROUP BY ALL""")
+def block_merge(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    return blocks.block_merge(made, blocks.block_connect(own, made))
+
+
+_AUTO = ",".join(_words_sql(f"w{k}", k + 1) for k in (2, 3, 4, 5))
+_AUTO_SQL = _with(_READS, _AUTO) + ", scored AS (" + " UNION ALL ".join(f"""
+SELECT size.chrom, {k} AS k, CASE WHEN joined = n_snp - {k} THEN 'Infinity'::DOUBLE ELSE
+  100.0::DOUBLE * ((good::DOUBLE / all_edges) - edges::DOUBLE / ((n_snp - {k}) * {1 << (k + 1)})) / (5.0::DOUBLE * (n_snp - {k} - joined) / (n_snp - {k})) END AS score
+FROM size JOIN (SELECT chrom, sum(greatest(n - {k}, 0)) AS all_edges FROM (SELECT chrom, rid, count(*) AS n FROM a GROUP BY ALL) GROUP BY ALL) USING (chrom)
+JOIN (SELECT chrom, count(*) AS good FROM w{k}_half GROUP BY ALL) USING (chrom)
+JOIN (SELECT chrom, count(*) AS edges, count(DISTINCT s) AS joined FROM (SELECT DISTINCT chrom, s, w FROM w{k}_half) GROUP BY ALL) USING (chrom)""" for k in (2, 3, 4, 5)) + """)
+SELECT chrom, k, round(score, 6) AS score, NOT EXISTS (SELECT 1 FROM scored o WHERE o.chrom = s.chrom AND (o.score > s.score OR o.score = s.score AND o.k < s.k)) AS chosen FROM scored s"""
+
+
+@_query(_AUTO_SQL)
+def auto_k(spark, sf_dir):
+    return kmers.auto_k(_reads(spark, sf_dir)).withColumn("score", F.round("score", 6))
