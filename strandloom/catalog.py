@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import blocks, bubbles, hints, kmers, reads
-from strandloom.plans import derived
+from strandloom.operators import blocks, bubbles, hints, kmers, reads, solver
+from strandloom.plans import derived, phasing
 from strandloom.plans.derived import MATRIX_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,3 +325,17 @@ SELECT chrom, k, round(score, 6) AS score, NOT EXISTS (SELECT 1 FROM scored o WH
 @_query(_AUTO_SQL)
 def auto_k(spark, sf_dir):
     return kmers.auto_k(_reads(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+# The order-dependent passes and the whole; beyond SQL, held against models in the tests.
+
+
+def _register_solver(k: int) -> None:
+    tail = "" if k == 2 else f"_k{k}"
+    for name, stage in (("tip_removal", "tips"), ("bubble_solve", "bubbles"), ("haplotype_blocks", "blocks"), ("error_correction", "corrected")):
+        _query(name=name + tail)(lambda spark, sf_dir, stage=stage: solver.solve(_reads(spark, sf_dir), k, stage))
+    _query(name="phase_end_to_end" + tail)(lambda spark, sf_dir: phasing.phase(derived.alleles(spark, sf_dir), k))
+
+
+for _k in (2, 3):
+    _register_solver(_k)
