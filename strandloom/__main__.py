@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import calls, solver
 from strandloom.plans import phasing
-from strandloom.plans.stored import stored
+from strandloom.operators.stored import stored
 from strandloom.sources import alignments, alleles, fasta, vcf
 
 

@@ -19,6 +19,7 @@ from . import bubbles as _bubbles
 from . import hints as _hints
 from . import kmers as _kmers
 from . import reads as _reads
+from .stored import stored
 
 #: Lengths of short and long tips, the support a tip must lose by, paths that a bubble may have.
 TIP_SHORT, TIP_LONG, TIP_SUPPORT, MOST_PATHS = 5, 15, 1.5, 256
@@ -185,30 +186,26 @@ class Island:
 
     def solve_bubbles(self) -> None:
         found = []
+        # What each rank's edges weigh when the last area over it was closed; solving takes weights back from here.
+        kept = self.weight.copy()
         for left, right, own in list(self.bubbles()):
             self._close(left, right)
-            found.append((left, right, own, self._paths(left, right), self.weight[left : max(right - self.k + 1, left)].copy()))
-        for left, right, own, ways, kept in found:
-            if 0 < ways < MOST_PATHS:
-                self._enumerate(left, right, own, self._latest(found, left, right))
-        for left, right, own, ways, kept in found:
-            if not 0 < ways < MOST_PATHS:
-                self._greedy(left, right, self._latest(found, left, right))
+            ranks = slice(left, max(right - self.k + 1, left))
+            kept[ranks] = self.weight[ranks]
+            ways = self._paths(left, right)
+            found.append((left, right, own, 0 < ways < MOST_PATHS))
+        for left, right, own, simple in found:
+            if simple:
+                self._enumerate(left, right, own, kept)
+        for left, right, own, simple in found:
+            if not simple:
+                self._greedy(left, right, kept)
                 self.hint[left : right + 1] = TANGLE_HINT
 
-    def _latest(self, found, left: int, right: int) -> np.ndarray:
-        """The weights of an area's ranks as the last area that closed them left them."""
-        kept = self.weight[left : max(right - self.k + 1, left)].copy()
-        for a, b, _, _, copy in found:
-            low, high = max(a, left), min(a + len(copy), left + len(kept))
-            if low < high:
-                kept[low - left : high - left] = copy[low - a : high - a]
-        return kept
-
-    def _restore(self, left: int, kept: np.ndarray, edges: list[tuple[int, int]]) -> None:
+    def _restore(self, kept: np.ndarray, edges: list[tuple[int, int]]) -> None:
         for s, e in edges:
-            self.weight[s, e] = kept[s - left, e]
-            self.weight[s, self.full - e] = kept[s - left, self.full - e]
+            self.weight[s, e] = kept[s, e]
+            self.weight[s, self.full - e] = kept[s, self.full - e]
 
     def _enumerate(self, left: int, right: int, own: list[int], kept: np.ndarray) -> None:
         """Keep the path of least error correction; of equal ones the first in the order of its bits."""
@@ -226,7 +223,7 @@ class Island:
             cost += np.minimum(wrong, called.sum() - wrong)
         best = table[int(cost.argmin())].tolist()
         self.weight[left : right - self.k + 1] = 0
-        self._restore(left, kept, [(s, int("".join(map(str, best[s - left : s - left + self.k + 1])), 2)) for s in range(left, right - self.k + 1)])
+        self._restore(kept, [(s, int("".join(map(str, best[s - left : s - left + self.k + 1])), 2)) for s in range(left, right - self.k + 1)])
 
     def _greedy(self, left: int, right: int, kept: np.ndarray) -> None:
         """Keep the heaviest chains from right to left, k ranks apart."""
@@ -246,7 +243,7 @@ class Island:
             w = int(heavy[at].argmax())
             while back[at, w] >= 0:
                 before = int(back[at, w])
-                self._restore(left, kept, [(left + at - 1, before << 1 | (w & 1))])
+                self._restore(kept, [(left + at - 1, before << 1 | (w & 1))])
                 at, w = at - 1, before
             at -= self.k
 
@@ -419,8 +416,11 @@ def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame |
     if not 2 <= k <= 5:
         raise ValueError("k is from 2 to 5")
     sizes = sizes or _reads.variant_counts(reads)
-    nodes, weights = _kmers.graph(reads, k)
-    hint = _hints.hints(_kmers.pair_counts(reads), sizes)
+    # Read more than once below: tables, so that a lost executor or a second use doesn't go back to the reads.
+    nodes, edges, pairs = stored(_kmers.kmer_nodes(reads, k)), stored(_kmers.kmer_edges(reads, k)), stored(_kmers.pair_counts(reads))
+    weights = stored(_kmers.edge_trim(_kmers.edge_patch(nodes, edges, k)))
+    nodes = _kmers.isolated_node_reset(nodes, weights, k)
+    hint = _hints.hints(pairs, sizes)
     long = lambda c: F.col(c).cast("long")
     rows = (
         reads.select("chrom", F.lit("call").alias("kind"), F.col("snp_idx").alias("at"), long("rid").alias("a"), long("snp_idx").alias("b"), long("allele").alias("c"))
@@ -429,8 +429,8 @@ def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame |
         .unionByName(hint.select("chrom", F.lit("hint").alias("kind"), F.col("snp_idx").alias("at"), long("snp_idx").alias("a"), F.lit(0).cast("long").alias("b"), long("hint").alias("c")))
     )
     placed = rows.join(_reads.coverage_islands(reads).withColumnRenamed("snp_idx", "at"), ["chrom", "at"]).join(sizes, "chrom")
-    edges = stage in ("tips", "bubbles")
-    shape = "chrom string, island long, " + ("s long, e long, weight long" if edges else "block long, snp_idx long, phase int")
+    of_edges = stage in ("tips", "bubbles")
+    shape = "chrom string, island long, " + ("s long, e long, weight long" if of_edges else "block long, snp_idx long, phase int")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chrom, first = pdf.chrom.iloc[0], int(pdf.island.iloc[0])
@@ -438,7 +438,7 @@ def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame |
         own.remove_tips()
         if stage != "tips":
             own.solve_bubbles()
-        if edges:
+        if of_edges:
             at = np.argwhere(own.weight > 0)
             return pd.DataFrame({"chrom": chrom, "island": first, "s": at[:, 0] + first, "e": at[:, 1], "weight": own.weight[at[:, 0], at[:, 1]]})
         found = own.blocks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from strandloom.operators import blocks, reads, solver
-from strandloom.plans.stored import stored
+from strandloom.operators.stored import stored
 
 DEFAULT_K, ALLOWED_K = 2, (2, 3, 4, 5)
 
@@ -20,6 +20,6 @@ def phase(alleles: DataFrame, k: int = DEFAULT_K, sizes: DataFrame | None = None
     """
     if k not in ALLOWED_K:
         k = DEFAULT_K
-    own = reads.informative_reads(alleles)
+    own = stored(reads.informative_reads(alleles))
     corrected = stored(solver.solve(own, k, "corrected", sizes).drop("island"))
     return blocks.merged_phases(corrected, blocks.block_connect(own, corrected))
