@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import blocks, bubbles, hints, kmers, reads, solver
+from strandloom.operators import blocks, bubbles, cut, hints, kmers, reads, solver
 from strandloom.operators.stored import stored
 from strandloom.plans import derived, phasing
 from strandloom.plans.derived import MATRIX_SQL
@@ -340,3 +340,137 @@ def _register_solver(k: int) -> None:
 
 for _k in (2, 3):
     _register_solver(_k)
+
+
+# Scalar functions and alternates.
+
+_STRINGS_SQL = """WITH w AS (SELECT l_orderkey AS id, l_linenumber AS line, substr(translate(md5(l_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 31) AS q,
+  substr(translate(md5((l_orderkey + l_partkey % 2)::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 31) AS r FROM lineitem),
+v AS (SELECT *, substr(r, 1, 15) || 'A' || substr(r, 17) AS a FROM w)"""
+
+
+def _strings(spark, sf_dir):
+    dna = lambda c: F.substring(F.translate(F.md5(c.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 31)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), dna(F.col("l_orderkey")).alias("q"), dna(F.col("l_orderkey") + F.col("l_partkey") % 2).alias("r"))
+    return rows.withColumn("a", F.concat(F.substring("r", 1, 15), F.lit("A"), F.expr("substring(r, 17)")))
+
+
+@_query(_STRINGS_SQL + " SELECT id, line, levenshtein(q, r) AS to_ref, levenshtein(q, a) AS to_alt FROM v")
+def edit_distance_pair(spark, sf_dir):
+    return _strings(spark, sf_dir).select("id", "line", F.levenshtein("q", "r").cast("long").alias("to_ref"), F.levenshtein("q", "a").cast("long").alias("to_alt"))
+
+
+@_query(_STRINGS_SQL + " SELECT id, line, CASE WHEN levenshtein(q, r) < levenshtein(q, a) THEN 0 WHEN levenshtein(q, r) > levenshtein(q, a) THEN 1 ELSE -1 END AS allele FROM v")
+def allele_call(spark, sf_dir):
+    from strandloom.functions.cigar import allele_call as call
+
+    return _strings(spark, sf_dir).select("id", "line", call(F.levenshtein("q", "r"), F.levenshtein("q", "a")).alias("allele"))
+
+
+@_query("SELECT l_orderkey AS id, l_linenumber AS line, list_filter(string_split(concat_ws('/', l_linenumber % 2, '', l_partkey, ''), '/'), lambda x: x <> '')[2] AS second FROM lineitem")
+def split_str(spark, sf_dir):
+    from strandloom.functions.text import split_str as split
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = F.concat_ws("/", (F.col("l_linenumber") % 2).cast("string"), F.lit(""), F.col("l_partkey").cast("string"), F.lit(""))
+    return rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.get(split(text, "/"), F.lit(1)).alias("second"))
+
+
+@_query(_with(_READS) + """, p AS (SELECT chrom, rid, (rid * 7919) % 100003 AS pos FROM span)
+SELECT x.chrom, x.rid, x.pos, (SELECT count(*) FROM p y WHERE y.chrom = x.chrom AND (y.pos < x.pos OR y.pos = x.pos AND y.rid < x.rid)) AS snp_idx FROM p x""")
+def snp_index(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = reads.read_spans(_reads(spark, sf_dir)).select("chrom", "rid", ((F.col("rid") * 7919) % 100003).alias("pos"))
+    return rows.withColumn("snp_idx", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "rid")) - 1).cast("long"))
+
+
+@_query(_with(_READS) + """, v AS (SELECT DISTINCT chrom, snp_idx * 10 AS pos, snp_idx FROM a WHERE snp_idx % 7 = 0), q AS (SELECT DISTINCT chrom, snp_idx * 10 + 3 AS point FROM a)
+SELECT q.chrom, q.point, coalesce((SELECT min(v.snp_idx) FROM v WHERE v.chrom = q.chrom AND v.pos >= q.point), -1) AS snp_idx FROM q""")
+def snp_lower_bound(spark, sf_dir):
+    own = _reads(spark, sf_dir).select("chrom", "snp_idx").distinct()
+    return cut.snp_lower_bound(own.select("chrom", (F.col("snp_idx") * 10 + 3).alias("point")), own.filter("snp_idx % 7 = 0").select("chrom", (F.col("snp_idx") * 10).alias("pos"), "snp_idx"))
+
+
+@_query(_with(_graph_sql(2)) + " SELECT chrom, s, w, s * 4 + w AS node, (w * 2) & 3 AS next_0, (w * 2 + 1) & 3 AS next_1, w // 2 AS previous_0, (4 + w) // 2 AS previous_1, 3 - w AS complement FROM node")
+def node_neighbours(spark, sf_dir):
+    nodes = kmers.kmer_nodes(_reads(spark, sf_dir), 2)
+    s, w, zero, one = F.col("s"), F.col("w"), F.lit(0), F.lit(1)
+    return nodes.select("chrom", "s", "w", kmers.node_id(s, w, 2).alias("node"), kmers.next_node(w, zero, 2).alias("next_0"), kmers.next_node(w, one, 2).alias("next_1"), kmers.previous_node(w, zero, 2).alias("previous_0"), kmers.previous_node(w, one, 2).alias("previous_1"), kmers.complement(w, 2).alias("complement"))
+
+
+@_query(_with(_READS) + " SELECT chrom, rid, min(snp_idx) AS first, string_agg(CASE WHEN allele < 0 THEN '-' ELSE allele::VARCHAR END, '' ORDER BY snp_idx) AS calls FROM a GROUP BY ALL")
+def matrix_view(spark, sf_dir):
+    return cut.matrix_view(_reads(spark, sf_dir))
+
+
+@_query(_MAJORITY + """, path AS (SELECT chrom, chrom || '/' || block AS path, snp_idx, phase AS bit FROM phased),
+touch AS (SELECT DISTINCT p.path, p.chrom, a.rid FROM path p JOIN a ON a.chrom = p.chrom AND a.snp_idx = p.snp_idx),
+called AS (SELECT t.path, t.rid, a.allele, p.bit FROM touch t JOIN a ON a.chrom = t.chrom AND a.rid = t.rid AND a.allele >= 0
+  LEFT JOIN path p ON p.path = t.path AND p.snp_idx = a.snp_idx),
+one AS (SELECT path, rid, count(*) FILTER (WHERE allele <> bit) AS wrong, count(*) AS n, bool_or(bit IS NULL) AS out FROM called GROUP BY ALL)
+SELECT path, (CASE WHEN bool_or(out) THEN -1 ELSE sum(least(wrong, n - wrong)) END)::BIGINT AS mec FROM one GROUP BY path""")
+def mec_path(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    paths = made.select("chrom", F.concat_ws("/", "chrom", F.col("block").cast("string")).alias("path"), "snp_idx", F.col("phase").alias("bit"))
+    return cut.mec_path(paths, own)
+
+
+_FRAGS = _MAJORITY + """,
+f0 AS (SELECT chrom, rid AS frag, snp_idx AS variant, allele FROM a WHERE allele >= 0),
+fr AS (SELECT f0.*, n FROM f0 JOIN (SELECT chrom, frag, count(*) AS n FROM f0 GROUP BY ALL HAVING n > 1) USING (chrom, frag)),
+half AS (SELECT x.chrom, x.frag, x.variant AS u, y.variant AS v, (x.allele = y.allele)::INTEGER AS equal, x.n - 1 AS steps FROM fr x JOIN fr y ON x.chrom = y.chrom AND x.frag = y.frag AND y.variant > x.variant
+  AND NOT EXISTS (SELECT 1 FROM fr z WHERE z.chrom = x.chrom AND z.frag = x.frag AND z.variant > x.variant AND z.variant < y.variant)),
+ed AS (SELECT * FROM half UNION ALL SELECT chrom, frag, v, u, equal, steps FROM half)"""
+
+
+@_query(_FRAGS + " SELECT chrom, frag, u, v, equal, steps FROM ed")
+def read_variant_graph(spark, sf_dir):
+    made = cut.read_variant_graph(cut.fragments(_reads(spark, sf_dir)))
+    return made.select("chrom", "frag", "u", "v", "equal", F.round(1 / F.col("share")).cast("long").alias("steps"))
+
+
+_ODDS = "log10((0.98004737685031118::DOUBLE * 0.98004737685031118 + 0.019952623149688802 * 0.019952623149688802) / (2 * 0.98004737685031118 * 0.019952623149688802))"
+_WEIGHTS = _FRAGS + f""",
+wt AS (SELECT ed.chrom, u, v, round(sum((CASE WHEN (p.phase = q.phase)::INTEGER = equal THEN 1 ELSE -1 END) * {_ODDS} / steps), 6) AS weight
+  FROM ed JOIN phased p ON p.chrom = ed.chrom AND p.snp_idx = u JOIN phased q ON q.chrom = ed.chrom AND q.snp_idx = v GROUP BY ALL)"""
+
+
+def _weights(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    return cut.cut_edge_agg(cut.read_variant_graph(cut.fragments(own)), made).withColumn("weight", F.round("weight", 6) + F.lit(0.0))
+
+
+@_query(_WEIGHTS + " SELECT chrom, u, v, weight + 0.0 AS weight FROM wt")
+def cut_edge_agg(spark, sf_dir):
+    return _weights(spark, sf_dir)
+
+
+@_query(_WEIGHTS + " SELECT chrom, u, v, weight FROM wt x QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY weight DESC, u, v) <= 5")
+def topk_cut_edges(spark, sf_dir):
+    return cut.topk_cut_edges(_weights(spark, sf_dir)).drop("rank")
+
+
+def max_likelihood_cut(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    small = made.withColumn("block", F.expr("snp_idx div 40"))  # cuts are for areas, not for whole chromosomes
+    return cut.max_likelihood_cut(cut.fragments(own), small)
+
+
+QUERIES["max_likelihood_cut"] = max_likelihood_cut
+
+
+@_query(_FRAGS + """, sc AS (SELECT fr.chrom, frag, count(*) FILTER (WHERE allele = phase) AS hit, count(*) AS n FROM fr JOIN phased p ON p.chrom = fr.chrom AND p.snp_idx = fr.variant GROUP BY ALL),
+two AS (SELECT chrom, frag, hit * log10(0.98004737685031118::DOUBLE) + (n - hit) * log10(0.019952623149688802::DOUBLE) AS x, (n - hit) * log10(0.98004737685031118::DOUBLE) + hit * log10(0.019952623149688802::DOUBLE) AS y FROM sc)
+SELECT chrom, frag, round(greatest(x, y) + log10(1 + pow(10.0::DOUBLE, -abs(x - y))), 6) AS score FROM two""")
+def fragment_score(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    return cut.fragment_score(cut.fragments(own), made).withColumn("score", F.round("score", 6))
+
+
+@_query(ORACLES["block_merge"].replace("SELECT g.chrom, g.block, g.\"group\"", ", merged AS (SELECT g.chrom, g.block, g.\"group\"", 1) + """),
+ps AS (SELECT m.chrom, m."group", min(p.snp_idx) AS ps_idx FROM merged m JOIN phased p USING (chrom, block) GROUP BY ALL)
+SELECT p.chrom, p.snp_idx, ps.ps_idx, xor(p.phase, m.turned) AS phase FROM phased p JOIN merged m USING (chrom, block) JOIN ps ON ps.chrom = m.chrom AND ps."group" = m."group" """)
+def phase_assign(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    return blocks.merged_phases(made, blocks.block_connect(own, made))
