@@ -139,7 +139,7 @@ def _register_graph(k: int) -> None:
         return lambda spark, sf_dir: f(_reads(spark, sf_dir))
 
     def patched(own):
-        return kmers.edge_patch(kmers.kmer_nodes(own, k), kmers.kmer_edges(own, k), k)
+        return kmers.patched_graph(own, k)[1]
 
     def trimmed(own):
         return kmers.edge_trim(patched(own))
@@ -200,8 +200,8 @@ limits AS (SELECT size.chrom, coalesce((SELECT max(d) FROM counted c WHERE c.chr
 
 
 def _pairs_and_sizes(spark, sf_dir):
-    own = _reads(spark, sf_dir)
-    return kmers.pair_counts(own), reads.variant_counts(own)
+    own = stored(_reads(spark, sf_dir))
+    return stored(kmers.pair_counts(own)), reads.variant_counts(own)
 
 
 @_query(_with(_READS, _PAIRS, _EVERY) + " SELECT chrom, s AS snp_idx FROM every WHERE total < 5 UNION SELECT chrom, s + 1 FROM every WHERE total < 5")
@@ -241,8 +241,8 @@ _MAJORITY = _with(_READS, _PAIRS, _BLOCKS)
 
 
 def _majority(spark, sf_dir):
-    own = _reads(spark, sf_dir)
-    return own, blocks.majority_blocks(own, kmers.pair_counts(own))
+    own = stored(_reads(spark, sf_dir))
+    return own, stored(blocks.majority_blocks(own, kmers.pair_counts(own)))
 
 
 @_query(_MAJORITY + " SELECT chrom, block, snp_idx, phase FROM phased")

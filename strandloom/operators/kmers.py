@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def words(reads: DataFrame, k: int) -> DataFrame:
     """(chrom, s, w): each window of k consecutive calls without a gap."""
@@ -104,10 +106,47 @@ def graph_stats(nodes: DataFrame, weights: DataFrame) -> DataFrame:
     return n.join(e, "chrom", "full").select("chrom", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
+def counted(reads: DataFrame, lengths: set[int]) -> DataFrame:
+    """(chrom, k, s, w, cnt): the symmetric counts of words of several lengths, from one pass over the reads, as a table.
+
+    What is built on it reads the counts, which are far fewer than the calls.
+    """
+    along, most = W.partitionBy("chrom", "rid").orderBy("snp_idx"), max(lengths)
+    back = [(F.lag("allele", j).over(along).alias(f"a{j}"), F.lag("snp_idx", j).over(along).alias(f"p{j}")) for j in range(1, most)]
+    here = reads.select("chrom", "snp_idx", F.col("allele").alias("a0"), *[c for pair in back for c in pair])
+    whole, word, made = F.col("a0") >= 0, F.col("a0").cast("long"), []
+    for k in range(1, most + 1):
+        if k > 1:
+            whole = whole & (F.col(f"a{k - 1}") >= 0) & (F.col(f"p{k - 1}") == F.col("snp_idx") - (k - 1))
+            word = word + F.col(f"a{k - 1}") * (1 << (k - 1))
+        if k in lengths:
+            made.append(F.when(whole, F.struct(F.lit(k).alias("k"), (F.col("snp_idx") - (k - 1)).alias("s"), F.least(word, (1 << k) - 1 - word).alias("w"))))
+    half = here.select("chrom", F.inline(F.array_compact(F.array(*made)))).groupBy("chrom", "k", "s", "w").count()
+    both = F.array("w", F.expr("shiftleft(1L, k) - 1 - w"))
+    return stored(half.select("chrom", "k", "s", F.explode(both).alias("w"), F.col("count").alias("cnt")))
+
+
+def of_length(words: DataFrame, k: int, name: str = "w") -> DataFrame:
+    """The words of one length of `counted`."""
+    return words.filter(F.col("k") == k).select("chrom", "s", F.col("w").alias(name), "cnt")
+
+
+def pairs_of(words: DataFrame) -> DataFrame:
+    """`pair_counts` from a table that has words of two."""
+    return of_length(words, 2).filter("w < 2").groupBy("chrom", "s").agg(F.sum(F.when(F.col("w") == 0, F.col("cnt")).otherwise(0)).alias("same"), F.sum(F.when(F.col("w") == 1, F.col("cnt")).otherwise(0)).alias("diff"))
+
+
+def patched_graph(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, weights after patching, and pair counts."""
+    words = counted(reads, {2, k, k + 1})
+    nodes = of_length(words, k)
+    return nodes, edge_patch(nodes, of_length(words, k + 1, "e"), k), pairs_of(words)
+
+
 def graph(reads: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Nodes and weights after patching and trimming."""
-    nodes, edges = kmer_nodes(reads, k), kmer_edges(reads, k)
-    weights = edge_trim(edge_patch(nodes, edges, k))
+    nodes, patched, _ = patched_graph(reads, k)
+    weights = edge_trim(patched)
     return isolated_node_reset(nodes, weights, k), weights
 
 

@@ -416,9 +416,8 @@ def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame |
     if not 2 <= k <= 5:
         raise ValueError("k is from 2 to 5")
     sizes = sizes or _reads.variant_counts(reads)
-    # Read more than once below: tables, so that a lost executor or a second use doesn't go back to the reads.
-    nodes, edges, pairs = stored(_kmers.kmer_nodes(reads, k)), stored(_kmers.kmer_edges(reads, k)), stored(_kmers.pair_counts(reads))
-    weights = stored(_kmers.edge_trim(_kmers.edge_patch(nodes, edges, k)))
+    nodes, patched, pairs = _kmers.patched_graph(reads, k)
+    weights = stored(_kmers.edge_trim(patched))
     nodes = _kmers.isolated_node_reset(nodes, weights, k)
     hint = _hints.hints(pairs, sizes)
     long = lambda c: F.col(c).cast("long")
