@@ -474,3 +474,25 @@ SELECT p.chrom, p.snp_idx, ps.ps_idx, xor(p.phase, m.turned) AS phase FROM phase
 def phase_assign(spark, sf_dir):
     own, made = _majority(spark, sf_dir)
     return blocks.merged_phases(made, blocks.block_connect(own, made))
+
+
+def _areas(spark, sf_dir):
+    own = stored(_reads(spark, sf_dir))
+    pairs = stored(bubbles.ambiguous_pairs(kmers.graph(own, 2)[1], 2))
+    return own, pairs, bubbles.bubble_segments(bubbles.bubble_bounds(pairs, own))
+
+
+@_query(name="tangle_dp")
+def tangle_dp(spark, sf_dir):
+    own, _, areas = _areas(spark, sf_dir)
+    return cut.tangle_dp(own, areas, 6)  # deeper areas take seconds each
+
+
+@_query(ORACLES["bubble_segments"].replace("SELECT chrom, bubble, min(l_bound)", ", area AS (SELECT chrom, bubble, min(l_bound)", 1) + """),
+got AS (SELECT DISTINCT ar.chrom, ar.bubble, a.rid, span.first >= ar.l_bound AND span.last <= ar.r_bound AS within
+  FROM area ar JOIN a ON a.chrom = ar.chrom AND a.snp_idx BETWEEN ar.l_bound AND ar.r_bound AND a.allele >= 0
+  JOIN amb ON amb.chrom = a.chrom AND amb.snp_idx = a.snp_idx JOIN span ON span.chrom = a.chrom AND span.rid = a.rid)
+SELECT chrom, bubble, rid FROM got g WHERE NOT EXISTS (SELECT 1 FROM got o WHERE o.chrom = g.chrom AND o.bubble = g.bubble AND NOT o.within)""")
+def bubble_read_collect(spark, sf_dir):
+    own, pairs, areas = _areas(spark, sf_dir)
+    return cut.bubble_reads(pairs, own, areas)

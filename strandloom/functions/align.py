@@ -92,3 +92,31 @@ def align_traceback(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -
                     i -= 1
             out.append((int(table[-1, -1]), base))
         yield pd.DataFrame(out, columns=["distance", "base"])
+
+
+@F.pandas_udf(T.StringType())
+def show_alignment(query: pd.Series, target: pd.Series) -> pd.Series:
+    """Three lines: the target, marks where both agree, and the query, with '-' for gaps. For reading only."""
+    out = []
+    for q, t in zip(query, target):
+        if q is None or t is None:
+            out.append(None)
+            continue
+        table = np.zeros((len(q) + 1, len(t) + 1), np.int64)
+        table[:, 0], table[0] = np.arange(len(q) + 1), np.arange(len(t) + 1)
+        for i in range(1, len(q) + 1):
+            for j in range(1, len(t) + 1):
+                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (q[i - 1] != t[j - 1]))
+        i, j, columns = len(q), len(t), []
+        while i or j:
+            if i and j and table[i, j] == table[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
+                i, j = i - 1, j - 1
+                columns.append((t[j], "|" if q[i] == t[j] else " ", q[i]))
+            elif j and table[i, j] == table[i, j - 1] + 1:
+                j -= 1
+                columns.append((t[j], " ", "-"))
+            else:
+                i -= 1
+                columns.append(("-", " ", q[i]))
+        out.append("\n".join("".join(line) for line in zip(*columns[::-1])))
+    return pd.Series(out)

@@ -6,8 +6,6 @@ allele), which are reads without their gaps.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,28 +129,68 @@ def max_likelihood_cut(frags: DataFrame, phases: DataFrame) -> DataFrame:
 def exact_mec(rows: list[tuple[int, list[int]]], first: int, last: int) -> int:
     """The least error correction of reads (first variant, alleles) by any two haplotypes that differ everywhere.
 
-    Columns are taken one by one; what matters of the past is how the reads that
-    go on are split. At most MOST_COVERAGE reads may be over a column.
+    Columns are taken one by one. The table has an axis for each read over the
+    column, and along it the haplotype that the read is given; reads that have
+    ended are minimised out. At most MOST_COVERAGE reads may be over a column.
     """
-    best: dict[tuple[tuple[int, int], ...], int] = {(): 0}
+    best, held = np.zeros((), np.int64), []
     for s in range(first, last + 1):
         over = [r for r, (a, row) in enumerate(rows) if a <= s < a + len(row)]
         if len(over) > MOST_COVERAGE:
             raise ValueError(f"{len(over)} reads over variant {s}; at most {MOST_COVERAGE} are allowed")
-        now: dict[tuple[tuple[int, int], ...], int] = {}
-        for split, cost in best.items():
-            sides = dict(split)
-            new = [r for r in over if r not in sides]
-            for chosen in itertools.product((0, 1), repeat=len(new)):
-                here = {r: x for r, x in sides.items() if r in over} | dict(zip(new, chosen))
-                ones = sum(1 for r, x in here.items() if rows[r][1][s - rows[r][0]] >= 0 and rows[r][1][s - rows[r][0]] ^ x)
-                calls = sum(1 for r in here if rows[r][1][s - rows[r][0]] >= 0)
-                key = tuple(sorted((r, x) for r, x in here.items() if rows[r][0] + len(rows[r][1]) - 1 > s))
-                total = cost + min(ones, calls - ones)
-                if total < now.get(key, total + 1):
-                    now[key] = total
-        best = now
-    return min(best.values())
+        best = best.min(axis=tuple(i for i, r in enumerate(held) if r not in over))
+        held = [r for r in held if r in over]
+        new = [r for r in over if r not in held]
+        best = np.broadcast_to(best.reshape(best.shape + (1,) * len(new)), best.shape + (2,) * len(new))
+        held += new
+        wrong, calls = np.zeros(best.shape, np.int64), 0
+        for axis, r in enumerate(held):
+            allele = rows[r][1][s - rows[r][0]]
+            if allele >= 0:
+                calls += 1
+                wrong = wrong + np.array([allele, 1 - allele]).reshape([2 if i == axis else 1 for i in range(len(held))])
+        best = best + np.minimum(wrong, calls - wrong)
+    return int(best.min())
+
+
+def covered(rows: list[tuple[int, list[int]]], most: int) -> list[tuple[int, list[int]]]:
+    """Reads from left to right, long ones first, as long as no column gets more than `most`."""
+    depth: dict[int, int] = {}
+    kept = []
+    for a, row in sorted(rows, key=lambda r: (r[0], -len(r[1]), r[1])):
+        columns = range(a, a + len(row))
+        if all(depth.get(s, 0) < most for s in columns):
+            kept.append((a, row))
+            for s in columns:
+                depth[s] = depth.get(s, 0) + 1
+    return kept
+
+
+def tangle_dp(reads: DataFrame, areas: DataFrame, most: int = MOST_COVERAGE) -> DataFrame:
+    """(chrom, bubble, n_reads, mec): the exact error correction of each area (chrom, bubble, l_bound, r_bound) by reads inside it, thinned to at most `most` over a variant."""
+    spans = reads.groupBy("chrom", "rid").agg(F.min("snp_idx").alias("first"), F.max("snp_idx").alias("last"))
+    columns = areas.select("chrom", "bubble", "l_bound", "r_bound", F.explode(F.sequence("l_bound", "r_bound")).alias("first"))
+    inside = spans.join(columns, ["chrom", "first"]).filter("last <= r_bound").select("chrom", "rid", "bubble")
+    rows = reads.join(inside, ["chrom", "rid"]).select("chrom", "bubble", "rid", "snp_idx", "allele")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rid", "snp_idx"])
+        own = [(int(g.snp_idx.iloc[0]), g.allele.tolist()) for _, g in pdf.groupby("rid")]
+        kept = covered(own, min(most, MOST_COVERAGE))
+        mec = exact_mec(kept, int(pdf.snp_idx.min()), int(pdf.snp_idx.max()))
+        return pd.DataFrame({"chrom": [pdf.chrom.iloc[0]], "bubble": [pdf.bubble.iloc[0]], "n_reads": [len(kept)], "mec": [mec]})
+
+    return rows.groupBy("chrom", "bubble").applyInPandas(run, "chrom string, bubble long, n_reads long, mec long")
+
+
+def bubble_reads(pairs: DataFrame, reads: DataFrame, areas: DataFrame) -> DataFrame:
+    """(chrom, bubble, rid): reads with an allele on an ambiguous variant of an area; areas that one of them leaves go."""
+    spans = reads.groupBy("chrom", "rid").agg(F.min("snp_idx").alias("first"), F.max("snp_idx").alias("last"))
+    columns = areas.select("chrom", "bubble", "l_bound", "r_bound", F.explode(F.sequence("l_bound", "r_bound")).alias("snp_idx"))
+    own = reads.filter("allele >= 0").join(pairs, ["chrom", "snp_idx"], "left_semi").join(columns, ["chrom", "snp_idx"])
+    own = own.join(spans, ["chrom", "rid"]).select("chrom", "bubble", "rid", (F.col("first").between(F.col("l_bound"), F.col("r_bound")) & (F.col("last") <= F.col("r_bound"))).alias("within")).distinct()
+    left = own.filter("NOT within").select("chrom", "bubble").distinct()
+    return own.join(left, ["chrom", "bubble"], "left_anti").select("chrom", "bubble", "rid")
 
 
 def mec_path(paths: DataFrame, reads: DataFrame) -> DataFrame:

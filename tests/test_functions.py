@@ -54,3 +54,8 @@ def test_alignments(spark):
         assert r.d == r.l and (r.q is None or r.a == naive_affine(r.q, r.t))
     traced = spark.createDataFrame([("ACGT", "ACGT", 2), ("ACT", "ACGT", 2), ("ATGT", "ACGT", 1)], "q string, t string, p long").select(align.align_traceback("q", "t", "p").alias("x")).collect()
     assert [tuple(r.x) for r in traced] == [(0, "G"), (1, "-"), (1, "T")]
+
+
+def test_shown_alignment(spark):
+    got = spark.createDataFrame([("ACT", "ACGT")], "q string, t string").select(align.show_alignment("q", "t").alias("x")).first()
+    assert got.x == "ACGT\n|| |\nAC-T"
