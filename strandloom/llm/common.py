@@ -44,15 +44,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by `written`."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose `column` holds about SLICE_BYTES."""
     if not batch.num_rows:

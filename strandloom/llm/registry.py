@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_bpe import op1_byte_bpe
+from .op2_language import op2_language
+from .op3_fingerprint import op3_fingerprint
+from .op4_jaccard import OP4_SQL, op4_jaccard
+from .op5_quality import op5_quality
+from .op6_licenses import OP6_SQL, op6_licenses
 from .op7_line_dedup import OP7_SQL, op7_line_dedup
 from .op8_token_counts import op8_token_counts
 from .op9_sharding import op9_sharding
-from .op2_language import op2_language
-from .op5_quality import op5_quality
-from .op3_fingerprint import op3_fingerprint
 from .op10_decontaminate import op10_decontaminate
-from .op6_licenses import OP6_SQL, op6_licenses
-from .op4_jaccard import op4_jaccard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op7_line_dedup, op8_token_counts, op9_sharding, op2_language, op5_quality, op3_fingerprint, op10_decontaminate, op6_licenses, op4_jaccard)}
+    operators = (
+        op1_byte_bpe, op2_language, op3_fingerprint, op4_jaccard, op5_quality,
+        op6_licenses, op7_line_dedup, op8_token_counts, op9_sharding, op10_decontaminate,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op6_licenses": OP6_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_licenses": OP6_SQL, "op7_line_dedup": OP7_SQL}

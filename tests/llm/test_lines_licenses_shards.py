@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from conftest import SF
 
-from strandloom.llm import op6_licenses, op7_line_dedup, op9_sharding
+from strandloom.llm import op4_jaccard, op6_licenses, op7_line_dedup, op9_sharding
 
 
 def oracle(sql, sf=SF):
@@ -28,6 +28,10 @@ def test_lines_against_sql(spark):
     assert by_id(rows(op7_line_dedup.op7_line_dedup(spark, SF))) == by_id(oracle(op7_line_dedup.OP7_SQL))
 
 
+def test_components_against_sql(spark):
+    assert by_id(rows(op4_jaccard.op4_jaccard(spark, SF))) == by_id(oracle(op4_jaccard.OP4_SQL))
+
+
 def test_licenses_against_sql(spark):
     assert by_id(rows(op6_licenses.op6_licenses(spark, SF))) == by_id(oracle(op6_licenses.OP6_SQL))
 
