@@ -14,8 +14,11 @@ def stored(df: DataFrame) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="strandloom-")
-        spark.sparkContext.setCheckpointDir(root)
+        if held.isDefined():
+            root = held.get()
+        else:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
+            root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
