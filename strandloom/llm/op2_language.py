@@ -10,11 +10,11 @@ table entries over the whole text.
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,7 @@ ORDERS, BITS = (2, 3), 12
 PER_LANGUAGE, LANGUAGES = 800, 100
 SCALE, PENALTY, ROUNDS = 30.0, 10.0, 60
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _table() -> np.ndarray:
