@@ -1,0 +1 @@
+"""Empty: phasing needs whole chromosomes, so no operator works on a stream."""
