@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from strandloom.llm import op1_bpe, op2_language, op4_jaccard, op7_line_dedup, op10_decontaminate
 from strandloom.llm.common import shared_dir
 
-#: Texts of which no language can be told, or none with at least this score, are rejected.
-LEAST_SCORE = 0.3
+#: Texts of which no language can be told are rejected, and those whose score is below what two even choices,
+#: of the family and of the language, would give. Short clean texts score little more than that.
+LEAST_SCORE = 0.25
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
