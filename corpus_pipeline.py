@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from strandloom.llm import op1_bpe, op2_language, op4_jaccard, op7_line_dedup, op10_decontaminate
 from strandloom.llm.common import shared_dir
 
-#: Texts of which no language can be told are rejected, and those whose score is below what two even choices,
-#: of the family and of the language, would give. Short clean texts score little more than that.
-LEAST_SCORE = 0.25
+#: Texts of which no language can be told are rejected, and those nearer to random n-grams than to held-out rows
+#: of the language that they are told to be. Short clean texts are about as typical as long ones.
+LEAST_TYPICAL = 0.5
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told."""
     model = op2_language.fit(docs.filter(op2_language.fold("doc_id", 3) != 1), "doc_id", "text", "lang")
-    told = op2_language.predict(docs, model, carry=True)
-    kept = told.filter((F.col("lang_pred") != op2_language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    told = op2_language.predict(docs, model, carry=True, typical=True)
+    kept = told.filter((F.col("lang_pred") != op2_language.UNDETERMINED) & (F.col("typical") >= LEAST_TYPICAL))
     return kept.select(*docs.columns)
 
 

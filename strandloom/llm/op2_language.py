@@ -5,6 +5,12 @@ the lower-cased letters. Families are told apart one versus one, and so are the
 languages of each family; margins become probabilities by a fitted logistic
 curve. Fitting uses a bounded sample of labelled rows; scoring is a sum of
 table entries over the whole text.
+
+The machines only compare learned languages, and so their score tells nothing
+of a text in none of them. For that each language has a profile, the log
+frequencies of its n-grams: a text is as typical as its mean entry, on a scale
+where 0 is what n-grams drawn at random have and 1 is the median of rows that
+were held out of the profile.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ ORDERS, BITS = (2, 3), 12
 #: Training rows of each language at most, and languages at most (the most frequent).
 PER_LANGUAGE, LANGUAGES = 800, 100
 SCALE, PENALTY, ROUNDS = 30.0, 10.0, 60
+#: Added to the frequencies of a profile, for n-grams it has not seen.
+UNSEEN = 1e-5
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -116,7 +124,7 @@ class Choice:
     slope: list[float] = field(default_factory=list)
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
-        """Each class's mean probability against the others."""
+        """Each class's mean probability against the k - 1 others: 0 to 1, and at least 0.5 for the best."""
         n, k = len(sums), len(self.classes)
         if k == 1:
             return np.ones((n, 1))
@@ -125,7 +133,7 @@ class Choice:
             own = 1 / (1 + np.exp(np.clip(-slope * (sums[:, column] + bias), -500, 500)))
             p[:, a] += own
             p[:, b] += 1 - own
-        return p * (2 / (k * (k - 1)))
+        return p / (k - 1)
 
 
 @dataclass
@@ -133,13 +141,14 @@ class Model:
     weights: np.ndarray  # n-gram x machine
     families: Choice
     languages: dict[str, Choice]
+    profiles: dict[str, int] = field(default_factory=dict)  # columns of weights
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and the probability of each text."""
-        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The language and the probability of each text, and how typical it is of that language (1 without a profile)."""
+        names, scores, typical = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
         if not known:
-            return names, scores
+            return names, scores, typical
         codes, start, end = ngrams([texts[i] for i in known])
         edges = np.ravel(np.column_stack([start, end]))
         sums = np.zeros((len(known), self.weights.shape[1]))
@@ -156,7 +165,8 @@ class Model:
             choice = self.languages[self.families.classes[f]]
             j = int(within[f][row].argmax())
             names[i], scores[i] = choice.classes[j], round(float(family[row, f] * within[f][row, j]), 6)
-        return names, scores
+            typical[i] = round(float(sums[row, self.profiles[names[i]]]), 6) if names[i] in self.profiles else 1.0
+        return names, scores, typical
 
 
 def _one_versus_one(classes: list[str], x: np.ndarray, label: np.ndarray, columns: list[np.ndarray]) -> Choice:
@@ -172,6 +182,16 @@ def _one_versus_one(classes: list[str], x: np.ndarray, label: np.ndarray, column
     return made
 
 
+def profile(x: np.ndarray) -> np.ndarray | None:
+    """The column whose sum over a text is 0 for n-grams at random and 1 for the median of every second row, which the frequencies leave out."""
+    if len(x) < 2:
+        return None
+    logs = np.log(x[::2].mean(0) / SCALE + UNSEEN).reshape(len(ORDERS), -1)
+    column = (logs - logs.mean(1, keepdims=True)).ravel()
+    whole = float(np.median(x[1::2] @ column))
+    return (column / whole).astype(np.float32) if whole > 0 else None
+
+
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """A model from at most per_language rows of each of the `languages` most frequent languages, chosen by a hash of their ids."""
     labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -203,23 +223,29 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     columns: list[np.ndarray] = []
     family = _one_versus_one(sorted(groups), x, np.array([of.get(c, c) for c in lang], object), columns)
     within = {name: _one_versus_one(codes, x, lang, columns) for name, codes in sorted(groups.items())}
+    profiles = {}
+    for code in known:
+        if (own := profile(x[lang == code])) is not None:
+            profiles[code] = len(columns)
+            columns.append(own)
     weights = np.column_stack(columns).astype(np.float32) if columns else np.zeros((len(ORDERS) << BITS, 0), np.float32)
-    return Model(weights, family, within)
+    return Model(weights, family, within, profiles)
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """lang_pred and score (0 to 1) for every row.
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, typical: bool = False) -> DataFrame:
+    """lang_pred and score (0 to 1) for every row; with `typical` also how typical the text is of that language.
 
     A text that is null or has no letter is 'und' with score 0, and so is every
     text if nothing was learned. Repeated rows get the same prediction each; an
     empty table stays empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields + [T.StructField("typical", T.DoubleType())] * typical)
 
     def run(batch: pa.RecordBatch) -> dict:
-        names, scores = shared.value.predict(batch.column(text_col).to_pylist())
-        return {"lang_pred": names, "score": scores}
+        names, scores, likeness = shared.value.predict(batch.column(text_col).to_pylist())
+        return {"lang_pred": names, "score": scores, "typical": likeness}
 
     return map_texts(df, [id_col, text_col], schema, run, text_col, carry)
 

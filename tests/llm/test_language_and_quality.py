@@ -58,3 +58,12 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert op5_quality.fit(odd, labels.filter("false")) is None
     assert {r.score for r in op5_quality.score(odd, None).collect()} == {0.5}
     assert op5_quality.score(empty, machine).count() == 0
+
+
+def test_probabilities_of_many_classes():
+    """A class that wins all of its machines has probability 1, however many classes there are."""
+    for k in (2, 3, 5):
+        pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+        choice = op2_language.Choice(list("abcde"[:k]), pairs, list(range(len(pairs))), [0.0] * len(pairs), [1.0] * len(pairs))
+        p = choice.probabilities(np.full((1, len(pairs)), 400.0))[0]
+        assert np.allclose(p, [(k - 1 - a) / (k - 1) for a in range(k)])

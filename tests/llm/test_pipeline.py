@@ -35,3 +35,21 @@ def test_run_and_registry(spark):
     assert "pipeline" in known and all(any(q.startswith(f"op{n}_") for q in known) for n in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(known)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_language_stage_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    foreign = [
+        "Tämä on suomenkielinen lause, jossa on monta sanaa eikä yhtään tuttua kieltä",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "漢字の文章はここにあります 人人生而自由在尊嚴和權利上一律平等",
+        "xqzv kjqw zzxk vbnq wqxj kkzq pfxv qjzx",
+        "the words of this text are 漢字の文章はここにあります人人生而自由在尊嚴和權利上一律平等",
+    ]
+    short = ["That it.", "Thnt th anrendat oneses thea ingshly with.", "Des enberge die enver.", "Pachque çaneux et.", "a row without an id, kept as it is"]
+    planted = spark.createDataFrame([(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(foreign + short)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.union(planted), SF)
+    assert {r.doc_id - 10**6 for r in kept.filter("doc_id >= 1000000").collect()} == {*range(len(foreign), len(foreign) + len(short))}
+    clean = docs.filter("length(text) > 0 AND lang IS NOT NULL").count()
+    assert kept.filter("doc_id < 1000000").count() >= 0.99 * clean
