@@ -485,7 +485,7 @@ def _areas(spark, sf_dir):
 @_query(name="tangle_dp")
 def tangle_dp(spark, sf_dir):
     own, _, areas = _areas(spark, sf_dir)
-    return cut.tangle_dp(own, areas, 6)  # deeper areas take seconds each
+    return cut.tangle_dp(own, areas)
 
 
 @_query(ORACLES["bubble_segments"].replace("SELECT chrom, bubble, min(l_bound)", ", area AS (SELECT chrom, bubble, min(l_bound)", 1) + """),

@@ -129,26 +129,29 @@ def max_likelihood_cut(frags: DataFrame, phases: DataFrame) -> DataFrame:
 def exact_mec(rows: list[tuple[int, list[int]]], first: int, last: int) -> int:
     """The least error correction of reads (first variant, alleles) by any two haplotypes that differ everywhere.
 
-    Columns are taken one by one. The table has an axis for each read over the
-    column, and along it the haplotype that the read is given; reads that have
+    Columns are taken one by one. The flat table has a bit for each read over the
+    column, which is the haplotype that the read is given; reads that have
     ended are minimised out. At most MOST_COVERAGE reads may be over a column.
     """
-    best, held = np.zeros((), np.int64), []
+    best, held = np.zeros(1, np.int64), []
     for s in range(first, last + 1):
         over = [r for r, (a, row) in enumerate(rows) if a <= s < a + len(row)]
         if len(over) > MOST_COVERAGE:
             raise ValueError(f"{len(over)} reads over variant {s}; at most {MOST_COVERAGE} are allowed")
-        best = best.min(axis=tuple(i for i, r in enumerate(held) if r not in over))
+        for axis in reversed([i for i, r in enumerate(held) if r not in over]):
+            best = best.reshape(1 << axis, 2, -1).min(axis=1).ravel()
         held = [r for r in held if r in over]
         new = [r for r in over if r not in held]
-        best = np.broadcast_to(best.reshape(best.shape + (1,) * len(new)), best.shape + (2,) * len(new))
+        best = np.repeat(best, 1 << len(new))
         held += new
-        wrong, calls = np.zeros(best.shape, np.int64), 0
-        for axis, r in enumerate(held):
+        wrong, calls = np.zeros(1, np.int64), 0
+        for r in held:
             allele = rows[r][1][s - rows[r][0]]
             if allele >= 0:
                 calls += 1
-                wrong = wrong + np.array([allele, 1 - allele]).reshape([2 if i == axis else 1 for i in range(len(held))])
+                wrong = np.add.outer(wrong, np.array([allele, 1 - allele])).ravel()
+            else:
+                wrong = np.repeat(wrong, 2)
         best = best + np.minimum(wrong, calls - wrong)
     return int(best.min())
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from strandloom import catalog
 from strandloom.operators import cut
 
 
@@ -43,3 +44,21 @@ def test_paths_that_reads_leave(spark):
     shape = "chrom string, rid long, snp_idx long, allele int"
     assert cut.mec_path(paths, spark.createDataFrame(inside, shape)).first().mec == 1
     assert cut.mec_path(paths, spark.createDataFrame([*inside, ("c", 2, 4, 1)], shape)).first().mec == -1
+
+
+def test_deep_areas_keep_their_reads(spark):
+    """The registered query uses every read of an area up to 15 over a variant."""
+    sf = "/root/testdata/sf0.001"
+    own, _, areas = catalog._areas(spark, sf)
+    got = {(r.chrom, r.bubble): (r.n_reads, r.mec) for r in catalog.tangle_dp(spark, sf).collect()}
+    reads = {}
+    for r in own.orderBy("rid", "snp_idx").collect():
+        reads.setdefault((r.chrom, r.rid), []).append((r.snp_idx, r.allele))
+    deep = 0
+    for a in areas.collect():
+        rows = [(r[0][0], [x for _, x in r]) for (chrom, _), r in reads.items() if chrom == a.chrom and a.l_bound <= r[0][0] and r[-1][0] <= a.r_bound]
+        depth = max(sum(s <= c < s + len(x) for s, x in rows) for c in range(a.l_bound, a.r_bound + 1))
+        if depth <= cut.MOST_COVERAGE:
+            assert got[a.chrom, a.bubble] == (len(rows), cut.exact_mec(rows, a.l_bound, a.r_bound))
+            deep += depth > 6
+    assert deep
