@@ -453,8 +453,7 @@ def topk_cut_edges(spark, sf_dir):
 
 def max_likelihood_cut(spark, sf_dir):
     own, made = _majority(spark, sf_dir)
-    small = made.withColumn("block", F.expr("snp_idx div 40"))  # cuts are for areas, not for whole chromosomes
-    return cut.max_likelihood_cut(cut.fragments(own), small)
+    return cut.max_likelihood_cut(cut.fragments(own), made)
 
 
 QUERIES["max_likelihood_cut"] = max_likelihood_cut

@@ -62,3 +62,22 @@ def test_deep_areas_keep_their_reads(spark):
             assert got[a.chrom, a.bubble] == (len(rows), cut.exact_mec(rows, a.l_bound, a.r_bound))
             deep += depth > 6
     assert deep
+
+
+def test_cuts_are_of_the_real_blocks(spark):
+    """The registered query keeps the majority blocks, also those that are longer than 40 variants or straddle a multiple of 40."""
+    sf = "/root/testdata/sf0.001"
+    own, made = catalog._majority(spark, sf)
+    blocks = {(r.chrom, r.block, r.snp_idx): r.phase for r in made.collect()}
+    got = {(r.chrom, r.block, r.snp_idx): r.phase for r in catalog.max_likelihood_cut(spark, sf).collect()}
+    assert got.keys() == blocks.keys()
+    assert max(s for _, _, s in blocks) > 40 and any(b // 40 != s // 40 for _, b, s in blocks)
+    frags = {}
+    for r in cut.fragments(own).orderBy("chrom", "frag", "variant").collect():
+        frags.setdefault(r.chrom, []).append((r.frag, r.variant, r.allele))
+    for chrom, block in {k[:2] for k in blocks}:
+        snps = sorted(s for c, b, s in blocks if (c, b) == (chrom, block))
+        rows = [(f, snps.index(v), a) for f, v, a in frags[chrom] if v in snps]
+        _, of = np.unique([f for f, _, _ in rows], return_inverse=True)
+        want = cut.improve_by_cuts(np.array([blocks[chrom, block, s] for s in snps]), of, np.array([v for _, v, _ in rows]), np.array([a for _, _, a in rows]))
+        assert [got[chrom, block, s] for s in snps] == want.tolist()
