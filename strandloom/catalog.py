@@ -118,7 +118,7 @@ SELECT span.chrom, span.rid, point.snp_idx AS pos FROM span JOIN point
 def read_snp_overlap(spark, sf_dir):
     own = _reads(spark, sf_dir)
     spans = reads.read_spans(own).select("chrom", "rid", F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
-    points = own.filter(F.col("snp_idx") % 3 == 0).select("chrom", F.col("snp_idx").alias("pos")).distinct()
+    points = own.select("chrom", F.col("snp_idx").alias("pos")).distinct()
     return reads.bin_overlap(spans, points, 64).select("chrom", "rid", "pos")
 
 
@@ -389,7 +389,7 @@ def snp_index(spark, sf_dir):
 SELECT q.chrom, q.point, coalesce((SELECT min(v.snp_idx) FROM v WHERE v.chrom = q.chrom AND v.pos >= q.point), -1) AS snp_idx FROM q""")
 def snp_lower_bound(spark, sf_dir):
     own = _reads(spark, sf_dir).select("chrom", "snp_idx").distinct()
-    return cut.snp_lower_bound(own.select("chrom", (F.col("snp_idx") * 10 + 3).alias("point")), own.filter("snp_idx % 7 = 0").select("chrom", (F.col("snp_idx") * 10).alias("pos"), "snp_idx"))
+    return cut.snp_lower_bound(own.select("chrom", (F.col("snp_idx") * 10 + 3).alias("point")), own.select("chrom", (F.col("snp_idx") * 10).alias("pos"), "snp_idx"))
 
 
 @_query(_with(_graph_sql(2)) + " SELECT chrom, s, w, s * 4 + w AS node, (w * 2) & 3 AS next_0, (w * 2 + 1) & 3 AS next_1, w // 2 AS previous_0, (4 + w) // 2 AS previous_1, 3 - w AS complement FROM node")
