@@ -2,12 +2,16 @@
 
 Texts are cut into sentences, these are normalised (lower case, words separated
 by one space), and those that a licence is known to use become identifiers. A
+sentence may be one line or wrapped over several, with comment marks; a known
+one that begins and ends with lines counts wherever lines alone separate its words. A
 document's sequence of identifiers is matched against rules: sequences that
 state a licence. All of it is built from DataFrame functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,13 +101,29 @@ RULES = (
     ("spdx-bsd3", "BSD-3-Clause", ("spdx-bsd3",)),
 )
 SENTENCE_END = r"[.!?]+([ \t\n\r\f]+|\z)"
+#: A full stop that ends no sentence: the one of 'v. 2.0'.
+VERSION = r"(?<![\p{L}\p{N}])v\.[^\p{L}\p{N}.!?]+(?=\p{N})"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text; a line's end ends a sentence too."""
-    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END, "\n")
-    return F.transform(F.split(F.regexp_replace(lines, NOT_WORD, " "), "\n"), lambda s: F.trim(s))
+def lines(text: Column) -> Column:
+    """The normalised lines of a text: one line end where a line ends, two where a sentence or paragraph does."""
+    lower = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), VERSION, "v ")
+    ended = F.regexp_replace(F.regexp_replace(lower, SENTENCE_END, "\n\n"), NOT_WORD, " ")
+    return F.regexp_replace(F.regexp_replace(ended, " ?\n[ \n]*\n ?", "\n\n"), " ?(?<!\n)\n(?!\n) ?", "\n")
+
+
+def sentences(text: Column, known: Iterable[str]) -> Column:
+    """The known sentences of a text in their order, each as long as it can be.
+
+    They begin and end with a line and hold no end of a sentence; a paragraph
+    may end before an address.
+    """
+    longest = sorted(known, key=lambda s: (-len(s), s))
+    gap, before = r"[ \n]", r"(?: |\n{1,2})"
+    made = "|".join(gap.join(s.split()).replace(gap + "http", before + "http") for s in longest)
+    found = F.regexp_extract_all(F.trim(lines(text)), F.lit(rf"(?<![^\n])(?:{made})(?![^\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.regexp_replace(s, r"\n+", " "))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules: tuple = RULES, carry: bool = False) -> DataFrame:
@@ -118,7 +138,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: d
     by_text = F.create_map(*[F.lit(x) for name, text in known.items() for x in (text, name)])
     made = ("n_known", "sentence_ids", "rules", "licenses", "_known", "_matched")
     kept = [c for c in df.columns if c.lower() not in made and (carry or c == id_col)]
-    found = F.filter(sentences(F.col(f"`{text_col}`")), lambda s: s.isin(*known.values()))
+    found = sentences(F.col(f"`{text_col}`"), known.values())
     table = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(license).alias("license"), F.lit(f",{','.join(ids)},").alias("ids")) for rule, license, ids in rules])
     out = df.select(*[F.col(f"`{c}`") for c in kept], F.transform(found, lambda s: F.element_at(by_text, s)).alias("_known"))
     sequence = F.concat(F.lit(","), F.array_join("_known", ","), F.lit(","))

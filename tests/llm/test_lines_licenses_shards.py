@@ -104,3 +104,98 @@ def test_shards_of_odd_rows(odd, empty):
 def test_digest_is_of_the_kept_lines(spark):
     one = op7_line_dedup.op7_line_dedup(spark, SF).join(op7_line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "kept_text"), "doc_id").first()
     assert one.kept_sha256 == hashlib.sha256(one.kept_text.encode()).hexdigest()
+
+
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause,BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+}
+
+
+def test_wrapped_notices(spark):
+    """Notices as they are published, plain and in comments, with either line end."""
+    rows = []
+    for name, text in WRAPPED.items():
+        marked = [("", ""), ("# ", ""), (" * ", ""), ("// ", "\r"), ("    ", "\r")]
+        rows += [(name, "\n".join((a + line).rstrip() + end for line in text.split("\n"))) for a, end in marked]
+        rows.append((name, "/*\n" + "\n".join(" * " + line for line in text.split("\n")) + "\n */\nint main() {}\n"))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, want string, text string")
+    for r in op6_licenses.scan(df, carry=True).collect():
+        assert r.licenses == r.want, (r.text, r.sentence_ids)
+
+
+def test_joined_lines_count_once(spark):
+    cases = {
+        "Licensed under\nthe MIT License": "mit-ref-2",
+        "Foo\nLicensed under the MIT License\nAll rights reserved\nbar": "mit-ref-2,reserved",
+        "Licensed under the\n\nMIT License": "",
+        "Licensed under. The MIT License": "",
+        "x Licensed under\nthe MIT License": "",
+        "All rights\nreserved y": "",
+        " * SPDX-License-Identifier:\n * MIT": "spdx-mit",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.sentence_ids for r in op6_licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_wrapped_sentences_change_nothing_of_the_tables(spark):
+    """All that single lines hold stays, also on larger tables."""
+    sf = "/root/testdata/sf0.01"
+    assert by_id(rows(op6_licenses.op6_licenses(spark, sf))) == by_id(oracle(op6_licenses.OP6_SQL, sf))
