@@ -3,7 +3,7 @@
 Equal sets are one class; everything below is about classes. Shingles are
 ordered by their frequency over all classes, the rare ones first. Two sets that
 reach the threshold share at least l shingles within the first
-n - overlap + l of each, whatever l is. Documents take l = 1 unless the
+n - overlap + l of each, or all of their least overlap if l is more. Documents take l = 1 unless the
 estimated cost of their candidates falls with a longer prefix, which asks for
 correspondingly more shared shingles before a pair is verified.
 
@@ -275,7 +275,8 @@ class _Pairs:
                 if len(x):
                     x = x + rows.start
                     s, t = g["sig"][x], g["sig"][y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(np.minimum(length[x], length[y]))], names=["a", "b", "need"])
+                    need = np.minimum(np.minimum(length[x], length[y]), overlap(g["n"][x], g["n"][y], self.percent))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(need)], names=["a", "b", "need"])
 
 
 def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:

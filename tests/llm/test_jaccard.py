@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandloom.llm import op4_jaccard as jaccard
@@ -78,3 +79,27 @@ def test_pairs_keep_all_that_reach_the_threshold():
             for k in jaccard.LENGTHS:
                 if k <= common:
                     assert len(np.intersect1d(a[: n - need + k], b[: m - need + k])) >= k
+
+
+def test_pairs_need_no_more_than_their_overlap():
+    """Sets of 4 and 3 shingles that share 3 reach 70 % with a lengthening of 4, which asks for more than they have."""
+    search = jaccard._Pairs(70)
+    rows = [(token, sig, sig, n, pos, 0, 0, 0, 4) for token in (1, 2, 3) for sig, n, pos in ((10, 4, token), (11, 3, token - 1))]
+    names = ["token", "sig", "label", "n", "pos", "block", "one", "other", "length"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+    found = [r for b in search.pairs(iter([batch])) for r in b.to_pylist()]
+    assert found == 3 * [{"a": 10, "b": 11, "need": 3}]
+
+
+def test_lengthened_prefixes_of_all_sizes():
+    rng = np.random.default_rng(2)
+    for _ in range(600):
+        n, m = rng.integers(1, 12, 2)
+        pool = rng.permutation(14)
+        a, b = np.sort(rng.choice(pool, n, False)), np.sort(rng.choice(pool, m, False))
+        common = len(np.intersect1d(a, b))
+        for percent in (50, 70, 85):
+            if 100 * common >= percent * (n + m - common):
+                need = jaccard.overlap(int(n), int(m), percent)
+                for k in jaccard.LENGTHS:
+                    assert len(np.intersect1d(a[: n - need + k], b[: m - need + k])) >= min(k, need)
