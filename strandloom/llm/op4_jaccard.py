@@ -293,6 +293,34 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "token", "one", "other").sortWithinPartitions("token", "one", "other")
 
 
+def _search(entries: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
+    """All (a, b) of classes with different labels that reach the threshold; classes without a label have their own."""
+    across = written(_across(_postings(entries, percent, LENGTHS[-1]), labels))
+    search = _Pairs(percent)
+    shape = "sig long, " + ", ".join(f"e{k} long" for k in LENGTHS)
+    costs = _dealt(across, parts).mapInArrow(search.costs, shape).groupBy("sig").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in LENGTHS])
+    cheapest = F.array_min(F.array(*[F.struct((F.col(f"e{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).cast("long").alias("length")) for k in LENGTHS]))["length"]
+    chosen = across.join(costs.select("sig", cheapest.alias("length")), "sig")
+    found = _dealt(chosen, parts).mapInArrow(search.pairs, "a long, b long, need long")
+    pairs = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("need").alias("need")).filter("common >= need")
+    return _verified(pairs, entries, percent)
+
+
+def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself, as (members, pairs): each row's id and class, and the two classes of each link, once.
+
+    Rows link if they are of the same class or if their classes are a pair, by
+    the rule of link_components. Rows that link with nothing by it, with a null
+    id or without words, are in no class.
+    """
+    parts = min(1 << 15, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    with_id = df.filter(F.col(f"`{id_col}`").isNotNull())
+    members = _classes(with_id, id_col, text_col, n).filter("n > 0").select(F.col("id").alias(id_col), F.col("sig").alias("class"))
+    entries = written(_entries(_shared(_sent(with_id, text_col, n, parts), parts), percent))
+    alone = entries.select("sig", F.col("sig").alias("label"))
+    return members, _search(entries, alone, percent, parts)
+
+
 def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row n_shingles and component_id: the least id that it reaches over links.
 
@@ -325,15 +353,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(links)
 
     # All pairs of different components.
-    across = written(_across(_postings(entries, percent, LENGTHS[-1]), labels))
-    search = _Pairs(percent)
-    shape = "sig long, " + ", ".join(f"e{k} long" for k in LENGTHS)
-    costs = _dealt(across, parts).mapInArrow(search.costs, shape).groupBy("sig").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in LENGTHS])
-    cheapest = F.array_min(F.array(*[F.struct((F.col(f"e{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).cast("long").alias("length")) for k in LENGTHS]))["length"]
-    chosen = across.join(costs.select("sig", cheapest.alias("length")), "sig")
-    found = _dealt(chosen, parts).mapInArrow(search.pairs, "a long, b long, need long")
-    pairs = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("need").alias("need")).filter("common >= need")
-    more = written(_verified(pairs, entries, percent))
+    more = written(_search(entries, labels, percent, parts))
     if not more.isEmpty():
         labels = components(links.union(more))
 

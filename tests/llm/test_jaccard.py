@@ -103,3 +103,22 @@ def test_lengthened_prefixes_of_all_sizes():
                 need = jaccard.overlap(int(n), int(m), percent)
                 for k in jaccard.LENGTHS:
                     assert len(np.intersect1d(a[: n - need + k], b[: m - need + k])) >= min(k, need)
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (1, 70)])
+def test_links_are_all_pairs(spark, n, percent):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice([base[:4], base[:3], base[1:4], base[10:24], [*base[10:23], "y"], [*base[10:23], f"x{k}"], base[10:22], base[8:39], [*base[8:39], f"x{k}"]]))) for k in range(60)]
+    rows += [(100, None), (101, ""), (None, " ".join(base[:4]))]
+    members, pairs = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"), n=n, percent=percent)
+    of = {r.doc_id: r["class"] for r in members.collect()}
+    found = [(r.a, r.b) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and all(a < b for a, b in found) and len(of) == 60
+    sets = {k: {tuple(w[a : a + n]) for a in range(max(1, len(w) - n + 1))} for k, t in rows if k is not None and (w := (t or "").split())}
+    for i in of:
+        for j in of:
+            both = len(sets[i] & sets[j])
+            want = 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+            assert want == (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in set(found))
+    assert found
