@@ -214,5 +214,6 @@ def matrix_view(reads: DataFrame) -> DataFrame:
 def snp_lower_bound(points: DataFrame, variants: DataFrame) -> DataFrame:
     """(chrom, point, snp_idx): for each point the first variant at or behind it, -1 without one. variants: (chrom, pos, snp_idx)."""
     rows = points.select("chrom", F.col("point").alias("at"), F.lit(0).alias("is_variant"), F.lit(None).cast("long").alias("snp_idx")).union(variants.select("chrom", F.col("pos").alias("at"), F.lit(1).alias("is_variant"), "snp_idx"))
-    ahead = W.partitionBy("chrom").orderBy("at", "is_variant", "snp_idx").rowsBetween(0, W.unboundedFollowing)
-    return rows.withColumn("found", F.first("snp_idx", True).over(ahead)).filter("is_variant = 0").select("chrom", F.col("at").alias("point"), F.coalesce("found", F.lit(-1).cast("long")).alias("snp_idx"))
+    # From the last to the first: a frame that grows is carried along, one that shrinks is read anew for each row.
+    ahead = W.partitionBy("chrom").orderBy(F.desc("at"), F.desc("is_variant"), F.desc("snp_idx")).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("found", F.last("snp_idx", True).over(ahead)).filter("is_variant = 0").select("chrom", F.col("at").alias("point"), F.coalesce("found", F.lit(-1).cast("long")).alias("snp_idx"))
