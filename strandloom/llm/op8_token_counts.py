@@ -6,7 +6,9 @@ byte i has one last token: the one that ends there and is compatible with the
 last token of the prefix before it. Going through a word once from left to
 right gives the count at every prefix; words are kept with their tables, and
 a text's counts are running sums over its words. Questions about budgets and
-truncation read these tables and encode nothing again.
+truncation read these tables. Only where the end of a prefix changes how the
+text splits into words (within a run of white space, a contraction or a special
+token) are the few words there looked up under their new split.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import bisect
 import functools
 import itertools
 import json
+from array import array
 from collections import defaultdict
+from collections.abc import Sequence
 
 import public_tokenizers
 import pyarrow as pa
@@ -29,8 +33,10 @@ from .op1_bpe import byte_characters
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Words whose tables a task keeps; all are dropped when there are more.
-KEPT_WORDS = 1_000_000
+#: Bytes of words and tables that a task keeps, about; all are dropped when there are more. A longer word than KEPT_WORD is not kept.
+KEPT_BYTES, KEPT_WORD, ENTRY_BYTES = 160 << 20, 4096, 160
+#: Pairs of tokens of which is known whether they can follow each other; all are forgotten when there are more.
+KEPT_PAIRS = 1_000_000
 #: Below U+0558 and in general punctuation both pattern engines agree on classes; other texts are split by the tokenizers library itself.
 UNSURE = regex.compile("[^\\x00-՗‐-›€]")
 BLANK = regex.compile(r"\s+").fullmatch
@@ -67,7 +73,9 @@ class PrefixCounter:
         #: Tokens that the merges can make; the others never end a prefix.
         self.alone: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, list[int] | None]] = {}
+        #: Each word's table: the count at every character, from 0 to the word's length.
+        self.words: dict[str, Sequence[int]] = {t: [0, *[1] * len(t)] for t in special}
+        self.kept = 0
 
     def _is(self, data: bytes, ids: list[int]) -> bool:
         chars = byte_characters()
@@ -80,23 +88,27 @@ class PrefixCounter:
 
     def _fits(self, left: int, right: int) -> bool:
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._is(self.bytes_of[left] + self.bytes_of[right], [left, right])
         return known
 
     def table(self, word: bytes) -> list[int]:
-        """The count at every prefix of a word, from the empty one to the whole."""
-        last, count, ids, pairs = [-1], [0], self.ids, self.pairs
+        """The count at every byte of a word, from 0 to its length."""
+        last, count, ids, pairs, lengths = [-1], [0], self.ids, self.pairs, self.lengths
         for end in range(1, len(word) + 1):
             found = -1
             for tail in ((word[end - 2 : end], word[end - 1 : end]) if end > 1 else (word[:1],)):
-                for n in self.lengths.get(tail, ()):
+                for n in lengths.get(tail, ()):
                     start = end - n
                     if start < 0 or (token := ids.get(word[start:end], -1)) < 0:
                         continue
                     before = last[start]
-                    if self._whole(token) if before < 0 else self._fits(before, token) and self._whole(token):
+                    if before >= 0:
+                        fits = pairs.get((before, token))
+                        if not (self._fits(before, token) if fits is None else fits):
+                            continue
+                    if self._whole(token):
                         found = token
                         break
                 if found >= 0:
@@ -105,13 +117,26 @@ class PrefixCounter:
             count.append(count[start] + 1)
         return count
 
+    def stored(self, word: str) -> Sequence[int]:
+        """The table of a word at its characters."""
+        if (known := self.words.get(word)) is not None:
+            return known
+        data = word.encode()
+        counts = self.table(data)
+        if len(data) > len(word):
+            counts = [n for n, b in zip(counts, data + b"a") if b & 0xC0 != 0x80]
+        known = bytes(counts) if len(data) < 256 else array("I", counts)
+        if len(word) <= KEPT_WORD:
+            self.kept += ENTRY_BYTES + 2 * len(data)
+            if self.kept > KEPT_BYTES:
+                self.words = {t: [0, *[1] * len(t)] for t in self.specials}
+                self.kept = ENTRY_BYTES + 2 * len(data)
+            self.words[word] = known
+        return known
+
     def size(self, word: str) -> int:
         """The tokens of a word."""
-        if (n := self.words.get(word)) is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            n = self.words[word] = 1 if word in self.specials else self.table(word.encode())[-1]
-        return n
+        return self.stored(word)[-1]
 
     def split_words(self, text: str) -> list[str]:
         """The words that are encoded one by one; special tokens are words of their own."""
@@ -127,34 +152,33 @@ class PrefixCounter:
 
     def counts(self, words: list[str]) -> list[int]:
         """The tokens of each word."""
-        got = list(map(self.words.get, words))
-        return [self.size(w) if n is None else n for w, n in zip(words, got)] if None in got else got
-
-    def _inside(self, words: list[str], k: int, n: int) -> int:
-        """Tokens that the first n characters of word k add to, or put in place of, those of the words before it."""
-        word, part = words[k], words[k][:n]
-        if n == len(word):
-            joined = BLANK(word) and k and BLANK(words[k - 1])
-            if not joined:
-                return self.size(word)
-        if word in self.specials:  # not special yet, and so it joins the word before it
-            joined = words[k - 1] if k and words[k - 1] not in self.specials else ""
-            return sum(self.counts(self.split_words(joined + part))) - (self.size(joined) if joined else 0)
-        if BLANK(part) and k and BLANK(words[k - 1]):  # a run of white space at the end is one word
-            run, j = part, k
+        known = self.words
+        return [known[w][-1] if w in known else self.stored(w)[-1] for w in words]
+
+    def _inside(self, words: list[str], k: int) -> list[int]:
+        """For n from 1 to the length of word k: tokens that its first n characters add to, or put in place of, those of the words before it."""
+        word, before = words[k], words[k - 1] if k else ""
+        if word in self.specials:  # not special until its end, and so it joins the word before it
+            joined = before if before not in self.specials else ""
+            base = self.size(joined) if joined else 0
+            return [sum(self.counts(self.split_words(joined + word[:n]))) - base for n in range(1, len(word))] + [1]
+        inside = list(self.stored(word))[1:]
+        if before and BLANK(before) and word[0].isspace():  # a run of white space at the end is one word
+            j = k
             while j and BLANK(words[j - 1]):
                 j -= 1
-                run = words[j] + run
-            return self.size(run) - sum(self.size(words[i]) for i in range(j, k))
-        if word[0] == "'" and word[1:2].isalpha() and n < len(word):  # half a contraction is two words
-            return n
-        return self.table(part.encode())[-1]
+            run, base = "".join(words[j:k]), sum(self.counts(words[j:k]))
+            blank = next((n for n, c in enumerate(word) if not BLANK(c)), len(word))
+            inside[:blank] = [n - base for n in self.stored(run + word[:blank])[len(run) + 1 :]]
+        elif word[0] == "'" and word[1:2].isalpha():  # half a contraction is two words
+            inside[: len(word) - 1] = range(1, len(word))
+        return inside
 
     def prefix_table(self, text: str) -> list[int]:
         """The exact token count of text[:n], for n from 0 to the text's length."""
         words, out, before = self.split_words(text), [0], 0
         for k, word in enumerate(words):
-            out += [before + self._inside(words, k, n) for n in range(1, len(word) + 1)]
+            out += [before + n for n in self._inside(words, k)]
             before += self.size(word)
         return out
 
@@ -165,8 +189,9 @@ class PrefixCounter:
         length = sum(map(len, words[:k]))
         if k == len(words):
             return length
-        before = sums[k - 1] if k else 0
-        return length + max((n for n in range(1, len(words[k])) if before + self._inside(words, k, n) <= limit), default=0)
+        room = limit - (sums[k - 1] if k else 0)
+        inside = self._inside(words, k)
+        return length + next((n for n in range(len(inside) - 1, 0, -1) if inside[n - 1] <= room), 0)
 
 
 @functools.cache

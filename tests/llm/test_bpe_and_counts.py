@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -76,6 +78,32 @@ def test_count_at_every_prefix():
             assert want[counter.fit(words, counter.counts(words), limit)] <= limit
 
 
+def test_long_words_take_linear_time():
+    """A word of 100,000 letters, bytes of a base64 run, blanks: each prefix is counted once."""
+    counter = op8_token_counts.counter(public_tokenizers.path(op8_token_counts.MODEL))
+    library = Tokenizer.from_file(public_tokenizers.path(op8_token_counts.MODEL))
+    rng = random.Random(7)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    for text in (letters, base64.b64encode(rng.randbytes(75_000)).decode(), " " * 100_000 + "x", "é" * 100_000):
+        began = time.perf_counter()
+        words = counter.split_words(text)
+        counts = counter.counts(words)
+        fits = counter.fit(words, counts, 1024)
+        assert time.perf_counter() - began < 10
+        assert sum(counts) == len(library.encode(text, add_special_tokens=False).ids)
+        assert len(library.encode(text[:fits], add_special_tokens=False).ids) <= 1024 < len(library.encode(text[: fits + 1], add_special_tokens=False).ids)
+
+
+def test_forgotten_words_change_nothing(monkeypatch):
+    path = public_tokenizers.path(op8_token_counts.MODEL)
+    some = texts(200, seed=4)
+    fresh, tight = op8_token_counts.PrefixCounter(path), op8_token_counts.PrefixCounter(path)
+    want = [fresh.prefix_table(t) for t in some]
+    monkeypatch.setattr(op8_token_counts, "KEPT_BYTES", 2000)
+    monkeypatch.setattr(op8_token_counts, "KEPT_PAIRS", 10)
+    assert [tight.prefix_table(t) for t in some] == want and tight.kept <= 2000
+
+
 def test_token_counts(odd, empty):
     library = Tokenizer.from_file(public_tokenizers.path(op8_token_counts.MODEL))
     text = {r.doc_id: r.text or "" for r in odd.collect()}
