@@ -19,6 +19,29 @@ def test_family_comes_first(spark):
     assert {f: c.classes for f, c in model.languages.items()} == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
 
 
+def test_all_languages_are_learned(spark):
+    """However many there are, and although only the winning family's machines are asked."""
+    rng = np.random.default_rng(2)
+    names = ["en", "de", "fr", *(f"x{k}" for k in range(17))]
+    alphabet = {lang: rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, False) for lang in names}
+    text = lambda lang: " ".join("".join(rng.choice(alphabet[lang], rng.integers(2, 7))) for _ in range(30))
+    rows = [(20 * k + j, text(lang), lang) for k in range(30) for j, lang in enumerate(names)]
+    df = spark.createDataFrame([*rows, *rows[:40], (None, None, None)], "doc_id long, text string, lang string")
+    model = op2_language.fit(df, "doc_id", "text", "lang", per_language=20)
+    assert sorted(c for choice in model.languages.values() for c in choice.classes) == sorted(names)
+    fresh = [text(lang) for lang in names for _ in range(5)]
+    got, scores, typical = model.predict(fresh)
+    assert np.mean([g == lang for g, lang in zip(got, [x for x in names for _ in range(5)])]) > 0.95
+    for k, t in enumerate(fresh):  # a text is scored alone as it is among others, and as all machines together say
+        assert model.predict([t]) == ([got[k]], [scores[k]], [typical[k]])
+        codes, start, end = op2_language.ngrams([t])
+        sums = np.array([[sum(model.weights[c[start[0] : end[0]], m].astype(float).sum() for c in codes) * op2_language.SCALE / (end[0] - start[0]) for m in range(model.weights.shape[1])]])
+        family = model.families.probabilities(sums)[0]
+        own = model.languages[model.families.classes[family.argmax()]]
+        within = own.probabilities(sums)[0]
+        assert (own.classes[within.argmax()], round(family.max() * within.max(), 4)) == (got[k], round(scores[k], 4))
+
+
 def test_languages_of_odd_rows(odd, empty):
     model = op2_language.fit(odd, "doc_id", "text", "lang")
     got = op2_language.predict(odd, model).collect()
