@@ -1,10 +1,11 @@
 """Joining documents whose sets of word n-grams are alike, with adaptive multi-match prefixes.
 
-Equal sets are one class; everything below is about classes. Shingles are
-ordered by their frequency over all classes, the rare ones first. Two sets that
-reach the threshold share at least l shingles within the first
-n - overlap + l of each, or all of their least overlap if l is more. Documents take l = 1 unless the
-estimated cost of their candidates falls with a longer prefix, which asks for
+Equal sets are one class, known by a signature of 128 bits; everything below is
+about classes. Shingles are ordered by their frequency over all classes, the
+rare ones first. Two sets that reach the threshold share at least l shingles
+within the first n - overlap + l of each, or all of their least overlap if l is
+more. Each document takes the l for which its candidates cost least, as
+estimated from the frequencies of its prefix's shingles, which asks for
 correspondingly more shared shingles before a pair is verified.
 
 Only components are wanted, so shingles first link each class to the most
@@ -15,6 +16,7 @@ all of those are searched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,13 @@ LENGTHS = (1, 2, 4)
 VERIFY = 20
 #: Shingles that a task gathers before it sends them out; classes of one block.
 FLUSH, BLOCK = 1 << 20, 2048
-LOW48 = np.uint64((1 << 48) - 1)
+#: Shingles that one range is meant to get: more of them make more ranges.
+RANGE = 2 << 20
+#: One in SAMPLE classes also says its shingles beforehand. Those that seem to stand in more than HOT classes are not
+#: counted in one place: the estimate is their frequency. It only orders shingles, so that results don't hang on it.
+SAMPLE, HOT = 64, 1 << 15
+#: Signatures that a task remembers, so as to send the shingles of copies once.
+SEEN = 1 << 18
 
 
 def sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +59,22 @@ def sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return found, begin
 
 
-def signatures(found: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 of the empty one."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(0x51)), dtype=np.uint64)])
+def signatures(found: np.ndarray, begin: np.ndarray, twice: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; both are 0 of the empty one.
+
+    The first one names a class. Names in `twice` (sorted) are those of several
+    classes: there, both hashes make the name. bits: of the first hash.
+    """
     n = np.diff(begin).astype(np.uint64)
-    return np.where(n > 0, mix(sums[begin[1:]] - sums[begin[:-1]] + n) | np.uint64(1), np.uint64(0)).view(np.int64)
+    both = []
+    for salt in (np.uint64(0x51), np.uint64(0xA7)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + salt), dtype=np.uint64)])
+        both.append(np.where(n > 0, mix(sums[begin[1:]] - sums[begin[:-1]] + n * (salt | np.uint64(1))), np.uint64(0)))
+    one, other = both[0] >> np.uint64(64 - bits), both[1]
+    if len(twice):
+        at = np.minimum(np.searchsorted(twice, one.view(np.int64)), len(twice) - 1)
+        one = np.where((twice[at] == one.view(np.int64)) & (n > 0), mix(one + mix(other)), one)
+    return one.view(np.int64), other.view(np.int64)
 
 
 def overlap(n, m, percent: int):
@@ -68,48 +87,106 @@ def least_overlap(n, percent: int):
     return overlap(n, -(-(percent * n) // 100), percent)
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, n, sig) of every row."""
-    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("sig", T.LongType())])
+def _rows(df: DataFrame, id_col: str, text_col: str, n: int, twice: np.ndarray, bits: int) -> DataFrame:
+    """(id, n, sig, other, some) of every row; some: the shingles of one class in SAMPLE."""
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("n", "sig", "other")], T.StructField("some", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        found, begin = sets(batch.column(text_col).to_pylist(), n)
-        return {"n": pa.array(np.diff(begin)), "sig": pa.array(signatures(found, begin))}
-
-    return map_texts(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias(text_col)), ["id", text_col], schema, run, text_col)
-
-
-def _sent(df: DataFrame, text_col: str, n: int, parts: int) -> DataFrame:
-    """Shingles dealt out over `parts` ranges: for each, lists of classes (signature, size, how many follow) and their shingles."""
-    schema = "part int, sigs binary, sizes binary, counts binary, low binary, high binary"
+        found, begin = sets(batch.column("text").to_pylist(), n)
+        sig, other = signatures(found, begin, twice, bits)
+        some = [found[a:b].tobytes() if o % SAMPLE == 0 else None for a, b, o in zip(begin, begin[1:], other.tolist())]
+        return {"n": pa.array(np.diff(begin)), "sig": pa.array(sig), "other": pa.array(other), "some": pa.array(some, pa.binary())}
+
+    return map_texts(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), ["id", "text"], schema, run, "text")
+
+
+class _Classes:
+    """The rows' sets, and what is known of the classes before their shingles are compared."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, bits: int = 64):
+        #: Names of several classes, by chance or (with few bits) by design: some hundred among 1e11 classes.
+        self.twice, self.bits = np.zeros(0, np.int64), bits
+        for _ in range(3):
+            self.rows = written(_rows(df, id_col, text_col, n, self.twice, bits))
+            filled = self.rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
+            #: (sig, id): each class with its least id, and whether it is more than one.
+            self.table = written(filled.groupBy("sig").agg(F.min("id").alias("id"), F.max("n").alias("n"), (F.min("other") < F.max("other")).alias("several")))
+            more = np.array([r[0] for r in self.table.filter("several").select("sig").collect()], np.int64)
+            if not len(more):
+                break
+            self.twice = np.union1d(self.twice, more)
+        else:
+            raise RuntimeError(f"sets that differ have equal signatures: {more[:5]}")
+        spark = df.sparkSession
+        total = self.table.agg(F.sum("n")).first()[0] or 0
+        at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: Ranges are grouped one after the other; a task has about four where there are many.
+        self.parts = max(at_least, -(-total // RANGE))
+        self.tasks = max(at_least, -(-self.parts // 4))
+        said = self.rows.filter(F.col("some").isNotNull() & (F.col("n") > 0)).select("sig", "some").dropDuplicates(["sig"])
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(some, np.int64))], names=["token"])
+
+        often = said.select("some").mapInArrow(tokens, "token long").groupBy("token").count().filter(F.col("count") * SAMPLE > HOT)
+        # At most total / HOT tokens; the hottest 2**18 of them are set apart.
+        hot = sorted((r[0], r[1] * SAMPLE) for r in often.orderBy(F.desc("count"), "token").limit(1 << 18).collect())
+        self.hot = np.array([t for t, _ in hot], np.int64).view(np.uint64), np.array([c for _, c in hot], np.uint32)
+        order = np.argsort(self.hot[0])
+        self.hot = self.hot[0][order], self.hot[1][order]
+
+
+def _hot(found: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are hot, and their estimated frequency."""
+    if not len(hot[0]):
+        return np.zeros(len(found), bool), np.zeros(len(found), np.uint32)
+    at = np.minimum(np.searchsorted(hot[0], found), len(hot[0]) - 1)
+    return hot[0][at] == found, hot[1][at]
+
+
+def _sent(df: DataFrame, text_col: str, n: int, classes: _Classes) -> DataFrame:
+    """Shingles dealt out over ranges, hot ones by their class: for each range, lists of classes (signature, size, how many follow) and their shingles."""
+    schema = "part int, sigs binary, sizes binary, counts binary, keys binary"
+    parts, twice, bits = classes.parts, classes.twice, classes.bits
+    shared = df.sparkSession.sparkContext.broadcast(classes.hot)
 
     def send(chunk: list[tuple]) -> pa.RecordBatch:
         found = np.concatenate([c[0] for c in chunk])
         size = np.concatenate([c[1] for c in chunk])
         sig = np.concatenate([c[2] for c in chunk])
         of = np.repeat(np.arange(len(size)), size)
-        part = ((found >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
+        spread = np.where(_hot(found, shared.value)[0], mix(sig.view(np.uint64))[of], mix(found))
+        part = (spread % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         found, of, part = found[order], of[order], part[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1))
         rows = []
         for a, b in zip(edges, [*edges[1:], len(part)]):
-            own, count = np.unique(of[a:b], return_counts=True)
-            keys = found[a:b] & LOW48
-            rows.append((int(part[a]), sig[own].tobytes(), size[own].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (keys >> np.uint64(32)).astype(np.uint16).tobytes()))
-        columns = list(zip(*rows)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "sigs", "sizes", "counts", "low", "high"])
+            first = np.flatnonzero(np.diff(of[a:b], prepend=-1))
+            own = of[a:b][first]
+            rows.append((int(part[a]), sig[own].tobytes(), size[own].astype(np.uint32).tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), found[a:b].tobytes()))
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["part", "sigs", "sizes", "counts", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = [], 0
+        chunk, held, seen = [], 0, set()
         for batch in batches:
             texts, size, at = batch.column(0).to_pylist(), 0, 0
             for k, t in enumerate(texts):
                 size += len(t or "")
                 if size > SLICE_BYTES or k + 1 == len(texts):
                     found, begin = sets(texts[at : k + 1], n)
-                    chunk.append((found, np.diff(begin), signatures(found, begin)))
-                    held += len(found)
+                    sig, count = signatures(found, begin, twice, bits)[0], np.diff(begin)
+                    new = np.zeros(len(sig), bool)
+                    new[np.unique(sig, return_index=True)[1]] = True
+                    new &= np.array([s not in seen for s in sig.tolist()], bool) & (count > 0)
+                    if len(seen) > SEEN:
+                        seen.clear()
+                    seen.update(sig[new].tolist())
+                    chunk.append((found[np.repeat(new, count)], count[new], sig[new]))
+                    held += int(count[new].sum())
                     size, at = 0, k + 1
                 if held > FLUSH:
                     yield send(chunk)
@@ -117,21 +194,21 @@ def _sent(df: DataFrame, text_col: str, n: int, parts: int) -> DataFrame:
         if held:
             yield send(chunk)
 
-    return df.select(f"`{text_col}`").mapInArrow(run, schema)
+    return df.select(F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def _bytes(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _shared(sent: DataFrame, parts: int) -> DataFrame:
+def _shared(sent: DataFrame, classes: _Classes) -> DataFrame:
     """Of each range the shingles that at least two classes hold, with that number, dealt out by class."""
-    schema = "bucket int, part int, sigs binary, sizes binary, counts binary, keys binary, df binary"
+    schema = "bucket int, sigs binary, sizes binary, counts binary, keys binary, df binary"
+    parts = classes.parts
+    shared = sent.sparkSession.sparkContext.broadcast(classes.hot)
 
     def count(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        sig, size, held = _bytes(table, "sigs", np.int64), _bytes(table, "sizes", np.uint32), _bytes(table, "counts", np.uint32)
-        key = (_bytes(table, "high", np.uint16).astype(np.uint64) << np.uint64(32)) | _bytes(table, "low", np.uint32)
+        sig, size, held, key = _bytes(table, "sigs", np.int64), _bytes(table, "sizes", np.uint32), _bytes(table, "counts", np.uint32), _bytes(table, "keys", np.uint64)
         once = np.zeros(len(sig), bool)
         once[np.unique(sig, return_index=True)[1]] = True  # a class counts once, however many copies it has
         key, of = key[np.repeat(once, held)], np.repeat(np.arange(len(sig)), np.where(once, held, 0))
@@ -139,6 +216,8 @@ def _shared(sent: DataFrame, parts: int) -> DataFrame:
         start = np.flatnonzero(np.diff(key[order], prepend=key[order][:1] + np.uint64(1)) != 0)
         df = np.empty(len(key), np.uint32)
         df[order] = np.repeat(np.diff(start, append=len(key)), np.diff(start, append=len(key)))
+        hot, estimate = _hot(key, shared.value)
+        df = np.where(hot, estimate, df)
         key, of, df = key[df > 1], of[df > 1], df[df > 1]
         bucket = (mix(sig.view(np.uint64)) % np.uint64(parts)).astype(np.int64)[of]
         order = np.argsort(bucket, kind="stable")
@@ -148,43 +227,47 @@ def _shared(sent: DataFrame, parts: int) -> DataFrame:
         for a, b in zip(edges, [*edges[1:], len(bucket)]):
             first = np.flatnonzero(np.diff(of[a:b], prepend=-1))
             own = of[a:b][first]
-            rows.append((int(bucket[a]), part, sig[own].tobytes(), size[own].tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), key[a:b].tobytes(), df[a:b].tobytes()))
-        columns = list(zip(*rows)) or [[]] * 7
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=["bucket", "part", "sigs", "sizes", "counts", "keys", "df"])
+            rows.append((int(bucket[a]), sig[own].tobytes(), size[own].tobytes(), np.diff(first, append=b - a).astype(np.uint32).tobytes(), key[a:b].tobytes(), df[a:b].tobytes()))
+        columns = list(zip(*rows)) or [[]] * 6
+        return pa.table([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "sigs", "sizes", "counts", "keys", "df"])
 
-    return sent.groupBy("part").applyInArrow(count, schema)
+    return sent.repartition(classes.tasks, "part").groupBy("part").applyInArrow(count, schema)
 
 
-def _entries(shared: DataFrame, percent: int) -> DataFrame:
-    """Classes that can reach the threshold with any other: size n, shared shingles from rare to frequent, and how many shingles of their own (alone) come before."""
-    schema = "sig long, n long, alone long, tokens array<long>"
+def _entries(shared: DataFrame, classes: _Classes, percent: int) -> DataFrame:
+    """Classes that can reach the threshold with any other: size n, shared shingles from rare to frequent, how many of their own (alone) come before, and the lengthening that they take."""
+    schema = "sig long, n long, alone long, length long, tokens array<long>"
 
     def gather(table: pa.Table) -> pa.Table:
         sig, size, held = _bytes(table, "sigs", np.int64), _bytes(table, "sizes", np.uint32), _bytes(table, "counts", np.uint32)
-        key, df = _bytes(table, "keys", np.uint64), _bytes(table, "df", np.uint32)
-        per_row = [len(k) // 8 for k in table.column("keys").to_pylist()]
-        part = np.repeat(np.array(table.column("part").to_pylist(), np.uint64), per_row)
-        # A shingle is its range and 48 bits; the range's number is below 2**15.
-        token = ((part << np.uint64(48)) | key).view(np.int64) if len(key) else key.view(np.int64)
+        token, df = _bytes(table, "keys", np.int64), _bytes(table, "df", np.uint32)
         owner = np.repeat(sig, held)
         order = np.lexsort((token, df, owner))
-        token, owner = token[order], owner[order]
+        token, owner, df = token[order], owner[order], df[order]
         first = np.flatnonzero(np.diff(owner, prepend=owner[:1] ^ 1) != 0)
         count = np.diff(first, append=len(owner))
         sizes = dict(zip(sig.tolist(), size.tolist()))
         n = np.array([sizes[s] for s in owner[first].tolist()], np.int64)
-        can = count >= least_overlap(n, percent)
-        tokens = [token[a : a + c] for a, c in zip(first[can], count[can])]
-        return pa.table([pa.array(owner[first][can]), pa.array(n[can]), pa.array(n[can] - count[can]), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "alone", "tokens"])
-
-    return shared.groupBy("bucket").applyInArrow(gather, schema)
-
-
-def _postings(entries: DataFrame, percent: int, length: int) -> DataFrame:
-    """(token, sig, n, pos) of each class's prefix for the given lengthening."""
+        least = least_overlap(n, percent)
+        can = count >= least
+        first, count, n, least = first[can], count[can], n[can], least[can]
+        # Candidates that a prefix meets: the other classes that hold its shingles. Each has to be met `length` times to be verified.
+        met = np.concatenate([np.zeros(1, np.int64), np.cumsum(df.astype(np.int64) - 1)])
+        size = {k: np.clip(n - least + k - (n - count), 0, count) for k in LENGTHS}
+        cost = np.array([(met[first + size[k]] - met[first]) * (1 + VERIFY / k) for k in LENGTHS])
+        length = np.array(LENGTHS)[cost.argmin(0)] if len(n) else n
+        tokens = [token[a : a + c] for a, c in zip(first, count)]
+        return pa.table([pa.array(owner[first]), pa.array(n), pa.array(n - count), pa.array(length), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "alone", "length", "tokens"])
+
+    return shared.repartition(classes.tasks, "bucket").groupBy("bucket").applyInArrow(gather, schema)
+
+
+def _postings(entries: DataFrame, percent: int, length: Column) -> DataFrame:
+    """(token, sig, n, length, pos) of each class's prefix for its lengthening."""
     n = F.col("n")
     least = _ceil_div(percent * (n + _ceil_div(percent * n, 100)), percent + 100)
-    return entries.select("sig", "n", "alone", F.posexplode(F.slice("tokens", 1, (n - least + length - F.col("alone")).cast("int")))).select(F.col("col").alias("token"), "sig", "n", (F.col("alone") + F.col("pos")).alias("pos"))
+    own = entries.withColumn("length", length.cast("long"))
+    return own.select("sig", "n", "alone", "length", F.posexplode(F.slice("tokens", 1, (n - least + F.col("length") - F.col("alone")).cast("int")))).select(F.col("col").alias("token"), "sig", "n", "length", (F.col("alone") + F.col("pos")).alias("pos"))
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -192,7 +275,11 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 
 def _verified(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose sets reach the threshold. Shared shingles are all among the entries' tokens."""
+    """Those (a, b) whose sets reach the threshold. Shared shingles are all among the entries' tokens.
+
+    Each join has shuffled rows on both sides, so that a class that stands in
+    very many pairs is split by the adaptive plan.
+    """
     left = entries.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = entries.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -200,21 +287,24 @@ def _verified(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(sig, label) of every linked class: the least signature that it reaches.
+def components(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sig, label) of every linked class: the least (id, sig) that it reaches. ids: (sig, id) of each class.
 
     Each round takes the least label among neighbours and then that label's own
     label, so that chains shorten by half; it ends when no label changes.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    own = lambda name: ids.select(F.col("sig").alias(name), F.struct("id", "sig").alias(f"own_{name}"))
+    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+    edges = written(both.join(own("a"), "a").join(own("b"), "b"))
+    labels = written(edges.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("own_b"), F.min("own_a")).alias("label")))
+    edges = edges.select("a", "b")
     while True:
         near = edges.join(labels.withColumnRenamed("sig", "b"), "b").groupBy(F.col("a").alias("sig")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "sig").select("sig", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("sig").alias("low"), F.col("label").alias("lower"))
-        moved = written(lower.join(jump, "low", "left").select("sig", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
+        lower = labels.join(near, "sig").select("sig", "label", F.least("label", "near").alias("low")).withColumn("at", F.col("low.sig"))
+        jump = labels.select(F.col("sig").alias("at"), F.col("label").alias("lower"))
+        moved = written(lower.join(jump, "at", "left").select("sig", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
         labels = moved.select("sig", "label")
-        if moved.filter(F.col("old") != F.col("label")).isEmpty():
+        if moved.filter(F.col("old.sig") != F.col("label.sig")).isEmpty():
             return labels
 
 
@@ -224,8 +314,8 @@ class _Pairs:
     def __init__(self, percent: int):
         self.percent = percent
 
-    def masks(self, g: dict[str, np.ndarray], lengths):
-        """For rows of up to 256 classes: which of the classes before each in the group are its candidates, for each lengthening."""
+    def masks(self, g: dict[str, np.ndarray]):
+        """For rows of up to 256 classes: which of the classes before each in the group are its candidates."""
         size = len(g["n"])
         for a in range(0, size, 256):
             rows = slice(a, min(a + 256, size))
@@ -235,7 +325,8 @@ class _Pairs:
             able &= (g["one"][0] == g["other"][0]) | (g["block"][rows, None] != g["block"][None, :])
             least = overlap(n, m, self.percent)
             own, theirs = g["pos"][rows, None] - n + least, g["pos"][None, :] - m + least
-            yield rows, [able & (own < k(rows)) & (theirs < k(rows)) for k in lengths]
+            length = np.minimum(g["length"][rows, None], g["length"][None, :])
+            yield rows, able & (own < length) & (theirs < length)
 
     def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         """Rows of the same shingle and blocks stand together; a group is at most two blocks."""
@@ -255,22 +346,10 @@ class _Pairs:
         if held is not None and len(held["n"]) > 1:
             yield held
 
-    def costs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = [lambda rows, k=k: k for k in LENGTHS]
-        for g in self.groups(batches):
-            total = np.zeros((len(LENGTHS), len(g["n"])), np.int64)
-            for rows, masks in self.masks(g, fixed):
-                for t, m in zip(total, masks):
-                    t[rows] += m.sum(1)
-                    t += m.sum(0)
-            some = total.any(0)
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(g["sig"][some]), *[pa.array(t[some]) for t in total]], names=["sig", *[f"e{k}" for k in LENGTHS]])
-
     def pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in self.groups(batches):
             length = g["length"]
-            for rows, (mask,) in self.masks(g, [lambda rows: np.minimum(length[rows, None], length[None, :])]):
+            for rows, mask in self.masks(g):
                 x, y = np.nonzero(mask)
                 if len(x):
                     x = x + rows.start
@@ -279,33 +358,47 @@ class _Pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(need)], names=["a", "b", "need"])
 
 
-def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of shingles that stand in several components, in blocks: each two blocks of a shingle's classes meet once."""
-    marked = postings.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    several = marked.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = marked.join(several.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met")).select("token", "sig", "label", "n", "pos", "block", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("other"))
-    return rows
-
-
-def _dealt(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(parts, "token", "one", "other").sortWithinPartitions("token", "one", "other")
-
+def _across(postings: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Postings of shingles that stand in several components, each with the cells in which it meets others.
 
-def _search(entries: DataFrame, labels: DataFrame, percent: int, parts: int) -> DataFrame:
+    A shingle of up to BLOCK classes is one cell. More of them are dealt out by
+    bands of their size, since only neighbouring bands can reach the threshold,
+    and each band's in blocks: every two blocks of such bands meet in one cell.
+    """
+    marked = postings.withColumn("label", F.col("sig"))
+    if labels is not None:
+        marked = postings.join(labels.select("sig", F.col("label.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    # A little wider than the threshold, so that rounding can't put classes that reach it two bands apart.
+    marked = marked.withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.001)).cast("int"))
+    sizes = marked.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
+    blocks = F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    several = sizes.groupBy("token").agg(F.sum("size").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list(blocks).alias("bands")).filter("size > 1 AND least <> most")
+    cells = written(several.select("token", F.when(F.col("size") > BLOCK, F.map_from_entries("bands")).alias("bands")))
+    rows = marked.join(cells, "token")
+    code = lambda band, block: band.cast("long") * (1 << 32) + block
+    home = F.when(F.col("bands").isNull(), F.lit(0).cast("long")).otherwise(code(F.col("band"), F.pmod(F.xxhash64("sig"), F.element_at("bands", F.col("band")))))
+    others = F.flatten(F.transform(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce(F.try_element_at("bands", b), F.lit(0)), F.lit(1))), lambda j: F.when(F.try_element_at("bands", b).isNotNull(), code(b, j - 1)))))
+    met = F.when(F.col("bands").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_compact(others))
+    rows = rows.withColumn("block", home).withColumn("met", F.explode(met))
+    return rows.select("token", "sig", "label", "n", "length", "pos", "block", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("other"))
+
+
+def _search(entries: DataFrame, labels: DataFrame | None, percent: int, tasks: int) -> DataFrame:
     """All (a, b) of classes with different labels that reach the threshold; classes without a label have their own."""
-    across = written(_across(_postings(entries, percent, LENGTHS[-1]), labels))
-    search = _Pairs(percent)
-    shape = "sig long, " + ", ".join(f"e{k} long" for k in LENGTHS)
-    costs = _dealt(across, parts).mapInArrow(search.costs, shape).groupBy("sig").agg(*[F.sum(f"e{k}").alias(f"e{k}") for k in LENGTHS])
-    cheapest = F.array_min(F.array(*[F.struct((F.col(f"e{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).cast("long").alias("length")) for k in LENGTHS]))["length"]
-    chosen = across.join(costs.select("sig", cheapest.alias("length")), "sig")
-    found = _dealt(chosen, parts).mapInArrow(search.pairs, "a long, b long, need long")
+    across = _across(_postings(entries, percent, F.col("length")), labels, percent)
+    dealt = across.repartition(tasks, "token", "one", "other").sortWithinPartitions("token", "one", "other")
+    found = dealt.mapInArrow(_Pairs(percent).pairs, "a long, b long, need long")
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("need").alias("need")).filter("common >= need")
     return _verified(pairs, entries, percent)
 
 
+def _compared(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int) -> tuple[_Classes, DataFrame]:
+    """The classes, and those of them that share enough shingles with others."""
+    classes = _Classes(df, id_col, text_col, n, bits)
+    with_id = df.filter(F.col(f"`{id_col}`").isNotNull())
+    return classes, written(_entries(_shared(_sent(with_id, text_col, n, classes), classes), classes, percent))
+
+
 def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The join itself, as (members, pairs): each row's id and class, and the two classes of each link, once.
 
@@ -313,15 +406,12 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     the rule of link_components. Rows that link with nothing by it, with a null
     id or without words, are in no class.
     """
-    parts = min(1 << 15, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    with_id = df.filter(F.col(f"`{id_col}`").isNotNull())
-    members = _classes(with_id, id_col, text_col, n).filter("n > 0").select(F.col("id").alias(id_col), F.col("sig").alias("class"))
-    entries = written(_entries(_shared(_sent(with_id, text_col, n, parts), parts), percent))
-    alone = entries.select("sig", F.col("sig").alias("label"))
-    return members, _search(entries, alone, percent, parts)
+    classes, entries = _compared(df, id_col, text_col, n, percent, 64)
+    members = classes.rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).select(F.col("id").alias(id_col), F.col("sig").alias("class"))
+    return members, _search(entries, None, percent, classes.tasks)
 
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, signature_bits: int = 64) -> DataFrame:
     """Per row n_shingles and component_id: the least id that it reaches over links.
 
     Rows link when 100 * intersection >= percent * union of their sets of
@@ -329,38 +419,36 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     space; a text of fewer words has its whole sequence as its one shingle). A
     null text, or one without words, links with nothing. So does a row with a
     null id, whose component_id is null. Repeated rows link like other equal
-    texts; an empty table stays empty.
+    texts; an empty table stays empty. Fewer signature_bits only make more
+    signatures that stand for several classes, which are then told apart.
     """
-    spark = df.sparkSession
-    parts = min(1 << 15, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = written(_classes(df, id_col, text_col, n))
-    with_id = df.filter(F.col(f"`{id_col}`").isNotNull())
-    entries = written(_entries(_shared(_sent(with_id, text_col, n, parts), parts), percent))
+    classes, entries = _compared(df, id_col, text_col, n, percent, signature_bits)
+    ids = classes.table.select("sig", "id")
 
     # Each class with the class for which one of its prefix's shingles comes earliest.
-    first = _postings(entries, percent, LENGTHS[0])
+    first = _postings(entries, percent, F.lit(LENGTHS[0]))
     hubs = first.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("pos", "sig", "n")).alias("hub")).filter("held > 1").select("token", "hub.*")
-    hubs = hubs.select("token", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    hubs = written(hubs.select("token", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos")))
     least = _ceil_div(percent * (F.col("n") + F.col("hub_n")), percent + 100)
     stars = (
         first.join(hubs, "token")
         .filter((F.col("sig") != F.col("hub")) & (F.least("n", "hub_n") * 100 >= percent * F.greatest("n", "hub_n")))
         .filter((F.col("pos") <= F.col("n") - least) & (F.col("hub_pos") <= F.col("hub_n") - least))
-        .select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+        .select(F.col("sig").alias("a"), F.col("hub").alias("b"))
         .distinct()
     )
-    links = written(_verified(stars, entries, percent))
-    labels = components(links)
+    linked = written(_verified(stars, entries, percent))
+    labels = components(linked, ids)
 
     # All pairs of different components.
-    more = written(_search(entries, labels, percent, parts))
+    more = written(_search(entries, labels, percent, classes.tasks))
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(linked.union(more), ids)
 
-    whole = rows.filter((F.col("n") > 0) & F.col("id").isNotNull()).join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least_id = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-    alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
-    out = whole.join(least_id, "label").select("id", "n", "component_id").union(alone)
+    reached = written(ids.join(labels, "sig", "left").select("sig", F.coalesce("label.id", "id").alias("component_id")))
+    in_class = (F.col("n") > 0) & F.col("id").isNotNull()
+    alone = classes.rows.filter(~in_class).select("id", "n", F.col("id").alias("component_id"))
+    out = classes.rows.filter(in_class).select("id", "n", "sig").join(reached, "sig").select("id", "n", "component_id").union(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 

@@ -35,8 +35,8 @@ def brute(rows, n, percent):
     return sorted((str(i), len(sets[k]), str(least[find(k)] if i is not None else None)) for k, (i, _) in enumerate(rows))
 
 
-def check(df, n, percent):
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.link_components(df, n=n, percent=percent).collect())
+def check(df, n, percent, **more):
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.link_components(df, n=n, percent=percent, **more).collect())
     assert got == brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], n, percent)
 
 
@@ -45,6 +45,11 @@ def test_against_brute_force(docs, n, percent):
     check(docs, n, percent)
 
 
+def test_signatures_of_several_classes(docs):
+    """With 7 bits nearly every signature stands for several classes, which are told apart by the other 64."""
+    check(docs, 4, 85, signature_bits=7)
+
+
 def test_odd_rows(odd, empty):
     check(odd, 4, 85)
     assert jaccard.link_components(empty).count() == 0
@@ -81,6 +86,22 @@ def test_pairs_keep_all_that_reach_the_threshold():
                     assert len(np.intersect1d(a[: n - need + k], b[: m - need + k])) >= k
 
 
+def test_common_shingles_in_blocks(spark, monkeypatch):
+    """Shingles that most classes hold, of sizes that can and cannot reach each other, with blocks of few classes and hot shingles set apart."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "RANGE", 200)
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(30)]
+    rows = [(k, " ".join([*common[: rng.choice([4, 12, 30])], *[f"own{k}x{j}" for j in range(rng.randint(0, 8))]] * rng.randint(1, 2))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    classes = jaccard._Classes(df, "doc_id", "text", 2)
+    assert len(classes.hot[0]) > 20 and (np.diff(classes.hot[0].astype(float)) > 0).all() and classes.parts > 4
+    check(df, 2, 70)
+    check(df, 1, 85)
+
+
 def test_pairs_need_no_more_than_their_overlap():
     """Sets of 4 and 3 shingles that share 3 reach 70 % with a lengthening of 4, which asks for more than they have."""
     search = jaccard._Pairs(70)
