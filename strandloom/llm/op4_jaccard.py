@@ -5,8 +5,9 @@ about classes. Shingles are ordered by their frequency over all classes, the
 rare ones first. Two sets that reach the threshold share at least l shingles
 within the first n - overlap + l of each, or all of their least overlap if l is
 more. Each document takes the l for which its candidates cost least, as
-estimated from the frequencies of its prefix's shingles, which asks for
-correspondingly more shared shingles before a pair is verified.
+estimated from the frequencies of its prefix's shingles among other documents'
+prefixes, which asks for correspondingly more shared shingles before a pair is
+verified.
 
 Only components are wanted, so shingles first link each class to the most
 central class that they hold (a pair for each class and shingle, not for each
@@ -34,7 +35,7 @@ LENGTHS = (1, 2, 4)
 #: Cost of a verification, in postings.
 VERIFY = 20
 #: Shingles that a task gathers before it sends them out; classes of one block.
-FLUSH, BLOCK = 1 << 20, 2048
+FLUSH, BLOCK = 1 << 20, 1024
 #: Shingles that one range is meant to get: more of them make more ranges.
 RANGE = 2 << 20
 #: One in SAMPLE classes also says its shingles beforehand. Those that seem to stand in more than HOT classes are not
@@ -235,39 +236,37 @@ def _shared(sent: DataFrame, classes: _Classes) -> DataFrame:
 
 
 def _entries(shared: DataFrame, classes: _Classes, percent: int) -> DataFrame:
-    """Classes that can reach the threshold with any other: size n, shared shingles from rare to frequent, how many of their own (alone) come before, and the lengthening that they take."""
-    schema = "sig long, n long, alone long, length long, tokens array<long>"
+    """Classes that can reach the threshold with any other: size n, shared shingles from rare to frequent, and how many of their own (alone) come before."""
+    schema = "sig long, n long, alone long, tokens array<long>"
 
     def gather(table: pa.Table) -> pa.Table:
         sig, size, held = _bytes(table, "sigs", np.int64), _bytes(table, "sizes", np.uint32), _bytes(table, "counts", np.uint32)
         token, df = _bytes(table, "keys", np.int64), _bytes(table, "df", np.uint32)
         owner = np.repeat(sig, held)
         order = np.lexsort((token, df, owner))
-        token, owner, df = token[order], owner[order], df[order]
+        token, owner = token[order], owner[order]
         first = np.flatnonzero(np.diff(owner, prepend=owner[:1] ^ 1) != 0)
         count = np.diff(first, append=len(owner))
         sizes = dict(zip(sig.tolist(), size.tolist()))
         n = np.array([sizes[s] for s in owner[first].tolist()], np.int64)
-        least = least_overlap(n, percent)
-        can = count >= least
-        first, count, n, least = first[can], count[can], n[can], least[can]
-        # Candidates that a prefix meets: the other classes that hold its shingles. Each has to be met `length` times to be verified.
-        met = np.concatenate([np.zeros(1, np.int64), np.cumsum(df.astype(np.int64) - 1)])
-        size = {k: np.clip(n - least + k - (n - count), 0, count) for k in LENGTHS}
-        cost = np.array([(met[first + size[k]] - met[first]) * (1 + VERIFY / k) for k in LENGTHS])
-        length = np.array(LENGTHS)[cost.argmin(0)] if len(n) else n
-        tokens = [token[a : a + c] for a, c in zip(first, count)]
-        return pa.table([pa.array(owner[first]), pa.array(n), pa.array(n - count), pa.array(length), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "alone", "length", "tokens"])
+        can = count >= least_overlap(n, percent)
+        tokens = [token[a : a + c] for a, c in zip(first[can], count[can])]
+        return pa.table([pa.array(owner[first[can]]), pa.array(n[can]), pa.array((n - count)[can]), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "alone", "tokens"])
 
     return shared.repartition(classes.tasks, "bucket").groupBy("bucket").applyInArrow(gather, schema)
 
 
-def _postings(entries: DataFrame, percent: int, length: Column) -> DataFrame:
-    """(token, sig, n, length, pos) of each class's prefix for its lengthening."""
+def _postings(entries: DataFrame, percent: int, length: int) -> DataFrame:
+    """(token, sig, n, pos, from, near) of each class's prefix for a lengthening.
+
+    from: the least one whose prefix has the token; near: the same of the shorter
+    prefix that is enough against sets of the same size.
+    """
     n = F.col("n")
     least = _ceil_div(percent * (n + _ceil_div(percent * n, 100)), percent + 100)
-    own = entries.withColumn("length", length.cast("long"))
-    return own.select("sig", "n", "alone", "length", F.posexplode(F.slice("tokens", 1, (n - least + F.col("length") - F.col("alone")).cast("int")))).select(F.col("col").alias("token"), "sig", "n", "length", (F.col("alone") + F.col("pos")).alias("pos"))
+    own = entries.select("sig", "n", "alone", least.alias("least"), F.posexplode(F.slice("tokens", 1, (n - least + length - F.col("alone")).cast("int"))))
+    pos = F.col("alone") + F.col("pos")
+    return own.select(F.col("col").alias("token"), "sig", "n", pos.alias("pos"), (pos - F.col("n") + F.col("least") + 1).alias("from"), (pos - F.col("n") + _ceil_div(2 * percent * F.col("n"), percent + 100) + 1).alias("near"))
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -358,23 +357,43 @@ class _Pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(need)], names=["a", "b", "need"])
 
 
-def _across(postings: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Postings of shingles that stand in several components, each with the cells in which it meets others.
+def _lengthened(entries: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(token, sig, label, n, length, pos): every class's prefix for the lengthening that costs it least, without shingles that one component alone has.
+
+    A prefix's cost is estimated from how many classes of other components have
+    its shingles in theirs, all taken as of the same size: that many postings are
+    met, and a candidate has to be met `length` times to be verified.
+    """
+    marked = _postings(entries, percent, LENGTHS[-1])
+    if labels is None:
+        marked = marked.withColumn("label", F.col("sig"))
+    else:
+        marked = marked.join(labels.select("sig", F.col("label.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    held = marked.groupBy("token", "label").agg(*[F.count(F.when(F.col("near") <= k, 1)).alias(f"c{k}") for k in LENGTHS], F.count("*").alias("held"))
+    sums = held.groupBy("token").agg(*[F.sum(f"c{k}").alias(f"t{k}") for k in LENGTHS], F.sum("held").alias("all"))
+    others = held.join(sums, "token").filter(F.col("held") < F.col("all"))
+    others = written(others.select("token", "label", *[(F.col(f"t{k}") - F.col(f"c{k}")).alias(f"o{k}") for k in LENGTHS]))
+    across = written(marked.join(others, ["token", "label"]))
+    cost = lambda k: F.sum(F.when(F.col("near") <= k, F.col(f"o{k}")).otherwise(0)) * (1 + VERIFY / k)
+    cheapest = F.array_min(F.array(*[F.struct(cost(k).alias("cost"), F.lit(k).cast("long").alias("length")) for k in LENGTHS]))["length"]
+    chosen = across.join(across.groupBy("sig").agg(cheapest.alias("length")), "sig").filter(F.col("from") <= F.col("length"))
+    return chosen.select("token", "sig", "label", "n", "length", "pos")
+
+
+def _cells(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings, each with the cells in which it meets others of its shingle.
 
     A shingle of up to BLOCK classes is one cell. More of them are dealt out by
     bands of their size, since only neighbouring bands can reach the threshold,
     and each band's in blocks: every two blocks of such bands meet in one cell.
     """
-    marked = postings.withColumn("label", F.col("sig"))
-    if labels is not None:
-        marked = postings.join(labels.select("sig", F.col("label.sig").alias("label")), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     # A little wider than the threshold, so that rounding can't put classes that reach it two bands apart.
-    marked = marked.withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.001)).cast("int"))
+    marked = written(postings.withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.001)).cast("int")))
     sizes = marked.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
     blocks = F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     several = sizes.groupBy("token").agg(F.sum("size").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list(blocks).alias("bands")).filter("size > 1 AND least <> most")
-    cells = written(several.select("token", F.when(F.col("size") > BLOCK, F.map_from_entries("bands")).alias("bands")))
-    rows = marked.join(cells, "token")
+    bands = written(several.select("token", F.when(F.col("size") > BLOCK, F.map_from_entries("bands")).alias("bands")))
+    rows = marked.join(bands, "token")
     code = lambda band, block: band.cast("long") * (1 << 32) + block
     home = F.when(F.col("bands").isNull(), F.lit(0).cast("long")).otherwise(code(F.col("band"), F.pmod(F.xxhash64("sig"), F.element_at("bands", F.col("band")))))
     others = F.flatten(F.transform(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce(F.try_element_at("bands", b), F.lit(0)), F.lit(1))), lambda j: F.when(F.try_element_at("bands", b).isNotNull(), code(b, j - 1)))))
@@ -385,8 +404,8 @@ def _across(postings: DataFrame, labels: DataFrame | None, percent: int) -> Data
 
 def _search(entries: DataFrame, labels: DataFrame | None, percent: int, tasks: int) -> DataFrame:
     """All (a, b) of classes with different labels that reach the threshold; classes without a label have their own."""
-    across = _across(_postings(entries, percent, F.col("length")), labels, percent)
-    dealt = across.repartition(tasks, "token", "one", "other").sortWithinPartitions("token", "one", "other")
+    cells = _cells(_lengthened(entries, labels, percent), percent)
+    dealt = cells.repartition(tasks, "token", "one", "other").sortWithinPartitions("token", "one", "other")
     found = dealt.mapInArrow(_Pairs(percent).pairs, "a long, b long, need long")
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("need").alias("need")).filter("common >= need")
     return _verified(pairs, entries, percent)
@@ -426,7 +445,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = classes.table.select("sig", "id")
 
     # Each class with the class for which one of its prefix's shingles comes earliest.
-    first = _postings(entries, percent, F.lit(LENGTHS[0]))
+    first = _postings(entries, percent, LENGTHS[0])
     hubs = first.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("pos", "sig", "n")).alias("hub")).filter("held > 1").select("token", "hub.*")
     hubs = written(hubs.select("token", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos")))
     least = _ceil_div(percent * (F.col("n") + F.col("hub_n")), percent + 100)
