@@ -3,9 +3,10 @@
 Texts are cut into sentences, these are normalised (lower case, words separated
 by one space), and those that a licence is known to use become identifiers. A
 sentence may be one line or wrapped over several, with comment marks; a known
-one that begins and ends with lines counts wherever lines alone separate its words. A
-document's sequence of identifiers is matched against rules: sequences that
-state a licence. All of it is built from DataFrame functions.
+one that begins and ends with lines counts wherever lines alone separate its
+words. Some sentences name somebody: there a known sentence has a gap of a few
+words. A document's sequence of identifiers is matched against rules: sequences
+that state a licence. All of it is built from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Licence sentences, normalised. The texts are those of the public licences.
+#: Licence sentences, normalised; * is a gap of one to eight words. The texts are those of the public licences.
 SENTENCES = {
     "mit-ref": "released under the mit license",
     "mit-ref-2": "licensed under the mit license",
@@ -26,19 +27,36 @@ SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-grant-2": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and * disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "apache-ref": "licensed under the apache license version 2 0",
     "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-warranty": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-limits": "see the license for the specific language governing permissions and limitations under the license",
+    "apache-title": "apache license version 2 0 january 2004",
+    "apache-terms": "terms and conditions for use reproduction and distribution",
+    "fsf-verbatim": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "mpl2-title": "mozilla public license version 2 0",
+    "mpl2-definitions": "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software",
+    "cc0-title": "cc0 1 0 universal",
+    "cc0-purpose": "statement of purpose",
     "gpl3-ref": "this work is licensed under the gnu general public license version 3",
     "gpl3-ref-2": "licensed under the gnu general public license version 3",
     "gpl2-ref": "this work is licensed under the gnu general public license version 2",
     "gpl2-ref-2": "licensed under the gnu general public license version 2",
     "gpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl3-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "agpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": "see the gnu general public license for more details",
     "lgpl3-ref": "licensed under the gnu lesser general public license version 3",
@@ -48,7 +66,7 @@ SENTENCES = {
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-name": "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "ccby4-ref": "licensed under cc by 4 0",
     "ccbync4-ref": "licensed under cc by nc 4 0",
     "ccbysa4-ref": "licensed under cc by sa 4 0",
@@ -62,6 +80,13 @@ SENTENCES = {
     "spdx-gpl3": "spdx license identifier gpl 3 0 only",
     "spdx-gpl3-later": "spdx license identifier gpl 3 0 or later",
     "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-mpl2": "spdx license identifier mpl 2 0",
+    "spdx-gpl2": "spdx license identifier gpl 2 0 only",
+    "spdx-gpl2-later": "spdx license identifier gpl 2 0 or later",
+    "spdx-lgpl21-later": "spdx license identifier lgpl 2 1 or later",
+    "spdx-agpl3-later": "spdx license identifier agpl 3 0 or later",
 }
 
 #: Fixed values: (rule, licence, identifiers in their order).
@@ -72,9 +97,21 @@ RULES = (
     ("mit-titled", "MIT", ("mit-title", "mit-grant")),
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("isc-text", "ISC", ("isc-grant", "isc-warranty")),
+    ("isc-text-2", "ISC", ("isc-grant-2", "isc-warranty")),
     ("apache-by-name", "Apache-2.0", ("apache-ref",)),
     ("apache-notice", "Apache-2.0", ("apache-header", "apache-copy", "apache-warranty")),
     ("apache-tail", "Apache-2.0", ("apache-warranty", "apache-limits")),
+    ("apache-text", "Apache-2.0", ("apache-title", "apache-terms")),
+    ("gpl3-text", "GPL-3.0", ("gpl3-title", "fsf-verbatim")),
+    ("gpl2-text", "GPL-2.0", ("gpl2-title", "fsf-verbatim")),
+    ("lgpl3-text", "LGPL-3.0", ("lgpl3-title", "fsf-verbatim")),
+    ("lgpl21-text", "LGPL-2.1", ("lgpl21-title", "fsf-verbatim")),
+    ("agpl3-text", "AGPL-3.0", ("agpl3-title", "fsf-verbatim")),
+    ("mpl2-text", "MPL-2.0", ("mpl2-title", "mpl2-definitions")),
+    ("cc0-text", "CC0-1.0", ("cc0-title", "cc0-purpose")),
+    ("lgpl3-notice", "LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("lgpl21-notice", "LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("agpl3-notice", "AGPL-3.0-or-later", ("agpl3-later",)),
     ("gpl3-by-name", "GPL-3.0", ("gpl3-ref",)),
     ("gpl3-by-name-2", "GPL-3.0", ("gpl3-ref-2",)),
     ("gpl2-by-name", "GPL-2.0", ("gpl2-ref",)),
@@ -99,33 +136,56 @@ RULES = (
     ("spdx-gpl3", "GPL-3.0", ("spdx-gpl3",)),
     ("spdx-gpl3-later", "GPL-3.0-or-later", ("spdx-gpl3-later",)),
     ("spdx-bsd3", "BSD-3-Clause", ("spdx-bsd3",)),
+    ("spdx-bsd2", "BSD-2-Clause", ("spdx-bsd2",)),
+    ("spdx-isc", "ISC", ("spdx-isc",)),
+    ("spdx-mpl2", "MPL-2.0", ("spdx-mpl2",)),
+    ("spdx-gpl2", "GPL-2.0", ("spdx-gpl2",)),
+    ("spdx-gpl2-later", "GPL-2.0-or-later", ("spdx-gpl2-later",)),
+    ("spdx-lgpl21-later", "LGPL-2.1-or-later", ("spdx-lgpl21-later",)),
+    ("spdx-agpl3-later", "AGPL-3.0-or-later", ("spdx-agpl3-later",)),
 )
 SENTENCE_END = r"[.!?]+([ \t\n\r\f]+|\z)"
 #: A full stop that ends no sentence: the one of 'v. 2.0'.
-VERSION = r"(?<![\p{L}\p{N}])v\.[^\p{L}\p{N}.!?]+(?=\p{N})"
+VERSION = r"(^|[^\p{L}\p{N}])v\.[^\p{L}\p{N}.!?]+(\p{N})"
+#: The mark of a list's entry, as 'a)' or '(iv)'.
+ENTRY = r"(^|\n)[^\p{L}\p{N}\n]*([0-9]{1,2}|[a-z]|[ivx]{2,4})\)[ \t]+"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
+GAP, MOST_WORDS = "*", 8
 
 
 def lines(text: Column) -> Column:
     """The normalised lines of a text: one line end where a line ends, two where a sentence or paragraph does."""
-    lower = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), VERSION, "v ")
+    lower = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), VERSION, "$1v $2"), ENTRY, "\n\n")
     ended = F.regexp_replace(F.regexp_replace(lower, SENTENCE_END, "\n\n"), NOT_WORD, " ")
     return F.regexp_replace(F.regexp_replace(ended, " ?\n[ \n]*\n ?", "\n\n"), " ?(?<!\n)\n(?!\n) ?", "\n")
 
 
+def _pattern(sentence: str, gap: str = "[ \\n]", before_address: str = "(?: |\\n{1,2})") -> str:
+    """A known sentence as an expression over lines; an address may be a paragraph of its own."""
+    words = [rf"[^ \n]+(?:{gap}[^ \n]+){{0,{MOST_WORDS - 1}}}" if w == GAP else w for w in sentence.split()]
+    return gap.join(words).replace(gap + "http", before_address + "http")
+
+
 def sentences(text: Column, known: Iterable[str]) -> Column:
     """The known sentences of a text in their order, each as long as it can be.
 
     They begin and end with a line and hold no end of a sentence; a paragraph
     may end before an address.
     """
-    longest = sorted(known, key=lambda s: (-len(s), s))
-    gap, before = r"[ \n]", r"(?: |\n{1,2})"
-    made = "|".join(gap.join(s.split()).replace(gap + "http", before + "http") for s in longest)
+    made = "|".join(_pattern(s) for s in sorted(known, key=lambda s: (-len(s), s)))
     found = F.regexp_extract_all(F.trim(lines(text)), F.lit(rf"(?<![^\n])(?:{made})(?![^\n])"), F.lit(0))
     return F.transform(found, lambda s: F.regexp_replace(s, r"\n+", " "))
 
 
+def identified(sentence: Column, known: dict[str, str]) -> Column:
+    """The identifier of a normalised sentence; of several the longest one's."""
+    plain = [F.lit(x) for name, text in known.items() if GAP not in text for x in (text, name)]
+    found = F.element_at(F.create_map(*plain), sentence) if plain else F.lit(None).cast("string")
+    for text, name in sorted(((t, n) for n, t in known.items() if GAP in t), key=lambda x: (-len(x[0]), x[0])):
+        found = F.coalesce(found, F.when(sentence.rlike(f"^{_pattern(text, ' ', ' ')}$"), F.lit(name)))
+    return found
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules: tuple = RULES, carry: bool = False) -> DataFrame:
     """Per row n_known, sentence_ids (in their order), rules and licenses (each sorted, joined by commas).
 
@@ -135,12 +195,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: d
     like an empty one, has no identifier, rule or licence ('' each, n_known 0).
     Repeated rows get equal answers; an empty table stays empty.
     """
-    by_text = F.create_map(*[F.lit(x) for name, text in known.items() for x in (text, name)])
     made = ("n_known", "sentence_ids", "rules", "licenses", "_known", "_matched")
     kept = [c for c in df.columns if c.lower() not in made and (carry or c == id_col)]
     found = sentences(F.col(f"`{text_col}`"), known.values())
     table = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(license).alias("license"), F.lit(f",{','.join(ids)},").alias("ids")) for rule, license, ids in rules])
-    out = df.select(*[F.col(f"`{c}`") for c in kept], F.transform(found, lambda s: F.element_at(by_text, s)).alias("_known"))
+    out = df.select(*[F.col(f"`{c}`") for c in kept], F.transform(found, lambda s: identified(s, known)).alias("_known"))
     sequence = F.concat(F.lit(","), F.array_join("_known", ","), F.lit(","))
     out = out.withColumn("_matched", F.when(F.size("_known") > 0, F.filter(table, lambda r: F.contains(sequence, r["ids"]))).otherwise(F.slice(table, 1, 0)))
     return out.select(
@@ -157,20 +216,39 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{name}', '{text}')" for name, text in SENTENCES.items())
+    """The same by lists of lines: runs of them that are a known sentence, the first and longest ones that don't overlap."""
+    order = sorted(SENTENCES.items(), key=lambda x: (-len(x[1]), x[1]))
+    known = ", ".join(f"('{name}', '{text}', '{text.split(GAP)[0]}', {'NULL' if GAP not in text else chr(39) + _pattern(text, ' ', ' ') + chr(39)}, {k})" for k, (name, text) in enumerate(order))
     rules = ", ".join(f"('{rule}', '{license}', ',{','.join(ids)},')" for rule, license, ids in RULES)
+    most = max(len(text.split()) + MOST_WORDS * text.split().count(GAP) for text in SENTENCES.values())
     return rf"""
-WITH known(id, sentence) AS (VALUES {known}),
+WITH RECURSIVE known(id, sentence, start, pattern, rank) AS (VALUES {known}),
 rule(rule, license, ids) AS (VALUES {rules}),
-parts AS (
-  SELECT doc_id, string_split(regexp_replace(
-    regexp_replace(lower(coalesce(text, '')), '[.!?]+([ \t\n\r\f]+|\z)', chr(10), 'g'),
-    '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), chr(10)) AS p
-  FROM documents),
-sentence AS (SELECT doc_id, trim(unnest(p)) AS sentence, unnest(range(len(p))) AS i FROM parts),
-sequence AS (
-  SELECT doc_id, count(*) AS n_known, string_agg(id, ',' ORDER BY i) AS ids
-  FROM sentence JOIN known USING (sentence) GROUP BY doc_id),
+part AS (
+  SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS nr FROM (
+    SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      lower(coalesce(text, '')), '{VERSION}', '\1v \2', 'g'), '{ENTRY}', chr(10) || chr(10), 'g'),
+      '{SENTENCE_END}', chr(10) || chr(10), 'g'), '{NOT_WORD}', ' ', 'g'), chr(10)), lambda x: trim(x)) AS p
+    FROM documents)),
+line AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS i,
+    nr - coalesce(lag(nr) OVER (PARTITION BY doc_id ORDER BY nr), nr - 1) > 1 AS apart
+  FROM part WHERE line <> ''),
+run AS (
+  SELECT doc_id, i, i AS j, line AS sentence FROM line
+    WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(start, line) OR (pattern IS NOT NULL AND starts_with(line, start)))
+  UNION ALL SELECT run.doc_id, run.i, n.i, run.sentence || ' ' || n.line
+  FROM run JOIN line n ON n.doc_id = run.doc_id AND n.i = run.j + 1
+  WHERE (NOT n.apart OR starts_with(n.line, 'http')) AND len(string_split(run.sentence, ' ')) < {most}
+    AND EXISTS (SELECT 1 FROM known k WHERE starts_with(start, run.sentence || ' ' || n.line) OR (pattern IS NOT NULL AND starts_with(run.sentence || ' ' || n.line, start)))),
+hit AS (
+  SELECT doc_id, i, j, id, row_number() OVER (PARTITION BY doc_id, i ORDER BY rank, j DESC) AS nth
+  FROM run JOIN known k ON k.sentence = run.sentence OR (k.pattern IS NOT NULL AND regexp_full_match(run.sentence, k.pattern))),
+best AS (SELECT h.*, (SELECT min(n.i) FROM hit n WHERE n.doc_id = h.doc_id AND n.i > h.j) AS next FROM hit h WHERE nth = 1),
+taken AS (
+  SELECT * FROM best WHERE i = (SELECT min(f.i) FROM hit f WHERE f.doc_id = best.doc_id)
+  UNION ALL SELECT b.* FROM taken t JOIN best b ON b.doc_id = t.doc_id AND b.i = t.next),
+sequence AS (SELECT doc_id, count(*) AS n_known, string_agg(id, ',' ORDER BY i) AS ids FROM taken GROUP BY doc_id),
 matched AS (
   SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rules,
     array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses

@@ -1,17 +1,20 @@
 import hashlib
+import os
+import random
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 from conftest import SF
 
 from strandloom.llm import op4_jaccard, op6_licenses, op7_line_dedup, op9_sharding
 
 
-def oracle(sql, sf=SF):
+def oracle(sql, sf=SF, files="/documents.parquet"):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    con.sql(f"create view documents as select * from '{sf}{files}'")
     rel = con.sql(sql)
     return sorted(dict(zip(rel.columns, r)).items() for r in rel.fetchall())
 
@@ -195,7 +198,50 @@ def test_joined_lines_count_once(spark):
     assert [got[k] for k in range(len(cases))] == list(cases.values())
 
 
-def test_wrapped_sentences_change_nothing_of_the_tables(spark):
-    """All that single lines hold stays, also on larger tables."""
+def test_licenses_of_larger_tables(spark):
     sf = "/root/testdata/sf0.01"
     assert by_id(rows(op6_licenses.op6_licenses(spark, sf))) == by_id(oracle(op6_licenses.OP6_SQL, sf))
+
+
+def test_wrapped_texts_against_sql(spark, tmp_path):
+    """Notices in comments, cut short, mixed and joined with other lines, by both."""
+    rng = random.Random(4)
+    known = [v.replace("*", "some one of the authors") for v in op6_licenses.SENTENCES.values()]
+    texts = list(WRAPPED.values())
+    for _ in range(150):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice([*known, "Copyright 2020 Some One", "see http x y", "v. 2.0 of it"]).split()
+            if rng.random() < 0.2:
+                words = words[: rng.randint(1, len(words))]
+            line = "".join(w + rng.choice([" "] * 8 + ["\n", "\n * ", "  ", ", "] + ["\n\n"] * (rng.random() < 0.1)) for w in words)
+            out.append(rng.choice(["", "# ", "1. ", "b) ", "(iv) ", "word "]) + line.strip(" \n*") + rng.choice([".", "", ";", "!"]))
+        texts.append(rng.choice(["\n", "\n\n", " ", ". "]).join(out))
+    spark.createDataFrame([*enumerate(texts), (10**6, None), (10**6 + 1, "")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(rows(op6_licenses.op6_licenses(spark, str(tmp_path))))
+    assert got == by_id(oracle(op6_licenses.OP6_SQL, f"{tmp_path}/documents.parquet", "/*.parquet"))
+    assert sum(r["n_known"] > 1 for r in got.values()) > 20
+
+
+def test_names_in_sentences(spark):
+    """A gap takes in one to eight words."""
+    grant = WRAPPED["ISC"].split("\n\n")[0]
+    tail = 'THE SOFTWARE IS PROVIDED "AS IS" AND {} DISCLAIMS ALL WARRANTIES WITH REGARD\nTO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND\nFITNESS.'
+    names = ["ISC", "THE AUTHOR", "ACME\nCORPORATION AND ITS MANY SUBSIDIARIES", "", "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE"]
+    df = spark.createDataFrame([(k, grant + "\n\n" + tail.format(x)) for k, x in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in op6_licenses.scan(df).collect()}
+    assert [got[k] for k in range(len(names))] == ["ISC", "ISC", "ISC", "", ""]
+
+
+WHOLE = {"GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-3": "LGPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_licence_texts(spark, name):
+    """Licence files as a distribution ships them."""
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no such file here")
+    with open(path, encoding="utf-8") as f:
+        df = spark.createDataFrame([(1, f.read())], "doc_id long, text string")
+    assert WHOLE[name] in op6_licenses.scan(df).first().licenses.split(",")
