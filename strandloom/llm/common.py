@@ -44,6 +44,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_numbers(df: DataFrame, id_col: str) -> None:
+    """Raise TypeError unless the ids are integers (of at most 64 bits), which operators that order documents need."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} is of type {kind.simpleString()}; ids have to be integers")
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose `column` holds about SLICE_BYTES."""
     if not batch.num_rows:

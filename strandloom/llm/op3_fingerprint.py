@@ -12,15 +12,17 @@ names of a level make the fingerprint.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, documents, map_texts
+from .common import SLICE_BYTES, documents, map_texts, whole_numbers
 from .textvec import mix, sequences
 
 LEVELS, KEPT = 2, 64
@@ -134,29 +136,66 @@ def fingerprint_likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.round(2 * j / (1 + j), 6))
 
 
+def _edges(ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Composite edges (id, hash) from quantiles of ids: an id that is r of them is cut at r places of its rows' hashes."""
+    made = []
+    for value, group in itertools.groupby(sorted(ids)):
+        r = len(list(group))
+        made += [(value, -(1 << 63) + (k + 1) * ((1 << 64) // (r + 1))) for k in range(r)]
+    return np.array([i for i, _ in made], np.int64), np.array([h for _, h in made], np.int64)
+
+
+def _part(ids: np.ndarray, hashes: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many edges are at or before each (id, hash)."""
+    low, high = np.searchsorted(edges[0], ids, "left"), np.searchsorted(edges[0], ids, "right")
+    out = low.copy()
+    on = np.flatnonzero(high > low)
+    for a in np.unique(low[on]).tolist():
+        own = on[low[on] == a]
+        out[own] += np.searchsorted(edges[1][a : high[own[0]]], hashes[own], "right")
+    return out
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows sorted by id within ranges of ids, each range in one partition and followed by the first row of the next.
+    """Rows sorted by id and by a hash of the text, in ranges; each range is one partition and followed by the first row of the next.
 
-    Columns id, text, extra: 1 on the row that only serves as the one after the last.
+    Columns id, text, no_id, part, extra: 1 on the row that only serves as the
+    one after the last. An id of very many rows is spread over ranges by their
+    texts' hashes; only rows that are wholly equal always share a range.
     """
+    whole_numbers(df, id_col)
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{id_col}`").isNull().alias("no_id"))
-    edges = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    edges = sorted(set(edges)) if parts > 1 else []
-    part = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e <= F.col("id"))) if edges else F.lit(0)
-    firsts = {r[0]: r[1] for r in rows.groupBy(part.alias("part")).agg(F.min("id")).collect()}  # at most one row for each part
-    full = sorted(firsts)
-    before = {firsts[p]: full[k - 1] for k, p in enumerate(full)}
-    copies = F.array(F.struct(part.alias("part"), F.lit(0).alias("extra")))
-    if before:
-        where = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        also = F.element_at(where, F.col("id"))
-        copies = F.when(also.isNull(), copies).otherwise(F.concat(copies, F.array(F.struct(also.alias("part"), F.lit(1).alias("extra")))))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"), F.col(f"`{id_col}`").isNull().alias("no_id"))
+    found = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
+    edges = _edges(found if parts > 1 else [])  # at most one edge for each part
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(_part(ids.to_numpy(), hashes.to_numpy(), edges), dtype="int32")
+
+    @F.pandas_udf("int")
+    def also_in(ids: pd.Series, hashes: pd.Series, part: pd.Series) -> pd.Series:
+        """The range before, for the rows with which a range begins; -1 for others."""
+        place = np.minimum(np.searchsorted(begun, part.to_numpy()), len(begun) - 1)
+        is_first = (first_id[place] == ids.to_numpy()) & (first_hash[place] == hashes.to_numpy())
+        return pd.Series(np.where(is_first, before[place], -1), dtype="int32")
+
+    placed = rows.withColumn("part", range_of("id", "hash"))
+    firsts = sorted(placed.groupBy("part").agg(F.min(F.struct("id", "hash")).alias("first")).collect())  # at most one row for each part
+    if not firsts:
+        return placed.withColumn("extra", F.lit(0)).select("id", "text", "no_id", "part", "extra")
+    begun = np.array([r.part for r in firsts])
+    first_id, first_hash = (np.array([r.first[k] for r in firsts], np.int64) for k in (0, 1))
+    before = np.concatenate([begun[-1:], begun[:-1]])  # behind the last range comes the first
+    also = placed.withColumn("also", also_in("id", "hash", "part"))
+    copies = F.filter(F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("also").alias("part"), F.lit(1).alias("extra"))), lambda c: c["part"] >= 0)
     return (
-        rows.select("id", "text", "no_id", F.inline(copies))
+        also.select("id", "hash", "text", "no_id", F.inline(copies))
         .repartitionById(parts, F.col("part"))
-        .sortWithinPartitions("part", "extra", "id", "text")
+        .sortWithinPartitions("part", "extra", "id", "hash", "text")
+        .select("id", "text", "no_id", "part", "extra")
     )
 
 
@@ -167,7 +206,8 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replaced by as many from the start of the next document in ascending order
     of ids, or by all it has; after the last comes the first, and a single
     document is its own next. A null text counts as empty. Null ids come first;
-    rows of equal id follow each other in the order of their texts.
+    rows of equal id follow each other in the order of their texts' hashes
+    (xxhash64). Ids are integers; others are a TypeError.
     """
     schema = T.StructType([df.schema[id_col], *[T.StructField(n, t) for n, t in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))]])
     id_type = pa.int64()

@@ -59,10 +59,10 @@ def _children(cluster: Tree) -> list[Column]:
 
 
 def place(key: Column, cluster: Tree) -> Column:
-    """The shard of a key. Subtrees of weight 0 get nothing; a tree of weight 0 is an error."""
+    """The shard of a key, by its text: equal integers of any width have one. Subtrees of weight 0 get nothing; a tree of weight 0 is an error."""
     if _weight(cluster) <= 0:
         raise ValueError("the tree has no weight")
-    path = F.lit("")
+    key, path = key.cast("string"), F.lit("")
     for children in _children(cluster):
         draws = F.transform(
             F.element_at(children, path),
@@ -91,7 +91,8 @@ def assign(df: DataFrame, cluster: Tree, more: Tree | None = None, id_col: str =
         "*",
         place(F.col("id"), cluster).alias("shard"),
         (place(F.col("id"), more) if more else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"),
+        # By the text too, so that the rows of one id (null, say) are numbered in many parts.
+        F.pmod(F.xxhash64(F.col("id").cast("string"), "size", "text_crc32"), F.lit(PARTS)).cast("int").alias("part"),
     )
     # At most shards x PARTS rows: where in its shard each part's slots begin.
     counts = placed.groupBy("shard", "part").count()

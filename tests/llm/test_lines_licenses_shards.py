@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -7,6 +8,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from conftest import SF
 
 from strandloom.llm import op4_jaccard, op6_licenses, op7_line_dedup, op9_sharding
@@ -87,6 +89,54 @@ def test_shards(spark, docs):
     assert len(got) == len(text) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def drawn(doc_id, tree, path=""):
+    """The shard of an id by the least weighted draw at each level, in plain Python."""
+    if not isinstance(tree, dict):
+        return int(path.rsplit("/", 1)[1])
+    weight = lambda node: sum(map(weight, node.values())) if isinstance(node, dict) else node
+    best = None
+    for i, (name, child) in enumerate(tree.items()):
+        if weight(child) > 0:
+            seed = 42 if doc_id is None else xxhash.xxh64_intdigest(str(doc_id).encode(), 42)
+            u = ((xxhash.xxh64_intdigest(f"{path}/{name}".encode(), seed) >> 11) + 0.5) / 2**53
+            best = min(best or (math.inf,), (-math.log(u) / weight(child), i, f"{path}/{name}", child))
+    return drawn(doc_id, best[3], best[2])
+
+
+def test_shards_against_plain_draws(spark, docs, odd):
+    """Shards, grown shards and slots, each computed anew."""
+    tree = op9_sharding.tree(op9_sharding.SHARDS)
+    more = op9_sharding.grown(tree)
+    df = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    want, order = [], defaultdict(list)
+    for r in df.collect():
+        data = (r.text or "").encode()
+        size, crc = len(data) + 16, zlib.crc32(data)
+        seed = 42 if r.doc_id is None else xxhash.xxh64_intdigest(str(r.doc_id).encode(), 42)
+        for number in (size, crc):
+            seed = xxhash.xxh64_intdigest(number.to_bytes(8, "little"), seed)
+        part = (seed - (seed >> 63 << 64)) % op9_sharding.PARTS
+        order[drawn(r.doc_id, tree)].append((part, r.doc_id is not None, r.doc_id or 0, crc, size))
+    for shard, own in order.items():
+        for slot, (_, known, i, crc, size) in enumerate(sorted(own)):
+            i = i if known else None
+            want.append((str(i), size, crc, "key", shard, slot, drawn(i, more)))
+    assert sorted((str(r[0]), *r[1:]) for r in op9_sharding.assign(df, tree, more).collect()) == sorted(want)
+    as_int = op9_sharding.assign(df.selectExpr("cast(doc_id AS int) AS doc_id", "text"), tree, more).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in as_int) == sorted(want)
+
+
+def test_one_id_of_many_rows(spark):
+    """A third of the rows have no id: their slots have no gaps, and they are numbered in many parts."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "concat('text ', id) AS text")
+    got = op9_sharding.assign(df, op9_sharding.tree(3)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len({r.shard for r in got if r.doc_id is None}) == 1 and len(got) == 3000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_weights_and_confined_moves(spark):
     ids = spark.range(40000).withColumnRenamed("id", "doc_id")
     tree = {"a": {"r1": {0: 1.0, 1: 3.0}, "r2": {2: 2.0}}, "b": {"r3": {3: 2.0, 4: 0.0}}}
