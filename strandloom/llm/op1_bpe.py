@@ -2,8 +2,9 @@
 
 The tokenizers library encodes Arrow batches. Its merges work on characters,
 one for each byte; the table between bytes and characters is made here by rule
-and the merges are derived from the ranks. Decoding looks ids up in the reversed
-table, so characters that tokens split come back byte by byte.
+and the merges are derived from the ranks. Decoding turns the characters that
+spell each token into bytes by the reversed table, so characters that tokens
+split come back byte by byte. Offsets count the text's own characters.
 """
 
 from __future__ import annotations
@@ -45,16 +46,6 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@functools.cache
-def token_bytes(path: str) -> list[bytes | None]:
-    """The bytes of every id; None where an id is free."""
-    known = ranks(path)
-    table: list[bytes | None] = [None] * (max(known.values()) + 1)
-    for token, rank in known.items():
-        table[rank] = token
-    return table
-
-
 @functools.cache
 def encoder(path: str, pattern: str) -> Tokenizer:
     """The tokenizer whose merges make each token of the rank file in the order of its rank."""
@@ -74,6 +65,24 @@ def encoder(path: str, pattern: str) -> Tokenizer:
     return made
 
 
+@functools.cache
+def token_bytes(path: str) -> list[bytes | None]:
+    """The bytes of every id, by the reversed byte table from the characters that spell its token; None where an id is free."""
+    code = {c: b for b, c in enumerate(byte_characters())}
+    known = encoder(path, public_tokenizers.PATTERN).get_vocab(with_added_tokens=False)
+    table: list[bytes | None] = [None] * (max(known.values()) + 1)
+    for spelled, i in known.items():
+        table[i] = bytes([code[c] for c in spelled])
+    return table
+
+
+@functools.cache
+def token_starts(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every id how many characters begin in its bytes, and whether the first byte goes on with one."""
+    table = [t or b"" for t in token_bytes(path)]
+    return np.array([sum(b & 0xC0 != 0x80 for b in t) for t in table], np.int64), np.array([t[:1] != b"" and t[0] & 0xC0 == 0x80 for t in table])
+
+
 def pieces(text: str) -> list[str]:
     """The text cut where no match of the pattern can run across."""
     if len(text) <= PIECE:
@@ -135,15 +144,11 @@ def character_spans(ids: list[int], path: str | None = None) -> list[tuple[int,
     A token that ends within a character's bytes touches it, and so does the
     next token, which holds the rest of them.
     """
-    table = token_bytes(path or public_tokenizers.path(RANKS))
-    spans, begun = [], 0  # begun: characters whose first byte was seen
-    for i in ids:
-        token = table[i]
-        starts = sum(b & 0xC0 != 0x80 for b in token)
-        first = begun - 1 if token[0] & 0xC0 == 0x80 and begun else begun
-        begun += starts
-        spans.append((first, max(begun, first)))
-    return spans
+    starts, goes_on = token_starts(path or public_tokenizers.path(RANKS))
+    own = np.asarray(ids, np.int64)
+    begun = np.cumsum(starts[own])  # characters whose first byte was seen
+    before = begun - starts[own]
+    return list(zip((before - (goes_on[own] & (before > 0))).tolist(), begun.tolist()))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, offsets: bool = True, carry: bool = False) -> DataFrame:
@@ -195,24 +200,26 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """Encode each text and decode its ids; return digests of both.
 
-    n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 for
-    every row; a null text counts as empty. with_ids adds the ids as `packed_ids`
-    makes them.
+    n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256, and
+    n_split (tokens that begin within a character) for every row; a null text
+    counts as empty. with_ids adds the ids as `packed_ids` makes them.
     """
     path = path or public_tokenizers.path(RANKS)
-    schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_split", T.LongType())])
     if with_ids:
         schema = schema.add("ids", T.BinaryType())
 
     def run(batch: pa.RecordBatch) -> dict:
         decimal = _decimals(path)
-        counts, ids_sha, decoded_sha, kept = [], [], [], []
+        goes_on = token_starts(path)[1]
+        counts, ids_sha, decoded_sha, split, kept = [], [], [], [], []
         for ids, _ in _encoded([t or "" for t in batch.column(text_col).to_pylist()], encoder(path, pattern), False):
             counts.append(len(ids))
+            split.append(int(goes_on[ids].sum()) if ids else 0)
             kept.append(packed_ids(ids, path) if with_ids else None)
             ids_sha.append(hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())
-        return {"n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "ids": kept}
+        return {"n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "n_split": split, "ids": kept}
 
     return map_texts(df, [id_col, text_col], schema, run, text_col)
 

@@ -45,6 +45,25 @@ def test_spans_of_split_characters():
     assert all(a < b for a, b in spans) and {i for a, b in spans for i in range(a, b)} == {0, 1, 2, 3}
 
 
+def test_spans_and_splits_against_bytes():
+    """Where each token's bytes lie among the characters' bytes; a token splits one if it begins inside."""
+    table = {i: t for t, i in op1_bpe.ranks(public_tokenizers.path(op1_bpe.RANKS)).items()}
+    known = op1_bpe.token_bytes(public_tokenizers.path(op1_bpe.RANKS))
+    assert {i: t for i, t in enumerate(known) if t is not None} == table
+    goes_on = op1_bpe.token_starts(public_tokenizers.path(op1_bpe.RANKS))[1]
+    some = texts(300, seed=9) + ["漢字" * 30 + "🙂é\u0301ก"]
+    for text, ids in zip(some, op1_bpe.encode_texts(some)):
+        of = [k for k, c in enumerate(text) for _ in c.encode()]
+        at, spans, split = 0, [], 0
+        for i in ids:
+            spans.append((of[at], of[at + len(table[i]) - 1] + 1))
+            split += at > 0 and of[at] == of[at - 1]
+            at += len(table[i])
+        assert op1_bpe.character_spans(ids) == spans
+        assert int(goes_on[ids].sum() if ids else 0) == split
+    assert op1_bpe.character_spans([]) == []
+
+
 def test_encode_and_decode_frames(odd, empty):
     rows = {(r.doc_id, r.text): r for r in op1_bpe.decode(op1_bpe.encode(odd)).collect()}
     want = {(r.doc_id, r.text or "") for r in odd.collect()}
