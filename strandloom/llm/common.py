@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import mmap
+import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,13 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names that folder on a cluster; only where it is
-    unset (tests on one machine) a temporary folder is set in its place.
+    unset and all runs on one machine (tests), a temporary folder is set in its place.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = context._jsc.sc().getCheckpointDir().getOrElse(None) if context._jsc.sc().getCheckpointDir().isDefined() else None
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="strandloom-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -44,6 +49,49 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mounted_dir(spark: SparkSession) -> str | None:
+    """A new folder in the shared one that Python workers can open as files; None where that is a store that only Spark reads."""
+    path = shared_dir(spark)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toUri()
+    if uri.getScheme() != "file":
+        return None
+    os.makedirs(uri.getPath(), exist_ok=True)
+    return uri.getPath()
+
+
+def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays as bytes that `unpack` reads in place."""
+    head, at, parts = {}, 0, []
+    for name, a in arrays.items():
+        data = np.ascontiguousarray(a).tobytes()
+        head[name] = (a.dtype.str, len(a), at)
+        parts += [data, bytes(-len(data) % 8)]
+        at += len(data) + -len(data) % 8
+    said = pickle.dumps(head)
+    return b"".join([len(said).to_bytes(8, "little"), said, bytes(-len(said) % 8), *parts])
+
+
+def unpack(data) -> dict[str, np.ndarray]:
+    """The arrays of `pack`, from bytes or a memory map, without a copy."""
+    size = int.from_bytes(data[:8], "little")
+    base = 8 + size + -size % 8
+    return {name: np.frombuffer(data, kind, n, base + at) for name, (kind, n, at) in pickle.loads(data[8 : 8 + size]).items()}
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """A whole file or none; a task that runs again puts the same one."""
+    made = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with open(made, "wb") as f:
+        f.write(data)
+    os.replace(made, f"{folder}/{name}")
+
+
+def mapped(path: str) -> mmap.mmap:
+    with open(path, "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
 def whole_numbers(df: DataFrame, id_col: str) -> None:
     """Raise TypeError unless the ids are integers (of at most 64 bits), which operators that order documents need."""
     kind = df.schema[id_col].dataType

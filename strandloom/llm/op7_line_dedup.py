@@ -2,16 +2,18 @@
 
 Line keys are hashed to 128 bits and counted once for all documents. A sharded
 minimal perfect hash over the distinct hashes of frequent lines gives each a
-place in compact arrays: a 64-bit fingerprint, the count, and the last document.
-Documents probe these arrays for their lines; lines are never joined. Shards of
-one group fit a fixed number of bytes and are broadcast together; where there are
-more groups, the documents pass through one after the other.
+place in compact arrays: the fingerprint, the count, and the last document.
+Documents probe these arrays for their lines; lines are never joined. A small
+index is broadcast. The shards of a larger one are files in the shared folder,
+which workers map into memory as they need them, so that documents are read
+once; only where that folder can't be opened as files, shards are broadcast in
+groups of a fixed size and documents pass through once for each.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pickle
+import os
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_texts, written
+from .common import documents, map_texts, mapped, mounted_dir, pack, put_file, unpack, whole_numbers, written
 from .textvec import mix
 
 MIN_CHARS, MIN_DOCS = 40, 5
-KEYS_PER_SHARD = 1 << 16
+KEYS_PER_SHARD = 1 << 19
 #: A key takes at most 32 bytes in its shard, so that a group's broadcast has a proven bound.
 KEY_BYTES, GROUP_BYTES = 32, 32 << 20
+#: Shards that a worker keeps mapped.
+OPEN_SHARDS = 4096
 BLANK = " \t\n\v\f\r"
 NO_ID = -(1 << 63)
 
@@ -51,6 +55,18 @@ class PerfectHash:
             rest = rest[~alone[at]]
         self.size = base
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        made = {"bits": np.array([bits for bits, _, _ in self.levels], np.int64)}
+        for k, (_, packed, before) in enumerate(self.levels):
+            made |= {f"packed{k}": packed, f"before{k}": before}
+        return made
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> PerfectHash:
+        made = cls.__new__(cls)
+        made.levels = [(bits, arrays[f"packed{k}"], arrays[f"before{k}"]) for k, bits in enumerate(arrays["bits"].tolist())]
+        return made
+
     @staticmethod
     def _place(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
         return (mix(h1 + mix(h2 + np.uint64(level))) % np.uint64(bits)).astype(np.int64)
@@ -70,10 +86,11 @@ class PerfectHash:
 def _shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, last: np.ndarray) -> bytes:
     perfect = PerfectHash(h1, h2)
     place = perfect.find(h1, h2)
-    arrays = [np.empty_like(a) for a in (h2, counts, last)]
-    for made, a in zip(arrays, (h2, counts, last)):
-        made[place] = a
-    return pickle.dumps((perfect, *arrays))
+    own = {"h1": h1, "h2": h2, "counts": counts, "last": last}
+    made = {name: np.empty_like(a) for name, a in own.items()}
+    for name, a in own.items():
+        made[name][place] = a
+    return pack({**perfect.arrays(), **made})
 
 
 def line_key(line: str) -> str:
@@ -93,7 +110,7 @@ def _hashes(text: str | None, min_chars: int) -> tuple[list[int], list[bytes]]:
 
 
 def frequent_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, docs, last) of the keys that at least min_docs rows hold."""
+    """(h1, h2, docs, last) of the keys that at least min_docs documents (distinct ids) hold."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("h1", "h2", "id")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,45 +124,64 @@ def frequent_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, mi
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(ids, pa.int64())], names=schema.names)
 
     lines = df.select(F.col(f"`{id_col}`").cast("long"), f"`{text_col}`").mapInArrow(run, schema)
-    return lines.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("last")).filter(F.col("docs") >= min_docs)
+    return lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("last")).filter(F.col("docs") >= min_docs)
 
 
-def build_index(frequent: DataFrame, shards: int) -> DataFrame:
-    """(shard, data): each shard's perfect hash with its arrays."""
+def build_index(frequent: DataFrame, shards: int, folder: str | None = None) -> DataFrame:
+    """(shard, data): each shard's perfect hash with its arrays; with a folder as files there, data being null."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         data = _shard(pdf.h1.to_numpy().view(np.uint64), pdf.h2.to_numpy().view(np.uint64), np.minimum(pdf.docs.to_numpy(), 2**32 - 1).astype(np.uint32), pdf["last"].to_numpy())
-        return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "data": [data]})
+        if folder:
+            put_file(folder, str(pdf.shard.iloc[0]), data)
+        return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "data": [None if folder else data]})
 
     return frequent.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, "shard int, data binary")
 
 
 class Probe:
-    """The shards of one group on a worker."""
+    """Shards on a worker: those of a group, or all of a folder."""
 
-    def __init__(self, data: list[tuple[int, bytes]], shards: int):
-        self.shards, self.data = shards, dict(data)
-        self.open: dict = {}
+    def __init__(self, shards: int, data: dict[int, bytes] | None = None, folder: str | None = None):
+        self.shards, self.data, self.folder = shards, data, folder
+        self.open: OrderedDict = OrderedDict()
 
     def __getstate__(self):
-        return {**self.__dict__, "open": {}}
-
-    def last(self, keys: list[bytes]) -> np.ndarray:
-        """The last document that holds each key; NO_ID - that is below all - where the key isn't frequent, with a mask."""
+        return {**self.__dict__, "open": OrderedDict()}
+
+    def _opened(self, shard: int) -> tuple[PerfectHash, dict[str, np.ndarray]] | None:
+        if (known := self.open.get(shard)) is not None:
+            self.open.move_to_end(shard)
+            return known
+        if self.folder:
+            path = f"{self.folder}/{shard}"
+            arrays = unpack(mapped(path)) if os.path.exists(path) else None  # a shard without a key has no file
+        else:
+            arrays = unpack(self.data[shard]) if shard in self.data else None
+        if arrays is None:
+            return None
+        self.open[shard] = PerfectHash.of(arrays), arrays
+        if len(self.open) > OPEN_SHARDS:
+            self.open.popitem(last=False)
+        return self.open[shard]
+
+    def last(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are frequent, and the last document that holds each of those."""
         pairs = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
         h1, h2, of = pairs[:, 0].view(np.uint64), pairs[:, 1].view(np.uint64), pairs[:, 1] % self.shards
         found, last = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
-        for s in np.unique(of):
-            if s not in self.data:
+        order = np.argsort(of, kind="stable")
+        edges = np.flatnonzero(np.diff(of[order], prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            opened = self._opened(int(of[order[a]]))
+            if opened is None:
                 continue
-            if s not in self.open:
-                self.open[s] = pickle.loads(self.data[s])
-            perfect, prints, _, lasts = self.open[s]
-            own = np.flatnonzero(of == s)
+            perfect, arrays = opened
+            own = order[a:b]
             place = perfect.find(h1[own].copy(), h2[own].copy())
-            hit = (place >= 0) & (prints[np.maximum(place, 0)] == h2[own])
-            found[own] = hit
-            last[own] = lasts[np.maximum(place, 0)]
+            at = np.maximum(place, 0)
+            found[own] = (place >= 0) & (arrays["h1"][at] == h1[own]) & (arrays["h2"][at] == h2[own])
+            last[own] = arrays["last"][at]
         return found, last
 
 
@@ -169,40 +205,63 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """Per row n_lines, n_dropped and kept_text.
 
     Lines whose key has at least min_chars code points and stands in at least
-    min_docs rows go, except in the row with the largest id that holds it, where
-    they all stay. A null text is one empty line, kept as ''. A null id counts
-    as less than all others; rows of equal id count as documents of their own,
-    and each keeps its lines if the id is the largest. An empty table stays empty.
-    With `carry` the other columns stay too.
+    min_docs documents go, except in that with the largest id that holds it,
+    where they all stay. Documents are told apart by their ids, which are
+    integers (others are a TypeError): rows of equal id are one document, and
+    each of them keeps its lines if the id is the largest; rows without an id
+    are one, less than all others. A null text is one empty line, kept as ''. An
+    empty table stays empty. With `carry` the other columns stay too.
     """
+    whole_numbers(df, id_col)
     spark = df.sparkSession
     frequent = written(frequent_lines(df, id_col, text_col, min_chars, min_docs))
     keys = frequent.count()
     shards = max(1, -(-keys // KEYS_PER_SHARD))
     per_group = max(1, group_bytes // (KEY_BYTES * KEYS_PER_SHARD))
-    index = build_index(frequent, shards)
-    if shards > per_group:
-        index = written(index)
+    if shards <= per_group:
+        data = {r.shard: bytes(r.data) for r in build_index(frequent, shards).collect()} if keys else {}  # at most group_bytes
+        return _one_pass(df, id_col, text_col, min_chars, Probe(shards, data), carry)
+    if folder := mounted_dir(spark):
+        build_index(frequent, shards, folder).agg(F.count("*")).collect()
+        return _one_pass(df, id_col, text_col, min_chars, Probe(shards, folder=folder), carry)
+    return _passes(df, id_col, text_col, min_chars, written(build_index(frequent, shards)), shards, per_group, carry)
+
+
+OUT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
+
+
+def _kept(texts: list[str | None], dropped: list[set[int]]) -> dict:
+    lines = [(t or "").split("\n") for t in texts]
+    return {"n_lines": list(map(len, lines)), "n_dropped": list(map(len, dropped)), "kept_text": ["\n".join([x for i, x in enumerate(own) if i not in d] if d else own) for own, d in zip(lines, dropped)]}
+
+
+def _one_pass(df: DataFrame, id_col: str, text_col: str, min_chars: int, probe: Probe, carry: bool) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(probe)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return _kept(batch.column(text_col).to_pylist(), _drop(batch, id_col, text_col, shared.value, min_chars))
+
+    return map_texts(df, [id_col, text_col], OUT, run, text_col, carry)
+
+
+def _passes(df: DataFrame, id_col: str, text_col: str, min_chars: int, index: DataFrame, shards: int, per_group: int, carry: bool) -> DataFrame:
+    """One pass over the documents for each group of shards; the numbers of dropped lines go along."""
     marks = T.StructType([T.StructField("_lines_dropped", T.ArrayType(T.IntegerType()))])
-    out = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
     for low in range(0, shards, per_group):
-        rows = index.filter(F.col("shard").between(low, low + per_group - 1)).collect() if keys else []
-        shared = spark.sparkContext.broadcast(Probe([(r.shard, bytes(r.data)) for r in rows], shards))
+        rows = index.filter(F.col("shard").between(low, low + per_group - 1)).collect()
+        shared = df.sparkSession.sparkContext.broadcast(Probe(shards, {r.shard: bytes(r.data) for r in rows}))
         first, final = low == 0, low + per_group >= shards
 
         def run(batch: pa.RecordBatch, shared=shared, first=first, final=final) -> dict:
             dropped = _drop(batch, id_col, text_col, shared.value, min_chars)
             if not first:
                 dropped = [a.union(b or ()) for a, b in zip(dropped, batch.column("_lines_dropped").to_pylist())]
-            if not final:
-                return {"_lines_dropped": [sorted(d) for d in dropped]}
-            lines = [(t or "").split("\n") for t in batch.column(text_col).to_pylist()]
-            return {"n_lines": list(map(len, lines)), "n_dropped": list(map(len, dropped)), "kept_text": ["\n".join([x for i, x in enumerate(own) if i not in d] if d else own) for own, d in zip(lines, dropped)]}
+            return _kept(batch.column(text_col).to_pylist(), dropped) if final else {"_lines_dropped": [sorted(d) for d in dropped]}
 
         needed = [id_col, text_col] + ([] if first else ["_lines_dropped"])
         if final:
-            return map_texts(df, needed, out, run, text_col, carry).drop("_lines_dropped")
-        df = written(map_texts(df if carry else df.select(*needed), needed, marks, run, text_col, carry=True))
+            return map_texts(df, needed, OUT, run, text_col, carry).drop("_lines_dropped")
+        df = written(map_texts(df if carry else df.select(*[f"`{c}`" for c in needed]), needed, marks, run, text_col, carry=True))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,12 +42,26 @@ def test_licenses_against_sql(spark):
 
 
 def test_lines_in_many_groups_of_shards(docs, monkeypatch):
+    """A large index as files that workers map, and where there are none, group by group."""
     once = by_id(rows(op7_line_dedup.dedup_lines(docs)))
     monkeypatch.setattr(op7_line_dedup, "KEYS_PER_SHARD", 4)
     assert by_id(rows(op7_line_dedup.dedup_lines(docs, group_bytes=4 * op7_line_dedup.KEY_BYTES))) == once
+    monkeypatch.setattr(op7_line_dedup, "OPEN_SHARDS", 2)
+    assert by_id(rows(op7_line_dedup.dedup_lines(docs, group_bytes=4 * op7_line_dedup.KEY_BYTES, carry=True).select("doc_id", "n_lines", "n_dropped", "kept_text"))) == once
+    monkeypatch.setattr(op7_line_dedup, "mounted_dir", lambda spark: None)
+    assert by_id(rows(op7_line_dedup.dedup_lines(docs, group_bytes=4 * op7_line_dedup.KEY_BYTES))) == once
     assert any(r["n_dropped"] for r in once.values())
 
 
+def test_documents_are_told_apart_by_id(spark):
+    line = "a line of more than forty code points in all rows"
+    df = spark.createDataFrame([(k // 2, line) for k in range(8)], "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in op7_line_dedup.dedup_lines(df).collect())
+    assert {r.doc_id: r.n_dropped for r in op7_line_dedup.dedup_lines(df, min_docs=4).collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    with pytest.raises(TypeError):
+        op7_line_dedup.dedup_lines(df.selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+
+
 def test_lines_of_odd_rows(spark, odd, empty):
     got = op7_line_dedup.dedup_lines(odd, carry=True)
     assert got.count() == odd.count() and "SHARD" in got.columns
