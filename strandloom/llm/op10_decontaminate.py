@@ -4,27 +4,33 @@ Windows of words that a document shares with a benchmark item are seeds. On the
 words under seeds, Karp-Rabin search finds the longest matches that overlap no
 earlier one and marks them, for shorter and shorter lengths; what share of the
 item's words is marked decides. Passages whose parts stand in another order are
-found as well. The benchmark goes out in blocks of a bounded size, and all
-documents are read for each block.
+found as well. A small benchmark is broadcast. A larger one is cut into blocks
+of a bounded size: files in the shared folder, which workers map into memory, so
+that documents are read once; only where that folder can't be opened as files,
+blocks are broadcast one after the other and documents are read for each.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_texts, written
+from .common import documents, map_texts, mapped, mounted_dir, pack, put_file, shared_dir, unpack, written
 from .textvec import shingles, words
 
 MIN_MATCH, COVERAGE = 5, 0.8
 #: Bytes of benchmark text in one block (a larger item is a block of its own).
 BLOCK_BYTES = 8 << 20
+#: Places in items that are counted at once.
+MET = 1 << 21
 PRIME, RADIX = (1 << 61) - 1, 1_000_003
 OTHER = re.compile(r"\W+")
 INNER = np.zeros(256, bool)
@@ -93,76 +99,146 @@ def tiles(item: list[int], text: list[int], min_match: int = MIN_MATCH) -> list[
 
 
 class Block:
-    """Benchmark items with their seeds."""
+    """Benchmark items with their seeds, as arrays: words, and for each seed length its windows in order with item and place."""
 
-    def __init__(self, items: list[tuple[int, str | None]], min_match: int):
-        self.min_match = min_match
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.arrays = arrays
+        self.lengths = arrays["lengths"].tolist()
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str | None]], min_match: int) -> Block:
         hashes, _, _, first = words([plain(t) for _, t in items], lower=False, inner=INNER)
-        self.ids = [i for i, _ in items]
-        self.words = [hashes[a:b].tolist() for a, b in zip(first, first[1:])]
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length = defaultdict(list)
-        for k, own in enumerate(self.words):
-            if own:
-                by_length[min(min_match, len(own))].append(k)
-        for n, chosen in by_length.items():
-            flat = np.array([h for k in chosen for h in self.words[k]], np.uint64)
-            sizes = np.array([len(self.words[k]) for k in chosen])
-            windows, at = shingles(flat, np.concatenate([[0], np.cumsum(sizes)]), n)
-            of = np.repeat(chosen, np.diff(at))
-            place = np.arange(len(windows)) - np.repeat(at[:-1], np.diff(at))
+        sizes = np.diff(first)
+        made = {"ids": np.array([i for i, _ in items], np.int64), "words": hashes, "first": first.astype(np.int64)}
+        by_length = np.minimum(sizes, min_match)
+        lengths = sorted(set(by_length[sizes > 0].tolist()))
+        for n in lengths:
+            chosen = np.flatnonzero(by_length == n)
+            flat = np.concatenate([hashes[first[k] : first[k + 1]] for k in chosen])
+            windows, at = shingles(flat, np.concatenate([[0], np.cumsum(sizes[chosen])]), n)
             order = np.argsort(windows, kind="stable")
-            self.seeds[n] = (windows[order], of[order], place[order])
-        self.seen = {n: np.zeros(1 << 20, bool) for n in self.seeds}
-        for n, (windows, _, _) in self.seeds.items():
-            self.seen[n][(windows >> np.uint64(44)).astype(np.int64)] = True
+            made[f"windows{n}"] = windows[order]
+            made[f"of{n}"] = np.repeat(chosen, np.diff(at))[order].astype(np.int32)
+            made[f"place{n}"] = (np.arange(len(windows)) - np.repeat(at[:-1], np.diff(at)))[order].astype(np.int32)
+            seen = np.zeros(1 << 20, bool)
+            seen[(windows >> np.uint64(44)).astype(np.int64)] = True
+            made[f"seen{n}"] = seen
+        return cls({**made, "lengths": np.array(lengths, np.int64)})
 
-    def hits(self, texts: list[str | None], coverage: float) -> list[list[tuple[float, int]]]:
+    def _pairs(self, n: int, windows: np.ndarray, text: np.ndarray, coverage: float) -> list[tuple[int, int]]:
+        """(text, item) with so many distinct seeds in common that tiles may reach the coverage."""
+        new = np.ones(len(windows), bool)
+        order = np.lexsort((windows, text))
+        windows, text = windows[order], text[order]
+        new[1:] = (windows[1:] != windows[:-1]) | (text[1:] != text[:-1])  # a window that a text repeats counts once
+        windows, text = windows[new], text[new]
+        known, of = self.arrays[f"windows{n}"], self.arrays[f"of{n}"]
+        low, high = np.searchsorted(known, windows, "left"), np.searchsorted(known, windows, "right")
+        sizes, out = np.diff(self.arrays["first"]), []
+        edges = [0, *(np.flatnonzero(np.diff(text)) + 1).tolist(), len(text)]
+        for a, b in zip(edges, edges[1:]):
+            # Counted piece by piece, so that seeds of very many items take bounded memory.
+            met = np.zeros(len(sizes), np.int64)
+            reps = high[a:b] - low[a:b]
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(reps) // MET)) + 1).tolist(), len(reps)]
+            for c, d in zip(cuts, cuts[1:]):
+                own = reps[c:d]
+                at = np.repeat(low[a + c : a + d] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                met += np.bincount(of[at], minlength=len(sizes))
+            # A seed that an item holds twice is met at both places. Each covers n words at most.
+            out += [(int(text[a]), int(k)) for k in np.flatnonzero((met > 0) & (met * n >= coverage * sizes))]
+        return out
+
+    def hits(self, hashes: np.ndarray, first: np.ndarray, coverage: float) -> list[list[tuple[float, int]]]:
         """For each text (share of the item's words under tiles, item id) of the items that reach the coverage."""
-        hashes, _, _, first = words([plain(t) for t in texts], lower=False, inner=INNER)
-        out: list[list[tuple[float, int]]] = [[] for _ in texts]
-        for n, (windows, of, place) in self.seeds.items():
+        out: list[list[tuple[float, int]]] = [[] for _ in range(len(first) - 1)]
+        starts = self.arrays["first"]
+        for n in self.lengths:
             own, at = shingles(hashes, first, n)
-            maybe = np.flatnonzero(self.seen[n][(own >> np.uint64(44)).astype(np.int64)])
-            low, high = np.searchsorted(windows, own[maybe], "left"), np.searchsorted(windows, own[maybe], "right")
-            maybe, low, high = maybe[high > low], low[high > low], high[high > low]
+            known = self.arrays[f"windows{n}"]
+            maybe = np.flatnonzero(self.arrays[f"seen{n}"][(own >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(known, own[maybe]), len(known) - 1)
+            maybe = maybe[known[place] == own[maybe]]
             if not len(maybe):
                 continue
             text = np.searchsorted(at, maybe, "right") - 1
-            shared = defaultdict(lambda: (set(), set()))
-            for window, t, a, b in zip(maybe.tolist(), text.tolist(), low.tolist(), high.tolist()):
-                start = window - int(at[t])
-                for s in range(a, b):
-                    in_item, in_text = shared[t, int(of[s])]
-                    in_item.add(int(place[s]))
-                    in_text.add(start)
-            for (t, k), (in_item, in_text) in shared.items():
-                item = self.words[k]
+            for t, k in self._pairs(n, own[maybe], text, coverage):
+                item = self.arrays["words"][starts[k] : starts[k + 1]]
+                seeds = shingles(item, np.array([0, len(item)]), n)[0]
+                here = maybe[np.searchsorted(text, t, "left") : np.searchsorted(text, t, "right")]
+                here = here[np.isin(own[here], seeds)]
                 # Tiles lie under seeds, so that fewer words under seeds can't reach the coverage.
-                if len({p + j for p in in_item for j in range(n)}) < coverage * len(item):
+                if _under(np.flatnonzero(np.isin(seeds, own[here])), n, len(item)).sum() < coverage * len(item):
                     continue
-                under = sorted({p + j for p in in_text for j in range(n)})
-                base, part, before = int(first[t]), [], -2
-                for p in under:
-                    if p != before + 1 and part:
-                        part.append(-1)  # no tile runs over words that no seed covers
-                    part.append(int(hashes[base + p]))
-                    before = p
-                covered = sum(x for _, _, x in tiles(item, part, n)) / len(item)
+                size = int(first[t + 1] - first[t])
+                under = np.flatnonzero(_under(here - at[t], n, size))
+                part: list[int] = []
+                for run in np.split(under, np.flatnonzero(np.diff(under) > 1) + 1):
+                    part += [-1] * bool(part)  # no tile runs over words that no seed covers
+                    part += hashes[first[t] + run].tolist()
+                covered = sum(x for _, _, x in tiles(item.tolist(), part, n)) / len(item)
                 if covered >= coverage:
-                    out[t].append((covered, self.ids[k]))
+                    out[t].append((covered, int(self.arrays["ids"][k])))
         return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_bytes: int):
-    """The benchmark's items in blocks, one after the other."""
-    size = F.coalesce(F.octet_length(item_text_col), F.lit(0))
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
+def _under(seeds: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Which of `size` words lie under seeds of n words that begin at the given places."""
+    edge = np.zeros(size + n + 1, np.int64)
+    np.add.at(edge, seeds, 1)
+    np.add.at(edge, seeds + n, -1)
+    return np.cumsum(edge)[:size] > 0
+
+
+class Blocks:
+    """Blocks on a worker: given as arrays, or as files that are mapped when they are needed."""
+
+    def __init__(self, packed: list[bytes], paths: list[str]):
+        self.packed, self.paths, self.open = packed, paths, {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "open": {}}
+
+    def hits(self, texts: list[str | None], coverage: float) -> list[list[tuple[float, int]]]:
+        hashes, _, _, first = words([plain(t) for t in texts], lower=False, inner=INNER)
+        out: list[list[tuple[float, int]]] = [[] for _ in texts]
+        for k in range(len(self.packed) + len(self.paths)):
+            if k not in self.open:
+                self.open[k] = Block(unpack(self.packed[k] if k < len(self.packed) else mapped(self.paths[k - len(self.packed)])))
+            for own, more in zip(out, self.open[k].hits(hashes, first, coverage)):
+                own += more
+        return out
+
+
+def _packed(rows: list[tuple], min_match: int) -> bytes:
+    items = sorted([(r[0], r[1]) for r in rows if r[0] is not None and r[1]], key=lambda r: (r[0], r[1]))
+    return pack(Block.of(items, min_match).arrays)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_bytes: int) -> Iterator[Blocks]:
+    """The benchmark, as one set of blocks, or (without a folder for files) as one after the other."""
+    item, text = F.col(f"`{item_col}`"), F.col(f"`{item_text_col}`")
+    items = benchmark.select(item.cast("long").alias("item"), text.alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
-    part = F.pmod(F.xxhash64(item_col, item_text_col), F.lit(count))
-    for k in range(count):
-        rows = benchmark.filter(part == k).select(item_col, item_text_col).collect()
-        yield Block(sorted([(r[0], r[1]) for r in rows if r[0] is not None], key=lambda r: (r[0], r[1] or "")), min_match), k + 1 == count
+    if count == 1:
+        yield Blocks([_packed(items.collect(), min_match)], [])  # at most block_bytes
+        return
+    parted = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int"))
+    if folder := mounted_dir(benchmark.sparkSession):
+
+        def put(pdf: pd.DataFrame) -> pd.DataFrame:
+            put_file(folder, str(pdf.part.iloc[0]), _packed(list(zip(pdf.item.tolist(), pdf.text.tolist())), min_match))
+            return pdf[["part"]].head(1)
+
+        parts = sorted(r[0] for r in parted.groupBy("part").applyInPandas(put, "part int").collect())
+        yield Blocks([], [f"{folder}/{k}" for k in parts])
+        return
+    path = shared_dir(benchmark.sparkSession)
+    parted.write.partitionBy("part").parquet(path)
+    for k in range(count):  # each reads its own folder only
+        rows = benchmark.sparkSession.read.schema(parted.schema).parquet(path).filter(F.col("part") == k).select("item", "text").collect()
+        yield Blocks([_packed(rows, min_match)], [])
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -177,7 +253,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """
     marks = T.StructType([T.StructField("_item_hits", T.ArrayType(T.StructType([T.StructField("c", T.DoubleType()), T.StructField("i", T.LongType())])))])
     first = True
-    for block, final in _blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
+    for block in _blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
+        if not first:
+            df = written(df)
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batch: pa.RecordBatch, shared=shared, first=first) -> dict:
@@ -187,8 +265,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
         needed = [id_col, text_col] + ([] if first else ["_item_hits"])
         df = map_texts(df if carry or not first else df.select(f"`{id_col}`", f"`{text_col}`"), needed, marks, run, text_col, carry=True)
-        if not final:
-            df = written(df)
         first = False
     hits = F.col("_item_hits")
     best = F.try_element_at(F.array_sort(F.transform(hits, lambda h: F.struct((-h["c"]).alias("c"), h["i"].alias("i")))), F.lit(1))

@@ -1,4 +1,5 @@
 import random
+import re
 
 from strandloom.llm import op10_decontaminate as tiling
 
@@ -39,6 +40,61 @@ def table(spark, rows, name="doc_id"):
     return spark.createDataFrame(rows, f"{name} long, text string")
 
 
+def expected(docs, items, least=tiling.MIN_MATCH, coverage=tiling.COVERAGE):
+    """{doc: {item: coverage}} by tiling every text with every item, without seeds."""
+    split = lambda t: [w for w in re.findall(r"[a-z0-9_]+", (t or "").lower())]
+    out = {}
+    for i, text in docs:
+        own = {}
+        for k, item in items:
+            words = split(item)
+            if k is not None and words:
+                covered = naive(words, split(text), min(least, len(words))) / len(words)
+                if covered >= coverage:
+                    own[k] = max(own.get(k, 0), covered)
+        out[i] = own
+    return out
+
+
+def test_hits_against_brute_force(spark, monkeypatch):
+    """Which items are found and how far they are covered, with one block, with many, and with blocks one after the other."""
+    rng = random.Random(6)
+    draw = lambda n: [f"w{rng.randint(0, 25)}" for _ in range(n)]
+    common = draw(7)
+    items = [(k, " ".join((common if k % 3 == 0 else []) + draw(rng.choice([2, 4, 5, 9, 14])))) for k in range(30)] + [(30, None), (None, "w1 w2"), (31, ""), (3, "w3 w4 w5")]
+    docs = [(100, None), (101, ""), (102, " ".join(common * 40))]
+    for d in range(60):
+        parts = [draw(rng.randint(0, 6)) for _ in range(2)]
+        for _ in range(rng.randint(0, 3)):
+            words = (rng.choice(items)[1] or "w9").split()
+            a = rng.randint(0, len(words))
+            parts.append(rng.choice([words, words[a:] + words[:a], words[: max(1, len(words) - 2)], words[:a] + ["x"] + words[a:]]))
+        rng.shuffle(parts)
+        docs.append((d, " ".join(w for p in parts for w in p)))
+    want = expected(docs, items)
+    shape = table(spark, docs), table(spark, items, "item_id")
+    monkeypatch.setattr(tiling, "MET", 16)
+    for block_bytes, mounted in ((1 << 20, True), (300, True), (300, False)):
+        if not mounted:
+            monkeypatch.setattr(tiling, "mounted_dir", lambda spark: None)
+        for r in tiling.decontaminate(*shape, block_bytes=block_bytes).collect():
+            own = want[r.doc_id]
+            assert r.item_ids == sorted(own) and r.contaminated == bool(own) and r.n_items == len(own)
+            assert r.best_coverage == round(max(own.values(), default=0), 6)
+            assert r.best_item == min((k for k in own if own[k] == max(own.values())), default=None)
+    assert sum(map(bool, want.values())) > 20
+
+
+def test_long_and_repetitive_texts(spark):
+    """One word repeated, one very long word, and a passage that every item and document shares."""
+    passage = " ".join(f"shared{k}" for k in range(50))
+    items = [(k, f"{passage} own{k} more{k} words{k} of{k} it{k}") for k in range(300)] + [(1000, "yes " * 60)]
+    docs = [(1, "yes " * 30_000), (2, "z" * 200_000), (3, (passage + " ") * 50), (4, passage + " own7 more7 words7 of7 it7")]
+    got = {r.doc_id: r for r in tiling.decontaminate(table(spark, docs), table(spark, items, "item_id")).collect()}
+    assert got[1].item_ids == [1000] and got[2].item_ids == []
+    assert got[3].n_items == 300 and got[4].n_items == 300 and got[4].best_item == 7 and got[4].best_coverage == 1
+
+
 def test_reordered_and_partial_passages(spark):
     words = [f"word{k}" for k in range(40)]
     item = " ".join(words)
