@@ -197,12 +197,13 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
     return df.select(id_col, ids_col).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False, carry: bool = False) -> DataFrame:
     """Encode each text and decode its ids; return digests of both.
 
     n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256, and
     n_split (tokens that begin within a character) for every row; a null text
-    counts as empty. with_ids adds the ids as `packed_ids` makes them.
+    counts as empty. with_ids adds the ids as `packed_ids` makes them. With
+    `carry` the other columns stay too.
     """
     path = path or public_tokenizers.path(RANKS)
     schema = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_split", T.LongType())])
@@ -221,7 +222,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             decoded_sha.append(hashlib.sha256(decode_ids(ids, path)).hexdigest())
         return {"n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "n_split": split, "ids": kept}
 
-    return map_texts(df, [id_col, text_col], schema, run, text_col)
+    return map_texts(df, [id_col, text_col], schema, run, text_col, carry)
 
 
 @functools.cache

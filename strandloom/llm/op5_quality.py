@@ -126,26 +126,31 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Machine:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str = "n_chars", per_class: int = PER_CLASS) -> Machine | None:
     """A machine from at most per_class labelled rows of each class, chosen by a hash of their ids and weighted back to the classes' shares.
 
-    None if no labelled row of `labels` has a row in `df`.
+    Only labels 0 and 1 count. Of labels that repeat an id the least counts, of
+    rows that repeat it the one whose text has the least hash. None if no
+    labelled row of `labels` has a row in `df`.
     """
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20))
-    labels = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("_label"))
-    counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 20))
+    labels = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    labels = labels.groupBy("id").agg(F.min("label").alias("label"))
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
-        share = F.when(F.col("_label") == label, F.lit(min(1.0, 1.2 * per_class / n))).otherwise(share)
+        share = F.when(F.col("label") == label, F.lit(min(1.0, 1.2 * per_class / n))).otherwise(share)
     # Bounded: about per_class rows of each class, and never more than twice that.
     chosen = labels.filter(draw < share * (1 << 20)).limit(4 * per_class)
     schema = T.StructType([T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts, chars = batch.column(text_col).to_pylist(), batch.column(chars_col).to_pylist()
+        texts, chars = batch.column("text").to_pylist(), batch.column("chars").to_pylist()
         x = np.concatenate([features(texts[a : a + BLOCK], chars[a : a + BLOCK]) for a in range(0, len(texts), BLOCK)])
         at = [np.flatnonzero(r) for r in x]
         return {"at": [i.astype(np.uint16).tobytes() for i in at], "value": [r[i].tobytes() for r, i in zip(x, at)]}
 
-    sampled = df.select(id_col, text_col, chars_col).join(F.broadcast(chosen), id_col).withColumn("_draw", draw)
-    rows = map_texts(sampled, [id_col, text_col, chars_col], schema, run, text_col, carry=True).select("_label", "_draw", "at", "value").collect()
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{chars_col}`").alias("chars"))
+    sampled = own.join(F.broadcast(chosen), "id").withColumn("draw", draw).withColumn("hash", F.xxhash64("text"))
+    made = map_texts(sampled, ["id", "text", "chars"], schema, run, "text", carry=True)
+    rows = made.groupBy("id", "label", "draw").agg(F.min(F.struct("hash", "at", "value")).alias("x")).select("label", "draw", "x.at", "x.value").collect()
     rows.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
     rows = [r for _, own in itertools.groupby(rows, key=lambda r: r[0]) for r in itertools.islice(own, per_class)]
     if not rows:

@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 
 from strandloom.llm import op2_language, op5_quality
@@ -73,6 +77,64 @@ def test_sum_of_squares_identity():
     assert np.allclose(machine.margin(x), 0.5 + x @ machine.weights + pairs)
 
 
+def plain_features(text, chars):
+    """{input: value} of one text, byte by byte and word by word."""
+    data = (text or "").encode("utf-8", "replace")
+    words, spans, at = [], [], 0
+    for w in re.split(rb"[ \t-\r]+", data):
+        if w:
+            at = data.index(w, at)
+            spans.append((at, at + len(w)))
+            words.append(bytes(b + 32 if 65 <= b <= 90 else b for b in w))
+            at += len(w)
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def hashed(w):
+        x = sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(w)) & mask
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    tally = Counter(hashed(w) >> 64 - op5_quality.BITS for w in words)
+    n, found = max(len(words), 1), {}
+    found |= {k: (v / n) ** 0.5 for k, v in tally.items()}
+    kinds = [sum(data.count(bytes([b])) for b in kind) for kind in op5_quality.KINDS]
+    k = len(kinds)
+    extra = [v / max(len(data), 1) for v in kinds]
+    extra += [sum(a == b for a, b in zip(words, words[1:])) / n, len(tally) / min(n, 1 << op5_quality.BITS), sum(b - a for a, b in spans) / n / 20, sum(b - a > 15 for a, b in spans) / n]
+    extra += [math.log1p(len(words)) / 10, math.log1p(kinds[op5_quality.KINDS.index(b"\n\r")]) / 10, float(not words), math.log1p(max(chars, 0)) / 12 if chars is not None else 0.0, float(chars is None)]
+    assert len(extra) == k + 9
+    return found | {(1 << op5_quality.BITS) + j: v for j, v in enumerate(extra)}
+
+
+def test_scores_against_plain_sums(spark, odd):
+    """Every score anew from the machine's weights: all pairs of inputs, one by one."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "n_chars").filter("n_chars < 800").limit(25)
+    machine = op5_quality.fit(docs, labels)
+    some = docs.union(odd.select("doc_id", "text", "n_chars").filter("coalesce(n_chars, 0) < 5000"))
+    got = {(r.doc_id, r.score) for r in op5_quality.score(some, machine).collect()}
+    want = set()
+    for r in some.collect():
+        x = sorted((i, v) for i, v in plain_features(r.text, r.n_chars).items() if v)
+        vectors, weights = machine.vectors.astype(float), machine.weights.astype(float)
+        margin = machine.bias + sum(weights[i] * v for i, v in x) + sum(v * w * float(vectors[i] @ vectors[j]) for a, (i, v) in enumerate(x) for j, w in x[:a])
+        want.add((r.doc_id, 1 / (1 + math.exp(-min(max(margin, -30), 30)))))
+    close = lambda rows: sorted((str(i), s) for i, s in rows)
+    assert [i for i, _ in close(got)] == [i for i, _ in close(want)]
+    assert np.allclose([s for _, s in close(got)], [s for _, s in close(want)], atol=2e-4)
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(k, f"text of some words {k}", 20) for k in range(40)]
+    docs = spark.createDataFrame([*rows, *rows[:10] * 30, (0, "another text", 5)], "doc_id long, text string, n_chars long")
+    once = spark.createDataFrame(rows, docs.schema)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    twice = labels.union(labels)
+    one, other = op5_quality.fit(once, labels), op5_quality.fit(docs, twice)
+    assert np.array_equal(one.weights, other.weights) and one.bias == other.bias
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (8, 1), (7, 0), (5, 0), (2, None), (None, 1)], "doc_id long, quality int")
     machine = op5_quality.fit(odd, labels)
