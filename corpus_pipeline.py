@@ -2,7 +2,8 @@
 
 Each stage takes what the one before it kept, read again from Parquet. A null in
 any column is allowed: a null text counts as empty, and rows with a null doc_id
-pass the stage that compares documents.
+pass the stage that compares documents. Further columns of documents, whatever
+their names, go through all stages unchanged.
 """
 
 from __future__ import annotations
@@ -20,41 +21,72 @@ LEAST_TYPICAL = 0.5
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+class _Documents:
+    """Documents under names of their own, so that none is that of a column which an operator makes."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.name = {c: f"document_column_{k}" for k, c in enumerate(docs.columns)}
+        self.rows = docs.toDF(*self.name.values())
+        self.id, self.text = self.name["doc_id"], self.name["text"]
+
+    def back(self, made: DataFrame, **new) -> DataFrame:
+        """The columns of documents under their old names; `new` has those that changed."""
+        return made.select(*[(new[c] if c in new else F.col(own)).alias(c) for c, own in self.name.items()])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told."""
-    model = op2_language.fit(docs.filter(op2_language.fold("doc_id", 3) != 1), "doc_id", "text", "lang")
-    told = op2_language.predict(docs, model, carry=True, typical=True)
-    kept = told.filter((F.col("lang_pred") != op2_language.UNDETERMINED) & (F.col("typical") >= LEAST_TYPICAL))
-    return kept.select(*docs.columns)
+    own = _Documents(docs)
+    model = op2_language.fit(own.rows.filter(op2_language.fold(own.id, 3) != 1), own.id, own.text, own.name["lang"])
+    told = op2_language.predict(own.rows, model, own.id, own.text, carry=True, typical=True)
+    return own.back(told.filter((F.col("lang_pred") != op2_language.UNDETERMINED) & (F.col("typical") >= LEAST_TYPICAL)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that many documents share; the documents stay, with the rest of their text."""
-    kept = op7_line_dedup.dedup_lines(docs, carry=True)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    own = _Documents(docs)
+    kept = op7_line_dedup.dedup_lines(own.rows, own.id, own.text, carry=True)
+    return own.back(kept, text=F.col("kept_text"), n_chars=F.length("kept_text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near duplicates; of rows that repeat a doc_id, one."""
-    linked = op4_jaccard.link_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    stay = linked.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().withColumn("_stays", F.lit(True))
-    kept = docs.join(stay, "doc_id", "left").filter(F.col("_stays") | F.col("doc_id").isNull())
-    if not linked.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").isEmpty():
-        alone = F.row_number().over(W.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-        kept = kept.withColumn("_row", alone).filter((F.col("_row") == 1) | F.col("doc_id").isNull())
-    return kept.select(*docs.columns)
+    """Keep one document of each group of near duplicates: that with the least doc_id.
+
+    Rows that repeat a doc_id with another text are documents of their own; of
+    rows with equal doc_id and text one stays.
+    """
+    own = _Documents(docs)
+    key = F.when(F.col(own.id).isNotNull(), F.struct(F.col(own.id).alias("id"), F.sha2(F.coalesce(F.col(own.text), F.lit("")), 256).alias("text")))
+    rows = own.rows.withColumn("key", key)
+    linked = op4_jaccard.link_components(rows, "key", own.text, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    stay = linked.filter(F.col("key") == F.col("component_id")).select("key").distinct().withColumn("stays", F.lit(True))
+    kept = rows.join(stay, "key", "left").filter(F.col("stays") | F.col("key").isNull())
+    if not linked.filter("key IS NOT NULL").groupBy("key").count().filter("count > 1").isEmpty():
+        alone = F.row_number().over(W.partitionBy("key").orderBy(*own.name.values()))
+        kept = kept.withColumn("row", alone).filter((F.col("row") == 1) | F.col("key").isNull())
+    return own.back(kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    marked = op10_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
-    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+    own = _Documents(docs)
+    marked = op10_decontaminate.decontaminate(own.rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), own.id, own.text, carry=True)
+    return own.back(marked.filter(~F.col("contaminated")))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, and digests of them and of what they decode to."""
-    return op1_bpe.round_trip(docs, with_ids=True)
+    """The token ids of every text, and digests of them and of what they decode to.
+
+    The columns of documents but the text stay; one that has a name of those made
+    here gets `document_` in front.
+    """
+    own = _Documents(docs)
+    made = op1_bpe.round_trip(own.rows, own.id, own.text, with_ids=True, carry=True)
+    new = [c for c in made.columns if c not in own.name.values()]
+    taken = {c.lower() for c in new}
+    kept = [F.col(n).alias(f"document_{c}" if c.lower() in taken else c) for c, n in own.name.items() if c != "text"]
+    return made.select(*kept, *new)
 
 
 STAGES = [
