@@ -1,7 +1,17 @@
+import hashlib
+import re
+from collections import defaultdict
+
 import corpus_pipeline
 import numpy as np
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_bpe_and_counts import reference
+from test_jaccard import brute
+from test_tiling import expected
+
+from strandloom.llm.common import shared_dir
 
 
 def test_stages(spark):
@@ -28,6 +38,80 @@ def test_stages(spark):
     assert sizes == sorted(sizes, reverse=True)
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage's rows, from its own input, by plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    again = docs.filter("doc_id < 5").withColumn("text", F.array_join(F.reverse(F.split("text", r"\s+")), " "))
+    now = docs.union(docs.filter("doc_id < 3")).union(again)
+
+    def rows(df):
+        return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, after = rows(now), stage(spark, now, SF)
+        path = shared_dir(spark)
+        after.write.parquet(path)
+        now = spark.read.parquet(path)
+        got = sorted(rows(now))
+        if name == "language_id":
+            assert set(got) <= set(before) and not [t for _, t in set(before) - set(got) if len(set(t.split())) > 20]
+        elif name == "line_dedup":
+            assert got == sorted(plain_lines(before))
+        elif name == "ngram_jaccard_join":
+            unique = {(i, hashlib.sha256(t.encode()).hexdigest()): t for i, t in before}  # of equal rows one stays, and the least of a component
+            label = {k: c for (k, _, c) in brute(list(unique.items()), 5, 80)}
+            assert got == sorted((k[0], t) for k, t in unique.items() if label[str(k)] == str(k))
+        else:
+            hits = expected([(k, t) for k, (_, t) in enumerate(before)], items)
+            assert got == sorted(d for k, d in enumerate(before) if not hits[k])
+    assert len({i for i, _ in got}) < len(got)  # an id with two texts
+
+
+def plain_lines(rows):
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\v\f\r"))
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in text.split("\n"):
+            holders[key(line)].add(i)
+    gone = lambda i, line: len(key(line)) >= 40 and len(holders[key(line)]) >= 5 and max(holders[key(line)]) != i
+    return [(i, "\n".join(x for x in text.split("\n") if not gone(i, x))) for i, text in rows]
+
+
+MADE = "1 AS score, 'x' AS LANG_PRED, 2 AS typical, 3 AS n_lines, 4 AS kept_text, 5 AS contaminated, 6 AS component_id, 7 AS `key`, 8 AS ids, 9 AS N_tokens, 10 AS `a.b`, 11 AS stays, 12 AS `row`"
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like those that operators make keep their values through all stages."""
+    now = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *MADE.split(", "))
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        now = spark.createDataFrame(stage(spark, now, SF).collect(), stage(spark, now, SF).schema)
+        if name != "byte_bpe":
+            assert now.columns == columns
+            assert now.select(*[f"`{c}`" for c in columns[5:]]).distinct().collect() == [(1, "x", 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)]
+    assert now.select("document_ids", "document_N_tokens", "score", "`a.b`").distinct().collect() == [(8, 9, 1, 10)]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_tables(spark, odd, empty, stage):
+    """No rows, nulls in every column, one very long text, repeated rows."""
+    name, run = corpus_pipeline.STAGES[stage]
+    none = run(spark, empty, SF)
+    assert none.count() == 0
+    got = run(spark, odd, SF)
+    assert got.count() <= odd.count()
+    kept = {r.doc_id for r in got.collect()}
+    if name == "ngram_jaccard_join":
+        assert kept == {r.doc_id for r in odd.collect()} and got.filter("doc_id = 1").count() == 1
+    elif name == "language_id":
+        assert not {2, 3, 4, 5} & kept
+    else:
+        assert got.count() == odd.count()
+    only_null = spark.createDataFrame([(None,) * 5] * 3, empty.schema)
+    assert run(spark, only_null, SF).count() == (0 if name == "language_id" else 3)
+
+
 def test_run_and_registry(spark):
     import __spark_entry__
 
