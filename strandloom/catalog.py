@@ -112,7 +112,7 @@ def adjacent_snp_read_intersect(spark, sf_dir):
     return reads.adjacent_reads(_reads(spark, sf_dir))
 
 
-@_query(_with(_READS) + """, point AS (SELECT DISTINCT chrom, snp_idx FROM a WHERE snp_idx % 3 = 0)
+@_query(_with(_READS) + """, point AS (SELECT DISTINCT chrom, snp_idx FROM a)
 SELECT span.chrom, span.rid, point.snp_idx AS pos FROM span JOIN point
   ON span.chrom = point.chrom AND point.snp_idx BETWEEN span.first AND span.last""")
 def read_snp_overlap(spark, sf_dir):
@@ -313,17 +313,25 @@ def block_merge(spark, sf_dir):
     return blocks.block_merge(made, blocks.block_connect(own, made))
 
 
-_AUTO = ",".join(_words_sql(f"w{k}", k + 1) for k in (2, 3, 4, 5))
-_AUTO_SQL = _with(_READS, _AUTO) + ", scored AS (" + " UNION ALL ".join(f"""
-SELECT size.chrom, {k} AS k, CASE WHEN joined = n_snp - {k} THEN 'Infinity'::DOUBLE ELSE
-  100.0::DOUBLE * ((good::DOUBLE / all_edges) - edges::DOUBLE / ((n_snp - {k}) * {1 << (k + 1)})) / (5.0::DOUBLE * (n_snp - {k} - joined) / (n_snp - {k})) END AS score
-FROM size JOIN (SELECT chrom, sum(greatest(n - {k}, 0)) AS all_edges FROM (SELECT chrom, rid, count(*) AS n FROM a GROUP BY ALL) GROUP BY ALL) USING (chrom)
-JOIN (SELECT chrom, count(*) AS good FROM w{k}_half GROUP BY ALL) USING (chrom)
-JOIN (SELECT chrom, count(*) AS edges, count(DISTINCT s) AS joined FROM (SELECT DISTINCT chrom, s, w FROM w{k}_half) GROUP BY ALL) USING (chrom)""" for k in (2, 3, 4, 5)) + """)
-SELECT chrom, k, round(score, 6) AS score, NOT EXISTS (SELECT 1 FROM scored o WHERE o.chrom = s.chrom AND (o.score > s.score OR o.score = s.score AND o.k < s.k)) AS chosen FROM scored s"""
-
-
-@_query(_AUTO_SQL)
+def _auto_sql() -> str:
+    """Reads as lists; a word of K calls is usable without a gap, and so is the edge that ends with it, a gap before it read as 0."""
+    each = " UNION ALL ".join(f"""
+SELECT size.chrom, {k} AS k, n_snp - {k} AS ranks,
+  (SELECT sum(len(x) - {k} + 1) FROM l WHERE l.chrom = size.chrom AND len(x) >= {k}) AS words,
+  (SELECT count(*) FROM w WHERE w.chrom = size.chrom AND list_min(list_slice(x, i - {k - 1}, i)) >= 0 AND i >= {k}) AS usable,
+  (SELECT count(DISTINCT (first + i - {k + 1}, list_transform(list_slice(x, i - {k}, i), lambda c: c = 1))) FROM w WHERE w.chrom = size.chrom AND list_min(list_slice(x, i - {k - 1}, i)) >= 0 AND i > {k}) AS edges,
+  (SELECT count(DISTINCT first + i - {k + 1}) FROM w WHERE w.chrom = size.chrom AND list_min(list_slice(x, i - {k - 1}, i)) >= 0 AND i > {k}) AS joined
+FROM size""" for k in (2, 3, 4, 5))
+    return _with(_READS, f"""
+l AS (SELECT chrom, rid, min(snp_idx) AS first, list(allele ORDER BY snp_idx) AS x FROM a GROUP BY ALL),
+w AS (SELECT chrom, first, x, unnest(range(1, len(x) + 1)) AS i FROM l),
+measured AS ({each}),
+scored AS (SELECT chrom, k, usable::DOUBLE / words - edges::DOUBLE / ((2 << k) * ranks) AS over, (ranks - joined)::DOUBLE / ranks AS apart FROM measured),
+final AS (SELECT chrom, k, CASE WHEN apart <> 0 THEN 100 * over / (5 * apart) WHEN over > 0 THEN 'Infinity'::DOUBLE WHEN over < 0 THEN '-Infinity'::DOUBLE END AS score FROM scored)""") + """
+SELECT chrom, k, round(score, 6) AS score, k = coalesce((SELECT arg_min(o.k, (-o.score, o.k)) FROM final o WHERE o.chrom = f.chrom AND o.score > 0), 2) AS chosen FROM final f"""
+
+
+@_query(_auto_sql())
 def auto_k(spark, sf_dir):
     return kmers.auto_k(_reads(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
@@ -338,7 +346,7 @@ def _register_solver(k: int) -> None:
     _query(name="phase_end_to_end" + tail)(lambda spark, sf_dir: phasing.phase(derived.alleles(spark, sf_dir), k))
 
 
-for _k in (2, 3):
+for _k in phasing.ALLOWED_K:
     _register_solver(_k)
 
 
@@ -385,7 +393,7 @@ def snp_index(spark, sf_dir):
     return rows.withColumn("snp_idx", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "rid")) - 1).cast("long"))
 
 
-@_query(_with(_READS) + """, v AS (SELECT DISTINCT chrom, snp_idx * 10 AS pos, snp_idx FROM a WHERE snp_idx % 7 = 0), q AS (SELECT DISTINCT chrom, snp_idx * 10 + 3 AS point FROM a)
+@_query(_with(_READS) + """, v AS (SELECT DISTINCT chrom, snp_idx * 10 AS pos, snp_idx FROM a), q AS (SELECT DISTINCT chrom, snp_idx * 10 + 3 AS point FROM a)
 SELECT q.chrom, q.point, coalesce((SELECT min(v.snp_idx) FROM v WHERE v.chrom = q.chrom AND v.pos >= q.point), -1) AS snp_idx FROM q""")
 def snp_lower_bound(spark, sf_dir):
     own = _reads(spark, sf_dir).select("chrom", "snp_idx").distinct()

@@ -41,23 +41,26 @@ def _inside(reads: DataFrame, blocks: DataFrame) -> DataFrame:
     return calls.join(blocks, ["chrom", "block", "snp_idx"]).select("chrom", "block", "rid", "snp_idx", F.when(F.col("allele") >= 0, (F.col("allele") != F.col("phase")).cast("long")).alias("wrong"))
 
 
-def _delta(reads: DataFrame, blocks: DataFrame, turned) -> DataFrame:
-    calls = _inside(reads, blocks)
-    # A read has few calls, so that its calls with its own pivots stay few.
-    pivots = calls.select("chrom", "block", "rid", F.col("snp_idx").alias("pivot"))
-    both = calls.join(pivots, ["chrom", "block", "rid"]).withColumn("new", F.when(turned, 1 - F.col("wrong")).otherwise(F.col("wrong")))
-    each = both.groupBy("chrom", "block", "pivot", "rid").agg(F.sum("wrong").alias("old_wrong"), F.sum("new").alias("new_wrong"), F.count("wrong").alias("n"))
-    return each.groupBy("chrom", "block", "pivot").agg(F.sum(F.least("old_wrong", F.col("n") - F.col("old_wrong"))).alias("old_mec"), F.sum(F.least("new_wrong", F.col("n") - F.col("new_wrong"))).alias("new_mec"))
+def _delta(reads: DataFrame, blocks: DataFrame, new) -> DataFrame:
+    """Errors over each pivot, as they are and with `new`, of running and whole sums over each read's calls."""
+    own = W.partitionBy("chrom", "block", "rid")
+    along = own.orderBy("snp_idx")
+    called = F.col("wrong").isNotNull().cast("long")
+    rows = _inside(reads, blocks).withColumn("called", called).withColumn("wrong", F.coalesce("wrong", F.lit(0)))
+    sums = rows.select("*", F.sum("wrong").over(own).alias("old"), F.sum("called").over(own).alias("n"), F.sum("wrong").over(along).alias("wrong_here"), F.sum("called").over(along).alias("n_here"))
+    sums = sums.withColumn("new", new)
+    return sums.groupBy("chrom", "block", F.col("snp_idx").alias("pivot")).agg(F.sum(F.least("old", F.col("n") - F.col("old"))).alias("old_mec"), F.sum(F.least("new", F.col("n") - F.col("new"))).alias("new_mec"))
 
 
 def mec_switch_delta(reads: DataFrame, blocks: DataFrame) -> DataFrame:
     """(chrom, block, pivot, old_mec, new_mec): errors of the reads over a pivot, as it is and with all behind it reversed."""
-    return _delta(reads, blocks, F.col("snp_idx") > F.col("pivot"))
+    behind = F.col("n") - F.col("n_here") - (F.col("old") - F.col("wrong_here"))
+    return _delta(reads, blocks, F.col("wrong_here") + behind)
 
 
 def mec_flip_delta(reads: DataFrame, blocks: DataFrame) -> DataFrame:
     """The same with only the pivot reversed."""
-    return _delta(reads, blocks, F.col("snp_idx") == F.col("pivot"))
+    return _delta(reads, blocks, F.col("old") + F.col("called") - 2 * F.col("wrong"))
 
 
 def block_order(blocks: DataFrame) -> DataFrame:

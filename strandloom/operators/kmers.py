@@ -169,19 +169,31 @@ def complement(w: Column, k: int) -> Column:
 def auto_k(reads: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
     """(chrom, k, score, chosen): how well each K suits, by usable words, density and disconnection of its graph.
 
-    A graph without any disconnection scores as infinite; of equal scores the
-    least K is chosen, and 2 if none is above 0.
+    The usable share is that of words of K calls without a gap. An edge counts if
+    the word that it ends with is usable; a gap before that reads as 0. Without
+    any disconnection the score is infinite, of the sign of what it divides; 0 by
+    0 has no score. The greatest score above 0 is chosen, of equal ones that of
+    the least K, and 2 if none is above 0.
     """
-    sizes = reads.groupBy("chrom", "rid").agg(F.count("*").alias("n"))
-    made = None
+    along = W.partitionBy("chrom", "rid").orderBy("snp_idx")
+    back = [F.col("allele"), *[F.lag("allele", j).over(along) for j in range(1, max(ks) + 1)]]
+    here = reads.select("chrom", *[c.alias(f"a{j}") for j, c in enumerate(back)], *[F.lag("snp_idx", k).over(along).alias(f"s{k}") for k in ks])
+    words, usable, edges = {}, {}, []
     for k in ks:
-        n_snp = reads.groupBy("chrom").agg((F.max("snp_idx") + 1 - k).alias("ranks"))
-        windows = sizes.groupBy("chrom").agg(F.sum(F.greatest(F.col("n") - k + 1, F.lit(0))).alias("all_nodes"), F.sum(F.greatest(F.col("n") - k, F.lit(0))).alias("all_edges"))
-        whole = words(reads, k + 1).groupBy("chrom").agg(F.count("*").alias("good"))
-        plain = words(reads, k + 1).groupBy("chrom", "s", "w").count().groupBy("chrom").agg(F.count("*").alias("edges"), F.countDistinct("s").alias("joined"))
-        row = n_snp.join(windows, "chrom").join(whole, "chrom", "left").join(plain, "chrom", "left").na.fill(0)
-        score = F.lit(100.0) * (F.col("good") / F.col("all_edges") - F.col("edges") / (F.col("ranks") * (1 << (k + 1)))) / (F.lit(5.0) * (F.col("ranks") - F.col("joined")) / F.col("ranks"))
-        row = row.select("chrom", F.lit(k).alias("k"), F.when(F.col("ranks") == F.col("joined"), F.lit(float("inf"))).otherwise(score).alias("score"))
-        made = row if made is None else made.union(row)
-    best = F.row_number().over(W.partitionBy("chrom").orderBy(F.desc("score"), "k")) == 1
-    return made.withColumn("chosen", best)
+        words[k] = F.col(f"a{k - 1}").isNotNull()
+        usable[k] = reduce(lambda a, b: a & b, [F.col(f"a{j}") >= 0 for j in range(k)])
+        bits = reduce(lambda a, b: a + b, [(F.col(f"a{j}") == 1).cast("long") * (1 << j) for j in range(k + 1)])
+        edges.append(F.when(usable[k] & F.col(f"a{k}").isNotNull(), F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("s"), bits.alias("e"))))
+    counted = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    shares = here.groupBy("chrom").agg(*[f(c[k]).alias(f"{n}{k}") for k in ks for n, c, f in (("words", words, counted), ("usable", usable, counted))])
+    shares = shares.select("chrom", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"words{k}").alias("words"), F.col(f"usable{k}").alias("usable")) for k in ks])))
+    found = here.select("chrom", F.inline(F.array_compact(F.array(*edges)))).distinct()
+    ranks = found.groupBy("chrom", "k", "s").count().groupBy("chrom", "k").agg(F.sum("count").alias("edges"), F.count("*").alias("joined"))
+    rows = shares.join(ranks, ["chrom", "k"], "left").na.fill(0, ["edges", "joined"]).join(reads.groupBy("chrom").agg((F.max("snp_idx") + 1).alias("n_snp")), "chrom")
+    rows = rows.withColumn("ranks", F.col("n_snp") - F.col("k"))
+    over = F.col("usable") / F.col("words") - F.col("edges") / (F.expr("shiftleft(2L, k)") * F.col("ranks"))
+    apart = (F.col("ranks") - F.col("joined")) / F.col("ranks")
+    infinite = F.when(over > 0, F.lit(float("inf"))).when(over < 0, F.lit(float("-inf")))
+    made = rows.select("chrom", "k", F.when(apart != 0, 100 * over / (5 * apart)).otherwise(infinite).alias("score"))
+    best = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("k")).alias("k")))).over(W.partitionBy("chrom"))  # a row for each K
+    return made.withColumn("chosen", F.col("k") == F.coalesce(-best["k"], F.lit(2)))
