@@ -9,7 +9,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import calls, solver
+from strandloom.operators import calls, kmers, reads, solver
 from strandloom.plans import phasing
 from strandloom.operators.stored import stored
 from strandloom.sources import alignments, alleles, fasta, vcf
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     if (n := vcf.samples(head)) != 1:
         print(f"the file has {n} samples; the first is phased", file=sys.stderr)
     if got.alleles:
-        found = alleles.allele_text(spark, got.alleles, table)
+        found = alleles.allele_text(spark, got.alleles, table, got.chromosome)
     else:
         aligned = alignments.bam(spark, got.reads) if got.reads.endswith(".bam") else alignments.sam(spark, got.reads)
         if got.chromosome:
@@ -59,11 +59,15 @@ def main(argv: list[str] | None = None) -> int:
         found = calls.detect_alleles(aligned, table, fasta.chunks(spark, got.reference)).drop("que_pos")
     found = timed("alleles", lambda: stored(found))
     sizes = table.groupBy("chrom").agg((F.max("snp_idx") + 1).alias("n_snp"))
+    own = timed("reads", lambda: stored(reads.informative_reads(found)))
+    graph_stages = ("tips", "bubbles") if got.graph else ()
+    solved = timed("graph", lambda: stored(solver.solve_stages(own, got.k, (*graph_stages, "corrected"), sizes)))
     if got.graph:
-        for name, stage in (("trim", None), ("tip", "tips"), ("bubble", "bubbles")):
-            weights = solver.solve(found, got.k, stage, sizes).drop("island") if stage else None
-            alleles.graph_sink(alleles.graph_rows(found, got.k, weights), f"{got.graph}/{name}")
-    phases = timed("phasing", lambda: stored(phasing.phase(found, got.k, sizes)))
+        initial = kmers.patched_graph(own, got.k)[1]
+        steps = {"1_init": initial, "2_trim": kmers.edge_trim(initial), "3_tip": solver.edges_of(solved, "tips"), "4_bubble": solver.edges_of(solved, "bubbles")}
+        for name, weights in steps.items():
+            alleles.graph_sink(alleles.graph_rows(own, got.k, weights), f"{got.graph}/{name}")
+    phases = timed("phasing", lambda: stored(phasing.merged(own, stored(solver.blocks_of(solved, "corrected").drop("island")))))
     timed("output", lambda: vcf.write_phased(table, phases, head, got.output))
     if got.timers:
         print(*(f"{k}\t{v:.2f}" for k, v in times.items()), sep="\n", file=sys.stderr)

@@ -15,9 +15,13 @@ AROUND = 15
 
 
 def windows(variants: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Variants with ref_window and alt_window: the reference around each, as it is and with the other base."""
+    """Variants with ref_window and alt_window: the reference around each, as it is and with the other base.
+
+    A variant on a contig that the reference lacks, or behind its end, is an error.
+    """
     at = variants.select("chrom", "snp_idx", "pos", "alt", F.floor((F.col("pos") - 1) / CHUNK).cast("int").alias("chunk"))
-    own = at.join(chunks, ["chrom", "chunk"])
+    missing = F.raise_error(F.concat(F.lit("no reference at "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
+    own = at.join(chunks, ["chrom", "chunk"], "left").withColumn("seq", F.when(F.col("seq").isNull() | (F.col("pos") > F.col("length")), missing).otherwise(F.col("seq")))
     left = F.greatest(F.col("pos") - 1 - AROUND, F.lit(0))
     right = F.least(F.col("pos") + AROUND, F.col("length"))
     text = base_code(F.substring("seq", (left - F.col("begin") + 1).cast("int"), (right - left).cast("int")))

@@ -403,16 +403,17 @@ def _island(rows: pd.DataFrame, k: int, n_snp: int, first: int) -> Island:
     return made
 
 
-def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame | None = None) -> DataFrame:
-    """Run the passes up to a stage on every island of informative reads.
-
-    "tips" and "bubbles" give the edges (chrom, island, s, e, weight) that are
-    left; "blocks" and "corrected" the blocks (chrom, island, block, snp_idx,
-    phase), before the overlaps go and after local correction. sizes: (chrom,
-    n_snp) where it isn't the last variant that a read reaches.
+def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataFrame | None = None) -> DataFrame:
+    """Run the passes on every island of informative reads, once, and give what several stages leave.
+
+    (stage, chrom, island, block, at, word, value): of "tips" and "bubbles" the
+    edges, `at` being the rank and value the weight; of "blocks" and "corrected"
+    the blocks, before the overlaps go and after local correction, `at` being the
+    variant and value the phase. sizes: (chrom, n_snp) where it isn't the last
+    variant that a read reaches.
     """
-    if stage not in STAGES:
-        raise ValueError(f"stage is one of {STAGES}")
+    if not set(stages) <= set(STAGES) or not stages:
+        raise ValueError(f"stages are of {STAGES}")
     if not 2 <= k <= 5:
         raise ValueError("k is from 2 to 5")
     sizes = sizes or _reads.variant_counts(reads)
@@ -428,22 +429,49 @@ def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame |
         .unionByName(hint.select("chrom", F.lit("hint").alias("kind"), F.col("snp_idx").alias("at"), long("snp_idx").alias("a"), F.lit(0).cast("long").alias("b"), long("hint").alias("c")))
     )
     placed = rows.join(_reads.coverage_islands(reads).withColumnRenamed("snp_idx", "at"), ["chrom", "at"]).join(sizes, "chrom")
-    of_edges = stage in ("tips", "bubbles")
-    shape = "chrom string, island long, " + ("s long, e long, weight long" if of_edges else "block long, snp_idx long, phase int")
+    columns = ["stage", "chrom", "island", "block", "at", "word", "value"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chrom, first = pdf.chrom.iloc[0], int(pdf.island.iloc[0])
         own = _island(pdf, k, int(pdf.n_snp.iloc[0]), first)
-        own.remove_tips()
-        if stage != "tips":
-            own.solve_bubbles()
-        if of_edges:
+        out: list[pd.DataFrame] = []
+
+        def edges(stage: str) -> None:
             at = np.argwhere(own.weight > 0)
-            return pd.DataFrame({"chrom": chrom, "island": first, "s": at[:, 0] + first, "e": at[:, 1], "weight": own.weight[at[:, 0], at[:, 1]]})
+            out.append(pd.DataFrame({"stage": stage, "chrom": chrom, "island": first, "block": -1, "at": at[:, 0] + first, "word": at[:, 1], "value": own.weight[at[:, 0], at[:, 1]]}))
+
+        own.remove_tips()
+        if "tips" in stages:
+            edges("tips")
+        if set(stages) == {"tips"}:
+            return out[0]
+        own.solve_bubbles()
+        if "bubbles" in stages:
+            edges("bubbles")
+        if not set(stages) & {"blocks", "corrected"}:
+            return pd.concat(out)
         found = own.blocks()
-        if stage == "corrected":
-            found = [(s, Correction(own, s, phases).run()) for s, phases in de_overlap(found)]
-        out = [(chrom, first, n if stage == "blocks" else s + first, s + first + j, p) for n, (s, phases) in enumerate(found) for j, p in enumerate(phases)]
-        return pd.DataFrame(out, columns=["chrom", "island", "block", "snp_idx", "phase"])
+        if "blocks" in stages:
+            out.append(pd.DataFrame([("blocks", chrom, first, n, s + first + j, -1, p) for n, (s, phases) in enumerate(found) for j, p in enumerate(phases)], columns=columns))
+        if "corrected" in stages:
+            made = [(s, Correction(own, s, phases).run()) for s, phases in de_overlap(found)]
+            out.append(pd.DataFrame([("corrected", chrom, first, s + first, s + first + j, -1, p) for s, phases in made for j, p in enumerate(phases)], columns=columns))
+        return pd.concat(out)
+
+    return placed.groupBy("chrom", "island").applyInPandas(run, "stage string, chrom string, island long, block long, at long, word long, value long")
 
-    return placed.groupBy("chrom", "island").applyInPandas(run, shape)
+
+def edges_of(solved: DataFrame, stage: str) -> DataFrame:
+    """(chrom, island, s, e, weight) of a stage of `solve_stages`."""
+    return solved.filter(F.col("stage") == stage).select("chrom", "island", F.col("at").alias("s"), F.col("word").alias("e"), F.col("value").alias("weight"))
+
+
+def blocks_of(solved: DataFrame, stage: str) -> DataFrame:
+    """(chrom, island, block, snp_idx, phase) of a stage of `solve_stages`."""
+    return solved.filter(F.col("stage") == stage).select("chrom", "island", "block", F.col("at").alias("snp_idx"), F.col("value").cast("int").alias("phase"))
+
+
+def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame | None = None) -> DataFrame:
+    """What one stage of `solve_stages` leaves: edges of "tips" and "bubbles", blocks of "blocks" and "corrected"."""
+    solved = solve_stages(reads, k, (stage,), sizes)
+    return (edges_of if stage in ("tips", "bubbles") else blocks_of)(solved, stage)

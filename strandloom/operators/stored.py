@@ -5,20 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once and read again: later steps start from the table, also after a lost executor."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the folder that spark.checkpoint.dir names.
+
+    Only where that is unset and all runs on one machine, a temporary folder is set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         else:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
             root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once and read again: later steps start from the table, also after a lost executor."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,5 +21,9 @@ def phase(alleles: DataFrame, k: int = DEFAULT_K, sizes: DataFrame | None = None
     if k not in ALLOWED_K:
         k = DEFAULT_K
     own = stored(reads.informative_reads(alleles))
-    corrected = stored(solver.solve(own, k, "corrected", sizes).drop("island"))
+    return merged(own, stored(solver.solve(own, k, "corrected", sizes).drop("island")))
+
+
+def merged(own: DataFrame, corrected: DataFrame) -> DataFrame:
+    """The last step of `phase`: blocks that reads connect become one phase set."""
     return blocks.merged_phases(corrected, blocks.block_connect(own, corrected))

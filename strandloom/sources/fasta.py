@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import lines
+
 #: Bases of a chunk; a chunk also holds the bases around it that windows need.
 CHUNK, MARGIN = 1 << 16, 64
 
@@ -26,12 +29,56 @@ def contigs(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("name", F.length("seq").alias("length"), "seq")
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, chunk, begin, length, seq): pieces of the contigs, each with MARGIN bases around; begin is the first base's place from 0."""
-    split = contigs(spark, path).filter("length > 0").select("name", "length", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / CHUNK).cast("int"))).alias("chunk"))
-    begin = F.greatest(F.col("chunk") * CHUNK - MARGIN, F.lit(0))
-    end = F.least((F.col("chunk") + 1) * CHUNK + MARGIN, F.col("length"))
-    return split.select(F.col("name").alias("chrom"), "chunk", begin.alias("begin"), "length", F.substring("seq", begin + 1, end - begin).alias("seq"))
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, pos, bases): every line of bases with its place (from 0) in its contig.
+
+    Running sums go over the blocks in which files are read, and from one block to
+    the next over one row for each block.
+    """
+    rows = lines(spark, path).select(F.struct("at.file", "at.block").alias("part"), F.col("at.line").alias("line"), F.trim("value").alias("value")).filter("value <> ''")
+    is_head = F.col("value").startswith(">")
+    bases = F.when(is_head, 0).otherwise(F.length("value"))
+    along = W.partitionBy("part").orderBy("line")
+    named = rows.select("*", F.when(is_head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("head"), bases.alias("n"))
+    named = named.withColumn("chrom", F.last("head", True).over(along)).withColumn("heads", F.count("head").over(along))
+    within = named.withColumn("before", F.sum("n").over(W.partitionBy("part", "heads").orderBy("line")) - F.col("n"))
+    # One row for each block: the contig that it ends in, and how many bases it has of that.
+    ends = within.groupBy("part").agg(F.max("heads").alias("heads"), F.max_by("chrom", "line").alias("last"), F.max_by(F.col("before") + F.col("n"), "line").alias("tail"))
+    order = W.orderBy("part")
+    ends = ends.withColumn("run", F.sum((F.col("heads") > 0).cast("int")).over(order))
+    ends = ends.withColumn("so_far", F.sum("tail").over(W.partitionBy("run").orderBy("part")))
+    carried = ends.select("part", F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("open"), F.lag("so_far", 1, 0).over(order).alias("open_bases"))
+    first = F.col("heads") == 0
+    own = within.filter("head IS NULL").join(carried, "part")
+    own = own.select(F.when(first, F.col("open")).otherwise(F.col("chrom")).alias("chrom"), (F.col("before") + F.when(first, F.col("open_bases")).otherwise(0)).alias("pos"), F.col("value").alias("bases"))
+    return own.filter(F.col("chrom").isNotNull())
+
+
+def chunks(spark: SparkSession, path: str, size: int = CHUNK, margin: int = MARGIN) -> DataFrame:
+    """(chrom, chunk, begin, length, seq): pieces of the contigs, each with `margin` bases around; begin is the first base's place from 0.
+
+    A line goes to the chunk or the few chunks that it touches, so that no task
+    holds more than a chunk. Lines of bases are taken to be short.
+    """
+    rows = placed_lines(spark, path)
+    end = F.col("pos") + F.length("bases")
+    lowest = F.greatest(F.floor((F.col("pos") - margin) / size), F.lit(0))
+    touched = rows.withColumn("chunk", F.explode(F.sequence(lowest, F.floor((end - 1 + margin) / size))))
+    begin = F.greatest(F.col("chunk") * size - margin, F.lit(0))
+    skipped = F.greatest(begin - F.col("pos"), F.lit(0))
+    kept = F.least(end, (F.col("chunk") + 1) * size + margin) - F.col("pos") - skipped
+    pieces = touched.select("chrom", F.col("chunk").cast("int").alias("chunk"), begin.cast("int").alias("begin"), (F.col("pos") + skipped).alias("pos"), F.substring("bases", (skipped + 1).cast("int"), kept.cast("int")).alias("bases")).filter("bases <> ''")
+    whole = pieces.groupBy("chrom", "chunk", "begin").agg(F.array_sort(F.collect_list(F.struct("pos", "bases"))).alias("x"))
+    sizes = rows.groupBy("chrom").agg(F.sum(F.length("bases")).cast("int").alias("length"))
+    made = whole.join(sizes, "chrom").filter(F.col("chunk") * size < F.col("length"))
+    return made.select("chrom", "chunk", "begin", "length", F.array_join(F.transform("x", lambda p: p["bases"]), "").alias("seq"))
+
+
+def lookup(chroms: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Rows with a chrom, joined to the contig of that name (name, length, ...). One without bases, or none, is an error."""
+    known = contigs.withColumnRenamed("name", "chrom")
+    missing = F.raise_error(F.concat(F.lit("no reference for "), F.col("chrom"))).cast("int")
+    return chroms.join(known, "chrom", "left").withColumn("length", F.when(F.coalesce("length", F.lit(0)) <= 0, missing).otherwise(F.col("length")))
 
 
 def parse_records(text: str) -> Iterator[tuple[str, str, str, str | None]]:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 import simulate
 from pyspark.sql import functions as F
@@ -37,6 +39,45 @@ def test_contigs_and_chunks(spark, files):
     assert fasta.chunks(spark, files["ref"]).filter("chrom = '2'").first().seq == "ACGTNacg"
 
 
+def test_chunks_of_many_lines(spark, files):
+    """Lines of odd lengths, contigs that end within a chunk, one without bases; read whole and in many blocks."""
+    rng = random.Random(3)
+    whole = {f"k{k}": "".join(rng.choice("ACGTN") for _ in range(n)) for k, n in enumerate((1, 997, 64, 0, 2500, 130))}
+    rows = []
+    for name, seq in whole.items():
+        rows.append(f">{name} note")
+        while seq:
+            n = rng.randint(1, 90)
+            rows.append(seq[:n] + rng.choice(["", " "]))
+            seq = seq[n:]
+        rows += [""] * rng.randint(0, 1)
+    path = put(files["top"] / "many.fa", rows)
+    for block in ("128m", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if block == "300" else "4m")
+        try:
+            got = {(r.chrom, r.chunk): (r.begin, r.length, r.seq) for r in fasta.chunks(spark, path, 64, 16).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        want = {}
+        for name, seq in whole.items():
+            for c in range(-(-len(seq) // 64)):
+                begin = max(64 * c - 16, 0)
+                want[name, c] = (begin, len(seq), seq[begin : 64 * (c + 1) + 16])
+        assert got == want
+
+
+def test_contigs_that_are_missing(spark, files):
+    table = vcf.variants(spark, put(files["top"] / "other.vcf", [*simulate.vcf_lines(files["variants"][:3], "1"), *[r.replace("1\t", "7\t", 1) for r in list(simulate.vcf_lines(files["variants"][:3], "1"))[3:]]]))
+    with pytest.raises(Exception, match="no reference at 7:"):
+        calls.windows(table, fasta.chunks(spark, files["ref"])).collect()
+    index = spark.createDataFrame([("1", 20000), ("7", 0)], "name string, length int")
+    assert fasta.lookup(table.filter("chrom = '1'").select("chrom").distinct(), index).first().length == 20000
+    with pytest.raises(Exception, match="no reference for 7"):
+        fasta.lookup(table.select("chrom").distinct(), index).collect()
+
+
 def test_records(spark, files):
     path = put(files["top"] / "a.fq", ["@r1 note", "ACG", "T", "+", "IIII", ">f2", "AC", "", "GT"])
     got = {r.name: (r.comment, r.seq, r.qual, r.len) for r in fasta.records(spark, path).collect()}
@@ -115,8 +156,12 @@ def test_phasing_from_files(spark, files, source):
     assert len(turned) == 1
     line = next(r.value for r in spark.read.text(out).collect() if not r.value.startswith("#"))
     assert line.split("\t")[8] == "GT:GQ:PS" and line.split("\t")[9].split(":")[1] == "30"
-    graph = spark.read.option("sep", "\t").option("header", True).csv(str(files["top"] / "graph/bubble"))
-    assert graph.count() > 0 and len(graph.first().node_u) == 2
+    edges = {}
+    for step in ("1_init", "2_trim", "3_tip", "4_bubble"):
+        graph = spark.read.option("sep", "\t").option("header", True).csv(str(files["top"] / "graph" / step))
+        edges[step] = {(r.s, r.node_u, r.node_v) for r in graph.collect()}
+        assert len(graph.first().node_u) == 2
+    assert edges["1_init"] >= edges["2_trim"] >= edges["3_tip"] and edges["4_bubble"]
 
 
 def test_allele_text(spark, files):
@@ -125,6 +170,10 @@ def test_allele_text(spark, files):
     path = put(files["top"] / "alleles.txt", ["2", f"a 3 {p[0]} 1 {p[1]} -1 {p[3]} 0", f"b 2 {p[0]} -1 {p[1]} 1"])
     got = [(r.snp_idx, r.allele) for r in alleles.allele_text(spark, path, table).orderBy("snp_idx").collect()]
     assert got == [(0, 1), (1, -1), (2, -1), (3, 0)]
+    two = table.union(table.limit(1).selectExpr("'z' AS chrom", *table.columns[1:]))
+    with pytest.raises(ValueError, match="several"):
+        alleles.allele_text(spark, path, two)
+    assert alleles.allele_text(spark, path, two, "1").count() == 4
     bad = put(files["top"] / "bad.txt", ["1", "a 2 5 1 6 1"])
     with pytest.raises(Exception, match="no variant at"):
         alleles.allele_text(spark, bad, table).count()
