@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     if got.alleles:
         found = alleles.allele_text(spark, got.alleles, table, got.chromosome)
     else:
-        aligned = alignments.bam(spark, got.reads) if got.reads.endswith(".bam") else alignments.sam(spark, got.reads)
+        aligned = alignments.bam(spark, got.reads, got.chromosome) if got.reads.endswith(".bam") else alignments.sam(spark, got.reads)
         if got.chromosome:
             aligned = aligned.filter(F.col("chrom") == got.chromosome)
         found = calls.detect_alleles(aligned, table, fasta.chunks(spark, got.reference)).drop("que_pos")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandloom.functions.cigar import parse_cigar
 from strandloom.functions.text import split_str
@@ -16,6 +18,9 @@ from strandloom.functions.text import split_str
 SCHEMA = "chrom string, rid bigint, qname string, flag int, mapq int, pos0 bigint, cigar array<struct<op:string,len:int>>, seq string"
 #: Letters of operations and bases by their codes.
 OPERATIONS, BASES = "MIDNSHP=XB", "=ACMGRSVTWYHKDBN"
+PAIRS = [BASES[b >> 4] + BASES[b & 15] for b in range(256)]
+#: Bytes of the file in one partition, about, and alignments that go to Spark at once.
+SPLIT, BATCH = 32 << 20, 4096
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -26,54 +31,124 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     return whole.filter("chrom <> '*' AND pos0 >= 0 AND seq <> '*'")
 
 
-class _Contig(InputPartition):
-    def __init__(self, number: int, name: str, start: int | None):
-        self.number, self.name, self.start = number, name, start
+class _Piece(InputPartition):
+    """Alignments from one virtual offset up to another, of one contig; without an index the whole file."""
+
+    def __init__(self, names: dict[int, str], number: int | None = None, start: int = 0, stop: int | None = None):
+        self.names, self.number, self.start, self.stop = names, number, start, stop
+
+
+class _Blocks:
+    """The bytes of a file of gzip blocks from a virtual offset on: place of the block in the file << 16 | place in its bytes."""
+
+    def __init__(self, raw, start: int):
+        self.raw, self.next, self.data, self.at = raw, start >> 16, b"", 0
+        raw.seek(self.next)
+        if start & 0xFFFF:
+            self._load()
+            self.at = start & 0xFFFF
+
+    def _load(self) -> bool:
+        head = self.raw.read(12)
+        if len(head) < 12:
+            return False
+        (extra,) = struct.unpack_from("<H", head, 10)
+        fields, at, size = self.raw.read(extra), 0, None
+        while at + 4 <= extra:
+            kind, n = fields[at : at + 2], struct.unpack_from("<H", fields, at + 2)[0]
+            if kind == b"BC":
+                size = struct.unpack_from("<H", fields, at + 4)[0] + 1
+            at += 4 + n
+        if size is None:
+            raise ValueError("an index needs a file of gzip blocks that say their size")
+        body = self.raw.read(size - 12 - extra)
+        self.place, self.next = self.next, self.next + size
+        self.data, self.at = zlib.decompress(body[:-8], -15), 0
+        return True
+
+    def tell(self) -> int:
+        return self.next << 16 if self.at >= len(self.data) else self.place << 16 | self.at
+
+    def read(self, n: int) -> bytes:
+        parts = []
+        while n:
+            if self.at >= len(self.data):
+                if not self._load():
+                    break
+                continue
+            part = self.data[self.at : self.at + n]
+            self.at += len(part)
+            n -= len(part)
+            parts.append(part)
+        return b"".join(parts)
 
 
 class BamReader(DataSourceReader):
-    """One partition for each contig; with an index each starts at its first block."""
+    """With an index a partition for every `split` bytes of a contig's blocks; without one the file is read once, in one."""
 
-    def __init__(self, path: str):
-        self.path, self.only = path, None
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chrom",):
-                self.only = f.value
-            else:
-                yield f
+    def __init__(self, path: str, split: int, only: str | None):
+        self.path, self.split, self.only = path, split, only
 
     def partitions(self):
         with gzip.open(self.path) as data:
             names = _names(data)
-        starts = _index(self.path, len(names))
-        return [_Contig(k, n, starts.get(k) if starts is not None else None) for k, n in enumerate(names) if self.only in (None, n) and (starts is None or k in starts)]
-
-    def read(self, partition: _Contig) -> Iterator[tuple]:
+        wanted = {k: name for k, name in enumerate(names) if self.only in (None, name)}
+        offsets = _index(self.path, len(names))
+        if offsets is None:
+            return [_Piece(wanted)]
+        made = []
+        for number, own in sorted(offsets.items()):
+            if number not in wanted:
+                continue
+            cuts = own[:1]
+            for o in own[1:]:
+                if (o >> 16) - (cuts[-1] >> 16) >= self.split:
+                    cuts.append(o)
+            made += [_Piece({number: wanted[number]}, number, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
+        return made
+
+    def _records(self, partition: _Piece) -> Iterator[tuple[int, bytes]]:
+        """(a number of its own, bytes) of each record."""
         with open(self.path, "rb") as raw:
-            if partition.start is None:
-                data = gzip.GzipFile(fileobj=raw)
+            if partition.number is None:
+                data, count = gzip.GzipFile(fileobj=raw), 0
                 _names(data)
-            else:
-                raw.seek(partition.start >> 16)
-                data = gzip.GzipFile(fileobj=raw)
-                data.read(partition.start & 0xFFFF)
-            count = 0
-            while len(head := data.read(4)) == 4:
-                body = data.read(struct.unpack("<i", head)[0])
-                number, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", body)
-                if number != partition.number:
-                    if partition.start is not None and (number > partition.number or number < 0):
-                        return  # files with an index are sorted
-                    continue
-                at = 32 + l_name
-                cigar = [(OPERATIONS[c & 15], c >> 4) for c in struct.unpack_from(f"<{n_cigar}I", body, at)]
-                at += 4 * n_cigar
-                seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in body[at : at + (l_seq + 1) // 2])[:l_seq]
-                if pos >= 0 and seq:
-                    yield partition.name, (partition.number << 40) + count, body[32 : at - 4 * n_cigar - 1].split(b"\0")[0].decode(), flag, mapq, pos, cigar, seq
-                count += 1
+                while len(head := data.read(4)) == 4:
+                    yield count, data.read(struct.unpack("<i", head)[0])
+                    count += 1
+                return
+            data = _Blocks(raw, partition.start)
+            while partition.stop is None or data.tell() < partition.stop:
+                at = data.tell()
+                if len(head := data.read(4)) < 4:
+                    return
+                yield at, data.read(struct.unpack("<i", head)[0])
+
+    def read(self, partition: _Piece) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for rid, body in self._records(partition):
+            number, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", body)
+            if partition.number is not None and number != partition.number:
+                break  # files with an index are sorted
+            if pos < 0 or not l_seq or number not in partition.names:
+                continue
+            at = 32 + l_name
+            name, packed = body[32 : at - 1].split(b"\0")[0].decode(), struct.unpack_from(f"<{n_cigar}I", body, at)
+            at += 4 * n_cigar
+            seq = "".join([PAIRS[b] for b in body[at : at + (l_seq + 1) // 2]])[:l_seq]
+            rows.append((partition.names[number], rid, name, flag, mapq, pos, [{"op": OPERATIONS[c & 15], "len": c >> 4} for c in packed], seq))
+            if len(rows) == BATCH:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+
+ARROW = pa.schema([("chrom", pa.string()), ("rid", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("mapq", pa.int32()), ("pos0", pa.int64()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("seq", pa.string())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
 
 class BamSource(DataSource):
@@ -90,7 +165,7 @@ class BamSource(DataSource):
         path = self.options.get("path")
         if not path:
             raise ValueError("a path is needed")
-        return BamReader(path)
+        return BamReader(path, int(self.options.get("split", SPLIT)), self.options.get("chrom"))
 
 
 def _names(data) -> list[str]:
@@ -106,8 +181,8 @@ def _names(data) -> list[str]:
     return out
 
 
-def _index(path: str, contigs: int) -> dict[int, int] | None:
-    """Where each contig's first alignment lies, from the .bai file beside the BAM; None without one."""
+def _index(path: str, contigs: int) -> dict[int, list[int]] | None:
+    """For each contig where alignments begin, ascending: its first one, and the first over each window, from the .bai file beside the BAM. None without one."""
     try:
         with open(path + ".bai", "rb") as f:
             data = f.read()
@@ -117,23 +192,27 @@ def _index(path: str, contigs: int) -> dict[int, int] | None:
     for number in range(contigs):
         (bins,) = struct.unpack_from("<i", data, at)
         at += 4
-        first = None
+        begins = []
         for _ in range(bins):
-            name, chunks = struct.unpack_from("<Ii", data, at)
+            name, pieces = struct.unpack_from("<Ii", data, at)
             at += 8
-            for k in range(chunks):
-                begin = struct.unpack_from("<QQ", data, at + 16 * k)[0]
-                if name != 37450:  # the bin of counts
-                    first = begin if first is None else min(first, begin)
-            at += 16 * chunks
-        at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
-        if first is not None:
-            out[number] = first
+            if name != 37450:  # the bin of counts
+                begins += [struct.unpack_from("<QQ", data, at + 16 * k)[0] for k in range(pieces)]
+            at += 16 * pieces
+        (windows,) = struct.unpack_from("<i", data, at)
+        over = struct.unpack_from(f"<{windows}Q", data, at + 4)
+        at += 4 + 8 * windows
+        if begins:
+            out[number] = sorted({min(begins), *(o for o in over if o > min(begins))})
     return out
 
 
-def bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a BAM file; a filter for one contig reads that one only."""
+def bam(spark: SparkSession, path: str, chrom: str | None = None, split: int = SPLIT) -> DataFrame:
+    """Alignments of a BAM file, or of one contig. With an index only that contig's part of the file is read, and a partition has about `split` bytes of it.
+
+    The contig is an option: a filter that is pushed into a Python source stays
+    with the source, also for later reads without it.
+    """
     spark.dataSource.register(BamSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("bam").load(path)
+    source = spark.read.format("bam").option("split", split)
+    return (source if chrom is None else source.option("chrom", chrom)).load(path)

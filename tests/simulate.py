@@ -3,6 +3,7 @@
 import gzip
 import random
 import struct
+import zlib
 
 REF, ALT = "ACGT", {"A": "C", "C": "G", "G": "T", "T": "A"}
 
@@ -49,18 +50,53 @@ def sam_lines(found, chrom="1"):
         yield f"{name}\t0\t{chrom}\t{pos0 + 1}\t60\t{''.join(f'{n}{op}' for op, n in cigar)}\t*\t0\t0\t{bases}\t*"
 
 
-def write_bam(path, contigs, found):
-    """found: (contig number, name, pos0, cigar, bases), in the order of the contigs. Written in several gzip members."""
+def bam_records(contigs, found):
+    """The header and every record as bytes. found: (contig number, name, pos0, cigar, bases)."""
     head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs))
     for name, length in contigs:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    members = [head]
+    yield head
     for number, name, pos0, cigar, bases in found:
         codes = ["=ACMGRSVTWYHKDBN".index(b) for b in bases] + [0] * (len(bases) % 2)
         body = struct.pack("<iiBBHHHiiii", number, pos0, len(name) + 1, 60, 0, len(cigar), 0, len(bases), -1, -1, 0) + name.encode() + b"\0"
         body += b"".join(struct.pack("<I", n << 4 | "MIDNSHP=XB".index(op)) for op, n in cigar)
         body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + b"\xff" * len(bases)
-        members.append(struct.pack("<i", len(body)) + body)
+        yield struct.pack("<i", len(body)) + body
+
+
+def write_bam(path, contigs, found):
+    """In the order of `found`, in several gzip members."""
     with open(path, "wb") as f:
-        for m in members:
+        for m in bam_records(contigs, found):
             f.write(gzip.compress(m))
+
+
+def write_indexed_bam(path, contigs, found, size=700):
+    """In blocks of `size` bytes that say their size, records running over their ends, with an index of windows. found is sorted."""
+    parts = list(bam_records(contigs, found))
+    data, starts = b"".join(parts), []
+    for p in parts:
+        starts.append((starts[-1][1] if starts else 0, (starts[-1][1] if starts else 0) + len(p)))
+    places, out = [], b""
+    for k in range(0, len(data), size):
+        places.append(len(out))
+        body = zlib.compressobj(6, zlib.DEFLATED, -15)
+        own = data[k : k + size]
+        packed = body.compress(own) + body.flush()
+        out += struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(own), len(own))
+    with open(path, "wb") as f:
+        f.write(out)
+    at = [places[a // size] << 16 | a % size for a, _ in starts[1:]]
+    index = b"BAI\1" + struct.pack("<i", len(contigs))
+    for number in range(len(contigs)):
+        own = [(r[2], o) for r, o in zip(found, at) if r[0] == number]
+        windows = {}
+        for pos, o in own:
+            windows.setdefault(pos >> 14, o)
+        index += struct.pack("<i", bool(own))
+        if own:
+            index += struct.pack("<IiQQ", 0, 1, own[0][1], own[-1][1])
+        line = [windows.get(w, 0) for w in range(max(windows, default=-1) + 1)]
+        index += struct.pack(f"<i{len(line)}Q", len(line), *line)
+    with open(path + ".bai", "wb") as f:
+        f.write(index)

@@ -94,6 +94,24 @@ def test_sam_and_bam_agree(spark, files):
     assert alignments.bam(spark, files["bam"]).filter("chrom = '2'").first().seq == "GTN"
 
 
+def test_bam_in_pieces(spark, files):
+    """An indexed file, a partition for each window that begins a block, gives what the same file in one gives."""
+    rng = random.Random(5)
+    found = sorted((rng.randint(0, 2) * 2 % 3, f"r{k}", rng.randrange(200_000), [("M", 9)], "".join(rng.choice("ACGTN") for _ in range(9))) for k in range(500))
+    found = sorted(found, key=lambda r: (r[0], r[2]))
+    contigs = [("a", 10**6), ("b", 10**6), ("c", 10**6)]
+    plain, cut = str(files["top"] / "plain.bam"), str(files["top"] / "cut.bam")
+    simulate.write_bam(plain, contigs, found)
+    simulate.write_indexed_bam(cut, contigs, found)
+    columns = ["chrom", "qname", "flag", "mapq", "pos0", "cigar", "seq"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    one, many = alignments.bam(spark, plain), alignments.bam(spark, cut, split=1000)
+    assert rows(one) == rows(many) and one.count() == len(found)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 5
+    assert rows(one.filter("chrom = 'c'")) == rows(alignments.bam(spark, cut, "c", 1000)) == rows(alignments.bam(spark, plain, "c")) and many.filter("chrom = 'b'").count() == sum(r[0] == 1 for r in found)
+    assert many.select("rid").distinct().count() == len(found) == one.select("rid").distinct().count()
+
+
 def naive_calls(files):
     """Query positions by walking each read base by base, and the nearer of the two windows."""
     def distance(a, b):
