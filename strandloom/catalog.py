@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom import file_catalog
 from strandloom.operators import blocks, bubbles, cut, hints, kmers, reads, solver
 from strandloom.operators.stored import stored
 from strandloom.plans import derived, phasing
@@ -503,3 +504,22 @@ SELECT chrom, bubble, rid FROM got g WHERE NOT EXISTS (SELECT 1 FROM got o WHERE
 def bubble_read_collect(spark, sf_dir):
     own, pairs, areas = _areas(spark, sf_dir)
     return cut.bubble_reads(pairs, own, areas)
+
+
+# Shares and neighbours.
+
+
+@_query(_with(_READS, _PAIRS, _EVERY, _LIMIT) + """, doubtful AS (
+  SELECT chrom, unnest([s, s + 1]) AS snp_idx FROM every JOIN limits USING (chrom) WHERE total < 5 OR gap < threshold)
+SELECT size.chrom, round(100.0::DOUBLE * (SELECT count(DISTINCT snp_idx) FROM doubtful d WHERE d.chrom = size.chrom) / n_snp, 6) AS percent FROM size""")
+def hint_share(spark, sf_dir):
+    return hints.hint_share(*_pairs_and_sizes(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@_query(_WEIGHTS + " SELECT chrom, u, string_agg(v::VARCHAR, ',' ORDER BY v) AS neighbours FROM wt GROUP BY ALL")
+def sort_adjacency(spark, sf_dir):
+    return cut.sorted_adjacency(_weights(spark, sf_dir)).select("chrom", "u", F.array_join(F.transform("edges", lambda e: e["v"].cast("string")), ",").alias("neighbours"))
+
+
+for _name, (_run, _sql) in file_catalog.registered(_with(_graph_sql(2)), _with(_READS)).items():
+    _query(_sql, _name)(_run)

@@ -48,6 +48,11 @@ def topk_cut_edges(edges: DataFrame, k: int = SEEDS) -> DataFrame:
     return edges.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def sorted_adjacency(edges: DataFrame) -> DataFrame:
+    """(chrom, u, edges): for each variant its edges (v, weight) by their other end."""
+    return edges.groupBy("chrom", "u").agg(F.array_sort(F.collect_list(F.struct("v", "weight"))).alias("edges"))
+
+
 def fragment_score(frags: DataFrame, phases: DataFrame) -> DataFrame:
     """(chrom, frag, score): log10 of the likelihood of each fragment, from either haplotype."""
     p = phred_to_prob(F.lit(float(QUALITY)))

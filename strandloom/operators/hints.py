@@ -49,3 +49,9 @@ def cumulative(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     grid = sizes.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MOST_DIFF - 1).cast("long"))).alias("gap"))
     along = W.partitionBy("chrom").orderBy("gap")
     return grid.join(every, ["chrom", "gap"], "left").select("chrom", "gap", F.sum(F.coalesce("count", F.lit(0))).over(along).alias("up_to"))
+
+
+def hint_share(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(chrom, percent): the share of a chromosome's variants that are doubtful."""
+    found = hints(pairs, sizes).groupBy("chrom").agg(F.count("*").alias("n"))
+    return sizes.join(found, "chrom", "left").select("chrom", (100.0 * F.coalesce("n", F.lit(0)) / F.col("n_snp")).alias("percent"))
