@@ -49,6 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the table that `written` made, when nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def mounted_dir(spark: SparkSession) -> str | None:
     """A new folder in the shared one that Python workers can open as files; None where that is a store that only Spark reads."""
     path = shared_dir(spark)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, documents, map_texts, written
+from .common import SLICE_BYTES, documents, dropped, map_texts, written
 from .textvec import mix, shingles, words
 
 WORDS, PERCENT = 4, 85
@@ -35,14 +35,14 @@ LENGTHS = (1, 2, 4)
 #: Cost of a verification, in postings.
 VERIFY = 20
 #: Shingles that a task gathers before it sends them out; classes of one block.
-FLUSH, BLOCK = 1 << 20, 1024
+FLUSH, BLOCK = 1 << 19, 1024
 #: Shingles that one range is meant to get: more of them make more ranges.
 RANGE = 2 << 20
 #: One in SAMPLE classes also says its shingles beforehand. Those that seem to stand in more than HOT classes are not
 #: counted in one place: the estimate is their frequency. It only orders shingles, so that results don't hang on it.
 SAMPLE, HOT = 64, 1 << 15
 #: Signatures that a task remembers, so as to send the shingles of copies once.
-SEEN = 1 << 18
+SEEN = 1 << 17
 
 
 def sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,16 +294,18 @@ def components(links: DataFrame, ids: DataFrame) -> DataFrame:
     """
     own = lambda name: ids.select(F.col("sig").alias(name), F.struct("id", "sig").alias(f"own_{name}"))
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    edges = written(both.join(own("a"), "a").join(own("b"), "b"))
-    labels = written(edges.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("own_b"), F.min("own_a")).alias("label")))
-    edges = edges.select("a", "b")
+    table = written(both.join(own("a"), "a").join(own("b"), "b"))
+    before = written(table.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("own_b"), F.min("own_a")).alias("label")))
+    labels, edges = before, table.select("a", "b")
     while True:
         near = edges.join(labels.withColumnRenamed("sig", "b"), "b").groupBy(F.col("a").alias("sig")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "sig").select("sig", "label", F.least("label", "near").alias("low")).withColumn("at", F.col("low.sig"))
         jump = labels.select(F.col("sig").alias("at"), F.col("label").alias("lower"))
         moved = written(lower.join(jump, "at", "left").select("sig", F.col("label").alias("old"), F.least("low", F.coalesce("lower", "low")).alias("label")))
-        labels = moved.select("sig", "label")
+        dropped(before)
+        before, labels = moved, moved.select("sig", "label")
         if moved.filter(F.col("old.sig") != F.col("label.sig")).isEmpty():
+            dropped(table)
             return labels
 
 
