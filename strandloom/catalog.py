@@ -351,6 +351,17 @@ for _k in phasing.ALLOWED_K:
     _register_solver(_k)
 
 
+@_query(name="bubble_classify")
+def bubble_classify(spark, sf_dir):
+    return solver.areas_of(solver.solve_stages(stored(_reads(spark, sf_dir)), 2, ("areas",)))
+
+
+@_query(name="log_shares")
+def log_shares(spark, sf_dir):
+    own = stored(_reads(spark, sf_dir))
+    return solver.shares_of(solver.solve_stages(own, 2, ("shares",)), reads.variant_counts(own))
+
+
 # Scalar functions and alternates.
 
 _STRINGS_SQL = """WITH w AS (SELECT l_orderkey AS id, l_linenumber AS line, substr(translate(md5(l_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 31) AS q,

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 READ = ["chrom", "rid"]
+#: Variants of a chromosome that one task orders.
+BUCKET = 1 << 14
 
 
 def gap_trim(alleles: DataFrame) -> DataFrame:
@@ -45,14 +47,30 @@ def coverage_islands(reads: DataFrame) -> DataFrame:
     """
     spans = read_spans(reads)
     steps = spans.select("chrom", F.inline(F.array(F.struct(F.col("first").alias("snp_idx"), F.lit(1).alias("d")), F.struct(F.col("last").alias("snp_idx"), F.lit(-1).alias("d")))))
-    here = steps.groupBy("chrom", "snp_idx").agg(F.sum("d").alias("d"))
-    along = W.partitionBy("chrom").orderBy("snp_idx")
-    open_after = here.withColumn("open", F.sum("d").over(along))
-    begun = open_after.withColumn("new", F.when(F.lag("open", 1, 0).over(along) == 0, F.col("snp_idx")))
-    runs = begun.withColumn("island", F.max("new").over(along)).groupBy("chrom", "island").agg(F.max("snp_idx").alias("last"))
+    here = steps.groupBy("chrom", "snp_idx").agg(F.sum("d").alias("d")).withColumn("bucket", F.floor(F.col("snp_idx") / BUCKET))
+    opened = carried(here, "d", F.sum).withColumn("new", F.when(F.col("carried") == F.col("d"), F.col("snp_idx"))).drop("carried")
+    runs = carried(opened, "new", F.max).groupBy("chrom", F.col("carried").alias("island")).agg(F.max("snp_idx").alias("last"))
     return runs.select("chrom", F.explode(F.sequence("island", "last")).alias("snp_idx"), "island")
 
 
+def carried(rows: DataFrame, column: str, how) -> DataFrame:
+    """rows with `carried`: the running F.sum or F.max of a column along each chromosome's variants.
+
+    It runs within buckets of variants, and from one to the next over a row for
+    each bucket, so that a chromosome is as many tasks as it has buckets.
+    """
+    inside = W.partitionBy("chrom", "bucket").orderBy("snp_idx")
+    before = W.partitionBy("chrom").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    ends = rows.groupBy("chrom", "bucket").agg(how(column).alias("_whole"))
+    ends = ends.select("chrom", "bucket", how("_whole").over(before).alias("_before"))
+    both = rows.withColumn("_inside", how(column).over(inside)).join(ends, ["chrom", "bucket"])
+    if how is F.sum:
+        value = F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    else:
+        value = F.greatest("_inside", "_before")  # nulls count for nothing
+    return both.withColumn("carried", value).drop("_inside", "_before")
+
+
 def adjacent_reads(reads: DataFrame) -> DataFrame:
     """(chrom, snp_idx, rid): reads with a call, gaps counted, on a variant and on the one before it."""
     before = F.lag("snp_idx").over(W.partitionBy(*READ).orderBy("snp_idx"))

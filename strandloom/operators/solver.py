@@ -26,7 +26,7 @@ TIP_SHORT, TIP_LONG, TIP_SUPPORT, MOST_PATHS = 5, 15, 1.5, 256
 #: The window of local correction, its patterns in the order they are tried, variants skipped behind a change.
 WINDOW, PATTERNS, SKIP = 5, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 24), 64
 TIP_HINT, TANGLE_HINT = 2, 3
-STAGES = ("tips", "bubbles", "blocks", "corrected")
+STAGES = ("tips", "bubbles", "areas", "blocks", "corrected", "shares")
 
 
 class Island:
@@ -43,6 +43,7 @@ class Island:
         self.hint = np.zeros(self.n, np.int64)
         self.reads: list[tuple[int, np.ndarray]] = []  # first variant, alleles
         self.over: list[list[int]] = [[] for _ in range(self.n)]
+        self.areas: list[tuple[int, int, int]] = []  # first and last variant, ways through
 
     def add_read(self, snps: np.ndarray, alleles: np.ndarray) -> None:
         """A read's calls; variants that it skips are gaps."""
@@ -193,6 +194,7 @@ class Island:
             ranks = slice(left, max(right - self.k + 1, left))
             kept[ranks] = self.weight[ranks]
             ways = self._paths(left, right)
+            self.areas.append((left, right, ways))
             found.append((left, right, own, 0 < ways < MOST_PATHS))
         for left, right, own, simple in found:
             if simple:
@@ -264,15 +266,21 @@ class Island:
         return out
 
 
+def tiles(blocks: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """The blocks, by their first variants, without those that a block before them reaches past."""
+    wide: list[tuple[int, list[int]]] = []
+    for first, phases in sorted(blocks, key=lambda b: (b[0], -len(b[1]))):
+        if not wide or first + len(phases) > wide[-1][0] + len(wide[-1][1]):
+            wide.append((first, phases))
+    return wide
+
+
 def de_overlap(blocks: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
     """Drop blocks that a block before them reaches past; append the free tails of those that overlap a block to it.
 
     Each variant is appended once, from the first block that has it.
     """
-    wide: list[tuple[int, list[int]]] = []
-    for first, phases in sorted(blocks, key=lambda b: (b[0], -len(b[1]))):
-        if not wide or first + len(phases) > wide[-1][0] + len(wide[-1][1]):
-            wide.append((first, phases))
+    wide = tiles(blocks)
     out, k = [], 0
     while k < len(wide):
         first, phases = wide[k]
@@ -285,6 +293,16 @@ def de_overlap(blocks: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]
     return out
 
 
+def overlaps(blocks: list[tuple[int, list[int]]]) -> tuple[int, int]:
+    """Variants of a block that a later one which is appended to it has too, and variants of all blocks after that."""
+    wide = tiles(blocks)
+    shared = 0
+    for first, phases in de_overlap(blocks):
+        end = next(a + len(p) for a, p in wide if a == first)
+        shared += end - min((a for a, _ in wide if first < a < end), default=end)
+    return shared, sum(len(p) for _, p in de_overlap(blocks))
+
+
 class Correction:
     """Local correction of one block by the reads that lie wholly inside it.
 
@@ -407,9 +425,12 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
     """Run the passes on every island of informative reads, once, and give what several stages leave.
 
     (stage, chrom, island, block, at, word, value): of "tips" and "bubbles" the
-    edges, `at` being the rank and value the weight; of "blocks" and "corrected"
-    the blocks, before the overlaps go and after local correction, `at` being the
-    variant and value the phase. sizes: (chrom, n_snp) where it isn't the last
+    edges, `at` being the rank and value the weight; of "areas" the undecided
+    areas, from variant `at` to `word`, and the ways through each (512 at most
+    for an end); of "blocks" and "corrected" the blocks, before the overlaps go
+    and after local correction, `at` being the variant and value the phase; of
+    "shares" a row for each island: variants in overlaps of blocks, in areas
+    that are not enumerated, and in blocks. sizes: (chrom, n_snp) where it isn't the last
     variant that a read reaches.
     """
     if not set(stages) <= set(STAGES) or not stages:
@@ -448,9 +469,15 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
         own.solve_bubbles()
         if "bubbles" in stages:
             edges("bubbles")
-        if not set(stages) & {"blocks", "corrected"}:
+        if "areas" in stages:
+            out.append(pd.DataFrame([("areas", chrom, first, n, left + first, right + first, ways) for n, (left, right, ways) in enumerate(own.areas)], columns=columns))
+        if not set(stages) & {"blocks", "corrected", "shares"}:
             return pd.concat(out)
         found = own.blocks()
+        if "shares" in stages:
+            tangled = sum(right - left + 1 for left, right, ways in own.areas if not 0 < ways < MOST_PATHS)
+            over, size = overlaps(found)
+            out.append(pd.DataFrame([("shares", chrom, first, -1, over, tangled, size)], columns=columns))
         if "blocks" in stages:
             out.append(pd.DataFrame([("blocks", chrom, first, n, s + first + j, -1, p) for n, (s, phases) in enumerate(found) for j, p in enumerate(phases)], columns=columns))
         if "corrected" in stages:
@@ -471,7 +498,22 @@ def blocks_of(solved: DataFrame, stage: str) -> DataFrame:
     return solved.filter(F.col("stage") == stage).select("chrom", "island", "block", F.col("at").alias("snp_idx"), F.col("value").cast("int").alias("phase"))
 
 
+def areas_of(solved: DataFrame) -> DataFrame:
+    """(chrom, l_bound, r_bound, ways, kind) of the areas of `solve_stages`: "simple" ones are enumerated, "incomplete" and "complex" ones are tangles."""
+    kind = F.when(F.col("value") == 0, "incomplete").when(F.col("value") < MOST_PATHS, "simple").otherwise("complex")
+    rows = solved.filter(F.col("stage") == "areas")
+    return rows.select("chrom", F.col("at").alias("l_bound"), F.col("word").alias("r_bound"), F.least("value", F.lit(MOST_PATHS)).alias("ways"), kind.alias("kind"))
+
+
+def shares_of(solved: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(chrom, overlap_percent, tangle_percent): of the variants in blocks those where blocks overlapped, of all those in tangles."""
+    sums = solved.filter(F.col("stage") == "shares").groupBy("chrom").agg(F.sum("at").alias("over"), F.sum("word").alias("tangled"), F.sum("value").alias("in_blocks"))
+    return sums.join(sizes, "chrom").select("chrom", (100.0 * F.col("over") / F.nullif("in_blocks", F.lit(0))).alias("overlap_percent"), (100.0 * F.col("tangled") / F.col("n_snp")).alias("tangle_percent"))
+
+
 def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame | None = None) -> DataFrame:
     """What one stage of `solve_stages` leaves: edges of "tips" and "bubbles", blocks of "blocks" and "corrected"."""
+    if stage not in ("tips", "bubbles", "blocks", "corrected"):
+        raise ValueError("areas and shares are of solve_stages")
     solved = solve_stages(reads, k, (stage,), sizes)
     return (edges_of if stage in ("tips", "bubbles") else blocks_of)(solved, stage)

@@ -146,7 +146,8 @@ class Chromosome:
 
     def solve_areas(self):
         """Close all areas from left to right; then keep one path in each, the enumerable ones first."""
-        areas, kept = self.areas(), {}
+        self.solved = areas = self.areas()
+        kept = {}
         every = [f"{w:0{self.k}b}" for w in range(1 << self.k)]
         for area in areas:
             for s in range(area["left"], area["right"] - self.k + 2):

@@ -56,6 +56,8 @@ def test_passes_equal_the_plain_rules(k):
         own.solve_bubbles()
         assert edges(own) == model.weight and hints(own) == model.hint
         assert own.blocks() == model.blocks()
+        for area, (left, right, ways) in zip(found, own.areas, strict=True):
+            assert (area["left"], area["right"]) == (left, right)
         areas += len(found)
         tangles += 3 in model.hint.values()
     assert areas and tangles and (tips or k > 3)
@@ -79,3 +81,37 @@ def test_islands_together_equal_the_whole_chromosome(spark, k):
         blocks.setdefault((r.island, r.block), []).append((r.snp_idx, r.phase))
     assert sorted((b[0][0], [p for _, p in b]) for b in blocks.values()) == sorted(model.blocks())
     assert reads.coverage_islands(own).agg(F.countDistinct("island")).first()[0] > 1
+
+
+def test_shares_and_kinds_of_areas(spark):
+    rows, _ = matrix(31, n=90, depth=12, errors=0.2, size=12)
+    own = reads.informative_reads(frame(spark, rows))
+    model = plain_phasing.Chromosome(per_read(rows), 2)
+    model.remove_tips()
+    model.solve_areas()
+    solved = solver.solve_stages(own, 2, ("areas", "shares", "blocks")).cache()
+    got = [(r.l_bound, r.r_bound, r.ways, r.kind) for r in solver.areas_of(solved).orderBy("l_bound", "r_bound").collect()]
+    kind = lambda n: "incomplete" if n == 0 else "simple" if n < 256 else "complex"
+    assert got == sorted((a["left"], a["right"], min(a["ways"], 256), kind(a["ways"])) for a in model.solved)
+    share = solver.shares_of(solved, reads.variant_counts(own)).first()
+    tangled = sum(a["right"] - a["left"] + 1 for a in model.solved if kind(a["ways"]) != "simple")
+    assert share.tangle_percent == pytest.approx(100 * tangled / model.n)
+    over, size = solver.overlaps(model.blocks())
+    assert share.overlap_percent == pytest.approx(100 * over / size)
+
+
+def test_overlaps_of_tiled_blocks():
+    """Two tails on one block, the second from the first's; a block that begins behind the block but within the joined tail is one of its own."""
+    inside, a, b, c, far = (2, [1] * 5), (0, [0] * 10), (6, [1] * 8), (9, [0] * 8), (20, [0] * 3)
+    assert solver.overlaps([far, b, inside, a]) == (4, 14 + 3)
+    assert solver.overlaps([a, b, c]) == (4, 17) and solver.overlaps([a, b, (12, [1] * 6)]) == (4, 14 + 6)
+    assert solver.overlaps([]) == (0, 0) and solver.overlaps([a, far]) == (0, 13)
+
+
+def test_islands_over_buckets(spark, monkeypatch):
+    """Islands do not depend on how variants are dealt out over tasks."""
+    rows, _ = matrix(7, n=80, holes=(30, 55))
+    own = reads.informative_reads(frame(spark, rows))
+    want = sorted(map(tuple, reads.coverage_islands(own).collect()))
+    monkeypatch.setattr(reads, "BUCKET", 4)
+    assert sorted(map(tuple, reads.coverage_islands(own).collect())) == want
