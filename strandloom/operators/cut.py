@@ -6,6 +6,8 @@ allele), which are reads without their gaps.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,52 +64,87 @@ def fragment_score(frags: DataFrame, phases: DataFrame) -> DataFrame:
     return sums.select("chrom", "frag", logsumexp10(F.col("one"), F.col("other")).alias("score"))
 
 
-def _likelihood(phase: np.ndarray, of: np.ndarray, variant: np.ndarray, allele: np.ndarray) -> float:
+def _grow(sign: np.ndarray, of: np.ndarray, variant: np.ndarray, size: np.ndarray, by_variant: np.ndarray, bounds: np.ndarray, seed: tuple[int, int]) -> tuple[float, list[int]]:
+    """The gain in log10 likelihood of the best cut that grows from an edge, and the variants it reverses.
+
+    `sign` is 1 for a call that agrees with its variant's phase, else -1. As all
+    calls are of one quality, a fragment's likelihood hangs on one integer: how many
+    more of its calls agree than don't. So does what a further variant gains by its
+    side. Adding a variant touches its own fragments only; stale entries of the heap
+    are passed over.
+    """
     p = 10 ** (-QUALITY / 10)
-    hit = phase[variant] == allele
-    one = np.bincount(of, np.where(hit, np.log10(1 - p), np.log10(p)))
-    other = np.bincount(of, np.where(hit, np.log10(p), np.log10(1 - p)))
-    return float(np.logaddexp(one * np.log(10), other * np.log(10)).sum() / np.log(10))
+    depth = np.arange(size.max() + 2) * (np.log10(1 - p) - np.log10(p)) / 2
+    level = depth + np.log10(1 + 10 ** (-2 * depth))
+    start = np.cumsum(size) - size
+    side, score = np.zeros(len(bounds) - 1, np.int64), np.zeros(len(bounds) - 1)
+    held, whole = np.zeros(len(size), np.int64), np.bincount(of, sign, len(size)).astype(np.int64)
+    heap: list[tuple[float, int]] = []
+    gain, reversed_, best = 0.0, [], (0.0, 0)
+
+    def certain(i: int) -> float:
+        return -round(abs(score[i]), 9)
+
+    def add(i: int, to: int) -> None:
+        nonlocal gain, best
+        calls = by_variant[bounds[i]:bounds[i + 1]]
+        r = of[calls]
+        before, after = held[r], held[r] + to * sign[calls]
+        held[r], side[i] = after, to
+        if to < 0:
+            old, new = whole[r], whole[r] - 2 * sign[calls]
+            whole[r] = new
+            gain += float((level[abs(new)] - level[abs(old)]).sum())
+            reversed_.append(i)
+            best = max(best, (gain, len(reversed_)), key=lambda x: round(x[0], 9))
+        step = level[abs(after + 1)] - level[abs(after - 1)] - level[abs(before + 1)] + level[abs(before - 1)]
+        n = size[r]
+        reach = np.repeat(start[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        np.add.at(score, variant[reach], sign[reach] * np.repeat(step, n))
+        for j in np.unique(variant[reach]).tolist():
+            if side[j] == 0:
+                heapq.heappush(heap, (certain(j), j))
+
+    add(seed[0], 1)
+    add(seed[1], -1)
+    while heap:
+        key, i = heapq.heappop(heap)
+        if side[i] or key != certain(i):
+            continue
+        if key == 0:
+            break
+        add(i, 1 if score[i] > 0 else -1)
+    return best[0], reversed_[:best[1]]
 
 
 def improve_by_cuts(phase: np.ndarray, of: np.ndarray, variant: np.ndarray, allele: np.ndarray) -> np.ndarray:
     """Phases of greater likelihood: again and again the side of a cut is reversed that fragments support least.
 
-    Each cut grows from one edge's ends, adding the variant that is most
-    certain of its side; the sides of all stages are tried and the best kept.
+    Each cut grows from one edge's ends, the weakest edges first, adding the
+    variant whose side gains most likelihood; the sides of all stages are tried
+    and the best kept. A fragment has at most one call of a variant. Memory is
+    linear in the calls; a cut takes time in proportion to each call times the
+    length of its fragment.
     """
+    if not len(of):
+        return phase.copy()
     n = len(phase)
     order = np.lexsort((variant, of))
     of, variant, allele = of[order], variant[order], allele[order]
-    phase, best, idle = phase.copy(), _likelihood(phase, of, variant, allele), 0
-    joined = np.flatnonzero(of[1:] == of[:-1])
     size = np.bincount(of)
-    for turn in range(min(ROUNDS, n // 10 + SEEDS)):
-        agree = (allele[joined] == allele[joined + 1]) == (phase[variant[joined]] == phase[variant[joined + 1]])
-        weight = np.zeros((n, n))
-        np.add.at(weight, (variant[joined], variant[joined + 1]), np.where(agree, 1.0, -1.0) / (size[of[joined]] - 1))
-        weight += weight.T
-        pairs = sorted(((weight[u, v], u, v) for u, v in {tuple(sorted((int(a), int(b)))) for a, b in zip(variant[joined], variant[joined + 1])}))
-        if not pairs:
-            break
-        _, u, v = pairs[turn % len(pairs)]
-        side = np.zeros(n, np.int64)
-        side[u], side[v] = 1, -1
-        tried = phase.copy()
-        tried[side < 0] ^= 1
-        top = (_likelihood(tried, of, variant, allele), tried)
-        for _ in range(n - 2):
-            pull = np.where(side == 0, weight @ side, 0)
-            i = int(np.abs(pull).argmax())
-            if pull[i] == 0:
-                break
-            side[i] = 1 if pull[i] > 0 else -1
-            if side[i] < 0:
-                tried = tried.copy()
-                tried[i] ^= 1
-                top = max(top, (_likelihood(tried, of, variant, allele), tried), key=lambda x: x[0])
-        if top[0] > best + 1e-9:
-            best, phase, idle = *top, 0
+    by_variant = np.argsort(variant, kind="stable")
+    bounds = np.searchsorted(variant[by_variant], np.arange(n + 1))
+    joined = np.flatnonzero(of[1:] == of[:-1])
+    edges, edge = np.unique(variant[joined] * n + variant[joined + 1], return_inverse=True)
+    phase, idle = phase.copy(), 0
+    for turn in range(min(ROUNDS, n // 10 + SEEDS) if len(edges) else 0):
+        sign = np.where(allele == phase[variant], 1, -1)
+        weight = np.bincount(edge, sign[joined] * sign[joined + 1] / (size[of[joined]] - 1))
+        seed = edges[np.lexsort((edges, weight.round(9)))[turn % len(edges)]]
+        gain, turned = _grow(sign, of, variant, size, by_variant, bounds, (int(seed // n), int(seed % n)))
+        if gain > 1e-9:
+            phase[turned] ^= 1
+            idle = 0
         else:
             idle += 1
             if idle > PATIENCE:
