@@ -18,15 +18,16 @@ from .op9_sharding import op9_sharding
 from .op10_decontaminate import op10_decontaminate
 from .op11_variants import OP11_SQL, op11_variants
 from .op12_phrases import OP12_SQL, op12_phrases
+from .op13_secrets import OP13_SQL, op13_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_byte_bpe, op2_language, op3_fingerprint, op4_jaccard, op5_quality,
-        op6_licenses, op7_line_dedup, op8_token_counts, op9_sharding, op10_decontaminate, op11_variants, op12_phrases,
+        op6_licenses, op7_line_dedup, op8_token_counts, op9_sharding, op10_decontaminate, op11_variants, op12_phrases, op13_secrets,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard": OP4_SQL, "op6_licenses": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_variants": OP11_SQL, "op12_phrases": OP12_SQL}
+    return {"op4_jaccard": OP4_SQL, "op6_licenses": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_variants": OP11_SQL, "op12_phrases": OP12_SQL, "op13_secrets": OP13_SQL}
