@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import mmap
 import os
 import pickle
@@ -12,6 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -100,6 +103,49 @@ def mapped(path: str) -> mmap.mmap:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+class Pieces:
+    """Numbered pieces of an index as files on a worker: those of a mounted folder, or fetched by Spark from the folder that only it reads.
+
+    numbers: the pieces that there are. One of them whose file is missing is an error, never an empty piece.
+    """
+
+    def __init__(self, numbers: list[int], folder: str | None, fetched: str | None = None):
+        self.numbers, self.folder, self.fetched = frozenset(numbers), folder, fetched
+
+    def open(self, number: int) -> mmap.mmap | None:
+        """The piece's bytes, mapped; None if there is no such piece."""
+        if number not in self.numbers:
+            return None
+        path = f"{self.folder}/{number}" if self.folder else self._unpacked(number)
+        try:
+            return mapped(path)
+        except FileNotFoundError as missing:
+            raise FileNotFoundError(f"piece {number} of an index is missing: {path}; do all executors see the folder of spark.checkpoint.dir?") from missing
+
+    def _unpacked(self, number: int) -> str:
+        """The piece as a file of its own beside what Spark has fetched, so that all workers of an executor map the same one."""
+        folder = SparkFiles.get(self.fetched)
+        if not os.path.exists(f"{folder}/{number}"):
+            (own,) = [f for f in glob.glob(f"{glob.escape(folder)}/piece={number}/*.parquet") if pq.read_metadata(f).num_rows] or [f"{folder}/piece={number}"]
+            put_file(folder, str(number), pq.read_table(own, columns=["data"]).column(0)[0].as_py())
+        return f"{folder}/{number}"
+
+
+def pieces(spark: SparkSession, build: Callable[[str | None], DataFrame]) -> Pieces:
+    """An index in pieces where every worker can read it.
+
+    build makes (piece, data), one row a piece; with a folder it puts the data there as files, by `put_file`,
+    and gives the numbers only. Where the shared folder is a store that only Spark reads, the rows are written there, and
+    Spark brings the files to each executor once, before its next task, also to those that come later.
+    """
+    if folder := mounted_dir(spark):
+        return Pieces([r[0] for r in build(folder).select("piece").collect()], folder)
+    path = shared_dir(spark)
+    build(None).write.option("compression", "none").partitionBy("piece").parquet(path)
+    spark.sparkContext.addFile(path, recursive=True)
+    return Pieces([r[0] for r in spark.read.parquet(path).select("piece").distinct().collect()], None, path.rsplit("/", 1)[1])
+
+
 def whole_numbers(df: DataFrame, id_col: str) -> None:
     """Raise TypeError unless the ids are integers (of at most 64 bits), which operators that order documents need."""
     kind = df.schema[id_col].dataType

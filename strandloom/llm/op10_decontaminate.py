@@ -5,16 +5,14 @@ words under seeds, Karp-Rabin search finds the longest matches that overlap no
 earlier one and marks them, for shorter and shorter lengths; what share of the
 item's words is marked decides. Passages whose parts stand in another order are
 found as well. A small benchmark is broadcast. A larger one is cut into blocks
-of a bounded size: files in the shared folder, which workers map into memory, so
-that documents are read once; only where that folder can't be opened as files,
-blocks are broadcast one after the other and documents are read for each.
+of a bounded size: files, in the shared folder or fetched from it by Spark,
+which workers map into memory, so that documents are read once.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_texts, mapped, mounted_dir, pack, put_file, shared_dir, unpack, written
+from .common import Pieces, documents, map_texts, pack, pieces, put_file, unpack, whole_numbers
 from .textvec import shingles, words
 
 MIN_MATCH, COVERAGE = 5, 0.8
@@ -191,10 +189,11 @@ def _under(seeds: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 class Blocks:
-    """Blocks on a worker: given as arrays, or as files that are mapped when they are needed."""
+    """Blocks on a worker: one given as arrays, or many as files that are mapped when they are needed."""
 
-    def __init__(self, packed: list[bytes], paths: list[str]):
-        self.packed, self.paths, self.open = packed, paths, {}
+    def __init__(self, data: dict[int, bytes] | Pieces):
+        self.data, self.open = data, {}
+        self.numbers = sorted(data.numbers if isinstance(data, Pieces) else data)
 
     def __getstate__(self):
         return {**self.__dict__, "open": {}}
@@ -202,9 +201,9 @@ class Blocks:
     def hits(self, texts: list[str | None], coverage: float) -> list[list[tuple[float, int]]]:
         hashes, _, _, first = words([plain(t) for t in texts], lower=False, inner=INNER)
         out: list[list[tuple[float, int]]] = [[] for _ in texts]
-        for k in range(len(self.packed) + len(self.paths)):
+        for k in self.numbers:
             if k not in self.open:
-                self.open[k] = Block(unpack(self.packed[k] if k < len(self.packed) else mapped(self.paths[k - len(self.packed)])))
+                self.open[k] = Block(unpack(self.data.open(k) if isinstance(self.data, Pieces) else self.data[k]))
             for own, more in zip(out, self.open[k].hits(hashes, first, coverage)):
                 own += more
         return out
@@ -215,30 +214,27 @@ def _packed(rows: list[tuple], min_match: int) -> bytes:
     return pack(Block.of(items, min_match).arrays)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_bytes: int) -> Iterator[Blocks]:
-    """The benchmark, as one set of blocks, or (without a folder for files) as one after the other."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_bytes: int) -> Blocks:
+    """The benchmark in blocks of about block_bytes."""
+    whole_numbers(benchmark, item_col)
     item, text = F.col(f"`{item_col}`"), F.col(f"`{item_text_col}`")
     items = benchmark.select(item.cast("long").alias("item"), text.alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
     if count == 1:
-        yield Blocks([_packed(items.collect(), min_match)], [])  # at most block_bytes
-        return
-    parted = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int"))
-    if folder := mounted_dir(benchmark.sparkSession):
+        return Blocks({0: _packed(items.collect(), min_match)})  # at most block_bytes
+    parted = items.withColumn("piece", F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int"))
 
+    def build(folder: str | None) -> DataFrame:
         def put(pdf: pd.DataFrame) -> pd.DataFrame:
-            put_file(folder, str(pdf.part.iloc[0]), _packed(list(zip(pdf.item.tolist(), pdf.text.tolist())), min_match))
-            return pdf[["part"]].head(1)
+            number, data = int(pdf.piece.iloc[0]), _packed(list(zip(pdf.item.tolist(), pdf.text.tolist())), min_match)
+            if folder:
+                put_file(folder, str(number), data)
+            return pd.DataFrame({"piece": [number], "data": [None if folder else data]})
 
-        parts = sorted(r[0] for r in parted.groupBy("part").applyInPandas(put, "part int").collect())
-        yield Blocks([], [f"{folder}/{k}" for k in parts])
-        return
-    path = shared_dir(benchmark.sparkSession)
-    parted.write.partitionBy("part").parquet(path)
-    for k in range(count):  # each reads its own folder only
-        rows = benchmark.sparkSession.read.schema(parted.schema).parquet(path).filter(F.col("part") == k).select("item", "text").collect()
-        yield Blocks([_packed(rows, min_match)], [])
+        return parted.groupBy("piece").applyInPandas(put, "piece int, data binary")
+
+    return Blocks(pieces(benchmark.sparkSession, build))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -249,23 +245,16 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     greatest coverage, at a tie the least id; without any, best_item is null and
     best_coverage 0. Null texts hold nothing; items with a null id, a null text
     or no word are never found; of repeated items each id counts once. Repeated
-    rows get equal answers; empty tables are fine.
+    rows get equal answers; empty tables are fine. Item ids are integers (others are a TypeError).
     """
     marks = T.StructType([T.StructField("_item_hits", T.ArrayType(T.StructType([T.StructField("c", T.DoubleType()), T.StructField("i", T.LongType())])))])
-    first = True
-    for block in _blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
-        if not first:
-            df = written(df)
-        shared = df.sparkSession.sparkContext.broadcast(block)
-
-        def run(batch: pa.RecordBatch, shared=shared, first=first) -> dict:
-            found = shared.value.hits(batch.column(text_col).to_pylist(), coverage)
-            earlier = [None] * len(found) if first else batch.column("_item_hits").to_pylist()
-            return {"_item_hits": [[*(e or ()), *({"c": c, "i": i} for c, i in own)] for own, e in zip(found, earlier)]}
-
-        needed = [id_col, text_col] + ([] if first else ["_item_hits"])
-        df = map_texts(df if carry or not first else df.select(f"`{id_col}`", f"`{text_col}`"), needed, marks, run, text_col, carry=True)
-        first = False
+    shared = df.sparkSession.sparkContext.broadcast(_blocks(benchmark, item_col, item_text_col, min_match, block_bytes))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = shared.value.hits(batch.column(text_col).to_pylist(), coverage)
+        return {"_item_hits": [[{"c": c, "i": i} for c, i in own] for own in found]}
+
+    df = map_texts(df if carry else df.select(f"`{id_col}`", f"`{text_col}`"), [id_col, text_col], marks, run, text_col, carry=True)
     hits = F.col("_item_hits")
     best = F.try_element_at(F.array_sort(F.transform(hits, lambda h: F.struct((-h["c"]).alias("c"), h["i"].alias("i")))), F.lit(1))
     new = {"item_ids": F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["i"]))), "best_item": best["i"], "best_coverage": F.round(F.coalesce(-best["c"], F.lit(0.0)), 6)}

@@ -4,15 +4,13 @@ Line keys are hashed to 128 bits and counted once for all documents. A sharded
 minimal perfect hash over the distinct hashes of frequent lines gives each a
 place in compact arrays: the fingerprint, the count, and the last document.
 Documents probe these arrays for their lines; lines are never joined. A small
-index is broadcast. The shards of a larger one are files in the shared folder,
-which workers map into memory as they need them, so that documents are read
-once; only where that folder can't be opened as files, shards are broadcast in
-groups of a fixed size and documents pass through once for each.
+index is broadcast. The shards of a larger one are files, in the shared folder or
+fetched from it by Spark, which workers map into memory as they need them, so
+that documents are read once. A shard that is missing is an error.
 """
 
 from __future__ import annotations
 
-import os
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -24,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_texts, mapped, mounted_dir, pack, put_file, unpack, whole_numbers, written
+from .common import Pieces, documents, map_texts, pack, pieces, put_file, unpack, whole_numbers, written
 from .textvec import mix
 
 MIN_CHARS, MIN_DOCS = 40, 5
 KEYS_PER_SHARD = 1 << 19
-#: A key takes at most 32 bytes in its shard, so that a group's broadcast has a proven bound.
-KEY_BYTES, GROUP_BYTES = 32, 32 << 20
+#: A key takes at most 32 bytes in its shard, so that a broadcast has a proven bound.
+KEY_BYTES, BROADCAST_BYTES = 32, 32 << 20
 #: Shards that a worker keeps mapped.
 OPEN_SHARDS = 4096
 BLANK = " \t\n\v\f\r"
@@ -128,22 +126,22 @@ def frequent_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, mi
 
 
 def build_index(frequent: DataFrame, shards: int, folder: str | None = None) -> DataFrame:
-    """(shard, data): each shard's perfect hash with its arrays; with a folder as files there, data being null."""
+    """(piece, data): each shard's perfect hash with its arrays; with a folder as files there, data being null."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         data = _shard(pdf.h1.to_numpy().view(np.uint64), pdf.h2.to_numpy().view(np.uint64), np.minimum(pdf.docs.to_numpy(), 2**32 - 1).astype(np.uint32), pdf["last"].to_numpy())
         if folder:
             put_file(folder, str(pdf.shard.iloc[0]), data)
-        return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "data": [None if folder else data]})
+        return pd.DataFrame({"piece": [pdf.shard.iloc[0]], "data": [None if folder else data]})
 
-    return frequent.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, "shard int, data binary")
+    return frequent.withColumn("shard", F.pmod(F.col("h2"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(one, "piece int, data binary")
 
 
 class Probe:
-    """Shards on a worker: those of a group, or all of a folder."""
+    """All shards on a worker: in memory, or as files."""
 
-    def __init__(self, shards: int, data: dict[int, bytes] | None = None, folder: str | None = None):
-        self.shards, self.data, self.folder = shards, data, folder
+    def __init__(self, shards: int, data: dict[int, bytes] | Pieces):
+        self.shards, self.data = shards, data
         self.open: OrderedDict = OrderedDict()
 
     def __getstate__(self):
@@ -153,13 +151,10 @@ class Probe:
         if (known := self.open.get(shard)) is not None:
             self.open.move_to_end(shard)
             return known
-        if self.folder:
-            path = f"{self.folder}/{shard}"
-            arrays = unpack(mapped(path)) if os.path.exists(path) else None  # a shard without a key has no file
-        else:
-            arrays = unpack(self.data[shard]) if shard in self.data else None
-        if arrays is None:
+        data = self.data.open(shard) if isinstance(self.data, Pieces) else self.data.get(shard)
+        if data is None:  # no frequent key falls into this shard
             return None
+        arrays = unpack(data)
         self.open[shard] = PerfectHash.of(arrays), arrays
         if len(self.open) > OPEN_SHARDS:
             self.open.popitem(last=False)
@@ -186,7 +181,7 @@ class Probe:
 
 
 def _drop(batch: pa.RecordBatch, id_col: str, text_col: str, probe: Probe, min_chars: int) -> list[set[int]]:
-    """The numbers of the lines that each text loses to this group of shards."""
+    """The numbers of the lines that each text loses."""
     per, keys = [], []
     for text in batch.column(text_col).to_pylist():
         at, found = _hashes(text, min_chars)
@@ -201,7 +196,7 @@ def _drop(batch: pa.RecordBatch, id_col: str, text_col: str, probe: Probe, min_c
     return out
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row n_lines, n_dropped and kept_text.
 
     Lines whose key has at least min_chars code points and stands in at least
@@ -213,18 +208,19 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     empty table stays empty. With `carry` the other columns stay too.
     """
     whole_numbers(df, id_col)
-    spark = df.sparkSession
     frequent = written(frequent_lines(df, id_col, text_col, min_chars, min_docs))
     keys = frequent.count()
     shards = max(1, -(-keys // KEYS_PER_SHARD))
-    per_group = max(1, group_bytes // (KEY_BYTES * KEYS_PER_SHARD))
-    if shards <= per_group:
-        data = {r.shard: bytes(r.data) for r in build_index(frequent, shards).collect()} if keys else {}  # at most group_bytes
-        return _one_pass(df, id_col, text_col, min_chars, Probe(shards, data), carry)
-    if folder := mounted_dir(spark):
-        build_index(frequent, shards, folder).agg(F.count("*")).collect()
-        return _one_pass(df, id_col, text_col, min_chars, Probe(shards, folder=folder), carry)
-    return _passes(df, id_col, text_col, min_chars, written(build_index(frequent, shards)), shards, per_group, carry)
+    if shards * KEYS_PER_SHARD * KEY_BYTES <= max(broadcast_bytes, KEYS_PER_SHARD * KEY_BYTES):
+        data = {r.piece: bytes(r.data) for r in build_index(frequent, shards).collect()} if keys else {}  # at most broadcast_bytes, or one shard
+    else:
+        data = pieces(df.sparkSession, lambda folder: build_index(frequent, shards, folder))
+    shared = df.sparkSession.sparkContext.broadcast(Probe(shards, data))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return _kept(batch.column(text_col).to_pylist(), _drop(batch, id_col, text_col, shared.value, min_chars))
+
+    return map_texts(df, [id_col, text_col], OUT, run, text_col, carry)
 
 
 OUT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
@@ -235,35 +231,6 @@ def _kept(texts: list[str | None], dropped: list[set[int]]) -> dict:
     return {"n_lines": list(map(len, lines)), "n_dropped": list(map(len, dropped)), "kept_text": ["\n".join([x for i, x in enumerate(own) if i not in d] if d else own) for own, d in zip(lines, dropped)]}
 
 
-def _one_pass(df: DataFrame, id_col: str, text_col: str, min_chars: int, probe: Probe, carry: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(probe)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        return _kept(batch.column(text_col).to_pylist(), _drop(batch, id_col, text_col, shared.value, min_chars))
-
-    return map_texts(df, [id_col, text_col], OUT, run, text_col, carry)
-
-
-def _passes(df: DataFrame, id_col: str, text_col: str, min_chars: int, index: DataFrame, shards: int, per_group: int, carry: bool) -> DataFrame:
-    """One pass over the documents for each group of shards; the numbers of dropped lines go along."""
-    marks = T.StructType([T.StructField("_lines_dropped", T.ArrayType(T.IntegerType()))])
-    for low in range(0, shards, per_group):
-        rows = index.filter(F.col("shard").between(low, low + per_group - 1)).collect()
-        shared = df.sparkSession.sparkContext.broadcast(Probe(shards, {r.shard: bytes(r.data) for r in rows}))
-        first, final = low == 0, low + per_group >= shards
-
-        def run(batch: pa.RecordBatch, shared=shared, first=first, final=final) -> dict:
-            dropped = _drop(batch, id_col, text_col, shared.value, min_chars)
-            if not first:
-                dropped = [a.union(b or ()) for a, b in zip(dropped, batch.column("_lines_dropped").to_pylist())]
-            return _kept(batch.column(text_col).to_pylist(), dropped) if final else {"_lines_dropped": [sorted(d) for d in dropped]}
-
-        needed = [id_col, text_col] + ([] if first else ["_lines_dropped"])
-        if final:
-            return map_texts(df, needed, OUT, run, text_col, carry).drop("_lines_dropped")
-        df = written(map_texts(df if carry else df.select(*[f"`{c}`" for c in needed]), needed, marks, run, text_col, carry=True))
-
-
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

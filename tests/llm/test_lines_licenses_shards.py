@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from conftest import SF
 
-from strandloom.llm import op4_jaccard, op6_licenses, op7_line_dedup, op9_sharding
+from strandloom.llm import common, op4_jaccard, op6_licenses, op7_line_dedup, op9_sharding
 
 
 def oracle(sql, sf=SF, files="/documents.parquet"):
@@ -41,18 +41,34 @@ def test_licenses_against_sql(spark):
     assert by_id(rows(op6_licenses.op6_licenses(spark, SF))) == by_id(oracle(op6_licenses.OP6_SQL))
 
 
-def test_lines_in_many_groups_of_shards(docs, monkeypatch):
-    """A large index as files that workers map, and where there are none, group by group."""
+@pytest.mark.parametrize("mounted", [True, False])
+def test_lines_in_many_shards(docs, monkeypatch, mounted):
+    """A large index as files that workers map; without a folder for them, as files that Spark fetches. Either way in one pass."""
     once = by_id(rows(op7_line_dedup.dedup_lines(docs)))
     monkeypatch.setattr(op7_line_dedup, "KEYS_PER_SHARD", 4)
-    assert by_id(rows(op7_line_dedup.dedup_lines(docs, group_bytes=4 * op7_line_dedup.KEY_BYTES))) == once
     monkeypatch.setattr(op7_line_dedup, "OPEN_SHARDS", 2)
-    assert by_id(rows(op7_line_dedup.dedup_lines(docs, group_bytes=4 * op7_line_dedup.KEY_BYTES, carry=True).select("doc_id", "n_lines", "n_dropped", "kept_text"))) == once
-    monkeypatch.setattr(op7_line_dedup, "mounted_dir", lambda spark: None)
-    assert by_id(rows(op7_line_dedup.dedup_lines(docs, group_bytes=4 * op7_line_dedup.KEY_BYTES))) == once
+    if not mounted:
+        monkeypatch.setattr(common, "mounted_dir", lambda spark: None)
+    small = {"broadcast_bytes": op7_line_dedup.KEY_BYTES}
+    assert by_id(rows(op7_line_dedup.dedup_lines(docs, **small))) == once
+    carried = op7_line_dedup.dedup_lines(docs, **small, carry=True)
+    assert by_id(rows(carried.select("doc_id", "n_lines", "n_dropped", "kept_text"))) == once
+    assert carried._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert any(r["n_dropped"] for r in once.values())
 
 
+def test_a_missing_shard_is_an_error(docs, monkeypatch):
+    """A worker that can't see a shard which was built doesn't take it for an empty one."""
+    monkeypatch.setattr(op7_line_dedup, "KEYS_PER_SHARD", 4)
+    made = []
+    monkeypatch.setattr(common, "mounted_dir", lambda spark, own=common.mounted_dir: made.append(own(spark)) or made[-1])
+    kept = op7_line_dedup.dedup_lines(docs, broadcast_bytes=op7_line_dedup.KEY_BYTES)
+    assert kept.count() == docs.count()
+    os.remove(f"{made[0]}/{min(int(x) for x in os.listdir(made[0]) if x.isdigit())}")
+    with pytest.raises(Exception, match="piece 0 of an index is missing"):
+        kept.collect()
+
+
 def test_documents_are_told_apart_by_id(spark):
     line = "a line of more than forty code points in all rows"
     df = spark.createDataFrame([(k // 2, line) for k in range(8)], "doc_id long, text string")

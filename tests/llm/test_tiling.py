@@ -1,6 +1,7 @@
 import random
 import re
 
+from strandloom.llm import common as shared
 from strandloom.llm import op10_decontaminate as tiling
 
 
@@ -57,7 +58,7 @@ def expected(docs, items, least=tiling.MIN_MATCH, coverage=tiling.COVERAGE):
 
 
 def test_hits_against_brute_force(spark, monkeypatch):
-    """Which items are found and how far they are covered, with one block, with many, and with blocks one after the other."""
+    """Which items are found and how far they are covered, with one block, with many that are mapped, and with many that Spark fetches."""
     rng = random.Random(6)
     draw = lambda n: [f"w{rng.randint(0, 25)}" for _ in range(n)]
     common = draw(7)
@@ -76,7 +77,7 @@ def test_hits_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(tiling, "MET", 16)
     for block_bytes, mounted in ((1 << 20, True), (300, True), (300, False)):
         if not mounted:
-            monkeypatch.setattr(tiling, "mounted_dir", lambda spark: None)
+            monkeypatch.setattr(shared, "mounted_dir", lambda spark: None)
         for r in tiling.decontaminate(*shape, block_bytes=block_bytes).collect():
             own = want[r.doc_id]
             assert r.item_ids == sorted(own) and r.contaminated == bool(own) and r.n_items == len(own)
