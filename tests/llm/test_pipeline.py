@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -60,7 +61,7 @@ def test_stages_against_brute_force(spark):
             assert got == sorted(plain_lines(before))
         elif name == "ngram_jaccard_join":
             unique = {(i, hashlib.sha256(t.encode()).hexdigest()): t for i, t in before}  # of equal rows one stays, and the least of a component
-            label = {k: c for (k, _, c) in brute(list(unique.items()), 5, 80)}
+            label = {k: c for (k, _, c) in brute(list(unique.items()), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)}
             assert got == sorted((k[0], t) for k, t in unique.items() if label[str(k)] == str(k))
         else:
             hits = expected([(k, t) for k, (_, t) in enumerate(before)], items)
@@ -68,6 +69,33 @@ def test_stages_against_brute_force(spark):
     assert len({i for i, _ in got}) < len(got)  # an id with two texts
 
 
+def test_near_copies_are_caught(spark):
+    """Copies with every thirtieth word edited go; texts that share half of their words' runs at most stay."""
+    rng = random.Random(3)
+    draw = lambda n: [f"{rng.choice('bcdfg')}{rng.randint(0, 4000)}" for _ in range(n)]
+    rows, near = [], []
+    for d in range(150):
+        words = draw(rng.randint(40, 300))
+        rows.append(words)
+        for _ in range(2):
+            edited = [rng.choice([[], draw(1), [w, *draw(1)]]) if rng.random() < 1 / 30 else [w] for w in words]
+            near.append([w for part in edited for w in part])
+        half = len(words) // 3
+        rows.append(words[:half] + draw(len(words) - half))  # shares a passage
+    made = [(k, " ".join(x), "en", "s", 0) for k, x in enumerate(rows + near)]
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert set(range(len(rows))) <= left
+    assert len(left - set(range(len(rows)))) <= 0.1 * len(near)
+
+
+def test_rows_without_an_id_meet_in_no_task(spark):
+    """They are in no join, group or window of the near-duplicate stage."""
+    rows = [(None, f"text {k} of no id", "en", "s", 12) for k in range(50)] + [(1, "twice", "en", "s", 5), (1, "twice", "en", "s", 5), (2, "once", None, None, None)]
+    made = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert made.filter("doc_id IS NULL").count() == 50 and made.count() == 52
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_lines(rows):
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\v\f\r"))
     holders = defaultdict(set)
@@ -116,7 +144,7 @@ def test_run_and_registry(spark):
     import __spark_entry__
 
     known = __spark_entry__.queries()
-    assert "pipeline" in known and all(any(q.startswith(f"op{n}_") for q in known) for n in range(1, 11))
+    assert "pipeline" in known and all(any(q.startswith(f"op{n}_") for q in known) for n in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(known)
     assert corpus_pipeline.run(spark, SF).count() > 0
 
