@@ -9,7 +9,6 @@ their names, go through all stages unchanged.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.llm import op1_bpe, op2_language, op4_jaccard, op7_line_dedup, op10_decontaminate
@@ -18,7 +17,9 @@ from strandloom.llm.common import shared_dir
 #: Texts of which no language can be told are rejected, and those nearer to random n-grams than to held-out rows
 #: of the language that they are told to be. Short clean texts are about as typical as long ones.
 LEAST_TYPICAL = 0.5
-NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Near duplicates have a Jaccard index J of 0.55 or more over shingles of five words. One edited word changes five
+#: shingles; of single words that is a similarity of 0.93, by (2 J / (1 + J)) ** (1 / 5).
+NEAR_WORDS, NEAR_PERCENT = 5, 55
 
 
 class _Documents:
@@ -60,11 +61,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.when(F.col(own.id).isNotNull(), F.struct(F.col(own.id).alias("id"), F.sha2(F.coalesce(F.col(own.text), F.lit("")), 256).alias("text")))
     rows = own.rows.withColumn("key", key)
     linked = op4_jaccard.link_components(rows, "key", own.text, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    stay = linked.filter(F.col("key") == F.col("component_id")).select("key").distinct().withColumn("stays", F.lit(True))
-    kept = rows.join(stay, "key", "left").filter(F.col("stays") | F.col("key").isNull())
+    stay = linked.filter(F.col("key") == F.col("component_id")).select("key").distinct()
+    # Rows without an id meet in no join and no group.
+    named, others = rows.filter(F.col("key").isNotNull()).join(stay, "key", "left_semi"), rows.filter(F.col("key").isNull())
     if not linked.filter("key IS NOT NULL").groupBy("key").count().filter("count > 1").isEmpty():
-        alone = F.row_number().over(W.partitionBy("key").orderBy(*own.name.values()))
-        kept = kept.withColumn("row", alone).filter((F.col("row") == 1) | F.col("key").isNull())
+        least = named.groupBy("key").agg(F.min(F.struct(*own.name.values())).alias("row"))
+        named = least.select("key", "row.*")
+    kept = named.select(*own.name.values()).union(others.select(*own.name.values()))
     return own.back(kept)
 
 
