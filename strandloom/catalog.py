@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import file_catalog
-from strandloom.operators import blocks, bubbles, cut, hints, kmers, reads, solver
+from strandloom.operators import blocks, bubbles, cut, hints, kmers, linear, reads, solver
 from strandloom.operators.stored import stored
 from strandloom.plans import derived, phasing
 from strandloom.plans.derived import MATRIX_SQL
@@ -351,6 +351,46 @@ for _k in phasing.ALLOWED_K:
     _register_solver(_k)
 
 
+# Bubbles between linear flanks: the flanks in SQL, step by step; what is solved on them is held against a model in the tests.
+
+
+def _flanks_sql(k: int) -> str:
+    mask = (1 << k) - 1
+    return _with(_graph_sql(k), f"""
+alone AS (
+  SELECT chrom, s, e // 2 AS u, e & {mask} AS v, count(*) OVER (PARTITION BY chrom, s, e // 2) AS n_out, count(*) OVER (PARTITION BY chrom, s, e & {mask}) AS n_in FROM live),
+edge1 AS (SELECT chrom, s, u, v FROM alone WHERE n_out = 1 AND n_in = 1),
+walk AS (
+  SELECT 0 AS side, chrom, s + 1 AS s, v AS w, s AS pos, u AS node, 1 AS length, (u >> {k - 1})::VARCHAR AS path FROM edge1
+  UNION ALL SELECT 1, chrom, s, u, s + 1, v, 1, (v & 1)::VARCHAR FROM edge1
+  UNION ALL SELECT side, w.chrom, w.s, w.w, CASE side WHEN 0 THEN w.pos - 1 ELSE w.pos + 1 END, CASE side WHEN 0 THEN e.u ELSE e.v END, length + 1,
+    CASE side WHEN 0 THEN (e.u >> {k - 1})::VARCHAR || path ELSE path || (e.v & 1)::VARCHAR END
+  FROM walk w JOIN edge1 e ON e.chrom = w.chrom AND CASE side WHEN 0 THEN e.s = w.pos - 1 AND e.v = w.node ELSE e.s = w.pos AND e.u = w.node END WHERE length < 64)""").replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT side, chrom, s, w, max(length) AS length, arg_max(path, length) AS path FROM walk GROUP BY ALL"""
+
+
+def _register_linear(k: int) -> None:
+    tail = "" if k == 2 else f"_k{k}"
+    _query(_flanks_sql(k), "linear_flanks" + tail)(lambda spark, sf_dir: linear.flanks(stored(kmers.edge_trim(kmers.patched_graph(_reads(spark, sf_dir), k)[1])), k))
+
+    def solved(spark, sf_dir):
+        own = stored(_reads(spark, sf_dir))
+        return own, *linear.topology_bubbles(own, solver.solve(own, k, "tips"), k)
+
+    _query(name="topology_bubble" + tail)(lambda spark, sf_dir: solved(spark, sf_dir)[2])
+    _query(name="topology_graph" + tail)(lambda spark, sf_dir: solved(spark, sf_dir)[1])
+
+    def errors(spark, sf_dir):
+        own, _, found = solved(spark, sf_dir)
+        return linear.default_errors(found, own, solver.solve(own, k, "blocks"))
+
+    _query(name="topology_errors" + tail)(errors)
+
+
+for _k in (2, 3):
+    _register_linear(_k)
+
+
 @_query(name="bubble_classify")
 def bubble_classify(spark, sf_dir):
     return solver.areas_of(solver.solve_stages(stored(_reads(spark, sf_dir)), 2, ("areas",)))

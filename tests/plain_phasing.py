@@ -235,6 +235,79 @@ class Chromosome:
         return out
 
 
+    # Bubbles between linear flanks.
+
+    def flank(self, s, word, right):
+        """The alleles along linear edges from a node on, node after node, the nearest first."""
+        out = ""
+        while len(out) < 64:
+            ahead = self.steps(s, word, right)
+            if len(ahead) != 1:
+                break
+            bit, (_, _, (t, other)) = next(iter(ahead.items()))
+            if len(self.steps(t, other, not right)) != 1:
+                break
+            out, s, word = out + bit, t, other
+        return out
+
+    def solve_bubbles_by_shape(self):
+        """(first rank, word, variants, ways, reads, errors, path) of every bubble, from left to right."""
+        nodes = {x for s, e in self.weight for x in ((s, e[:-1]), (s + 1, e[1:]))}
+        back = {x: self.flank(*x, False)[::-1] for x in nodes}
+        ahead = {x: self.flank(*x, True) for x in nodes}
+        seen, out = set(), []
+        for s, word in sorted(x for x in nodes if x[1][0] == "0"):
+            if (s, word) in seen or len(self.steps(s, word, True)) < 2 or len(back[s, word]) < 10:
+                continue
+            seen.add((s, word))
+            ways, dead, closed = [word], [], False
+            for t in range(s, s + 30):
+                steps = [(p, self.steps(t, p[-self.k :], True)) for p in ways]
+                for p, own in steps:
+                    seen.add((t + 1, (p[-self.k :] + ("0" if "0" in own else "1"))[1:]))
+                dead += [p for p, own in steps if not own]
+                ways = [p + bit for p, own in steps for bit in sorted(own)]
+                if not ways or len(ways) > 256:
+                    break
+                if closed := all(len(ahead.get((t + 1, p[-self.k :]), "")) >= 10 for p in ways):
+                    break
+            if not closed:
+                continue
+            base = s - len(back[s, word])
+            paths = [back[s, word] + p + ahead[t + 1, p[-self.k :]] for p in ways]
+            words = lambda at, p: [(at + j, p[j : j + self.k + 1]) for j in range(len(p) - self.k)]
+            if any(e not in self.weight for p in paths for e in words(base, p)):
+                continue
+            for p in dead:
+                for e in words(s, p):
+                    self.drop(e)
+            size, on = len(ways[0]), []
+            for j in range(size):
+                kinds = {p[i] == p[i + 1] for p in ways for i in (j - 1,) if i >= 0}, {p[j] == p[j + 1] for p in ways if j + 1 < size}
+                if any(len(kind) == 2 for kind in kinds):
+                    on += [r for r in self.reads if (s + j, 0) in r or (s + j, 1) in r]
+            on = [r for n, r in enumerate(on) if not any(r is o for o in on[:n])]
+            high = min(s + size + 128, base + min(map(len, paths)))
+            if not on or any(r[0][0] < base or r[-1][0] >= high for r in on):
+                continue
+            cost = []
+            for p in paths:
+                wrong = [[int(p[t - base]) != a for t, a in r if a >= 0] for r in on]
+                cost.append(sum(min(sum(x), len(x) - sum(x)) for x in wrong))
+            for p in paths:
+                for e in words(base, p):
+                    self.drop(e)
+            best = paths[cost.index(min(cost))]
+            for s_, e in words(base, best):
+                self.weight[s_, e] = self.weight[s_, e.translate(FLIP)] = 1
+            out.append((s, int(word, 2), size, len(ways), len(on), min(cost), best))
+        return out
+
+    def drop(self, edge):
+        self.weight.pop(edge, None)
+        self.weight.pop((edge[0], edge[1].translate(FLIP)), None)
+
+
 def trimmed(read):
     called = [i for i, (_, a) in enumerate(read) if a >= 0]
     return read[called[0] : called[-1] + 1] if called else []
