@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import file_catalog
-from strandloom.operators import blocks, bubbles, cut, hints, kmers, linear, reads, solver
+from strandloom.operators import blocks, bubbles, contraction, cut, hints, kmers, linear, reads, solver
 from strandloom.operators.stored import stored
 from strandloom.plans import derived, phasing
 from strandloom.plans.derived import MATRIX_SQL
@@ -511,12 +511,33 @@ def topk_cut_edges(spark, sf_dir):
     return cut.topk_cut_edges(_weights(spark, sf_dir)).drop("rank")
 
 
+@_query(name="max_likelihood_cut")
 def max_likelihood_cut(spark, sf_dir):
     own, made = _majority(spark, sf_dir)
-    return cut.max_likelihood_cut(cut.fragments(own), made)
+    return contraction.max_likelihood_cut(cut.fragments(own), made)
 
 
-QUERIES["max_likelihood_cut"] = max_likelihood_cut
+@_query(name="improve_by_cuts")
+def improve_by_cuts(spark, sf_dir):
+    own, made = _majority(spark, sf_dir)
+    return cut.blocks_by_cuts(cut.fragments(own), made)
+
+
+def _tangle_cut(spark, sf_dir, k=2):
+    own = stored(_reads(spark, sf_dir))
+    solved = stored(solver.solve_stages(own, k, ("tips", "closed", "areas")))
+    pairs = stored(contraction.tangle_pairs(own, solver.edges_of(solved, "tips"), solver.areas_of(solved), k))
+    return contraction.tangle_cut(own, solver.edges_of(solved, "closed"), pairs, k)
+
+
+@_query(name="tangle_cut")
+def tangle_cut(spark, sf_dir):
+    return _tangle_cut(spark, sf_dir)[0]
+
+
+@_query(name="tangle_cut_graph")
+def tangle_cut_graph(spark, sf_dir):
+    return _tangle_cut(spark, sf_dir)[1]
 
 
 @_query(_FRAGS + """, sc AS (SELECT fr.chrom, frag, count(*) FILTER (WHERE allele = phase) AS hit, count(*) AS n FROM fr JOIN phased p ON p.chrom = fr.chrom AND p.snp_idx = fr.variant GROUP BY ALL),

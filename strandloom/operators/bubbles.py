@@ -24,9 +24,13 @@ def bubble_bounds(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     return over.join(read_spans(reads), ["chrom", "rid"]).groupBy("chrom", "snp_idx").agg(F.min("first").alias("l_bound"), F.max("last").alias("r_bound"))
 
 
-def bubble_segments(bounds: DataFrame) -> DataFrame:
-    """(chrom, bubble, l_bound, r_bound, n_pairs): a bubble ends where the next pair's reads begin behind its last pair."""
+def bubble_pairs(bounds: DataFrame) -> DataFrame:
+    """`bubble_bounds` with the number of each pair's bubble: one ends where the next pair's reads begin behind its last pair."""
     along = W.partitionBy("chrom").orderBy("snp_idx")
     new = F.when(F.col("l_bound") > F.lag("snp_idx").over(along), 1).otherwise(0)
-    marked = bounds.withColumn("_new", new).withColumn("bubble", F.sum("_new").over(along))
-    return marked.groupBy("chrom", "bubble").agg(F.min("l_bound").alias("l_bound"), F.max("r_bound").alias("r_bound"), F.count("*").alias("n_pairs"))
+    return bounds.withColumn("_new", new).withColumn("bubble", F.sum("_new").over(along)).drop("_new")
+
+
+def bubble_segments(bounds: DataFrame) -> DataFrame:
+    """(chrom, bubble, l_bound, r_bound, n_pairs) of the bubbles of `bubble_pairs`."""
+    return bubble_pairs(bounds).groupBy("chrom", "bubble").agg(F.min("l_bound").alias("l_bound"), F.max("r_bound").alias("r_bound"), F.count("*").alias("n_pairs"))

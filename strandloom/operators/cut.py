@@ -152,8 +152,8 @@ def improve_by_cuts(phase: np.ndarray, of: np.ndarray, variant: np.ndarray, alle
     return phase
 
 
-def max_likelihood_cut(frags: DataFrame, phases: DataFrame) -> DataFrame:
-    """(chrom, block, snp_idx, phase) after cuts in each block of `phases` (chrom, block, snp_idx, phase); fragments count in the block of their variants."""
+def blocks_by_cuts(frags: DataFrame, phases: DataFrame) -> DataFrame:
+    """(chrom, block, snp_idx, phase) after `improve_by_cuts` in each block of `phases` (chrom, block, snp_idx, phase); fragments count in the block of their variants."""
     rows = phases.join(frags.withColumnRenamed("variant", "snp_idx"), ["chrom", "snp_idx"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

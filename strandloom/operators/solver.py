@@ -26,7 +26,7 @@ TIP_SHORT, TIP_LONG, TIP_SUPPORT, MOST_PATHS = 5, 15, 1.5, 256
 #: The window of local correction, its patterns in the order they are tried, variants skipped behind a change.
 WINDOW, PATTERNS, SKIP = 5, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 24), 64
 TIP_HINT, TANGLE_HINT = 2, 3
-STAGES = ("tips", "bubbles", "areas", "blocks", "corrected", "shares")
+STAGES = ("tips", "closed", "bubbles", "areas", "blocks", "hints", "corrected", "shares")
 
 
 class Island:
@@ -44,6 +44,7 @@ class Island:
         self.reads: list[tuple[int, np.ndarray]] = []  # first variant, alleles
         self.over: list[list[int]] = [[] for _ in range(self.n)]
         self.areas: list[tuple[int, int, int]] = []  # first and last variant, ways through
+        self.closed = self.weight  # weights once all areas are closed
 
     def add_read(self, snps: np.ndarray, alleles: np.ndarray) -> None:
         """A read's calls; variants that it skips are gaps."""
@@ -196,6 +197,7 @@ class Island:
             ways = self._paths(left, right)
             self.areas.append((left, right, ways))
             found.append((left, right, own, 0 < ways < MOST_PATHS))
+        self.closed = self.weight.copy()
         for left, right, own, simple in found:
             if simple:
                 self._enumerate(left, right, own, kept)
@@ -424,9 +426,9 @@ def _island(rows: pd.DataFrame, k: int, n_snp: int, first: int) -> Island:
 def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataFrame | None = None) -> DataFrame:
     """Run the passes on every island of informative reads, once, and give what several stages leave.
 
-    (stage, chrom, island, block, at, word, value): of "tips" and "bubbles" the
-    edges, `at` being the rank and value the weight; of "areas" the undecided
-    areas, from variant `at` to `word`, and the ways through each (512 at most
+    (stage, chrom, island, block, at, word, value): of "tips", "closed" (areas
+    closed, not yet solved) and "bubbles" the edges, `at` being the rank and
+    value the weight; of "hints" the doubtful variants and their kind; of "areas" the undecided areas, from variant `at` to `word`, and the ways through each (512 at most
     for an end); of "blocks" and "corrected" the blocks, before the overlaps go
     and after local correction, `at` being the variant and value the phase; of
     "shares" a row for each island: variants in overlaps of blocks, in areas
@@ -457,18 +459,23 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
         own = _island(pdf, k, int(pdf.n_snp.iloc[0]), first)
         out: list[pd.DataFrame] = []
 
-        def edges(stage: str) -> None:
-            at = np.argwhere(own.weight > 0)
-            out.append(pd.DataFrame({"stage": stage, "chrom": chrom, "island": first, "block": -1, "at": at[:, 0] + first, "word": at[:, 1], "value": own.weight[at[:, 0], at[:, 1]]}))
+        def edges(stage: str, weight: np.ndarray) -> None:
+            at = np.argwhere(weight > 0)
+            out.append(pd.DataFrame({"stage": stage, "chrom": chrom, "island": first, "block": -1, "at": at[:, 0] + first, "word": at[:, 1], "value": weight[at[:, 0], at[:, 1]]}))
 
         own.remove_tips()
         if "tips" in stages:
-            edges("tips")
+            edges("tips", own.weight)
         if set(stages) == {"tips"}:
             return out[0]
         own.solve_bubbles()
+        if "closed" in stages:
+            edges("closed", own.closed)
         if "bubbles" in stages:
-            edges("bubbles")
+            edges("bubbles", own.weight)
+        if "hints" in stages:
+            at = np.flatnonzero(own.hint)
+            out.append(pd.DataFrame({"stage": "hints", "chrom": chrom, "island": first, "block": -1, "at": at + first, "word": -1, "value": own.hint[at]}))
         if "areas" in stages:
             out.append(pd.DataFrame([("areas", chrom, first, n, left + first, right + first, ways) for n, (left, right, ways) in enumerate(own.areas)], columns=columns))
         if not set(stages) & {"blocks", "corrected", "shares"}:

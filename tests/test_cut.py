@@ -5,8 +5,14 @@ import time
 
 import numpy as np
 
+import plain_phasing
+import pytest
+from test_plain_model import per_read
+from test_solver import frame, matrix
+
 from strandloom import catalog
-from strandloom.operators import cut
+from strandloom.operators import contraction, cut, solver
+from strandloom.operators import reads as read_operators
 
 
 def sample(seed, n=9, reads=14):
@@ -144,7 +150,7 @@ def test_cuts_are_of_the_real_blocks(spark):
     sf = "/root/testdata/sf0.001"
     own, made = catalog._majority(spark, sf)
     blocks = {(r.chrom, r.block, r.snp_idx): r.phase for r in made.collect()}
-    got = {(r.chrom, r.block, r.snp_idx): r.phase for r in catalog.max_likelihood_cut(spark, sf).collect()}
+    got = {(r.chrom, r.block, r.snp_idx): r.phase for r in catalog.improve_by_cuts(spark, sf).collect()}
     assert got.keys() == blocks.keys()
     assert max(s for _, _, s in blocks) > 40 and any(b // 40 != s // 40 for _, b, s in blocks)
     frags = {}
@@ -156,3 +162,114 @@ def test_cuts_are_of_the_real_blocks(spark):
         _, of = np.unique([f for f, _, _ in rows], return_inverse=True)
         want = cut.improve_by_cuts(np.array([blocks[chrom, block, s] for s in snps]), of, np.array([v for _, v, _ in rows]), np.array([a for _, _, a in rows]))
         assert [got[chrom, block, s] for s in snps] == want.tolist()
+
+
+def plain_contraction(phase, of, variant, allele):
+    """The best cut where every score is the difference of two likelihoods of all calls on the shores so far: O(N^2) of them a cut."""
+    n, draws = len(phase), contraction.Draws()
+    weight, size = {}, {r: int((of == r).sum()) for r in set(of.tolist())}
+    odds = math.log10((0.98004737685031118**2 + 0.019952623149688802**2) / (2 * 0.98004737685031118 * 0.019952623149688802))
+    for r in size:
+        own = sorted((v, a) for v, a, f in zip(variant.tolist(), allele.tolist(), of.tolist()) if f == r)
+        for (u, a), (v, b) in zip(own, own[1:]):
+            w = (1 if (a == phase[u]) == (b == phase[v]) else -1) * odds / (size[r] - 1)
+            weight[u, v] = weight[v, u] = weight.get((u, v), 0) + w
+    edges = sorted(weight)
+    heavy = sorted(edges, key=lambda e: (-round(weight[e], 5), e))[: min(5, len(edges) // 2)]
+    base, best, idle = likelihood(phase, of, variant, allele), None, 0
+
+    def partly(sides):
+        at = np.isin(variant, list(sides))
+        turned = phase.copy()
+        turned[[i for i, t in sides.items() if t]] ^= 1
+        return likelihood(turned, of[at], variant[at], allele[at])
+
+    for turn in range(len(heavy) + min(100, max(1, n // 10))):
+        if turn < len(heavy):
+            s, t = heavy[turn]
+        elif draws() < 0.5:
+            s, t = edges[int(draws() * len(edges))]
+            if round(weight[s, t], 9) >= 1:
+                continue
+        else:
+            s, t = int(draws() * n), None
+        sides = {s: 0} if t is None else {s: 0, t: 1}
+        while len(sides) < n:
+            pulls = {i: round(partly({**sides, i: 0}) - partly({**sides, i: 1}), 9) for i in range(n) if i not in sides}
+            i = max(pulls, key=lambda i: (abs(pulls[i]), -i))
+            sides[i] = 0 if pulls[i] > 0 else 1 if pulls[i] < 0 or 1 not in sides.values() else int(draws() >= 0.5)
+        if 1 not in sides.values():
+            continue
+        gain = round(partly(sides) - base, 9)
+        if best is None or gain > best[0]:
+            best = gain, sides
+        else:
+            idle += 1
+            if idle > 5:
+                break
+    if best is None or best[0] <= 0:
+        return 0.0, phase
+    return best[0], phase ^ np.array([best[1][i] for i in range(n)])
+
+
+def test_contraction_gives_the_cuts_of_likelihoods_from_scratch():
+    """The same seeds and draws, scores that are kept up to date against scores from scratch; also variants that no fragment has."""
+    rng, better = random.Random(11), 0
+    for seed in range(10):
+        of, variant, allele = calls_of(seed)
+        phase = np.array([rng.randint(0, 1) for _ in range(14)])
+        gain, made = contraction.contraction_cut(phase, of, variant, allele)
+        want, path = plain_contraction(phase, of, variant, allele)
+        assert abs(gain - want) < 1e-6 and made.tolist() == path.tolist()
+        assert likelihood(made, of, variant, allele) >= likelihood(phase, of, variant, allele) - 1e-9
+        better += gain > 0
+    assert better > 5
+    none = np.zeros(0, np.int64)
+    assert contraction.contraction_cut(np.array([0, 1]), none, none, none)[1].tolist() == [0, 1]
+
+
+def test_heap_against_sorting():
+    rng = random.Random(2)
+    keys = {i: float(rng.randint(0, 9)) for i in range(60)}
+    heap = contraction.MaxHeap(keys)
+    while keys:
+        for _ in range(3):
+            i = rng.choice(list(keys))
+            keys[i] = float(rng.randint(0, 9))
+            heap.update(i, keys[i])
+        want = min(keys, key=lambda i: (-keys[i], i))
+        assert heap.pop() == want
+        del keys[want]
+    assert len(heap) == 0
+
+
+def test_generator_is_that_of_posix():
+    """The first numbers of drand48 without a seed."""
+    draws = contraction.Draws()
+    assert [f"{draws():.6f}" for _ in range(3)] == ["0.396465", "0.840485", "0.353336"]
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_tangles_are_cut(spark, k):
+    """Paths, errors and rewritten weights of every tangle against the plain model's areas; no cut raises an area's errors."""
+    rows, _ = matrix(31, n=90, depth=12, errors=0.2, size=12)
+    own = read_operators.informative_reads(frame(spark, rows))
+    solved = solver.solve_stages(own, k, ("tips", "closed", "areas")).cache()
+    pairs = contraction.tangle_pairs(own, solver.edges_of(solved, "tips"), solver.areas_of(solved), k)
+    paths, weights = contraction.tangle_cut(own, solver.edges_of(solved, "closed"), pairs, k)
+    model = plain_phasing.Chromosome(per_read(rows), k)
+    model.remove_tips()
+    model.solve_areas()
+    tangles = {(a["left"], a["right"]): a for a in model.solved if not 0 < a["ways"] < 256}
+    closed = {(r.s, r.e): r.weight for r in solver.edges_of(solved, "closed").collect()}
+    got = paths.collect()
+    assert tangles and {(r.l_bound, r.r_bound) for r in got} == set(tangles)
+    kept = {}
+    for r in weights.collect():
+        kept.setdefault(r.bubble, {})[r.s, r.e] = r.weight
+    for r in got:
+        own = tangles[r.l_bound, r.r_bound]["reads"]
+        wrong = [[int(r.path[t - r.l_bound]) != a for t, a in read if a >= 0] for read in own]
+        assert r.n_reads == len(own) and r.mec == sum(min(sum(x), len(x) - sum(x)) for x in wrong) <= r.seed_mec
+        on = {(r.l_bound + j, e) for j in range(len(r.path) - k) for w in (r.path[j : j + k + 1],) for e in (int(w, 2), (2 << k) - 1 - int(w, 2))}
+        assert kept.get(r.bubble, {}) == {x: closed[x] for x in on if x in closed}
