@@ -432,7 +432,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return members, _search(entries, None, percent, classes.tasks)
 
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, signature_bits: int = 64) -> DataFrame:
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, signature_bits: int = 64, hubs: int = 1) -> DataFrame:
     """Per row n_shingles and component_id: the least id that it reaches over links.
 
     Rows link when 100 * intersection >= percent * union of their sets of
@@ -442,13 +442,18 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null id, whose component_id is null. Repeated rows link like other equal
     texts; an empty table stays empty. Fewer signature_bits only make more
     signatures that stand for several classes, which are then told apart.
+    More hubs make a dearer first pass, and leave fewer pairs to the search where copies differ much.
     """
     classes, entries = _compared(df, id_col, text_col, n, percent, signature_bits)
     ids = classes.table.select("sig", "id")
 
     # Each class with the class for which one of its prefix's shingles comes earliest.
     first = _postings(entries, percent, LENGTHS[0])
-    hubs = first.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("pos", "sig", "n")).alias("hub")).filter("held > 1").select("token", "hub.*")
+    # With several hubs the others are drawn, another one for each shingle: copies that are unlike one hub meet others.
+    drawn = [F.min(F.struct(F.xxhash64("token", "sig", F.lit(j)), "pos", "sig", "n")) for j in range(1, hubs)]
+    own = [F.min(F.struct(F.lit(0).cast("long"), "pos", "sig", "n")), *drawn]
+    own = F.array(*[F.struct(x["pos"].alias("pos"), x["sig"].alias("sig"), x["n"].alias("n")) for x in own])
+    hubs = first.groupBy("token").agg(F.count("*").alias("held"), own.alias("hubs")).filter("held > 1").select("token", F.explode(F.array_distinct("hubs")).alias("hub")).select("token", "hub.*")
     hubs = written(hubs.select("token", F.col("sig").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos")))
     least = _ceil_div(percent * (F.col("n") + F.col("hub_n")), percent + 100)
     stars = (
