@@ -19,7 +19,7 @@ from strandloom.llm.common import shared_dir
 LEAST_TYPICAL = 0.5
 #: Near duplicates have a Jaccard index J of 0.55 or more over shingles of five words. One edited word changes five
 #: shingles; of single words that is a similarity of 0.93, by (2 J / (1 + J)) ** (1 / 5).
-NEAR_WORDS, NEAR_PERCENT = 5, 55
+NEAR_WORDS, NEAR_PERCENT, NEAR_HUBS = 5, 55, 3
 
 
 class _Documents:
@@ -60,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own = _Documents(docs)
     key = F.when(F.col(own.id).isNotNull(), F.struct(F.col(own.id).alias("id"), F.sha2(F.coalesce(F.col(own.text), F.lit("")), 256).alias("text")))
     rows = own.rows.withColumn("key", key)
-    linked = op4_jaccard.link_components(rows, "key", own.text, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    linked = op4_jaccard.link_components(rows, "key", own.text, n=NEAR_WORDS, percent=NEAR_PERCENT, hubs=NEAR_HUBS)
     stay = linked.filter(F.col("key") == F.col("component_id")).select("key").distinct()
     # Rows without an id meet in no join and no group.
     named, others = rows.filter(F.col("key").isNotNull()).join(stay, "key", "left_semi"), rows.filter(F.col("key").isNull())
