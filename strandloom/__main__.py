@@ -61,13 +61,13 @@ def main(argv: list[str] | None = None) -> int:
     sizes = table.groupBy("chrom").agg((F.max("snp_idx") + 1).alias("n_snp"))
     own = timed("reads", lambda: stored(reads.informative_reads(found)))
     graph_stages = ("tips", "bubbles") if got.graph else ()
-    solved = timed("graph", lambda: stored(solver.solve_stages(own, got.k, (*graph_stages, "corrected"), sizes)))
+    solved = timed("graph", lambda: stored(solver.solve_stages(own, got.k, (*graph_stages, "joined", "hints"), sizes)))
     if got.graph:
         initial = kmers.patched_graph(own, got.k)[1]
         steps = {"1_init": initial, "2_trim": kmers.edge_trim(initial), "3_tip": solver.edges_of(solved, "tips"), "4_bubble": solver.edges_of(solved, "bubbles")}
         for name, weights in steps.items():
             alleles.graph_sink(alleles.graph_rows(own, got.k, weights), f"{got.graph}/{name}")
-    phases = timed("phasing", lambda: stored(phasing.merged(own, stored(solver.blocks_of(solved, "corrected").drop("island")))))
+    phases = timed("phasing", lambda: stored(phasing.merged(own, stored(solver.corrected_of(solved, own).drop("island")))))
     timed("output", lambda: vcf.write_phased(table, phases, head, got.output))
     if got.timers:
         print(*(f"{k}\t{v:.2f}" for k, v in times.items()), sep="\n", file=sys.stderr)

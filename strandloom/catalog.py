@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom import file_catalog
-from strandloom.operators import blocks, bubbles, contraction, cut, hints, kmers, linear, reads, solver
+from strandloom.operators import blocks, bubbles, contraction, cut, hints, kmers, linear, reads, solver, walks
 from strandloom.operators.stored import stored
 from strandloom.plans import derived, phasing
 from strandloom.plans.derived import MATRIX_SQL
@@ -342,8 +342,9 @@ def auto_k(spark, sf_dir):
 
 def _register_solver(k: int) -> None:
     tail = "" if k == 2 else f"_k{k}"
-    for name, stage in (("tip_removal", "tips"), ("bubble_solve", "bubbles"), ("haplotype_blocks", "blocks"), ("error_correction", "corrected")):
+    for name, stage in (("tip_removal", "tips"), ("bubble_solve", "bubbles"), ("error_correction", "corrected")):
         _query(name=name + tail)(lambda spark, sf_dir, stage=stage: solver.solve(stored(_reads(spark, sf_dir)), k, stage))
+    _query(name="haplotype_blocks" + tail)(lambda spark, sf_dir: walks.haplotype_walks(solver.solve(stored(_reads(spark, sf_dir)), k, "bubbles"), k))
     _query(name="phase_end_to_end" + tail)(lambda spark, sf_dir: phasing.phase(derived.alleles(spark, sf_dir), k))
 
 

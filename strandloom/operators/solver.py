@@ -1,9 +1,10 @@
 """The order-dependent passes over the k-mer graph, one coverage island to a task.
 
-Tips, bubbles, walking blocks and local correction change what later steps see,
-so each island runs them in a fixed order. Islands share no read, and so no
+Tips and bubbles change what later steps see, so each island runs them in a
+fixed order. Islands share no read, and so no
 k-mer, bubble or score; only the first and last rank of a chromosome behave
-unlike an island's, and the task knows where they are.
+unlike an island's, and the task knows where they are. Local correction takes the
+reads inside a block only, and so each block is a task of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ TIP_SHORT, TIP_LONG, TIP_SUPPORT, MOST_PATHS = 5, 15, 1.5, 256
 #: The window of local correction, its patterns in the order they are tried, variants skipped behind a change.
 WINDOW, PATTERNS, SKIP = 5, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 24), 64
 TIP_HINT, TANGLE_HINT = 2, 3
-STAGES = ("tips", "closed", "bubbles", "areas", "blocks", "hints", "corrected", "shares")
+STAGES = ("tips", "closed", "bubbles", "areas", "blocks", "hints", "joined", "shares")
 
 
 class Island:
@@ -312,11 +313,9 @@ class Correction:
     that errors under any pattern come from running sums over the cells.
     """
 
-    def __init__(self, island: Island, first: int, phases: list[int]):
-        self.first, self.phase, self.hint = first, np.array(phases), island.hint
-        last = first + len(phases) - 1
-        inside = sorted({r for s in range(first, last + 1) for r in island.over[s] if island.reads[r][0] >= first and island.reads[r][0] + len(island.reads[r][1]) - 1 <= last})
-        rows = [island.reads[r] for r in inside]
+    def __init__(self, first: int, phases: list[int], doubtful: np.ndarray, rows: list[tuple[int, np.ndarray]]):
+        """rows: (first variant, alleles) of the reads; doubtful: a mark for each variant of the block."""
+        self.phase, self.doubtful = np.array(phases), doubtful
         self.size = np.array([len(a) for _, a in rows], np.int64)
         self.left = np.array([s - first for s, _ in rows], np.int64)
         self.begin = np.cumsum(self.size) - self.size
@@ -380,10 +379,9 @@ class Correction:
         n = len(self.phase)
         if not len(self.size):
             return self.phase.tolist()
-        doubtful = self.hint[self.first : self.first + n] != 0
         for pattern in PATTERNS:
             marks, free = np.zeros(n, np.int64), 0
-            for i in np.flatnonzero(self._pattern_gains(pattern) & doubtful).tolist():
+            for i in np.flatnonzero(self._pattern_gains(pattern) & self.doubtful).tolist():
                 if i >= free:
                     marks[i : i + WINDOW] |= [pattern >> j & 1 for j in range(WINDOW)]
                     free = i + WINDOW
@@ -429,8 +427,8 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
     (stage, chrom, island, block, at, word, value): of "tips", "closed" (areas
     closed, not yet solved) and "bubbles" the edges, `at` being the rank and
     value the weight; of "hints" the doubtful variants and their kind; of "areas" the undecided areas, from variant `at` to `word`, and the ways through each (512 at most
-    for an end); of "blocks" and "corrected" the blocks, before the overlaps go
-    and after local correction, `at` being the variant and value the phase; of
+    for an end); of "blocks" and "joined" the blocks, before and after the
+    overlaps go, `at` being the variant and value the phase; of
     "shares" a row for each island: variants in overlaps of blocks, in areas
     that are not enumerated, and in blocks. sizes: (chrom, n_snp) where it isn't the last
     variant that a read reaches.
@@ -478,7 +476,7 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
             out.append(pd.DataFrame({"stage": "hints", "chrom": chrom, "island": first, "block": -1, "at": at + first, "word": -1, "value": own.hint[at]}))
         if "areas" in stages:
             out.append(pd.DataFrame([("areas", chrom, first, n, left + first, right + first, ways) for n, (left, right, ways) in enumerate(own.areas)], columns=columns))
-        if not set(stages) & {"blocks", "corrected", "shares"}:
+        if not set(stages) & {"blocks", "joined", "shares"}:
             return pd.concat(out)
         found = own.blocks()
         if "shares" in stages:
@@ -487,9 +485,8 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
             out.append(pd.DataFrame([("shares", chrom, first, -1, over, tangled, size)], columns=columns))
         if "blocks" in stages:
             out.append(pd.DataFrame([("blocks", chrom, first, n, s + first + j, -1, p) for n, (s, phases) in enumerate(found) for j, p in enumerate(phases)], columns=columns))
-        if "corrected" in stages:
-            made = [(s, Correction(own, s, phases).run()) for s, phases in de_overlap(found)]
-            out.append(pd.DataFrame([("corrected", chrom, first, s + first, s + first + j, -1, p) for s, phases in made for j, p in enumerate(phases)], columns=columns))
+        if "joined" in stages:
+            out.append(pd.DataFrame([("joined", chrom, first, s + first, s + first + j, -1, p) for s, phases in de_overlap(found) for j, p in enumerate(phases)], columns=columns))
         return pd.concat(out)
 
     return placed.groupBy("chrom", "island").applyInPandas(run, "stage string, chrom string, island long, block long, at long, word long, value long")
@@ -518,9 +515,46 @@ def shares_of(solved: DataFrame, sizes: DataFrame) -> DataFrame:
     return sums.join(sizes, "chrom").select("chrom", (100.0 * F.col("over") / F.nullif("in_blocks", F.lit(0))).alias("overlap_percent"), (100.0 * F.col("tangled") / F.col("n_snp")).alias("tangle_percent"))
 
 
+def correct_blocks(reads: DataFrame, blocks: DataFrame, hints: DataFrame) -> DataFrame:
+    """Blocks (chrom, island, block, snp_idx, phase) after local correction, each block in a task.
+
+    hints: (chrom, snp_idx) of the doubtful variants. A read that lies inside two blocks counts in both.
+    """
+    ends = blocks.groupBy("chrom", "island", "block").agg(F.max("snp_idx").alias("end"))
+    here = blocks.select("chrom", "island", "block", F.col("snp_idx").alias("first")).join(ends, ["chrom", "island", "block"])
+    inside = _reads.read_spans(reads).join(here, ["chrom", "first"]).filter("last <= end").select("chrom", "island", "block", "rid")
+    long = lambda c: F.col(c).cast("long")
+    doubtful = hints.select("chrom", "snp_idx", F.lit(True).alias("doubtful")).distinct()
+    rows = blocks.join(doubtful, ["chrom", "snp_idx"], "left").select("chrom", "island", "block", F.lit(-1).cast("long").alias("rid"), long("snp_idx").alias("snp_idx"), long("phase").alias("value"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"), F.lit(False).alias("call"))
+    rows = rows.unionByName(reads.join(inside, ["chrom", "rid"]).select("chrom", "island", "block", long("rid").alias("rid"), long("snp_idx").alias("snp_idx"), long("allele").alias("value"), F.lit(False).alias("doubtful"), F.lit(True).alias("call")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, calls = pdf[~pdf.call].sort_values("snp_idx"), pdf[pdf.call].sort_values(["rid", "snp_idx"])
+        first, snps, alleles = int(own.snp_idx.iloc[0]), calls.snp_idx.to_numpy(), calls.value.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(calls.rid.to_numpy())) + 1).tolist(), len(calls)]
+        found = []
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                row = np.full(snps[b - 1] - snps[a] + 1, -1, np.int64)
+                row[snps[a:b] - snps[a]] = alleles[a:b]
+                found.append((int(snps[a]), row))
+        made = Correction(first, own.value.tolist(), own.doubtful.to_numpy(bool), found).run()
+        return own[["chrom", "island", "block", "snp_idx"]].assign(phase=made)
+
+    return rows.groupBy("chrom", "island", "block").applyInPandas(run, "chrom string, island long, block long, snp_idx long, phase int")
+
+
+def corrected_of(solved: DataFrame, reads: DataFrame) -> DataFrame:
+    """(chrom, island, block, snp_idx, phase) after local correction, from the stages "joined" and "hints" of `solve_stages`, as a table."""
+    hints = solved.filter(F.col("stage") == "hints").select("chrom", F.col("at").alias("snp_idx"))
+    return correct_blocks(reads, blocks_of(solved, "joined"), hints)
+
+
 def solve(reads: DataFrame, k: int, stage: str = "corrected", sizes: DataFrame | None = None) -> DataFrame:
-    """What one stage of `solve_stages` leaves: edges of "tips" and "bubbles", blocks of "blocks" and "corrected"."""
+    """Edges of "tips" and "bubbles", blocks of "blocks" and "corrected", the last after local correction."""
     if stage not in ("tips", "bubbles", "blocks", "corrected"):
-        raise ValueError("areas and shares are of solve_stages")
+        raise ValueError("the other stages are of solve_stages")
+    if stage == "corrected":
+        return corrected_of(stored(solve_stages(reads, k, ("joined", "hints"), sizes)), reads)
     solved = solve_stages(reads, k, (stage,), sizes)
     return (edges_of if stage in ("tips", "bubbles") else blocks_of)(solved, stage)

@@ -146,10 +146,36 @@ def test_correction_equals_the_stepwise_rules():
         island.hint[:] = [rng.randint(0, 1) for _ in range(90)]
         first, size = rng.randint(0, 5), rng.randint(60, 80)
         block = [t ^ (rng.random() < 0.15) for t in truth[first : first + size]]
-        got = solver.Correction(island, first, block).run()
+        inside = [(s, r) for s, r in island.reads if s >= first and s + len(r) <= first + len(block)]
+        got = solver.Correction(first, block, island.hint[first : first + len(block)] != 0, inside).run()
         assert got == naive_correction(block, first, island.hint, [(s, r.tolist()) for s, r in island.reads])
 
 
+def test_blocks_are_corrected_one_by_one(spark):
+    """Blocks that overlap, one without reads, two chromosomes and skipped variants: each equals the stepwise rules, in a task of its own."""
+    rng = random.Random(4)
+    rows, blocks, hint, want = [], [], {}, {}
+    for c in ("c", "d"):
+        own, truth = matrix(ord(c), n=160, depth=7, errors=0.1)
+        own = [(c, r, s, a) for _, r, s, a in own if rng.random() < 0.97]
+        rows += own
+        hint[c] = [rng.randint(0, 1) for _ in range(170)]
+        per = {}
+        for _, r, s, a in sorted(own):
+            per.setdefault(r, {})[s] = a
+        chosen = [(min(p), [p.get(s, -1) for s in range(min(p), max(p) + 1)]) for p in per.values()]
+        for first, size in ((0, 70), (60, 50), (115, 45), (160, 8)):
+            block = [t ^ (rng.random() < 0.15) for t in (truth + [0] * 10)[first : first + size]]
+            blocks += [(c, 0, first, first + j, int(p)) for j, p in enumerate(block)]
+            want[c, first] = naive_correction(block, first, hint[c], chosen)
+    doubtful = spark.createDataFrame([(c, s) for c in hint for s, h in enumerate(hint[c]) if h], "chrom string, snp_idx long")
+    made = solver.correct_blocks(frame(spark, rows), spark.createDataFrame(blocks, "chrom string, island long, block long, snp_idx long, phase int"), doubtful)
+    got = {}
+    for r in made.orderBy("snp_idx").collect():
+        got.setdefault((r.chrom, r.block), []).append(r.phase)
+    assert got == {key: [int(p) for p in block] for key, block in want.items()}
+
+
 def test_overlaps():
     a, b, c, d = (0, [0] * 10), (2, [1] * 5), (6, [1] * 8), (20, [0] * 3)
     assert solver.de_overlap([d, c, b, a]) == [(0, [0] * 10 + [1] * 4), (20, [0] * 3)]
