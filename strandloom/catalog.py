@@ -12,6 +12,7 @@ from strandloom.operators import blocks, bubbles, contraction, cut, hints, kmers
 from strandloom.operators.stored import stored
 from strandloom.plans import derived, phasing
 from strandloom.plans.derived import MATRIX_SQL
+from strandloom.sources import vcf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -418,7 +419,9 @@ def _strings(spark, sf_dir):
 
 @_query(_STRINGS_SQL + " SELECT id, line, levenshtein(q, r) AS to_ref, levenshtein(q, a) AS to_alt FROM v")
 def edit_distance_pair(spark, sf_dir):
-    return _strings(spark, sf_dir).select("id", "line", F.levenshtein("q", "r").cast("long").alias("to_ref"), F.levenshtein("q", "a").cast("long").alias("to_alt"))
+    from strandloom.functions.align import edit_distance_pair as pair
+
+    return _strings(spark, sf_dir).select("id", "line", pair(F.col("q"), F.col("r"), F.col("a")).alias("d")).select("id", "line", "d.*")
 
 
 @_query(_STRINGS_SQL + " SELECT id, line, CASE WHEN levenshtein(q, r) < levenshtein(q, a) THEN 0 WHEN levenshtein(q, r) > levenshtein(q, a) THEN 1 ELSE -1 END AS allele FROM v")
@@ -440,10 +443,7 @@ def split_str(spark, sf_dir):
 @_query(_with(_READS) + """, p AS (SELECT chrom, rid, (rid * 7919) % 100003 AS pos FROM span)
 SELECT x.chrom, x.rid, x.pos, (SELECT count(*) FROM p y WHERE y.chrom = x.chrom AND (y.pos < x.pos OR y.pos = x.pos AND y.rid < x.rid)) AS snp_idx FROM p x""")
 def snp_index(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = reads.read_spans(_reads(spark, sf_dir)).select("chrom", "rid", ((F.col("rid") * 7919) % 100003).alias("pos"))
-    return rows.withColumn("snp_idx", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "rid")) - 1).cast("long"))
+    return vcf.snp_index(reads.read_spans(_reads(spark, sf_dir)).select("chrom", "rid", ((F.col("rid") * 7919) % 100003).alias("pos")), "rid")
 
 
 @_query(_with(_READS) + """, v AS (SELECT DISTINCT chrom, snp_idx * 10 AS pos, snp_idx FROM a), q AS (SELECT DISTINCT chrom, snp_idx * 10 + 3 AS point FROM a)
@@ -507,7 +507,7 @@ def cut_edge_agg(spark, sf_dir):
     return _weights(spark, sf_dir)
 
 
-@_query(_WEIGHTS + " SELECT chrom, u, v, weight FROM wt x QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY weight DESC, u, v) <= 5")
+@_query(_WEIGHTS + " SELECT chrom, u, v, weight FROM wt x QUALIFY row_number() OVER (PARTITION BY chrom ORDER BY round(weight, 5) DESC, u, v) <= least(5, count(*) OVER (PARTITION BY chrom) // 2)")
 def topk_cut_edges(spark, sf_dir):
     return cut.topk_cut_edges(_weights(spark, sf_dir)).drop("rank")
 
@@ -579,6 +579,16 @@ def bubble_read_collect(spark, sf_dir):
     return cut.bubble_reads(pairs, own, areas)
 
 
+@_query(ORACLES["bubble_segments"].replace("SELECT chrom, bubble, min(l_bound)", ", area AS (SELECT chrom, bubble, min(l_bound)", 1) + """)
+SELECT ar.chrom, ar.bubble, a.rid, CASE WHEN s.first < ar.l_bound THEN '-' ELSE ' ' END || repeat(' ', min(a.snp_idx) - ar.l_bound)
+  || string_agg(CASE WHEN a.allele < 0 THEN '-' ELSE a.allele::VARCHAR END, '' ORDER BY a.snp_idx) || CASE WHEN s.last > ar.r_bound THEN '-' ELSE '' END AS row
+FROM area ar JOIN a ON a.chrom = ar.chrom AND a.snp_idx BETWEEN ar.l_bound AND ar.r_bound JOIN span s ON s.chrom = a.chrom AND s.rid = a.rid
+GROUP BY ar.chrom, ar.bubble, ar.l_bound, ar.r_bound, a.rid, s.first, s.last""")
+def bubble_view(spark, sf_dir):
+    own, _, areas = _areas(spark, sf_dir)
+    return cut.bubble_view(own, areas)
+
+
 # Shares and neighbours.
 
 

@@ -118,7 +118,7 @@ def fasta_chunks(spark, sf_dir):
 
 
 def window31_extract(spark, sf_dir):
-    places = spark.range(1, 801, 7).select(F.explode(F.array(*[F.lit(f"c{k}") for k in range(3)])).alias("chrom"), F.col("id").alias("snp_idx"), F.col("id").cast("int").alias("pos"), F.lit("A").alias("alt"))
+    places = spark.range(1, 801).select(F.explode(F.array(*[F.lit(f"c{k}") for k in range(3)])).alias("chrom"), F.col("id").alias("snp_idx"), F.col("id").cast("int").alias("pos"), F.lit("A").alias("alt"))
     return calls.windows(places, fasta.chunks(spark, _fasta(spark, sf_dir)))
 
 
@@ -224,7 +224,7 @@ SELECT {len(_ANNOTATED) - 1} + row_number() OVER (ORDER BY chrom_ord, snp_idx),
         "fasta_contig": (fasta_contig, _FASTA + " SELECT c AS name, length(seq) AS length, seq FROM s"),
         "fasta_chunks": (fasta_chunks, _FASTA + """ SELECT c AS chrom, k AS chunk, greatest(k * 100 - 10, 0) AS begin, length(seq) AS length,
   substr(seq, greatest(k * 100 - 10, 0) + 1, (k + 1) * 100 + 10 - greatest(k * 100 - 10, 0)) AS seq FROM s, (SELECT unnest(range(8)) AS k)"""),
-        "window31_extract": (window31_extract, _FASTA + f""", w AS (SELECT c AS chrom, seq, unnest(range(1, 801, 7)) AS pos FROM s)
+        "window31_extract": (window31_extract, _FASTA + f""", w AS (SELECT c AS chrom, seq, unnest(range(1, 801)) AS pos FROM s)
 SELECT chrom, pos AS snp_idx, pos, {window} AS ref_window, substr({window}, 1, {place} - 1) || 'A' || substr({window}, {place} + 1) AS alt_window FROM w"""),
         "fai_scan": (fai_scan, "SELECT 'k' || n_nationkey AS name, n_nationkey * 1000 + 7 AS length, n_nationkey::BIGINT * 100000000000 + 3 AS \"offset\", 60 AS line_bases, 61 AS line_width FROM nation"),
         "fai_lookup": (fai_lookup, "SELECT c_custkey, 'k' || c_nationkey AS chrom, n_nationkey * 1000 + 7 AS length, n_nationkey::BIGINT * 100000000000 + 3 AS \"offset\" FROM customer JOIN nation ON n_nationkey = c_nationkey"),

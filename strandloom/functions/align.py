@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,11 @@ def _matrix(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def edit_distance_pair(own: Column, ref: Column, alt: Column) -> Column:
+    """(to_ref, to_alt): the edit distances of a read's window to the reference's and to that with the other base."""
+    return F.struct(F.levenshtein(own, ref).cast("long").alias("to_ref"), F.levenshtein(own, alt).cast("long").alias("to_alt"))
+
+
 @F.pandas_udf(T.LongType())
 def edit_distance_dp(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein's distance by the whole table; null if a text is null."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.align import edit_distance_pair
 from strandloom.functions.cigar import allele_call, base_code, cigar_spans, query_pos
 from strandloom.sources.fasta import CHUNK
 
@@ -43,5 +44,6 @@ def detect_alleles(alignments: DataFrame, variants: DataFrame, chunks: DataFrame
     left = F.greatest(F.col("que_pos") - AROUND, F.lit(0))
     right = F.least(F.col("que_pos") + AROUND + 1, F.length("seq"))
     own = base_code(F.substring("seq", (left + 1).cast("int"), (right - left).cast("int")))
-    called = met.withColumn("_own", own).withColumn("allele", allele_call(F.levenshtein("_own", "ref_window"), F.levenshtein("_own", "alt_window")))
+    both = edit_distance_pair(F.col("_own"), F.col("ref_window"), F.col("alt_window"))
+    called = met.withColumn("_own", own).withColumn("allele", allele_call(both["to_ref"], both["to_alt"]))
     return informative_reads(called.select("chrom", "rid", "snp_idx", F.col("que_pos").cast("int").alias("que_pos"), "allele"))

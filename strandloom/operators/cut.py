@@ -45,9 +45,11 @@ def cut_edge_agg(graph: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 def topk_cut_edges(edges: DataFrame, k: int = SEEDS) -> DataFrame:
-    """The k heaviest edges of each chromosome; at equal weights those of the least variants."""
-    rank = F.row_number().over(W.partitionBy("chrom").orderBy(F.desc("weight"), "u", "v"))
-    return edges.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """The k heaviest edges of each chromosome, but half of them at most; weights that differ by less than 0.00001 count as equal, and then those of the least variants come first."""
+    rank = F.row_number().over(W.partitionBy("chrom").orderBy(F.desc(F.round("weight", 5)), "u", "v"))
+    first = edges.withColumn("rank", rank).filter(F.col("rank") <= k)
+    sizes = edges.groupBy("chrom").agg(F.expr("count(*) div 2").alias("_half"))
+    return first.join(sizes, "chrom").filter(F.col("rank") <= F.col("_half")).drop("_half")
 
 
 def sorted_adjacency(edges: DataFrame) -> DataFrame:
@@ -253,6 +255,21 @@ def matrix_view(reads: DataFrame) -> DataFrame:
     return rows.select("chrom", "rid", "first", F.array_join(F.transform("x", lambda c: c["sign"]), "").alias("calls"))
 
 
+def bubble_view(reads: DataFrame, areas: DataFrame) -> DataFrame:
+    """(chrom, bubble, rid, row): the calls of each area's reads under each other, a column for each variant.
+
+    areas: (chrom, bubble, l_bound, r_bound). A row begins with '-' if the read comes from the left of the
+    area, else with a space, and ends with '-' if it goes on to the right; '-' between is a gap.
+    """
+    columns = areas.select("chrom", "bubble", "l_bound", "r_bound", F.explode(F.sequence("l_bound", "r_bound")).alias("snp_idx"))
+    sign = F.when(F.col("allele") < 0, "-").otherwise(F.col("allele").cast("string"))
+    own = reads.join(columns, ["chrom", "snp_idx"]).groupBy("chrom", "bubble", "l_bound", "r_bound", "rid").agg(F.min("snp_idx").alias("here"), F.array_sort(F.collect_list(F.struct("snp_idx", sign.alias("sign")))).alias("x"))
+    spans = reads.groupBy("chrom", "rid").agg(F.min("snp_idx").alias("first"), F.max("snp_idx").alias("last"))
+    front = F.when(F.col("first") < F.col("l_bound"), "-").otherwise(" ")
+    behind = F.when(F.col("last") > F.col("r_bound"), "-").otherwise("")
+    return own.join(spans, ["chrom", "rid"]).select("chrom", "bubble", "rid", F.concat(front, F.repeat(F.lit(" "), (F.col("here") - F.col("l_bound")).cast("int")), F.array_join(F.transform("x", lambda c: c["sign"]), ""), behind).alias("row"))
+
+
 def snp_lower_bound(points: DataFrame, variants: DataFrame) -> DataFrame:
     """(chrom, point, snp_idx): for each point the first variant at or behind it, -1 without one. variants: (chrom, pos, snp_idx)."""
     rows = points.select("chrom", F.col("point").alias("at"), F.lit(0).alias("is_variant"), F.lit(None).cast("long").alias("snp_idx")).union(variants.select("chrom", F.col("pos").alias("at"), F.lit(1).alias("is_variant"), "snp_idx"))

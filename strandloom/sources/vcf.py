@@ -45,6 +45,11 @@ def annotate_header(head: DataFrame) -> DataFrame:
     return moved.unionByName(added)
 
 
+def snp_index(rows: DataFrame, *ties: str) -> DataFrame:
+    """rows with `snp_idx`, their number within the chromosome by position, and by the columns `ties` at equal positions."""
+    return rows.withColumn("snp_idx", (F.row_number().over(W.partitionBy("chrom").orderBy("pos", *ties)) - 1).cast("long"))
+
+
 def variants(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
     """(chrom, chrom_ord, snp_idx, pos, ref, alt, fields) of the single-base variants.
 
@@ -58,8 +63,7 @@ def variants(spark: SparkSession, path: str, chrom: str | None = None) -> DataFr
     if chrom is not None:
         rows = rows.filter(F.col("chrom") == chrom)
     order = rows.groupBy("chrom").agg(F.min("at").alias("first")).select("chrom", (F.row_number().over(W.orderBy("first")) - 1).alias("chrom_ord"))  # one row for each chromosome
-    numbered = rows.withColumn("snp_idx", (F.row_number().over(W.partitionBy("chrom").orderBy("pos", "at")) - 1).cast("long"))
-    return numbered.join(F.broadcast(order), "chrom").select("chrom", "chrom_ord", "snp_idx", "pos", "ref", "alt", "fields")
+    return snp_index(rows, "at").join(F.broadcast(order), "chrom").select("chrom", "chrom_ord", "snp_idx", "pos", "ref", "alt", "fields")
 
 
 def _rewritten(fields, gt, ps):
