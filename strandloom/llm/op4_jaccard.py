@@ -449,8 +449,9 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Each class with the class for which one of its prefix's shingles comes earliest.
     first = _postings(entries, percent, LENGTHS[0])
-    # With several hubs the others are drawn, another one for each shingle: copies that are unlike one hub meet others.
-    drawn = [F.min(F.struct(F.xxhash64("token", "sig", F.lit(j)), "pos", "sig", "n")) for j in range(1, hubs)]
+    # With several hubs the others are drawn by rank, so that shingles of one group of copies mostly draw the same class:
+    # copies that are unlike the most central class meet others, and few of them. What they don't link is left to the search.
+    drawn = [F.min(F.struct(F.xxhash64("sig", F.lit(j)), "pos", "sig", "n")) for j in range(1, hubs)]
     own = [F.min(F.struct(F.lit(0).cast("long"), "pos", "sig", "n")), *drawn]
     own = F.array(*[F.struct(x["pos"].alias("pos"), x["sig"].alias("sig"), x["n"].alias("n")) for x in own])
     hubs = first.groupBy("token").agg(F.count("*").alias("held"), own.alias("hubs")).filter("held > 1").select("token", F.explode(F.array_distinct("hubs")).alias("hub")).select("token", "hub.*")
