@@ -19,7 +19,7 @@ from strandloom.llm.common import shared_dir
 LEAST_TYPICAL = 0.5
 #: Near duplicates have a Jaccard index J of 0.55 or more over shingles of five words. One edited word changes five
 #: shingles; of single words that is a similarity of 0.93, by (2 J / (1 + J)) ** (1 / 5).
-NEAR_WORDS, NEAR_PERCENT, NEAR_HUBS = 5, 55, 3
+NEAR_WORDS, NEAR_PERCENT, NEAR_HUBS = 5, 55, 8
 
 
 class _Documents:
