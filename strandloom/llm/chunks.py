@@ -11,7 +11,7 @@ from .common import slices
 from .textvec import joined, mix, sequences
 
 #: Bytes of text that a worker holds at a time (a longer text is a chunk of its own).
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _OTHER = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B7F4A7C15))
 
 
