@@ -30,6 +30,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_queries_without_sql_have_rows(spark):
+    """Those of K=3 differ from K=2 in a number only, and are held against the plain model elsewhere; they are left out for their time."""
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES)):
         if not name.endswith("_k3"):
