@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import pieces
 from .ordered import lines
 
 #: Bases of a chunk; a chunk also holds the bases around it that windows need.
@@ -81,41 +84,127 @@ def lookup(chroms: DataFrame, contigs: DataFrame) -> DataFrame:
     return chroms.join(known, "chrom", "left").withColumn("length", F.when(F.coalesce("length", F.lit(0)) <= 0, missing).otherwise(F.col("length")))
 
 
+class _Cut(Exception):
+    """Lines end within a record."""
+
+
+def _one(rows: list[bytes], k: int, final: bool) -> tuple[tuple | None, int]:
+    """The record that begins behind line k or in it, and the line behind it; None if no more begin."""
+    n = len(rows)
+    while k < n and rows[k][:1] not in (b">", b"@"):
+        k += 1
+    if k == n:
+        return None, n
+    name, _, comment = rows[k][1:].partition(b" ") if b"\t" not in rows[k] else rows[k][1:].partition(b"\t")
+    k += 1
+    first = k
+    while k < n and rows[k][:1] not in (b">", b"@", b"+"):
+        k += 1
+    if k == n and not final:
+        raise _Cut
+    whole, quality = b"".join([r.strip() for r in rows[first:k]]), None
+    if k < n and rows[k][:1] == b"+":
+        k, got, size = k + 1, [], 0
+        while k < n and size < len(whole):
+            got.append(rows[k].strip())
+            size += len(got[-1])
+            k += 1
+        if size < len(whole) and not final:
+            raise _Cut
+        if size != len(whole):
+            raise ValueError(f"record {name.decode()}: quality of {size} for {len(whole)} bases")
+        quality = b"".join(got)
+    return (name.decode(), comment.decode(), whole.decode(), None if quality is None else quality.decode()), k
+
+
+def _parsed(rows: list[bytes], final: bool) -> tuple[list[tuple], int]:
+    """(name, comment, sequence, quality) of whole records, and the number of lines that they take."""
+    made, k = [], 0
+    try:
+        while k < len(rows):
+            record, k = _one(rows, k, final)
+            if record is not None:
+                made.append(record)
+    except _Cut:
+        pass
+    return made, k
+
+
 def parse_records(text: str) -> Iterator[tuple[str, str, str, str | None]]:
     """(name, comment, sequence, quality) of FASTA and FASTQ records, on one or many lines each."""
-    rows = text.splitlines()
-    k = 0
-    while k < len(rows):
-        if not rows[k] or rows[k][0] not in ">@":
+    yield from _parsed(text.encode().split(b"\n"), True)[0]
+
+
+#: Records that have to look like ones behind a line that is taken for a record's first, or lines of bases behind its only one.
+CHAIN, BASE_LINES = 8, 100
+_BASES = re.compile(rb"[A-Za-z*.=\s-]*")
+
+
+def _looks_begun(rows: list[bytes], k: int) -> bool:
+    """Whether a record of bases begins in line k, and such records follow, as far as lines go."""
+    mark, n = rows[k][:1], len(rows)
+    for seen in range(CHAIN):
+        while k < n and not rows[k].strip():
             k += 1
-            continue
-        name, _, comment = rows[k][1:].partition(" ") if "\t" not in rows[k] else rows[k][1:].partition("\t")
+        if k == n:
+            return seen > 0
+        if rows[k][:1] != mark or len(rows[k]) < 2:
+            return False
         k += 1
-        seq: list[str] = []
-        while k < len(rows) and (not rows[k] or rows[k][0] not in ">@+"):
-            seq.append(rows[k].strip())
+        first, size = k, 0
+        while k < n and rows[k][:1] not in (b">", b"@", b"+"):
+            if not _BASES.fullmatch(rows[k]):
+                return False
+            size += len(rows[k].strip())
+            k += 1
+        if k == n:
+            return seen > 0 or mark == b">" and k - first >= BASE_LINES
+        if not size or (rows[k][:1] == b"+") != (mark == b"@"):
+            return False
+        if mark == b"@":
             k += 1
-        whole, quality = "".join(seq), None
-        if k < len(rows) and rows[k][:1] == "+":
-            k, got = k + 1, ""
-            while k < len(rows) and len(got) < len(whole):
-                got += rows[k].strip()
+            while k < n and size > 0:
+                size -= len(rows[k].strip())
                 k += 1
-            if len(got) != len(whole):
-                raise ValueError(f"record {name}: quality of {len(got)} for {len(whole)} bases")
-            quality = got
-        yield name, comment, whole, quality
+            if size < 0:
+                return False
+            if size:
+                return seen > 0
+    return True
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq, qual, len) of sequence files; every file is parsed in one task."""
+def _start(data: bytes) -> int | None:
+    rows, at = data.split(b"\n")[:-1], 0
+    for k, row in enumerate(rows):
+        if row[:1] in (b">", b"@") and _looks_begun(rows, k):
+            return at
+        at += len(row) + 1
+    return None
+
+
+def _records(data: bytes, at: int, final: bool, number) -> tuple[list[pa.RecordBatch], int]:
+    rows = data[at:].split(b"\n")[:-1]
+    made, k = _parsed(rows, final)
+    batches = []
+    for a in range(0, len(made), BATCH):
+        name, comment, seq, qual = zip(*made[a : a + BATCH])
+        arrays = [*(pa.array(c, pa.string()) for c in (name, comment, seq, qual)), pa.array([len(s) for s in seq], pa.int32())]
+        batches.append(pa.RecordBatch.from_arrays(arrays, names=["name", "comment", "seq", "qual", "len"]))
+    return batches, at + sum(len(r) + 1 for r in rows[:k])
 
-    def run(batches):
-        import pandas as pd
 
-        for batch in batches:
-            for text in batch["value"]:
-                rows = [(n, c, s, q, len(s)) for n, c, s, q in parse_records(text)]
-                yield pd.DataFrame(rows, columns=["name", "comment", "seq", "qual", "len"])
+#: Records that go to Spark at once.
+BATCH = 4096
+_FORMAT = pieces.Format(lambda line: line + b"\n", _start, _records, lambda data, at: _records(data, at, False, None)[1])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "name string, comment string, seq string, qual string, len int")
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(name, comment, seq, qual, len) of sequence files, in a task for each split; a record may lie in several.
+
+    In a split, records begin where eight of them in a row, or as many as it has, look
+    like FASTA or FASTQ with bases of letters; what lies between two such places is
+    parsed as one. Lines before a file's first record are left out. A quality of
+    another length than its bases is an error.
+    """
+    file = F.col("_metadata.file_path")
+    return pieces.records(pieces.read(spark, path, file, F.lit(True)), _FORMAT, "name string, comment string, seq string, qual string, len int")

@@ -71,8 +71,8 @@ def write_bam(path, contigs, found):
             f.write(gzip.compress(m))
 
 
-def write_indexed_bam(path, contigs, found, size=700):
-    """In blocks of `size` bytes that say their size, records running over their ends, with an index of windows. found is sorted."""
+def write_indexed_bam(path, contigs, found, size=700, kind="bai"):
+    """In blocks of `size` bytes that say their size, records running over their ends, with an index of windows, of runs ("csi") or none. found is sorted."""
     parts = list(bam_records(contigs, found))
     data, starts = b"".join(parts), []
     for p in parts:
@@ -87,6 +87,19 @@ def write_indexed_bam(path, contigs, found, size=700):
     with open(path, "wb") as f:
         f.write(out)
     at = [places[a // size] << 16 | a % size for a, _ in starts[1:]]
+    if kind == "csi":
+        index = b"CSI\1" + struct.pack("<iii", 14, 5, 0) + struct.pack("<i", len(contigs))
+        for number in range(len(contigs)):
+            own = [o for r, o in zip(found, at) if r[0] == number]
+            index += struct.pack("<i", len(own[::40]) + bool(own))
+            for k, o in enumerate(own[::40]):
+                index += struct.pack("<IQiQQ", 4681 + k, o, 1, o, o + 1)
+            if own:
+                index += struct.pack("<IQiQQ", 37450, 0, 1, 3, 4)
+        with gzip.open(path + ".csi", "wb") as f:
+            f.write(index)
+    if kind != "bai":
+        return
     index = b"BAI\1" + struct.pack("<i", len(contigs))
     for number in range(len(contigs)):
         own = [(r[2], o) for r, o in zip(found, at) if r[0] == number]

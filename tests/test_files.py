@@ -1,7 +1,10 @@
+import contextlib
+import gzip
 import random
 
 import pytest
 import simulate
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandloom import __main__ as cli
@@ -112,6 +115,130 @@ def test_bam_in_pieces(spark, files):
     assert many.select("rid").distinct().count() == len(found) == one.select("rid").distinct().count()
 
 
+@contextlib.contextmanager
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def random_reads(n, seed, longest=9):
+    """Sorted alignments; some much longer than a block or a split, whose qualities are all 255."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, longest) for _ in range(n)]
+    return sorted(((rng.randint(0, 2) * 2 % 3, f"r{k}", rng.randrange(200_000), [("M", m)], "".join(rng.choice("ACGTN") for _ in range(m))) for k, m in enumerate(sizes)), key=lambda r: (r[0], r[2]))
+
+
+@pytest.mark.parametrize("split, longest, size", [(1500, 9, 700), (700, 30, 200), (400, 4000, 333), (100_000, 4000, 60_000)])
+def test_bam_by_splits(spark, files, split, longest, size):
+    """Without an index, in splits that records, or the header, run over, a file gives what it gives in one."""
+    found, contigs = random_reads(150, split, longest), [(c * 40, 10**6) for c in "abc"]
+    cut, plain = str(files["top"] / f"splits{split}.bam"), str(files["top"] / f"one{split}.bam")
+    simulate.write_indexed_bam(cut, contigs, found, size, kind=None)
+    simulate.write_bam(plain, contigs, found)
+    columns = ["chrom", "qname", "flag", "mapq", "pos0", "cigar", "seq"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    with small_splits(spark, split):
+        many = alignments.bam(spark, cut)
+        got = many.select("rid", *columns).collect()
+        assert sorted(str(Row(**{c: r[c] for c in columns})) for r in got) == rows(alignments.bam(spark, plain)) and len(got) == len(found)
+        assert len({r.rid for r in got}) == len(found) and {r.rid for r in got} == {r.rid for r in many.select("rid").collect()}
+        assert rows(alignments.bam(spark, cut, "c" * 40)) == rows(many.filter(F.col("chrom") == "c" * 40))
+        assert split == 100_000 or alignments.pieces.read(spark, cut, F.lit(""), F.lit(True)).rdd.getNumPartitions() > 4
+
+
+def test_bam_with_csi_index(spark, files):
+    found, contigs = random_reads(400, 8), [("a", 10**6), ("b", 10**6), ("c", 10**6)]
+    one, two = str(files["top"] / "csi.bam"), str(files["top"] / "none.bam")
+    simulate.write_indexed_bam(one, contigs, found, kind="csi")
+    simulate.write_indexed_bam(two, contigs, found, kind=None)
+    columns = ["chrom", "qname", "pos0", "cigar", "seq"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    got = alignments.bam(spark, one, split=1000)
+    assert rows(got) == rows(alignments.bam(spark, two)) and got.rdd.getNumPartitions() > 5
+
+
+def test_bam_that_is_cut_off(spark, files):
+    """A file whose end is missing is an error, within a block and between blocks; so is one with a byte changed."""
+    found, contigs = random_reads(200, 4, 400), [("a", 10**6), ("b", 10**6), ("c", 10**6)]
+    path = files["top"] / "end.bam"
+    simulate.write_indexed_bam(str(path), contigs, found, 700, kind=None)
+    data = path.read_bytes()
+    block = data.index(alignments.BLOCK, len(data) // 2)
+    changed = bytearray(data)
+    changed[len(data) // 2] ^= 8
+    for k, part in enumerate((data[: block - 30], data[:block], bytes(changed))):
+        bad = files["top"] / f"end{k}.bam"
+        bad.write_bytes(part)
+        with small_splits(spark, 5000), pytest.raises(Exception, match="block|whole records|decompress"):
+            alignments.bam(spark, str(bad)).count()
+
+
+def test_written_bam_is_read_back(spark, files):
+    columns = ["chrom", "qname", "flag", "mapq", "pos0", "cigar", "seq"]
+    rows = alignments.sam(spark, files["sam"]).repartition(5)
+    out = str(files["top"] / "written.bam")
+    alignments.write_bam(rows, [("1", len(files["seq"]))], out)
+    with small_splits(spark, 20_000):
+        got = alignments.bam(spark, out)
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, rows.select(*columns).collect()))
+    nothing = str(files["top"] / "nothing.bam")
+    alignments.write_bam(rows.limit(0), [("1", 9)], nothing)
+    assert alignments.bam(spark, nothing).count() == 0
+    whole = b"".join(p.read_bytes() for p in sorted((files["top"] / "written.bam").glob("part-*")))
+    joined = files["top"] / "joined.bam"
+    joined.write_bytes(whole)
+    assert gzip.decompress(whole)[:4] == b"BAM\1" and alignments.bam(spark, str(joined)).count() == len(files["found"])
+
+
+def sequence_lines(rng, kind):
+    """Records whose qualities begin with the marks of records, on one line or many; odd lines before the first."""
+    rows, want = ["a line", ""], []
+    for k in range(rng.randint(60, 90)):
+        seq = "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 90)))
+        mark = {"fastq": "@", "wrapped": "@", "fasta": ">", "both": rng.choice(">@")}[kind]
+        qual = "".join(rng.choice("@>+IF5#") for _ in seq) if mark == "@" else None
+        width = len(seq) if kind == "fastq" else rng.randint(7, 30)
+        rows += [f"{mark}s{k} of {kind}", *[seq[a : a + width] for a in range(0, len(seq), width)]]
+        if qual:
+            rows += ["+", *[qual[a : a + width] for a in range(0, len(seq), width)]]
+        elif rng.random() < 0.2:
+            rows.append("")
+        want.append((f"s{k}", f"of {kind}", seq, qual, len(seq)))
+    return rows, want
+
+
+@pytest.mark.parametrize("kind", ["fastq", "wrapped", "fasta", "both"])
+def test_records_by_splits(spark, files, kind):
+    """Files that are read in many splits give the records of the whole text."""
+    rng = random.Random(kind)
+    top = files["top"] / f"records_{kind}"
+    top.mkdir()
+    want = []
+    for k in range(2):
+        rows, own = sequence_lines(rng, kind)
+        put(top / f"{k}.fq", rows)
+        assert list(fasta.parse_records("\n".join(rows))) == [w[:4] for w in own]
+        want += own
+    for size in (150, 1000, 1 << 20):
+        with small_splits(spark, size):
+            got = fasta.records(spark, str(top))
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sequence_file_that_is_cut_off(spark, files):
+    rows, _ = sequence_lines(random.Random(1), "fastq")
+    path = put(files["top"] / "cut.fq", rows[:-1])
+    with small_splits(spark, 500), pytest.raises(Exception, match="quality of 0"):
+        fasta.records(spark, path).count()
+    (files["top"] / "empty.fq").write_text("")
+    assert fasta.records(spark, str(files["top"] / "empty.fq")).count() == 0
+
+
 def naive_calls(files):
     """Query positions by walking each read base by base, and the nearer of the two windows."""
     def distance(a, b):
