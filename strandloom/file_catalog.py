@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions.align import edit_distance_dp
@@ -14,7 +13,7 @@ from strandloom.operators import calls, cut, kmers
 from strandloom.operators.stored import new_path
 from strandloom.plans import derived
 from strandloom.sources import alignments, alleles, fasta, vcf
-from strandloom.sources.ordered import lines
+from strandloom.sources.ordered import lines, numbered
 
 BASES = "ACGT"
 HEADER = ("##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "##contig=<ID=c0,note=a=b>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS")
@@ -59,12 +58,32 @@ def vcf_chrom_filter(spark, sf_dir):
     return vcf.variants(spark, _vcf(spark, sf_dir), "c1").select("chrom", "chrom_ord", "snp_idx", "pos", "ref", "alt")
 
 
+#: A header with a line for each customer between its other lines, and lines of variants behind it.
+_CONTIG = "concat('<ID=k', c_custkey, ',note=', c_name, '=', c_nationkey, '>')"
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> str:
+    fixed = spark.createDataFrame([(0, 0, HEADER[0]), (0, 1, HEADER[1]), (2, 0, HEADER[-1])], "at int, k long, value string")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    contigs = customers.selectExpr("1 AS at", "cast(c_custkey AS bigint) AS k", f"concat('##contig=', {_CONTIG}) AS value")
+    variants = customers.selectExpr("3 AS at", "cast(c_custkey AS bigint) AS k", "concat_ws('\t', concat('k', c_custkey), '5', '.', 'A', 'C', '#', '.', '.', 'GT', '0/1') AS value")
+    return _written(spark, fixed.union(contigs).union(variants), "at", "k")
+
+
+def _headed_sql(more: tuple[str, ...] = ()) -> str:
+    """(line_no, key, value, raw), with lines before the last."""
+    line = lambda n, raw: f"SELECT {n} AS line_no, " + (f"{_literal(raw[2:].split('=', 1)[0])} AS key, {_literal(raw[2:].split('=', 1)[1])} AS value" if raw.startswith("##") else "NULL, NULL") + f", {_literal(raw)} AS raw"
+    parts = [line(0, HEADER[0]), line(1, HEADER[1]), f"SELECT 1 + row_number() OVER (ORDER BY c_custkey), 'contig', {_CONTIG}, '##contig=' || {_CONTIG} FROM customer"]
+    parts += [line(f"{k} + (SELECT count(*) FROM customer)", raw) for k, raw in enumerate((*more, HEADER[-1]), 2)]
+    return " UNION ALL ".join(parts)
+
+
 def vcf_header_parse(spark, sf_dir):
-    return vcf.header(spark, _vcf(spark, sf_dir))
+    return vcf.header(spark, _headed(spark, sf_dir))
 
 
 def vcf_header_annotate(spark, sf_dir):
-    return vcf.annotate_header(vcf.header(spark, _vcf(spark, sf_dir))).select("line_no", "raw")
+    return vcf.annotate_header(vcf.header(spark, _headed(spark, sf_dir))).select("line_no", "raw")
 
 
 def _phased(spark: SparkSession, sf_dir: str) -> str:
@@ -76,7 +95,7 @@ def _phased(spark: SparkSession, sf_dir: str) -> str:
 
 
 def vcf_write_phased(spark, sf_dir):
-    return lines(spark, _phased(spark, sf_dir)).select((F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("line_no"), "value")
+    return numbered(lines(spark, _phased(spark, sf_dir)), "line_no").select("line_no", "value")
 
 
 def phased_vcf_scan(spark, sf_dir):
@@ -137,11 +156,28 @@ def fai_lookup(spark, sf_dir):
     return fasta.lookup(chroms, _fai(spark, sf_dir)).select("c_custkey", "chrom", "length", "offset")
 
 
+#: Letters of qualities, marks of records among them.
+_QUALITIES = "@>+IF5#!=?ABCDEG"
+
+
+def _fastq(letters: str, digest: str) -> str:
+    return f"translate(md5({digest}), '0123456789abcdef', '{letters}')"
+
+
+def _orders(letters: str, text: str, cast: str) -> list[str]:
+    return [_fastq(letters, f"{cast.format('o_orderkey')} || '{text}{k}'") for k in range(2)]
+
+
 def fastx_scan(spark, sf_dir):
-    rows = _sequences(spark, sf_dir).select("c", F.concat(F.lit("@"), "c", F.lit(" of three\n"), F.substring("seq", 1, 300), F.lit("\n"), F.expr("substring(seq, 301)"), F.lit("\n+\n"), F.expr("repeat('I', length(seq))")).alias("value"))
-    path = new_path(spark)
-    rows.coalesce(1).sortWithinPartitions("c").select("value").write.text(path)
-    return fasta.records(spark, path)
+    """A record for each order, its bases and its qualities on two lines each."""
+    cast = "cast({} AS string)"
+    bases, quals = _orders(BASES * 4, "b", cast), _orders(_QUALITIES, "q", cast)
+    value = F.expr("concat('@o', o_orderkey, ' of ', o_custkey, '\n', {}, '\n', {}, '\n+\n', {}, '\n', {})".format(*bases, *quals))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", value.alias("value"))
+    return fasta.records(spark, _written(spark, rows, "o_orderkey"))
+
+
+_FASTX = "SELECT 'o' || o_orderkey AS name, 'of ' || o_custkey AS comment, {} || {} AS seq, {} || {} AS qual, 64 AS len FROM orders".format(*_orders(BASES * 4, "b", "{}::VARCHAR"), *_orders(_QUALITIES, "q", "{}::VARCHAR"))
 
 
 # Reads: alleles as text, and alignments as SAM.
@@ -168,6 +204,26 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.sam(spark, _written(spark, head.union(rows.select("name", value)), "name"))
 
 
+_READ_BASES = " || ".join(f"translate(md5({_READ} || '{k}'), '0123456789abcdef', '{BASES * 4}')" for k in range(2))
+
+
+def bam_scan(spark, sf_dir):
+    """Alignments of every line of an order, written as BAM and read back without an index."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(f"{_READ} AS qname", "cast(l_linenumber % 2 * 16 AS int) AS flag", "concat('c', l_orderkey % 3) AS chrom", "cast(l_quantity AS int) AS mapq", "cast(l_partkey AS bigint) AS pos0", f"{_READ_BASES} AS bases", *_OPERATIONS.split(", "))
+    operation = lambda op, n: F.struct(F.lit(op).alias("op"), n.cast("int").alias("len"))
+    cigar = F.array(*[operation(op, F.col(n) if n in "smid" else F.lit(int(n))) for op, n in (("S", "s"), ("M", "m"), ("I", "i"), ("M", "10"), ("D", "d"), ("M", "8"))])
+    own = rows.select("qname", "flag", "chrom", "mapq", "pos0", cigar.alias("cigar"), F.expr("substring(bases, 1, cast(s + m + i + 18 AS int))").alias("seq"))
+    path = new_path(spark)
+    alignments.write_bam(own, [(f"c{k}", 1 << 30) for k in range(3)], path)
+    text = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), "")
+    return alignments.bam(spark, path).select("qname", "flag", "chrom", "mapq", "pos0", text.alias("cigar"), "seq")
+
+
+_BAM = f"""WITH o AS (SELECT *, {_READ} AS qname, {_READ_BASES} AS bases, {_OPERATIONS} FROM lineitem)
+SELECT qname, (l_linenumber % 2 * 16)::INTEGER AS flag, 'c' || l_orderkey % 3 AS chrom, l_quantity::INTEGER AS mapq, l_partkey::BIGINT AS pos0,
+  s || 'S' || m || 'M' || i || 'I10M' || d || 'D8M' AS cigar, substr(bases, 1, s + m + i + 18) AS seq FROM o"""
+
+
 def sam_scan(spark, sf_dir):
     return _alignments(spark, sf_dir).select("qname", "chrom", "flag", "mapq", "pos0", F.size("cigar").alias("n_ops"), F.length("seq").alias("n_bases"))
 
@@ -206,7 +262,6 @@ def edit_distance_table(spark, sf_dir):
 
 def registered(graph_sql: str, reads_sql: str) -> dict[str, tuple]:
     """{name: (query, SQL)}. graph_sql and reads_sql: the tables of the trimmed graph of words of two, and of the reads."""
-    header = ", ".join(f"({k}, {('NULL' if not h.startswith('##') else _literal(h[2:].split('=', 1)[0]))}, {('NULL' if not h.startswith('##') else _literal(h[2:].split('=', 1)[1]))}, {_literal(h)})" for k, h in enumerate(HEADER))
     annotated = ", ".join(f"({k}, {_literal(h)})" for k, h in enumerate(_ANNOTATED))
     bits = lambda c: f"({c} // 2)::VARCHAR || ({c} % 2)::VARCHAR"
     dna = lambda c: f"substr(translate(md5({c}::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12)"
@@ -215,8 +270,8 @@ def registered(graph_sql: str, reads_sql: str) -> dict[str, tuple]:
     made = {
         "vcf_scan": (vcf_scan, _VCF + " SELECT chrom, chrom_ord, snp_idx, pos, ref, alt, 10 AS n_fields FROM t"),
         "vcf_chrom_filter": (vcf_chrom_filter, _VCF + " SELECT chrom, 0 AS chrom_ord, snp_idx, pos, ref, alt FROM t WHERE chrom = 'c1'"),
-        "vcf_header_parse": (vcf_header_parse, f"SELECT * FROM (VALUES {header}) h(line_no, key, value, raw)"),
-        "vcf_header_annotate": (vcf_header_annotate, f"SELECT * FROM (VALUES {annotated}) h(line_no, raw)"),
+        "vcf_header_parse": (vcf_header_parse, _headed_sql()),
+        "vcf_header_annotate": (vcf_header_annotate, f"SELECT line_no, raw FROM ({_headed_sql((_PS,))})"),
         "vcf_write_phased": (vcf_write_phased, _VCF_PHASED + f""" SELECT * FROM (VALUES {annotated}) h(line_no, value) UNION ALL
 SELECT {len(_ANNOTATED) - 1} + row_number() OVER (ORDER BY chrom_ord, snp_idx), concat_ws(chr(9), chrom, pos, '.', ref, alt, '50', 'PASS', 'DP=' || i, 'GT:GQ:PS:UG',
   concat_ws(':', CASE gt WHEN 0 THEN '0|1' WHEN 1 THEN '1|0' ELSE '0/1' END, i % 60, CASE WHEN gt IS NULL THEN '.' ELSE ps::VARCHAR END, '7')) FROM p"""),
@@ -228,7 +283,8 @@ SELECT {len(_ANNOTATED) - 1} + row_number() OVER (ORDER BY chrom_ord, snp_idx),
 SELECT chrom, pos AS snp_idx, pos, {window} AS ref_window, substr({window}, 1, {place} - 1) || 'A' || substr({window}, {place} + 1) AS alt_window FROM w"""),
         "fai_scan": (fai_scan, "SELECT 'k' || n_nationkey AS name, n_nationkey * 1000 + 7 AS length, n_nationkey::BIGINT * 100000000000 + 3 AS \"offset\", 60 AS line_bases, 61 AS line_width FROM nation"),
         "fai_lookup": (fai_lookup, "SELECT c_custkey, 'k' || c_nationkey AS chrom, n_nationkey * 1000 + 7 AS length, n_nationkey::BIGINT * 100000000000 + 3 AS \"offset\" FROM customer JOIN nation ON n_nationkey = c_nationkey"),
-        "fastx_scan": (fastx_scan, _FASTA + " SELECT c AS name, 'of three' AS comment, seq, repeat('I', length(seq)) AS qual, length(seq) AS len FROM s"),
+        "fastx_scan": (fastx_scan, _FASTX),
+        "bam_scan": (bam_scan, _BAM),
         "allele_scan": (allele_scan, reads_sql + " SELECT chrom, min(snp_idx) AS first, string_agg(CASE WHEN allele < 0 THEN '-' ELSE allele::VARCHAR END, '' ORDER BY snp_idx) AS calls FROM a WHERE chrom = 'c0' GROUP BY chrom, rid"),
         "sam_scan": (sam_scan, f"SELECT {_READ} AS qname, 'c' || l_orderkey % 3 AS chrom, l_linenumber % 2 * 16 AS flag, l_quantity::INTEGER AS mapq, l_partkey AS pos0, 6 AS n_ops, 5 + l_linenumber + 20 + l_suppkey % 7 + 1 + l_linenumber % 3 + 18 AS n_bases FROM lineitem"),
         "sam_spans": (sam_spans, f"""WITH o AS (SELECT {_READ} AS qname, {_OPERATIONS} FROM lineitem)
@@ -240,7 +296,7 @@ FROM live l JOIN node u ON u.chrom = l.chrom AND u.s = l.s AND u.w = l.e // 2 JO
         "edit_distance_table": (edit_distance_table, f"SELECT o_orderkey AS id, levenshtein({dna('o_orderkey')}, {dna('o_custkey')}) AS distance FROM orders"),
     }
     narrow = {
-        "vcf_scan": ("chrom_ord", "pos", "n_fields"), "vcf_chrom_filter": ("chrom_ord", "pos"), "phased_vcf_scan": ("pos", "ps", "gt"), "fasta_contig": ("length",),
+        "vcf_header_parse": ("line_no",), "vcf_header_annotate": ("line_no",), "vcf_scan": ("chrom_ord", "pos", "n_fields"), "vcf_chrom_filter": ("chrom_ord", "pos"), "phased_vcf_scan": ("pos", "ps", "gt"), "fasta_contig": ("length",),
         "fasta_chunks": ("chunk", "begin", "length"), "window31_extract": ("pos",), "fastx_scan": ("len",), "sam_scan": ("flag", "n_bases"),
     }
     for name, columns in narrow.items():

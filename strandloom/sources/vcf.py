@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.text import join_str, split_str, swapped
 
-from .ordered import lines
+from .ordered import lines, numbered
 
 #: The header lines of the two keys that phasing needs.
 FORMATS = {
@@ -20,10 +20,10 @@ FORMATS = {
 def header(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, key, value, raw) of the lines that begin with #; key is null on the line of column names."""
     found = lines(spark, path).filter(F.col("value").startswith("#"))
-    numbered = found.select((F.row_number().over(W.orderBy("at")) - 1).alias("line_no"), F.col("value").alias("raw"))
+    rows = numbered(found, "line_no").select(F.col("line_no").cast("int").alias("line_no"), F.col("value").alias("raw"))
     pattern = "^##([^=]*)=(.*)$"
     part = lambda k: F.when(F.col("raw").rlike(pattern), F.regexp_extract("raw", pattern, k))
-    return numbered.select("line_no", part(1).alias("key"), part(2).alias("value"), "raw")
+    return rows.select("line_no", part(1).alias("key"), part(2).alias("value"), "raw")
 
 
 def samples(head: DataFrame) -> int:
