@@ -254,8 +254,8 @@ def string_functions(spark, sf_dir):
 
 
 def edit_distance_table(spark, sf_dir):
-    """edit_distance_dp of the first 12 letters of two digests of every order."""
-    dna = lambda c: F.substring(F.translate(F.md5(c.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT"), 1, 12)
+    """edit_distance_dp of two digests of every order."""
+    dna = lambda c: F.translate(F.md5(c.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), dna(F.col("o_orderkey")).alias("q"), dna(F.col("o_custkey")).alias("r"))
     return rows.select("id", edit_distance_dp("q", "r").alias("distance"))
 
@@ -264,7 +264,7 @@ def registered(graph_sql: str, reads_sql: str) -> dict[str, tuple]:
     """{name: (query, SQL)}. graph_sql and reads_sql: the tables of the trimmed graph of words of two, and of the reads."""
     annotated = ", ".join(f"({k}, {_literal(h)})" for k, h in enumerate(_ANNOTATED))
     bits = lambda c: f"({c} // 2)::VARCHAR || ({c} % 2)::VARCHAR"
-    dna = lambda c: f"substr(translate(md5({c}::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12)"
+    dna = lambda c: f"translate(md5({c}::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT')"
     window = "substr(seq, greatest(pos - 16, 0) + 1, least(pos + 15, 800) - greatest(pos - 16, 0))"
     place = "pos - greatest(pos - 16, 0)"
     made = {

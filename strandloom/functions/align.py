@@ -29,21 +29,9 @@ def edit_distance_pair(own: Column, ref: Column, alt: Column) -> Column:
     return F.struct(F.levenshtein(own, ref).cast("long").alias("to_ref"), F.levenshtein(own, alt).cast("long").alias("to_alt"))
 
 
-@F.pandas_udf(T.LongType())
-def edit_distance_dp(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Levenshtein's distance by the whole table; null if a text is null."""
-    known = (a.notna() & b.notna()).to_numpy()
-    x, n = _matrix(a[known])
-    y, m = _matrix(b[known])
-    rows = np.arange(len(x))
-    table = np.zeros((len(x), x.shape[1] + 1, y.shape[1] + 1), np.int64)
-    table[:, :, 0], table[:, 0, :] = np.arange(x.shape[1] + 1), np.arange(y.shape[1] + 1)
-    for i in range(1, x.shape[1] + 1):
-        for j in range(1, y.shape[1] + 1):
-            table[:, i, j] = np.minimum(np.minimum(table[:, i - 1, j], table[:, i, j - 1]) + 1, table[:, i - 1, j - 1] + (x[:, i - 1] != y[:, j - 1]))
-    out = pd.Series(np.full(len(a), None), dtype="Int64")
-    out[known] = table[rows, n, m]
-    return out
+def edit_distance_dp(a: Column, b: Column) -> Column:
+    """Levenshtein's distance of whole texts; null if one is null."""
+    return F.levenshtein(a, b).cast("long")
 
 
 @F.pandas_udf(T.LongType())
@@ -68,61 +56,73 @@ def affine_gap_score(query: pd.Series, target: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("distance", T.LongType()), T.StructField("base", T.StringType())]))
-def align_traceback(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """(query, target, place in target): the edit distance, and the query's base that the place aligns to, '-' if none.
+def _slices(*texts: pd.Series) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The two texts of a few rows at a time, as `_matrix` gives them, so that their tables have some 16 million cells at most (or are of one row)."""
+    cells = ((texts[0].str.len().max() or 0) + 1) * ((texts[1].str.len().max() or 0) + 1) if len(texts[0]) else 1
+    step = max(1, (1 << 24) // int(cells))
+    for at in range(0, len(texts[0]), step):
+        own = slice(at, at + step)
+        yield own, *_matrix(texts[0].iloc[own]), *_matrix(texts[1].iloc[own])
+
 
-    Among equally good alignments a pair of bases goes before a gap in the
-    query, and that before one in the target.
+def _walk_back(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(distance) first; then, from the ends of all rows' best alignments on, (place in x, place in y, whether they are a pair, a gap in x, a gap in y).
+
+    Among equally good alignments a pair goes before a gap in x, and that before one in y.
     """
-    for queries, targets, places in batches:
-        out = []
-        for q, t, p in zip(queries, targets, places):
-            if q is None or t is None or pd.isna(p):
-                out.append((None, None))
-                continue
-            table = np.zeros((len(q) + 1, len(t) + 1), np.int64)
-            table[:, 0], table[0] = np.arange(len(q) + 1), np.arange(len(t) + 1)
-            for i in range(1, len(q) + 1):
-                for j in range(1, len(t) + 1):
-                    table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (q[i - 1] != t[j - 1]))
-            i, j, base = len(q), len(t), "-"
-            while i or j:
-                if i and j and table[i, j] == table[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
-                    i, j = i - 1, j - 1
-                    if j == p:
-                        base = q[i]
-                elif j and table[i, j] == table[i, j - 1] + 1:
-                    j -= 1
-                else:
-                    i -= 1
-            out.append((int(table[-1, -1]), base))
-        yield pd.DataFrame(out, columns=["distance", "base"])
+    rows = np.arange(len(x))
+    table = np.zeros((len(x), x.shape[1] + 1, y.shape[1] + 1), np.int32)
+    table[:, :, 0], table[:, 0, :] = np.arange(x.shape[1] + 1), np.arange(y.shape[1] + 1)
+    for i in range(1, x.shape[1] + 1):
+        for j in range(1, y.shape[1] + 1):
+            table[:, i, j] = np.minimum(np.minimum(table[:, i - 1, j], table[:, i, j - 1]) + 1, table[:, i - 1, j - 1] + (x[:, i - 1] != y[:, j - 1]))
+    i, j = n.copy(), m.copy()
+    yield (table[rows, n, m],)
+    while ((i > 0) | (j > 0)).any():
+        now, before_i, before_j = table[rows, i, j], np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        pair = (i > 0) & (j > 0) & (now == table[rows, before_i, before_j] + (x[rows, before_i] != y[rows, before_j]))
+        in_x = ~pair & (j > 0) & (now == table[rows, i, before_j] + 1)
+        in_y = ~pair & ~in_x & (i > 0)
+        i, j = i - (pair | in_y), j - (pair | in_x)
+        yield i, j, pair, in_x, in_y
+
+
+@F.pandas_udf(T.StructType([T.StructField("distance", T.LongType()), T.StructField("base", T.StringType())]))
+def align_traceback(query: pd.Series, target: pd.Series, place: pd.Series) -> pd.DataFrame:
+    """The edit distance, and the query's base that a place in the target aligns to, '-' if none; nulls if one is null."""
+    known = (query.notna() & target.notna() & place.notna()).to_numpy()
+    wanted = place[known].to_numpy(np.int64)
+    distance, base = np.zeros(len(wanted), np.int64), np.full(len(wanted), ord("-"), np.int64)
+    for own, x, n, y, m in _slices(query[known], target[known]):
+        steps = _walk_back(x, n, y, m)
+        (distance[own],) = next(steps)
+        for i, j, pair, _, _ in steps:
+            hit = pair & (j == wanted[own])
+            base[own][hit] = x[np.flatnonzero(hit), i[hit]]
+    out = pd.DataFrame({"distance": pd.array([None] * len(query), "Int64"), "base": pd.array([None] * len(query), object)})
+    out.loc[known, "distance"] = distance
+    out.loc[known, "base"] = [chr(b) for b in base]
+    return out
 
 
 @F.pandas_udf(T.StringType())
 def show_alignment(query: pd.Series, target: pd.Series) -> pd.Series:
     """Three lines: the target, marks where both agree, and the query, with '-' for gaps. For reading only."""
-    out = []
-    for q, t in zip(query, target):
-        if q is None or t is None:
-            out.append(None)
+    known = (query.notna() & target.notna()).to_numpy()
+    shown: list[str] = []
+    for _, x, n, y, m in _slices(query[known], target[known]):
+        steps, rows = _walk_back(x, n, y, m), np.arange(len(x))
+        next(steps)
+        columns = []
+        for i, j, pair, in_x, in_y in steps:
+            own, other = np.where(in_x, ord("-"), x[rows, np.minimum(i, x.shape[1] - 1)]), np.where(in_y, ord("-"), y[rows, np.minimum(j, y.shape[1] - 1)])
+            mark = np.where(pair & (own == other), ord("|"), ord(" "))
+            columns.append(np.where(pair | in_x | in_y, [other, mark, own], 0))
+        if not columns:
+            shown += ["\n\n"] * len(x)
             continue
-        table = np.zeros((len(q) + 1, len(t) + 1), np.int64)
-        table[:, 0], table[0] = np.arange(len(q) + 1), np.arange(len(t) + 1)
-        for i in range(1, len(q) + 1):
-            for j in range(1, len(t) + 1):
-                table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (q[i - 1] != t[j - 1]))
-        i, j, columns = len(q), len(t), []
-        while i or j:
-            if i and j and table[i, j] == table[i - 1, j - 1] + (q[i - 1] != t[j - 1]):
-                i, j = i - 1, j - 1
-                columns.append((t[j], "|" if q[i] == t[j] else " ", q[i]))
-            elif j and table[i, j] == table[i, j - 1] + 1:
-                j -= 1
-                columns.append((t[j], " ", "-"))
-            else:
-                i -= 1
-                columns.append(("-", " ", q[i]))
-        out.append("\n".join("".join(line) for line in zip(*columns[::-1])))
-    return pd.Series(out)
+        for lines in np.stack(columns[::-1]).transpose(2, 1, 0):  # rows, lines, places
+            shown.append("\n".join("".join(map(chr, line[lines[0] > 0])) for line in lines))
+    out = pd.Series([None] * len(query), dtype=object)
+    out[known] = shown
+    return out

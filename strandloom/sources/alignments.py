@@ -22,7 +22,8 @@ from . import pieces
 SCHEMA = "chrom string, rid bigint, qname string, flag int, mapq int, pos0 bigint, cigar array<struct<op:string,len:int>>, seq string"
 #: Letters of operations and bases by their codes.
 OPERATIONS, BASES = "MIDNSHP=XB", "=ACMGRSVTWYHKDBN"
-PAIRS = [BASES[b >> 4] + BASES[b & 15] for b in range(256)]
+#: Bases by hexadecimal digits, and back.
+FROM_HEX, TO_HEX = str.maketrans("0123456789abcdef", BASES), str.maketrans(BASES, "0123456789abcdef")
 #: How a block begins whose size (two bytes) comes next, and the block at a file's end.
 BLOCK, END = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0", b"\x1b\0\x03" + bytes(9)
 #: Records that have to look like ones behind a place that is taken for a record's; bytes of a block that is written.
@@ -155,7 +156,7 @@ def _row(names: dict[int, str], rid: int, body: bytes) -> tuple | None:
     at = 32 + l_name
     name, packed = body[32 : at - 1].split(b"\0")[0].decode(), struct.unpack_from(f"<{n_cigar}I", body, at)
     at += 4 * n_cigar
-    seq = "".join([PAIRS[b] for b in body[at : at + (l_seq + 1) // 2]])[:l_seq]
+    seq = body[at : at + (l_seq + 1) // 2].hex().translate(FROM_HEX)[:l_seq]
     return names[number], rid, name, flag, mapq, pos, [{"op": OPERATIONS[c & 15], "len": c >> 4} for c in packed], seq
 
 
@@ -414,14 +415,12 @@ def write_bam(rows: DataFrame, contigs: list[tuple[str, int]], path: str) -> Non
     head = b"BAM\1" + struct.pack("<ii", 0, len(contigs))
     for name, length in contigs:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    codes = bytes.maketrans(BASES.encode(), bytes(range(16)))
 
     def record(r: dict) -> bytes:
-        name, seq = r["qname"].encode() + b"\0", r["seq"].encode().translate(codes)
-        even = np.frombuffer(seq + b"\0" * (len(seq) % 2), np.uint8).reshape(-1, 2)
+        name, seq = r["qname"].encode() + b"\0", r["seq"]
         body = struct.pack("<iiBBHHHiiii", numbers[r["chrom"]], r["pos0"], len(name), r["mapq"], 4680, len(r["cigar"]), r["flag"], len(seq), -1, -1, 0) + name
         body += struct.pack(f"<{len(r['cigar'])}I", *[c["len"] << 4 | OPERATIONS.index(c["op"]) for c in r["cigar"]])
-        body += (even[:, 0] << 4 | even[:, 1]).tobytes() + b"\xff" * len(seq)
+        body += bytes.fromhex(seq.translate(TO_HEX) + "0" * (len(seq) % 2)) + b"\xff" * len(seq)
         return struct.pack("<i", len(body)) + body
 
     def packed(batches):

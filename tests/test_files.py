@@ -198,7 +198,7 @@ def test_written_bam_is_read_back(spark, files):
 def sequence_lines(rng, kind):
     """Records whose qualities begin with the marks of records, on one line or many; odd lines before the first."""
     rows, want = ["a line", ""], []
-    for k in range(rng.randint(60, 90)):
+    for k in range(rng.randint(25, 40)):
         seq = "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 90)))
         mark = {"fastq": "@", "wrapped": "@", "fasta": ">", "both": rng.choice(">@")}[kind]
         qual = "".join(rng.choice("@>+IF5#") for _ in seq) if mark == "@" else None

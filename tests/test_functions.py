@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 
@@ -49,13 +50,41 @@ def test_alignments(spark):
     rng = random.Random(1)
     pairs = [("".join(rng.choice("ACGT") for _ in range(rng.randint(1, 12))), "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 12)))) for _ in range(60)]
     df = spark.createDataFrame([*pairs, (None, "A")], "q string, t string")
-    got = df.select("q", "t", align.edit_distance_dp("q", "t").alias("d"), F.levenshtein("q", "t").alias("l"), align.affine_gap_score("q", "t").alias("a")).collect()
+    got = df.select("q", "t", align.edit_distance_dp("q", "t").alias("d"), align.affine_gap_score("q", "t").alias("a")).collect()
     for r in got:
-        assert r.d == r.l and (r.q is None or r.a == naive_affine(r.q, r.t))
-    traced = spark.createDataFrame([("ACGT", "ACGT", 2), ("ACT", "ACGT", 2), ("ATGT", "ACGT", 1)], "q string, t string, p long").select(align.align_traceback("q", "t", "p").alias("x")).collect()
-    assert [tuple(r.x) for r in traced] == [(0, "G"), (1, "-"), (1, "T")]
+        assert (r.d is None) == (r.q is None) and (r.q is None or r.a == naive_affine(r.q, r.t))
+    places = df.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(11)))).select("q", "t", "p", align.align_traceback("q", "t", "p").alias("x"), F.levenshtein("q", "t").alias("d"))
+    for r in places.collect():
+        assert tuple(r.x) == ((None, None) if r.q is None else (r.d, naive_base(r.q, r.t, r.p)))
+    traced = spark.createDataFrame([("ACGT", "ACGT", 2), ("ACT", "ACGT", 2), ("ATGT", "ACGT", 1), ("", "", 0), ("A", "C", None)], "q string, t string, p long").select(align.align_traceback("q", "t", "p").alias("x")).collect()
+    assert [tuple(r.x) for r in traced] == [(0, "G"), (1, "-"), (1, "T"), (0, "-"), (None, None)]
+
+
+def naive_base(q, t, place):
+    """The base at a place of the target, by the best alignment that ends with a pair rather than a gap in the query, and that rather than one in the target."""
+    @functools.cache
+    def best(i, j):
+        if not i or not j:
+            return i + j
+        return min(best(i - 1, j - 1) + (q[i - 1] != t[j - 1]), best(i, j - 1) + 1, best(i - 1, j) + 1)
+
+    i, j = len(q), len(t)
+    while i or j:
+        if i and j and best(i, j) == best(i - 1, j - 1) + (q[i - 1] != t[j - 1]):
+            if j - 1 == place:
+                return q[i - 1]
+            i, j = i - 1, j - 1
+        elif j and best(i, j) == best(i, j - 1) + 1:
+            j -= 1
+        else:
+            i -= 1
+    return "-"
 
 
 def test_shown_alignment(spark):
-    got = spark.createDataFrame([("ACT", "ACGT")], "q string, t string").select(align.show_alignment("q", "t").alias("x")).first()
-    assert got.x == "ACGT\n|| |\nAC-T"
+    rows = [("ACT", "ACGT"), ("", ""), (None, "A"), ("TT", ""), ("GATTACA", "GCATGCT")]
+    got = [r.x for r in spark.createDataFrame(rows, "q string, t string").select(align.show_alignment("q", "t").alias("x")).collect()]
+    assert got[:4] == ["ACGT\n|| |\nAC-T", "\n\n", None, "--\n  \nTT"]
+    target, marks, query = got[4].split("\n")
+    assert target.replace("-", "") == "GCATGCT" and query.replace("-", "") == "GATTACA"
+    assert len(marks) - marks.count("|") == 4 and all((a == b) == (c == "|") for a, b, c in zip(target, query, marks))
