@@ -25,7 +25,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-c", "--chromosome", help="phase this one only")
     p.add_argument("-k", type=int, default=phasing.DEFAULT_K, help="k-mer size, 2 to 5")
     p.add_argument("-l", "--graph", help="folder for the graph after each step")
-    p.add_argument("--timers", action="store_true", help="print the seconds that the steps took, and those of the processor in tasks")
+    p.add_argument("--timers", action="store_true", help="print the seconds that the steps took, and the processor seconds of their tasks in Java")
     got = p.parse_args(argv)
     if not got.alleles and not (got.reads and got.reference):
         p.error("reads and a reference are needed, or allele calls")
