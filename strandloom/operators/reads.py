@@ -40,17 +40,20 @@ def variant_counts(reads: DataFrame) -> DataFrame:
 
 
 def coverage_islands(reads: DataFrame) -> DataFrame:
-    """(chrom, snp_idx, island): runs of variants whose neighbours some read spans; island is the run's first variant.
+    """(chrom, snp_idx, island): runs of variants whose neighbours some read spans; island is the run's first variant."""
+    return runs(read_spans(reads)).select("chrom", F.explode(F.sequence("island", "last")).alias("snp_idx"), "island")
 
-    Reads are counted in where they begin and out where they end, so that the
-    ordered pass goes over variants and not over reads.
+
+def runs(spans: DataFrame) -> DataFrame:
+    """(chrom, island, last): the first and last variant of every run of spans (chrom, first, last) that share a variant, one with the next.
+
+    Spans are counted in where they begin and out where they end, so that the
+    ordered pass goes over variants and not over spans.
     """
-    spans = read_spans(reads)
     steps = spans.select("chrom", F.inline(F.array(F.struct(F.col("first").alias("snp_idx"), F.lit(1).alias("d")), F.struct(F.col("last").alias("snp_idx"), F.lit(-1).alias("d")))))
     here = steps.groupBy("chrom", "snp_idx").agg(F.sum("d").alias("d")).withColumn("bucket", F.floor(F.col("snp_idx") / BUCKET))
     opened = carried(here, "d", F.sum).withColumn("new", F.when(F.col("carried") == F.col("d"), F.col("snp_idx"))).drop("carried")
-    runs = carried(opened, "new", F.max).groupBy("chrom", F.col("carried").alias("island")).agg(F.max("snp_idx").alias("last"))
-    return runs.select("chrom", F.explode(F.sequence("island", "last")).alias("snp_idx"), "island")
+    return carried(opened, "new", F.max).groupBy("chrom", F.col("carried").alias("island")).agg(F.max("snp_idx").alias("last"))
 
 
 def carried(rows: DataFrame, column: str, how) -> DataFrame:

@@ -1,25 +1,29 @@
-"""The order-dependent passes over the k-mer graph, one coverage island to a task.
-
-Tips and bubbles change what later steps see, so each island runs them in a
-fixed order. Islands share no read, and so no
-k-mer, bubble or score; only the first and last rank of a chromosome behave
-unlike an island's, and the task knows where they are. Local correction takes the
+"""The order-dependent passes over the k-mer graph, in stretches that share nothing.
+
+Tips and bubbles change what later steps see, so they run in a fixed order, but
+what one of them reads and writes lies near it. Tips are dealt out by runs of
+branching ranks without a wide gap, bubbles by runs of areas whose reads overlap,
+and several runs near each other are one task. Blocks are walks over buckets of ranks, and
+only their bounds are needed to tell which of them join. Only the first and last rank of a
+chromosome behave unlike others, and the task knows where they are. Local correction takes the
 reads inside a block only, and so each block is a task of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bubbles as _bubbles
+from . import bubbles as _areas
 from . import hints as _hints
 from . import kmers as _kmers
 from . import reads as _reads
+from . import walks as _walks
 from .stored import stored
 
 #: Lengths of short and long tips, the support a tip must lose by, paths that a bubble may have.
@@ -27,6 +31,11 @@ TIP_SHORT, TIP_LONG, TIP_SUPPORT, MOST_PATHS = 5, 15, 1.5, 256
 #: The window of local correction, its patterns in the order they are tried, variants skipped behind a change.
 WINDOW, PATTERNS, SKIP = 5, (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 24), 64
 TIP_HINT, TANGLE_HINT = 2, 3
+#: A tip at a rank reads edges from BEHIND ranks before it to AHEAD ranks after it, and takes those of 5 before it to 4 after it.
+#: Tips run forward first and then backward: no tip sees another one that is more than 2 * APART ranks away.
+BEHIND, AHEAD, APART = TIP_LONG + 2, TIP_LONG + 1, 11
+#: Runs that begin within so many ranks are one task.
+TASK = 1 << 12
 STAGES = ("tips", "closed", "bubbles", "areas", "blocks", "hints", "joined", "shares")
 
 
@@ -46,6 +55,7 @@ class Island:
         self.over: list[list[int]] = [[] for _ in range(self.n)]
         self.areas: list[tuple[int, int, int]] = []  # first and last variant, ways through
         self.closed = self.weight  # weights once all areas are closed
+        self.pairs: list[int] | None = None  # the undecided variants, where the edges here don't tell them
 
     def add_read(self, snps: np.ndarray, alleles: np.ndarray) -> None:
         """A read's calls; variants that it skips are gaps."""
@@ -78,15 +88,16 @@ class Island:
     # Tips.
 
     def remove_tips(self) -> None:
-        for s in range(self.ranks - 1, -1, -1):
-            for w in range(1 << (self.k - 1)):
-                self._tip(s, w, True)
-        for s in range(self.ranks):
-            for w in range(1 << (self.k - 1)):
-                self._tip(s, w, False)
+        # Edges only go, so that no node begins to branch.
+        both = (self.weight[:, 0::2] > 0) & (self.weight[:, 1::2] > 0)
+        for s, w in sorted(np.argwhere(both[:, : 1 << (self.k - 1)]).tolist(), key=lambda n: (-n[0], n[1])):
+            self._tip(s, w, True)
+        both = (self.weight[:, : 1 << self.k] > 0) & (self.weight[:, 1 << self.k :] > 0)
+        for s, w in np.argwhere(both[:, : 1 << (self.k - 1)]).tolist():
+            self._tip(s + 1, w, False)
         live = np.zeros_like(self.count, bool)
-        for s, e in np.argwhere(self.weight > 0).tolist():
-            live[s, e >> 1] = live[s + 1, e & self.mask] = True
+        s, e = np.nonzero(self.weight[:-1] > 0)
+        live[s, e >> 1] = live[s + 1, e & self.mask] = True
         self.count[~live] = 0
 
     def _measure(self, s: int, w: int, bit: int, forward: bool) -> tuple[bool, int]:
@@ -147,7 +158,9 @@ class Island:
     def bubbles(self) -> Iterator[tuple[int, int, list[int]]]:
         """(first variant, last variant, reads) of each undecided area."""
         kinds = np.zeros(self.n + 1, np.int64)
-        for s, e in np.argwhere(self.weight[:, : 1 << self.k] > 0).tolist():
+        if self.pairs is not None:
+            kinds[self.pairs] = 3
+        for s, e in () if self.pairs is not None else np.argwhere(self.weight[:, : 1 << self.k] > 0).tolist():
             for j in range(1, self.k + 1):
                 kinds[s + j] |= 1 if (e >> (self.k - j) & 1) == (e >> (self.k - j + 1) & 1) else 2
         now: tuple[int, int, set[int]] | None = None
@@ -167,9 +180,9 @@ class Island:
     def _close(self, left: int, right: int) -> None:
         """Give dead ends inside an area an edge to every node there is beside them."""
         for s in range(left, right - self.k + 2):
-            for w in range(1 << self.k):
+            for w in np.flatnonzero(self.count[s] > 0).tolist():
                 for forward, may in ((False, s > left), (True, s + self.k - 1 < right)):
-                    if may and self.count[s, w] > 0 and self.degree(s, w, forward) == 0:
+                    if may and self.degree(s, w, forward) == 0:
                         for bit in (0, 1):
                             if self.count[self.step(s, w, bit, forward)] > 0:
                                 self.put(s, w, bit, forward, 1)
@@ -404,12 +417,12 @@ class Correction:
         return self.phase.tolist()
 
 
-def _island(rows: pd.DataFrame, k: int, n_snp: int, first: int) -> Island:
+def _island(rows: pd.DataFrame, k: int, n_snp: int, first: int, last: int | None = None) -> Island:
     kinds = {kind: part for kind, part in rows.groupby("kind")}
-    calls = kinds["call"].sort_values(["a", "b"], kind="stable")
-    made = Island(k, first, int(calls.b.max()), n_snp)
+    calls = kinds["call"].sort_values(["a", "b"], kind="stable") if "call" in kinds else rows[:0]
+    made = Island(k, first, int(calls.b.max()) if last is None else last, n_snp)
     snps, alleles = calls.b.to_numpy(), calls.c.to_numpy()
-    edges = [0, *(np.flatnonzero(np.diff(calls.a.to_numpy())) + 1).tolist(), len(calls)]
+    edges = [0, *(np.flatnonzero(np.diff(calls.a.to_numpy())) + 1).tolist(), len(calls)] if len(calls) else []
     for a, b in zip(edges, edges[1:]):
         made.add_read(snps[a:b], alleles[a:b])
     for kind, table in (("node", made.count), ("edge", made.weight)):
@@ -418,18 +431,131 @@ def _island(rows: pd.DataFrame, k: int, n_snp: int, first: int) -> Island:
             table[part.a.to_numpy() - first, part.b.to_numpy()] = part.c.to_numpy()
     if "hint" in kinds:
         made.hint[kinds["hint"].a.to_numpy() - first] = kinds["hint"].c.to_numpy()
+    if "pair" in kinds:
+        made.pairs = (kinds["pair"].a.to_numpy() - first).tolist()
     return made
 
 
+def _long(name: str):
+    return F.col(name).cast("long")
+
+
+def _rows(table: DataFrame, kind: str, a: str, b: str | None = None, c: str | None = None) -> DataFrame:
+    """Rows of a task, told apart by kind."""
+    number = lambda name: _long(name) if name else F.lit(0).cast("long")
+    return table.select("chrom", "task", F.lit(kind).alias("kind"), number(a).alias("a"), number(b).alias("b"), number(c).alias("c"))
+
+
+def _tasks(runs: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """(chrom, at, task): the variants or ranks of runs, and so many on either side, with the task that each run is dealt to."""
+    task = F.floor(F.col("island") / TASK)
+    return runs.select("chrom", task.alias("task"), F.explode(F.sequence(F.col("island") - before, F.col("last") + after)).alias("at")).distinct()
+
+
+def _tips(weights: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(chrom, kind, s, e): edges that go as tips ("edge"), and ranks of doubtful ones ("hint")."""
+    u = weights.groupBy("chrom", "s", F.shiftright("e", 1).alias("w")).count()
+    v = weights.groupBy("chrom", (F.col("s") + 1).alias("s"), F.col("e").bitwiseAND((1 << k) - 1).alias("w")).count()
+    forks = u.union(v).filter("count > 1").select("chrom", "s").distinct()
+    runs = _reads.runs(forks.select("chrom", (F.col("s") - APART).alias("first"), (F.col("s") + APART).alias("last")))
+    near = _tasks(runs, BEHIND - APART, AHEAD - APART).withColumnRenamed("at", "s")
+    rows = _rows(weights.join(near, ["chrom", "s"]), "edge", "s", "e", "weight").join(sizes, "chrom")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, last = int(pdf.a.min()), int(pdf.a.max())
+        own = _island(pdf, k, int(pdf.n_snp.iloc[0]), first, last + k + 1)
+        was = own.weight.copy()
+        own.remove_tips()
+        gone, hint = np.argwhere((was > 0) & (own.weight == 0)), np.flatnonzero(own.hint)
+        made = [pd.DataFrame({"kind": "edge", "s": gone[:, 0] + first, "e": gone[:, 1]}), pd.DataFrame({"kind": "hint", "s": hint + first, "e": -1})]
+        return pd.concat(made).assign(chrom=pdf.chrom.iloc[0])[["chrom", "kind", "s", "e"]]
+
+    return rows.groupBy("chrom", "task").applyInPandas(run, "chrom string, kind string, s long, e long")
+
+
+def _bubbles(reads: DataFrame, nodes: DataFrame, edges: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(stage, chrom, at, word, value): edges of the areas' runs once closed and once solved, areas, variants of tangles; and edges outside of any area."""
+    pairs = stored(_areas.ambiguous_pairs(edges, k))
+    spans = _reads.read_spans(reads)
+    over = stored(spans.withColumn("snp_idx", F.explode(F.expr("CASE WHEN last > first THEN sequence(first + 1, last) ELSE array() END"))).join(pairs, ["chrom", "snp_idx"], "left_semi"))
+    bounds = over.groupBy("chrom", "snp_idx").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    bounds = pairs.join(bounds, ["chrom", "snp_idx"], "left").select("chrom", F.coalesce("first", "snp_idx").alias("first"), F.coalesce("last", "snp_idx").alias("last"))
+    near = stored(_tasks(_reads.runs(bounds)))
+    at = lambda table, name: table.join(near.withColumnRenamed("at", name), ["chrom", name])
+    held = at(over.select("chrom", "rid", "first").distinct(), "first").select("chrom", "rid", "task")
+    rows = _rows(reads.join(held, ["chrom", "rid"]), "call", "rid", "snp_idx", "allele")
+    for table, kind, names in ((at(nodes, "s"), "node", ("s", "w", "cnt")), (at(edges, "s"), "edge", ("s", "e", "weight")), (at(pairs, "snp_idx"), "pair", ("snp_idx",))):
+        rows = rows.unionByName(_rows(table, kind, *names))
+    rows = rows.join(sizes, "chrom")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # The places that rows begin at; calls name their read first.
+        place = pdf.a.where(pdf.kind != "call", pdf.b)
+        first, last = int(place.min()), int(place.max())
+        own = _island(pdf, k, int(pdf.n_snp.iloc[0]), first, last + k + 1)
+        own.solve_bubbles()
+        out = []
+        for stage, weight in (("closed", own.closed), ("bubbles", own.weight)):
+            s, e = np.nonzero(weight > 0)
+            out.append(pd.DataFrame({"stage": stage, "at": s + first, "word": e, "value": weight[s, e]}))
+        out.append(pd.DataFrame([("areas", left + first, right + first, ways) for left, right, ways in own.areas], columns=["stage", "at", "word", "value"]))
+        s = np.flatnonzero(own.hint)
+        out.append(pd.DataFrame({"stage": "hints", "at": s + first, "word": -1, "value": own.hint[s]}))
+        return pd.concat(out).assign(chrom=pdf.chrom.iloc[0])[["stage", "chrom", "at", "word", "value"]]
+
+    solved = rows.groupBy("chrom", "task").applyInPandas(run, "stage string, chrom string, at long, word long, value long")
+    apart = edges.join(near.withColumnRenamed("at", "s"), ["chrom", "s"], "left_anti")
+    return solved.unionByName(apart.select(F.explode(F.array(F.lit("closed"), F.lit("bubbles"))).alias("stage"), "chrom", _long("s").alias("at"), _long("e").alias("word"), _long("weight").alias("value")))
+
+
+def _tiling(blocks: DataFrame) -> DataFrame:
+    """(chrom, block, joined, first, end, over): the variants from `first` to before `end` of a block that it has in the block that begins at `joined`.
+
+    over: variants of a block that a later one which is appended to it has too, told with the block's own row.
+    Blocks: (chrom, block, snp_idx, phase). Only the bounds of blocks are held, by runs of blocks that overlap.
+    """
+    bounds = stored(blocks.groupBy("chrom", "block").agg(F.min("snp_idx").alias("first"), F.max("snp_idx").alias("last")))
+    rows = bounds.join(_tasks(_reads.runs(bounds)).withColumnRenamed("at", "first"), ["chrom", "first"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, reach, leader, end, joined = [], None, None, 0, 0
+        over: dict[int, int] = {}
+        for block, first, last in pdf.assign(n=-pdf["last"]).sort_values(["first", "n", "block"])[["block", "first", "last"]].itertuples(index=False):
+            if reach is not None and last < reach:
+                continue
+            reach = last + 1
+            if leader is None or first >= end:
+                leader, end, joined = first, last + 1, last + 1
+                out.append((block, leader, first, last + 1))
+                over[leader] = 0
+            else:
+                over[leader] = max(over[leader], end - first)
+                out.append((block, leader, joined, last + 1))
+                joined = last + 1
+        made = pd.DataFrame(out, columns=["block", "joined", "first", "end"])
+        made["over"] = made.joined.map(over).where(made["first"] == made.joined, 0)
+        return made.assign(chrom=pdf.chrom.iloc[0])[["chrom", "block", "joined", "first", "end", "over"]]
+
+    return rows.groupBy("chrom", "task").applyInPandas(run, "chrom string, block long, joined long, first long, end long, over long")
+
+
+def _joined(blocks: DataFrame, tiling: DataFrame) -> DataFrame:
+    """(chrom, block, snp_idx, phase) of the blocks after the overlaps go, as `de_overlap` makes them."""
+    bucket = lambda c: F.floor(c / _reads.BUCKET)
+    parts = tiling.select("chrom", "block", "joined", "first", "end", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("end") - 1))).alias("bucket"))
+    both = blocks.withColumn("bucket", bucket(F.col("snp_idx"))).join(parts, ["chrom", "block", "bucket"])
+    return both.filter("snp_idx >= first AND snp_idx < end").select("chrom", F.col("joined").alias("block"), "snp_idx", "phase")
+
+
 def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataFrame | None = None) -> DataFrame:
-    """Run the passes on every island of informative reads, once, and give what several stages leave.
+    """Run the passes on informative reads, once, and give what several stages leave.
 
     (stage, chrom, island, block, at, word, value): of "tips", "closed" (areas
     closed, not yet solved) and "bubbles" the edges, `at` being the rank and
     value the weight; of "hints" the doubtful variants and their kind; of "areas" the undecided areas, from variant `at` to `word`, and the ways through each (512 at most
     for an end); of "blocks" and "joined" the blocks, before and after the
     overlaps go, `at` being the variant and value the phase; of
-    "shares" a row for each island: variants in overlaps of blocks, in areas
+    "shares" rows whose sums are variants in overlaps of blocks, in areas
     that are not enumerated, and in blocks. sizes: (chrom, n_snp) where it isn't the last
     variant that a read reaches.
     """
@@ -440,56 +566,47 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
     sizes = sizes or _reads.variant_counts(reads)
     nodes, patched, pairs = _kmers.patched_graph(reads, k)
     weights = stored(_kmers.edge_trim(patched))
-    nodes = _kmers.isolated_node_reset(nodes, weights, k)
-    hint = _hints.hints(pairs, sizes)
-    long = lambda c: F.col(c).cast("long")
-    rows = (
-        reads.select("chrom", F.lit("call").alias("kind"), F.col("snp_idx").alias("at"), long("rid").alias("a"), long("snp_idx").alias("b"), long("allele").alias("c"))
-        .unionByName(nodes.select("chrom", F.lit("node").alias("kind"), F.col("s").alias("at"), long("s").alias("a"), long("w").alias("b"), long("cnt").alias("c")))
-        .unionByName(weights.select("chrom", F.lit("edge").alias("kind"), F.col("s").alias("at"), long("s").alias("a"), long("e").alias("b"), long("weight").alias("c")))
-        .unionByName(hint.select("chrom", F.lit("hint").alias("kind"), F.col("snp_idx").alias("at"), long("snp_idx").alias("a"), F.lit(0).cast("long").alias("b"), long("hint").alias("c")))
-    )
-    placed = rows.join(_reads.coverage_islands(reads).withColumnRenamed("snp_idx", "at"), ["chrom", "at"]).join(sizes, "chrom")
-    columns = ["stage", "chrom", "island", "block", "at", "word", "value"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chrom, first = pdf.chrom.iloc[0], int(pdf.island.iloc[0])
-        own = _island(pdf, k, int(pdf.n_snp.iloc[0]), first)
-        out: list[pd.DataFrame] = []
-
-        def edges(stage: str, weight: np.ndarray) -> None:
-            at = np.argwhere(weight > 0)
-            out.append(pd.DataFrame({"stage": stage, "chrom": chrom, "island": first, "block": -1, "at": at[:, 0] + first, "word": at[:, 1], "value": weight[at[:, 0], at[:, 1]]}))
-
-        own.remove_tips()
-        if "tips" in stages:
-            edges("tips", own.weight)
-        if set(stages) == {"tips"}:
-            return out[0]
-        own.solve_bubbles()
-        if "closed" in stages:
-            edges("closed", own.closed)
-        if "bubbles" in stages:
-            edges("bubbles", own.weight)
+    tips = stored(_tips(weights, sizes, k))
+    edges = stored(weights.join(tips.filter("kind = 'edge'").select("chrom", "s", "e"), ["chrom", "s", "e"], "left_anti"))
+    islands = _reads.coverage_islands(reads).withColumnRenamed("snp_idx", "at")
+    none = F.lit(-1).cast("long")
+    made = []
+
+    def add(stage: str, table: DataFrame, at: str, word=none, value=none, block=none) -> None:
+        made.append(table.select(F.lit(stage).alias("stage"), "chrom", block.alias("block"), _long(at).alias("at"), word.alias("word"), value.alias("value")))
+
+    if "tips" in stages:
+        add("tips", edges, "s", _long("e"), _long("weight"))
+    later = set(stages) - {"tips"}
+    if later:
+        solved = stored(_bubbles(reads, _kmers.isolated_node_reset(nodes, edges, k), edges, sizes, k))
+        if kept := later & {"closed", "bubbles", "areas"}:
+            made.append(solved.filter(F.col("stage").isin(*kept)).select("stage", "chrom", none.alias("block"), "at", "word", "value"))
         if "hints" in stages:
-            at = np.flatnonzero(own.hint)
-            out.append(pd.DataFrame({"stage": "hints", "chrom": chrom, "island": first, "block": -1, "at": at + first, "word": -1, "value": own.hint[at]}))
-        if "areas" in stages:
-            out.append(pd.DataFrame([("areas", chrom, first, n, left + first, right + first, ways) for n, (left, right, ways) in enumerate(own.areas)], columns=columns))
-        if not set(stages) & {"blocks", "joined", "shares"}:
-            return pd.concat(out)
-        found = own.blocks()
-        if "shares" in stages:
-            tangled = sum(right - left + 1 for left, right, ways in own.areas if not 0 < ways < MOST_PATHS)
-            over, size = overlaps(found)
-            out.append(pd.DataFrame([("shares", chrom, first, -1, over, tangled, size)], columns=columns))
+            # Tangles come after tips, and both after what the counts say.
+            every = _hints.hints(pairs, sizes).join(islands.select("chrom", F.col("at").alias("snp_idx")), ["chrom", "snp_idx"], "left_semi").select("chrom", "snp_idx", _long("hint").alias("hint"))
+            every = every.unionByName(tips.filter("kind = 'hint'").select("chrom", F.col("s").alias("snp_idx"), F.lit(TIP_HINT).cast("long").alias("hint")))
+            every = every.unionByName(solved.filter("stage = 'hints'").select("chrom", F.col("at").alias("snp_idx"), F.col("value").alias("hint")))
+            add("hints", every.groupBy("chrom", "snp_idx").agg(F.max("hint").alias("hint")), "snp_idx", value=F.col("hint"))
+    if later & {"blocks", "joined", "shares"}:
+        blocks = stored(_walks.haplotype_walks(solved.filter("stage = 'bubbles'").select("chrom", F.col("at").alias("s"), F.col("word").alias("e"), F.col("value").alias("weight")), k))
         if "blocks" in stages:
-            out.append(pd.DataFrame([("blocks", chrom, first, n, s + first + j, -1, p) for n, (s, phases) in enumerate(found) for j, p in enumerate(phases)], columns=columns))
+            add("blocks", blocks, "snp_idx", value=_long("phase"), block=F.col("block"))
+        if later & {"joined", "shares"}:
+            tiling = stored(_tiling(blocks))
         if "joined" in stages:
-            out.append(pd.DataFrame([("joined", chrom, first, s + first, s + first + j, -1, p) for s, phases in de_overlap(found) for j, p in enumerate(phases)], columns=columns))
-        return pd.concat(out)
-
-    return placed.groupBy("chrom", "island").applyInPandas(run, "stage string, chrom string, island long, block long, at long, word long, value long")
+            add("joined", _joined(blocks, tiling), "snp_idx", value=_long("phase"), block=F.col("block"))
+    columns = ["stage", "chrom", "island", "block", "at", "word", "value"]
+    out = [reduce(DataFrame.unionByName, made).join(islands, ["chrom", "at"]).select(columns)] if made else []
+    if "shares" in stages:
+        zero = F.lit(0).cast("long")
+        tangled = solved.filter((F.col("stage") == "areas") & ((F.col("value") <= 0) | (F.col("value") >= MOST_PATHS)))
+        each = tiling.select("chrom", F.col("over").alias("at"), zero.alias("word"), (F.col("end") - F.col("first")).alias("value"))
+        each = each.unionByName(tangled.select("chrom", zero.alias("at"), (F.col("word") - F.col("at") + 1).alias("word"), zero.alias("value")))
+        each = each.unionByName(_reads.variant_counts(reads).select("chrom", zero.alias("at"), zero.alias("word"), zero.alias("value")))
+        sums = each.groupBy("chrom").agg(*[F.sum(c).alias(c) for c in ("at", "word", "value")])
+        out.append(sums.select(F.lit("shares").alias("stage"), "chrom", none.alias("island"), none.alias("block"), "at", "word", "value"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def edges_of(solved: DataFrame, stage: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Haplotype blocks as walks through a graph in which every node has one way on at most.
+"""Haplotype blocks as walks through a graph in which every node has one way on that is taken.
 
 From one rank to the next the ways are a map of words, and maps can be put together: each
 bucket of ranks tells where every word that enters it comes out, a row for each
@@ -23,6 +23,8 @@ OUT = -1
 def _ways(k: int, ranks: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """For each rank of a bucket the word that each word leads to, OUT where it ends."""
     made = np.full((ranks, 1 << k), OUT, np.int64)
+    order = np.argsort(-e)  # of two that leave a node the lesser stays
+    s, e = s[order], e[order]
     made[s, e >> 1] = e & ((1 << k) - 1)
     return made
 
@@ -30,12 +32,12 @@ def _ways(k: int, ranks: int, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 def haplotype_walks(edges: DataFrame, k: int, ranks: int = RANKS) -> DataFrame:
     """(chrom, block, snp_idx, phase) of every walk from a node that nothing reaches, up to complement; block is s * 2**k + w of its first node (s, w).
 
-    edges: (chrom, s, e, weight), no node with two that leave it. Walks that meet go on together, and each has all of its variants.
+    edges: (chrom, s, e, weight). A walk begins where one edge leaves; of two it takes that with allele 0. Walks that meet go on together, and each has all of its variants.
     """
     live = edges.filter("weight > 0").select("chrom", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
     mask = (1 << k) - 1
     reached = live.select("chrom", (F.col("s") + 1).alias("s"), F.col("e").bitwiseAND(mask).alias("w"))
-    first = live.select("chrom", "s", F.shiftright("e", 1).alias("w")).filter(F.col("w") < 1 << (k - 1)).join(reached, ["chrom", "s", "w"], "left_anti").distinct()
+    first = live.select("chrom", "s", F.shiftright("e", 1).alias("w")).filter(F.col("w") < 1 << (k - 1)).groupBy("chrom", "s", "w").count().filter("count = 1").drop("count").join(reached, ["chrom", "s", "w"], "left_anti")
     bucket = F.floor(F.col("s") / ranks)
     none = F.lit(None).cast("long")
     rows = live.select("chrom", bucket.alias("bucket"), "s", "e", none.alias("block"), F.lit(False).alias("start")).unionByName(
