@@ -6,7 +6,7 @@ branching ranks without a wide gap, bubbles by runs of areas whose reads overlap
 and several runs near each other are one task. Blocks are walks over buckets of ranks, and
 only their bounds are needed to tell which of them join. Only the first and last rank of a
 chromosome behave unlike others, and the task knows where they are. Local correction takes the
-reads inside a block only, and so each block is a task of its own.
+reads inside a block only; it runs in pieces of variants that read past their ends.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bubbles as _areas
@@ -36,6 +37,8 @@ TIP_HINT, TANGLE_HINT = 2, 3
 BEHIND, AHEAD, APART = TIP_LONG + 2, TIP_LONG + 1, 11
 #: Runs that begin within so many ranks are one task.
 TASK = 1 << 12
+#: Variants that a task of local correction corrects, and how many more before them it reads at first than reads and windows need.
+PIECE, SLACK = 1 << 13, 1 << 10
 STAGES = ("tips", "closed", "bubbles", "areas", "blocks", "hints", "joined", "shares")
 
 
@@ -416,6 +419,55 @@ class Correction:
         self._apply(marks)
         return self.phase.tolist()
 
+    def part(self, open_left: bool, open_right: bool, longest: int) -> tuple[int, int]:
+        """Correct a stretch of a block that goes on where a side is open; no read has more than `longest` variants, SKIP at most.
+
+        Gives the first and the last variant that surely turn against the one
+        before them as in the whole block. Errors are the same for a read and its complement, so that
+        a change matters to the reads over it only. Changes that keep a distance from one another hang on the first of them: all
+        first ones that may be are followed until they meet.
+        """
+        n = len(self.phase)
+        sure, until = int(open_left), n - 1
+        none = np.zeros(n, bool)
+
+        def chosen(gains: np.ndarray, apart: int) -> tuple[np.ndarray, int, int]:
+            low = sure + longest if open_left else 0
+            high = until - longest - WINDOW if open_right else n - 1
+            at = np.flatnonzero(gains)
+            at = at[(at >= low) & (at <= high)]
+            after = np.searchsorted(at, at + apart)
+            ways = set(np.searchsorted(at, low + np.arange(apart)).tolist()) if open_left else {0}
+            met = low
+            if len(ways) > 1:
+                while len(ways) > 1:
+                    first = min(ways)
+                    ways = ways - {first} | {int(after[first])}
+                met = int(at[min(ways)]) if min(ways) < len(at) else high + 1
+            j, picked = min(ways), []
+            while j < len(at):
+                picked.append(int(at[j]))
+                j = int(after[j])
+            return np.array(picked, np.int64), met, high
+
+        for pattern in PATTERNS:
+            picked, met, high = chosen(self._pattern_gains(pattern) & self.doubtful if len(self.size) else none, WINDOW)
+            marks = np.zeros(n, np.int64)
+            for j in range(WINDOW):
+                marks[picked + j] = pattern >> j & 1
+            self._apply(marks)
+            sure, until = met + WINDOW - 1 if open_left else 0, high
+        picked, met, high = chosen(self._flip_gains() if len(self.size) else none, SKIP + 1)
+        self.phase[picked] ^= 1
+        sure, until = met + 1 if open_left else 0, high
+        gains = self._switch_gains() if len(self.size) else none
+        gains[n - 1] = False
+        picked, met, high = chosen(gains, SKIP + 1)
+        marks = np.zeros(n, np.int64)
+        marks[picked + 1] = 1
+        self._apply(marks)
+        return met + 1 if open_left else 0, high
+
 
 def _island(rows: pd.DataFrame, k: int, n_snp: int, first: int, last: int | None = None) -> Island:
     kinds = {kind: part for kind, part in rows.groupby("kind")}
@@ -633,32 +685,84 @@ def shares_of(solved: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def correct_blocks(reads: DataFrame, blocks: DataFrame, hints: DataFrame) -> DataFrame:
-    """Blocks (chrom, island, block, snp_idx, phase) after local correction, each block in a task.
+    """Blocks (chrom, island, block, snp_idx, phase) after local correction, in pieces of variants.
 
-    hints: (chrom, snp_idx) of the doubtful variants. A read that lies inside two blocks counts in both.
+    hints: (chrom, snp_idx) of the doubtful variants. A read that lies inside two blocks counts in both. A piece
+    reads more variants on either side than it corrects; where its result might still hang on what it
+    hasn't read, all are done again with more. With reads of more than SKIP variants each block is one piece.
     """
-    ends = blocks.groupBy("chrom", "island", "block").agg(F.max("snp_idx").alias("end"))
-    here = blocks.select("chrom", "island", "block", F.col("snp_idx").alias("first")).join(ends, ["chrom", "island", "block"])
-    inside = _reads.read_spans(reads).join(here, ["chrom", "first"]).filter("last <= end").select("chrom", "island", "block", "rid")
-    long = lambda c: F.col(c).cast("long")
+    key = ["chrom", "island", "block"]
+    ends = stored(blocks.groupBy(*key).agg(F.min("snp_idx").alias("begin"), F.max("snp_idx").alias("end")))
+    here = blocks.select(*key, F.col("snp_idx").alias("first")).join(ends, key)
+    inside = stored(_reads.read_spans(reads).join(here, ["chrom", "first"]).filter("last <= end").select(*key, "rid", "first", "last", "begin", "end"))
+    longest = inside.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 0
     doubtful = hints.select("chrom", "snp_idx", F.lit(True).alias("doubtful")).distinct()
-    rows = blocks.join(doubtful, ["chrom", "snp_idx"], "left").select("chrom", "island", "block", F.lit(-1).cast("long").alias("rid"), long("snp_idx").alias("snp_idx"), long("phase").alias("value"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"), F.lit(False).alias("call"))
-    rows = rows.unionByName(reads.join(inside, ["chrom", "rid"]).select("chrom", "island", "block", long("rid").alias("rid"), long("snp_idx").alias("snp_idx"), long("allele").alias("value"), F.lit(False).alias("doubtful"), F.lit(True).alias("call")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, calls = pdf[~pdf.call].sort_values("snp_idx"), pdf[pdf.call].sort_values(["rid", "snp_idx"])
-        first, snps, alleles = int(own.snp_idx.iloc[0]), calls.snp_idx.to_numpy(), calls.value.to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(calls.rid.to_numpy())) + 1).tolist(), len(calls)]
+    own = blocks.join(doubtful, ["chrom", "snp_idx"], "left").join(ends, key)
+    behind, size = (len(PATTERNS) + 2) * (longest + WINDOW), PIECE
+    before = behind + SLACK
+    while True:
+        made = stored(_corrected(reads, own, inside, size if longest <= SKIP else None, before, behind, longest))
+        if made.filter("NOT sure").isEmpty():
+            break
+        before, behind, size = 4 * before, 4 * behind, 4 * size
+    # A piece tells its phases as if all pieces before it had left the last variant's phase as it was.
+    turns = made.groupBy(*key, "piece").agg(F.max("turned").alias("turned"))
+    earlier = W.partitionBy(*key).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    turns = turns.select(*key, "piece", (F.coalesce(F.sum("turned").over(earlier), F.lit(0)) % 2).cast("int").alias("before"))
+    return made.join(turns, [*key, "piece"]).select(*key, "snp_idx", F.col("phase").bitwiseXOR(F.col("before")).alias("phase"))
+
+
+def _corrected(reads: DataFrame, own: DataFrame, inside: DataFrame, size: int | None, before: int, behind: int, longest: int) -> DataFrame:
+    """(chrom, island, block, piece, snp_idx, phase, turned, sure) of pieces of `size` variants, with so many before and behind them; whole blocks without a size."""
+    key = ["chrom", "island", "block"]
+
+    def pieces(first: str, last: str):
+        """The pieces that read all from a variant to another one of a block."""
+        if size is None:
+            return F.array(F.floor(F.col("begin") * 0))
+        low = F.greatest(F.floor((F.col(last) - behind) / size), F.floor(F.col("begin") / size))
+        high = F.least(F.floor((F.col(first) + before) / size), F.floor(F.col("end") / size))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+    null = F.lit(None).cast("long")
+    calls = reads.join(inside.select(*key, "rid", F.explode(pieces("first", "last")).alias("piece")), ["chrom", "rid"])
+    rows = own.select(*key, F.explode(pieces("snp_idx", "snp_idx")).alias("piece"), null.alias("rid"), _long("snp_idx").alias("snp_idx"), _long("phase").alias("value"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"), _long("begin").alias("begin"), _long("end").alias("end"))
+    rows = rows.unionByName(calls.select(*key, "piece", _long("rid").alias("rid"), _long("snp_idx").alias("snp_idx"), _long("allele").alias("value"), F.lit(False).alias("doubtful"), null.alias("begin"), null.alias("end")))
+
+    def block(mine: pd.DataFrame, calls: pd.DataFrame, piece: int) -> pd.DataFrame:
+        mine, calls = mine.sort_values("snp_idx"), calls.sort_values(["rid", "snp_idx"])
+        snps, alleles, variants = calls.snp_idx.to_numpy(), calls.value.to_numpy(), mine.snp_idx.to_numpy()
+        first, begin, end = int(variants[0]), int(mine.begin.iloc[0]), int(mine.end.iloc[0])
+        edges = [0, *(np.flatnonzero(np.diff(calls.rid.to_numpy())) + 1).tolist(), len(calls)] if len(calls) else []
         found = []
         for a, b in zip(edges, edges[1:]):
-            if b > a:
-                row = np.full(snps[b - 1] - snps[a] + 1, -1, np.int64)
-                row[snps[a:b] - snps[a]] = alleles[a:b]
-                found.append((int(snps[a]), row))
-        made = Correction(first, own.value.tolist(), own.doubtful.to_numpy(bool), found).run()
-        return own[["chrom", "island", "block", "snp_idx"]].assign(phase=made)
-
-    return rows.groupBy("chrom", "island", "block").applyInPandas(run, "chrom string, island long, block long, snp_idx long, phase int")
+            row = np.full(snps[b - 1] - snps[a] + 1, -1, np.int64)
+            row[snps[a:b] - snps[a]] = alleles[a:b]
+            found.append((int(snps[a]), row))
+        was = mine.value.to_numpy()
+        made = Correction(first, was.tolist(), mine.doubtful.to_numpy(bool), found)
+        if size is None:
+            return mine[key + ["snp_idx"]].assign(phase=made.run(), turned=0, sure=True)
+        open_left, open_right = first > begin, int(variants[-1]) < end
+        low, high = made.part(open_left, open_right, longest)
+        held = np.flatnonzero(variants // size == piece)
+        a, b = int(held[0]), int(held[-1])
+        change = made.phase ^ was
+        last = int(change[a - 1]) if a else 0
+        sure = (not open_left or low <= a) and (not open_right or high >= b)
+        return mine[key + ["snp_idx"]].iloc[held].assign(phase=made.phase[held] ^ last, turned=int(change[b]) ^ last, sure=sure)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        piece = int(pdf.piece.iloc[0])
+        none, of = pdf[:0], {}
+        calls = pdf.rid.notna()
+        for name, g in pdf[calls].groupby("block"):
+            of[name] = g
+        made = [block(g, of.get(name, none), piece) for name, g in pdf[~calls].groupby("block")]
+        return pd.concat(made).assign(piece=piece) if made else pd.DataFrame(columns=[*key, "snp_idx", "phase", "turned", "sure", "piece"])
+
+    task = ["chrom", "island", "piece"] if size else [*key, "piece"]
+    return rows.groupBy(*task).applyInPandas(run, "chrom string, island long, block long, snp_idx long, phase int, turned int, sure boolean, piece long")
 
 
 def corrected_of(solved: DataFrame, reads: DataFrame) -> DataFrame:

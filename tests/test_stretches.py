@@ -1,5 +1,8 @@
 """Tips, bubbles and corrections in tasks of a few variants each: the results of whole chromosomes, and no task with all of an island."""
 
+import random
+
+import numpy as np
 import plain_phasing
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +44,32 @@ def test_areas_far_apart_share_no_task(spark, monkeypatch):
     assert len(found) == 1 and 20 in found[0] and 200 in found[0] and 100 not in found[0]
     monkeypatch.setattr(solver, "TASK", 8)
     assert {r.task for r in solver._tasks(reads.runs(bounds)).collect()} == {r.island // 8 for r in reads.runs(bounds).collect()}
+
+
+def test_correction_in_pieces_equals_whole_blocks(spark, monkeypatch):
+    """Pieces of a few variants that at first read too little beside them, and blocks that overlap; reads of more than 64 variants take whole blocks."""
+    rng = random.Random(17)
+    rows, truth = matrix(61, n=1500, depth=9, errors=0.1, size=6)
+    hint = [rng.random() < 0.7 for _ in truth]
+    blocks = [(first, [int(t ^ (rng.random() < 0.12)) for t in truth[first:last]]) for first, last in ((0, 900), (880, 1500), (20, 31))]
+    table = spark.createDataFrame([("c", 0, first, first + j, p) for first, b in blocks for j, p in enumerate(b)], "chrom string, island long, block long, snp_idx long, phase int")
+    doubtful = spark.createDataFrame([("c", s) for s, h in enumerate(hint) if h], "chrom string, snp_idx long")
+    monkeypatch.setattr(solver, "PIECE", 100)
+    monkeypatch.setattr(solver, "SLACK", -150)
+    largest, tried = solver._corrected, []
+    monkeypatch.setattr(solver, "_corrected", lambda *given: tried.append(given[3]) or largest(*given))
+    for extra in ([], [("c", 10**6, s, truth[s]) for s in range(400, 480)]):
+        given = per_read(rows + extra)
+        chosen = []
+        for read in given:
+            row = [-1] * (read[-1][0] - read[0][0] + 1)
+            for s, a in read:
+                row[s - read[0][0]] = a
+            chosen.append((read[0][0], np.array(row)))
+        got = {}
+        for r in solver.correct_blocks(frame(spark, rows + extra), table, doubtful).orderBy("snp_idx").collect():
+            got.setdefault(r.block, []).append(r.phase)
+        for first, b in blocks:
+            inside = [(s, r) for s, r in chosen if s >= first and s + len(r) <= first + len(b)]
+            assert got[first] == solver.Correction(first, list(b), np.array(hint[first : first + len(b)]), inside).run()
+    assert tried[0] == 100 and len(tried) > 2 and tried[-1] is None
