@@ -383,8 +383,10 @@ def _register_linear(k: int) -> None:
     _query(name="topology_graph" + tail)(lambda spark, sf_dir: solved(spark, sf_dir)[1])
 
     def errors(spark, sf_dir):
-        own, _, found = solved(spark, sf_dir)
-        return linear.default_errors(found, own, solver.solve(own, k, "blocks"))
+        own = stored(_reads(spark, sf_dir))
+        both = stored(solver.solve_stages(own, k, ("tips", "blocks")))
+        _, found = linear.topology_bubbles(own, solver.edges_of(both, "tips"), k)
+        return linear.default_errors(found, own, solver.blocks_of(both, "blocks"))
 
     _query(name="topology_errors" + tail)(errors)
 

@@ -186,11 +186,13 @@ def topology_bubbles(reads: DataFrame, edges: DataFrame, k: int) -> tuple[DataFr
         kinds = {kind: part for kind, part in pdf.groupby("kind")}
         pick = lambda kind, value: {(a, b): v for a, b, v in kinds[kind][["a", "b", value]].itertuples(index=False)} if kind in kinds else {}
         own = []
-        for _, g in kinds["call"].sort_values(["a", "b"]).groupby("a") if "call" in kinds else ():
-            at = g.b.to_numpy()
-            row = np.full(at[-1] - at[0] + 1, -1, np.int64)
-            row[at - at[0]] = g.c.to_numpy()
-            own.append((int(at[0]), row))
+        call = kinds["call"].sort_values(["a", "b"]) if "call" in kinds else pdf[:0]
+        snps, alleles = call.b.to_numpy(), call.c.to_numpy(np.int64)
+        ends = [0, *(np.flatnonzero(np.diff(call.a.to_numpy())) + 1).tolist(), len(call)] if len(call) else []
+        for a, b in zip(ends, ends[1:]):
+            row = np.full(snps[b - 1] - snps[a] + 1, -1, np.int64)
+            row[snps[a:b] - snps[a]] = alleles[a:b]
+            own.append((int(snps[a]), row))
         cluster = _Cluster(k, {key: int(v) for key, v in pick("edge", "c").items()}, pick("back", "path"), pick("forward", "path"), own)
         out = []
         for a, b in sorted(zip(kinds["start"].a.tolist(), kinds["start"].b.tolist())):

@@ -5,7 +5,9 @@ import pytest
 from test_plain_model import per_read
 from test_solver import frame, matrix
 
-from strandloom.operators import linear, reads, solver
+from strandloom import catalog
+from strandloom.operators import kmers, linear, reads, solver
+from strandloom.plans import derived
 
 
 @pytest.mark.parametrize("k", [2, 3, 4, 5])
@@ -48,3 +50,15 @@ def test_flanks_by_walking(spark):
     assert got == {x: p for x, p in want.items() if p} and max(map(len, got.values())) == 64
     after, found = linear.topology_bubbles(own, edges.filter("false"), 2)
     assert after.count() == 0 and found.count() == 0
+
+
+def test_errors_solve_the_graph_once(spark, monkeypatch):
+    """The bubbles and the blocks that they are held against come from one run of the passes."""
+    sf = "/root/testdata/sf0.001"
+    own = reads.informative_reads(derived.alleles(spark, sf)).cache()
+    _, found = linear.topology_bubbles(own, solver.solve(own, 2, "tips"), 2)
+    want = sorted(map(tuple, linear.default_errors(found, own, solver.solve(own, 2, "blocks")).collect()))
+    made, graph = [], kmers.patched_graph
+    monkeypatch.setattr(kmers, "patched_graph", lambda *given: made.append(1) or graph(*given))
+    assert sorted(map(tuple, catalog.QUERIES["topology_errors"](spark, sf).collect())) == want and want
+    assert len(made) == 1
