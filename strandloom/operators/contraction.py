@@ -46,35 +46,42 @@ class MaxHeap:
     def __len__(self) -> int:
         return len(self.items)
 
-    def _before(self, i: int, j: int) -> bool:
-        a, b = self.items[i], self.items[j]
-        return (self.key[a], -a) > (self.key[b], -b)
-
-    def _swap(self, i: int, j: int) -> None:
-        self.items[i], self.items[j] = self.items[j], self.items[i]
-        self.place[self.items[i]], self.place[self.items[j]] = i, j
-
     def _up(self, i: int) -> int:
-        while i and self._before(i, (i - 1) // 2):
-            self._swap(i, (i - 1) // 2)
+        items, key, place = self.items, self.key, self.place
+        item = items[i]
+        own = (key[item], -item)
+        while i:
+            above = items[(i - 1) // 2]
+            if own < (key[above], -above):
+                break
+            items[i], place[above] = above, i
             i = (i - 1) // 2
+        items[i], place[item] = item, i
         return i
 
     def _down(self, i: int) -> None:
-        while (child := 2 * i + 1) < len(self.items):
-            if child + 1 < len(self.items) and self._before(child + 1, child):
-                child += 1
-            if not self._before(child, i):
-                return
-            self._swap(i, child)
+        items, key, place = self.items, self.key, self.place
+        item, size = items[i], len(items)
+        own = (key[item], -item)
+        while (child := 2 * i + 1) < size:
+            below = items[child]
+            best = (key[below], -below)
+            if child + 1 < size:
+                right = items[child + 1]
+                if (key[right], -right) > best:
+                    child, below, best = child + 1, right, (key[right], -right)
+            if best < own:
+                break
+            items[i], place[below] = below, i
             i = child
+        items[i], place[item] = item, i
 
     def pop(self) -> int:
         top = self.items[0]
-        self._swap(0, len(self.items) - 1)
-        self.items.pop()
+        last = self.items.pop()
         del self.place[top], self.key[top]
         if self.items:
+            self.items[0], self.place[last] = last, 0
             self._down(0)
         return top
 
@@ -102,6 +109,8 @@ class Calls:
         depth = np.arange(self.size.max(initial=0) + 2) * (np.log10(1 - p) - np.log10(p)) / 2
         self.level = depth + np.log10(1 + 10 ** (-2 * depth))
         self.odds = np.log10((p * p + (1 - p) * (1 - p)) / (2 * p * (1 - p)))
+        # A variant has a few calls only: plain lists are faster than arrays of so few items.
+        self.lists = [x.tolist() for x in (self.sign, self.of, self.variant, self.size, self.start, self.by_variant, self.bounds, self.level)]
 
     def edges(self) -> list[tuple[int, int, float]]:
         """(u, v, weight) of neighbours within fragments, both ways, by u and v."""
@@ -114,32 +123,37 @@ class Calls:
 
     def grow(self, s: int, t: int | None, draws: Draws) -> tuple[float, np.ndarray] | None:
         """The gain in log10 likelihood of the cut from the given variants, and each variant's shore; None if one shore stays empty."""
-        shore, score = np.full(self.n, NONE), np.zeros(self.n)
-        held = np.zeros(len(self.size), np.int64)
+        sign, of, variant, size, start, by_variant, bounds, level = self.lists
+        shore, score, held = [NONE] * self.n, [0.0] * self.n, [0] * len(size)
         heap: MaxHeap | None = None
 
+        def key(j: int) -> int:
+            """In units of the ninth decimal."""
+            return abs(round(score[j] * 1e9))
+
         def join(i: int, to: int) -> None:
-            shore[i] = to
-            calls = self.by_variant[self.bounds[i] : self.bounds[i + 1]]
-            r = self.of[calls]
-            before, after = held[r], held[r] + to * self.sign[calls]
-            held[r] = after
-            step = self.level[abs(after + 1)] - self.level[abs(after - 1)] - self.level[abs(before + 1)] + self.level[abs(before - 1)]
-            n = self.size[r]
-            reach = np.repeat(self.start[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            np.add.at(score, self.variant[reach], self.sign[reach] * np.repeat(step, n))
+            shore[i], touched = to, set()
+            for c in by_variant[bounds[i] : bounds[i + 1]]:
+                r = of[c]
+                before = held[r]
+                after = held[r] = before + to * sign[c]
+                step = level[abs(after + 1)] - level[abs(after - 1)] - level[abs(before + 1)] + level[abs(before - 1)]
+                for other in range(start[r], start[r] + size[r]):
+                    j = variant[other]
+                    score[j] += sign[other] * step
+                    touched.add(j)
             if heap is not None:
-                for j in np.unique(self.variant[reach]).tolist():
-                    if shore[j] == NONE and j in heap.place:
-                        heap.update(j, abs(round(score[j], 9)))
+                for j in touched:
+                    if shore[j] == NONE and heap.key[j] != key(j):
+                        heap.update(j, key(j))
 
         join(s, S)
         if t is not None:
             join(t, T)
-        heap = MaxHeap({j: abs(round(float(score[j]), 9)) for j in range(self.n) if shore[j] == NONE})
+        heap = MaxHeap({j: key(j) for j in range(self.n) if shore[j] == NONE})
         while len(heap):
             i = heap.pop()
-            pull = round(float(score[i]), 9)
+            pull = round(score[i], 9)
             if pull > 0:
                 to = S
             elif pull < 0 or t is None:
@@ -152,7 +166,7 @@ class Calls:
         if t is None:
             return None
         whole = np.bincount(self.of, self.sign, len(self.size)).astype(np.int64)
-        return float((self.level[abs(held)] - self.level[abs(whole)]).sum()), shore
+        return float((self.level[abs(np.array(held))] - self.level[abs(whole)]).sum()), np.array(shore)
 
 
 def contraction_cut(phase: np.ndarray, of: np.ndarray, variant: np.ndarray, allele: np.ndarray) -> tuple[float, np.ndarray]:

@@ -133,6 +133,25 @@ def test_cuts_never_lower_the_likelihood():
         assert likelihood(better, of, variant, allele) >= likelihood(phase, of, variant, allele) - 1e-9
 
 
+def arrays_made(monkeypatch, run):
+    """How often something is done with numpy.repeat, as a mark of array work that costs the same for one item as for a hundred."""
+    made, repeat = [], np.repeat
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "repeat", lambda *given, **named: made.append(1) or repeat(*given, **named))
+        run()
+    return len(made)
+
+
+@pytest.mark.parametrize("which", ["improve_by_cuts", "contraction_cut"])
+def test_a_cut_makes_no_arrays_for_each_variant(monkeypatch, which):
+    of, variant, allele = calls_of(3)
+    of, variant, allele = (np.concatenate([x + j * step for j in range(40)]) for x, step in ((of, of.max() + 1), (variant, 9), (allele, 0)))
+    phase = np.array([s * 7 % 3 % 2 for s in range(variant.max() + 1)])
+    better = cut.improve_by_cuts if which == "improve_by_cuts" else lambda *given: contraction.contraction_cut(*given)[1]
+    assert arrays_made(monkeypatch, lambda: better(phase, of, variant, allele)) < 20
+    assert likelihood(better(phase, of, variant, allele), of, variant, allele) >= likelihood(phase, of, variant, allele) - 1e-9
+
+
 def test_paths_that_reads_leave(spark):
     paths = spark.createDataFrame([("c", "p", s, s % 2) for s in range(4)], "chrom string, path string, snp_idx long, bit int")
     inside = [("c", 1, 0, 0), ("c", 1, 1, 0), ("c", 2, 2, 1), ("c", 2, 3, -1)]
