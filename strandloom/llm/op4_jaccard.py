@@ -43,6 +43,8 @@ RANGE = 2 << 20
 SAMPLE, HOT = 64, 1 << 15
 #: Signatures that a task remembers, so as to send the shingles of copies once.
 SEEN = 1 << 17
+#: Shingles of more postings than that carry parities of their classes' sets, of 4 bits a shingle or so, at least and at most these.
+CROWD, BITS = 32, (1 << 8, 1 << 12)
 
 
 def sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,9 +237,33 @@ def _shared(sent: DataFrame, classes: _Classes) -> DataFrame:
     return sent.repartition(classes.tasks, "part").groupBy("part").applyInArrow(count, schema)
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """How many of the tokens fall on each bit, modulo 2. Common ones cancel out: two sets differ in as many tokens as in bits, at least."""
+    bits = min(max(BITS[0], 1 << int(4 * len(tokens) - 1).bit_length()), BITS[1])
+    at = (mix(tokens.view(np.uint64) + np.uint64(0x33)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) % 2 == 1).tobytes()
+
+
+def differing(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the parities of sets x and y differ; the longer ones are folded. None told where there are none."""
+    out = np.zeros(len(x), np.int64)
+    width = np.array([len(b) if b is not None else 0 for b in bits], np.int64)
+    both = np.minimum(width[x], width[y])
+    for w in np.unique(both[both > 0]).tolist():
+        rows = np.flatnonzero(width >= w)
+        place = np.zeros(len(bits), np.int64)
+        place[rows] = np.arange(len(rows))
+        table = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, w // 8), axis=0) for b in bits[rows]])
+        those, step = np.flatnonzero(both == w), max(1, (1 << 22) // w)
+        for a in range(0, len(those), step):
+            k = those[a : a + step]
+            out[k] = np.bitwise_count(table[place[x[k]]] ^ table[place[y[k]]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _entries(shared: DataFrame, classes: _Classes, percent: int) -> DataFrame:
-    """Classes that can reach the threshold with any other: size n, shared shingles from rare to frequent, and how many of their own (alone) come before."""
-    schema = "sig long, n long, alone long, tokens array<long>"
+    """Classes that can reach the threshold with any other: size n, shared shingles from rare to frequent, how many of their own (alone) come before, and the shared ones' parities."""
+    schema = "sig long, n long, alone long, tokens array<long>, bits binary"
 
     def gather(table: pa.Table) -> pa.Table:
         sig, size, held = _bytes(table, "sigs", np.int64), _bytes(table, "sizes", np.uint32), _bytes(table, "counts", np.uint32)
@@ -251,7 +277,7 @@ def _entries(shared: DataFrame, classes: _Classes, percent: int) -> DataFrame:
         n = np.array([sizes[s] for s in owner[first].tolist()], np.int64)
         can = count >= least_overlap(n, percent)
         tokens = [token[a : a + c] for a, c in zip(first[can], count[can])]
-        return pa.table([pa.array(owner[first[can]]), pa.array(n[can]), pa.array((n - count)[can]), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "alone", "tokens"])
+        return pa.table([pa.array(owner[first[can]]), pa.array(n[can]), pa.array((n - count)[can]), pa.array(tokens, pa.list_(pa.int64())), pa.array([parities(x) for x in tokens], pa.binary())], names=["sig", "n", "alone", "tokens", "bits"])
 
     return shared.repartition(classes.tasks, "bucket").groupBy("bucket").applyInArrow(gather, schema)
 
@@ -352,15 +378,19 @@ class _Pairs:
             length = g["length"]
             for rows, mask in self.masks(g):
                 x, y = np.nonzero(mask)
+                x = x + rows.start
+                if len(x) and "bits" in g:
+                    # Shared shingles are half of what both sets hold and don't differ in.
+                    may = 2 * overlap(g["n"][x], g["n"][y], self.percent) + differing(g["bits"], x, y) <= g["shared"][x] + g["shared"][y]
+                    x, y = x[may], y[may]
                 if len(x):
-                    x = x + rows.start
                     s, t = g["sig"][x], g["sig"][y]
                     need = np.minimum(np.minimum(length[x], length[y]), overlap(g["n"][x], g["n"][y], self.percent))
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(need)], names=["a", "b", "need"])
 
 
 def _lengthened(entries: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """(token, sig, label, n, length, pos): every class's prefix for the lengthening that costs it least, without shingles that one component alone has.
+    """(token, sig, label, n, length, pos, shared, bits): every class's prefix for the lengthening that costs it least, without shingles that one component alone has.
 
     A prefix's cost is estimated from how many classes of other components have
     its shingles in theirs, all taken as of the same size: that many postings are
@@ -379,7 +409,8 @@ def _lengthened(entries: DataFrame, labels: DataFrame | None, percent: int) -> D
     cost = lambda k: F.sum(F.when(F.col("near") <= k, F.col(f"o{k}")).otherwise(0)) * (1 + VERIFY / k)
     cheapest = F.array_min(F.array(*[F.struct(cost(k).alias("cost"), F.lit(k).cast("long").alias("length")) for k in LENGTHS]))["length"]
     chosen = across.join(across.groupBy("sig").agg(cheapest.alias("length")), "sig").filter(F.col("from") <= F.col("length"))
-    return chosen.select("token", "sig", "label", "n", "length", "pos")
+    more = entries.select("sig", F.size("tokens").cast("long").alias("shared"), "bits")
+    return chosen.join(more, "sig").select("token", "sig", "label", "n", "length", "pos", "shared", "bits")
 
 
 def _cells(postings: DataFrame, percent: int) -> DataFrame:
@@ -388,20 +419,21 @@ def _cells(postings: DataFrame, percent: int) -> DataFrame:
     A shingle of up to BLOCK classes is one cell. More of them are dealt out by
     bands of their size, since only neighbouring bands can reach the threshold,
     and each band's in blocks: every two blocks of such bands meet in one cell.
+    Only crowded shingles keep the parities: elsewhere a posting meets few others.
     """
     # A little wider than the threshold, so that rounding can't put classes that reach it two bands apart.
     marked = written(postings.withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent * 1.001)).cast("int")))
     sizes = marked.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
     blocks = F.struct("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     several = sizes.groupBy("token").agg(F.sum("size").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list(blocks).alias("bands")).filter("size > 1 AND least <> most")
-    bands = written(several.select("token", F.when(F.col("size") > BLOCK, F.map_from_entries("bands")).alias("bands")))
-    rows = marked.join(bands, "token")
+    bands = written(several.select("token", F.when(F.col("size") > BLOCK, F.map_from_entries("bands")).alias("bands"), (F.col("size") > CROWD).alias("crowded")))
+    rows = marked.join(bands, "token").withColumn("bits", F.when(F.col("crowded"), F.col("bits")))
     code = lambda band, block: band.cast("long") * (1 << 32) + block
     home = F.when(F.col("bands").isNull(), F.lit(0).cast("long")).otherwise(code(F.col("band"), F.pmod(F.xxhash64("sig"), F.element_at("bands", F.col("band")))))
     others = F.flatten(F.transform(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce(F.try_element_at("bands", b), F.lit(0)), F.lit(1))), lambda j: F.when(F.try_element_at("bands", b).isNotNull(), code(b, j - 1)))))
     met = F.when(F.col("bands").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_compact(others))
     rows = rows.withColumn("block", home).withColumn("met", F.explode(met))
-    return rows.select("token", "sig", "label", "n", "length", "pos", "block", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("other"))
+    return rows.select("token", "sig", "label", "n", "length", "pos", "block", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("other"), "shared", "bits")
 
 
 def _search(entries: DataFrame, labels: DataFrame | None, percent: int, tasks: int) -> DataFrame:

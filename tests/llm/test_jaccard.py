@@ -143,3 +143,35 @@ def test_links_are_all_pairs(spark, n, percent):
             want = 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
             assert want == (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in set(found))
     assert found
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(-(1 << 62), 1 << 62, 9000)
+    kept = [rng.choice(pool, n, False) for n in (1, 3, 60, 64, 65, 500, 4000)]
+    kept += [np.concatenate([s[: len(s) * 3 // 4], rng.integers(-(1 << 62), 1 << 62, max(1, len(s) // 5))]) for s in kept]
+    bits = np.array([*map(jaccard.parities, kept), None], object)
+    x, y = map(np.ravel, np.indices((len(bits), len(bits))))
+    told = jaccard.differing(bits, x, y)
+    for a, b, d in zip(x.tolist(), y.tolist(), told.tolist()):
+        assert d <= (len(np.setxor1d(kept[a], kept[b])) if max(a, b) < len(kept) else 0)
+    assert told[(x == 5) & (y == 12)][0] > 200 and not jaccard.differing(bits, x[:0], y[:0]).size
+
+
+def test_crowds_that_link_with_nothing_make_few_candidates(spark):
+    """Copies of one text that most pairs of differ a little too much in, by the parities as without them."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(150):
+        own = [f"c{j}" for j in range(120)]
+        for j in rng.sample(range(120), 6):
+            own[j] = f"x{k}x{j}"
+        rows.append((k, " ".join(own)))
+    _, entries = jaccard._compared(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5, 55, 64)
+    cells = jaccard._cells(jaccard._lengthened(entries, None, 55), 55)
+    dealt = jaccard.written(cells.repartition(4, "token", "one", "other").sortWithinPartitions("token", "one", "other"))
+    found = lambda df: df.coalesce(1).sortWithinPartitions("token", "one", "other").mapInArrow(jaccard._Pairs(55).pairs, "a long, b long, need long")
+    made, whole = found(dealt), found(dealt.drop("shared", "bits"))
+    linked = [{(r.a, r.b) for r in jaccard._verified(df.select("a", "b").distinct(), entries, 55).collect()} for df in (made, whole)]
+    assert linked[0] == linked[1] and len(linked[0]) > 5
+    assert 4 * made.count() < whole.count()
