@@ -688,8 +688,8 @@ def correct_blocks(reads: DataFrame, blocks: DataFrame, hints: DataFrame) -> Dat
     """Blocks (chrom, island, block, snp_idx, phase) after local correction, in pieces of variants.
 
     hints: (chrom, snp_idx) of the doubtful variants. A read that lies inside two blocks counts in both. A piece
-    reads more variants on either side than it corrects; where its result might still hang on what it
-    hasn't read, all are done again with more. With reads of more than SKIP variants each block is one piece.
+    reads more variants on either side than it corrects; those whose result might still hang on what they
+    haven't read are done again with more, the others stay. With reads of more than SKIP variants each block is one piece.
     """
     key = ["chrom", "island", "block"]
     ends = stored(blocks.groupBy(*key).agg(F.min("snp_idx").alias("begin"), F.max("snp_idx").alias("end")))
@@ -698,13 +698,17 @@ def correct_blocks(reads: DataFrame, blocks: DataFrame, hints: DataFrame) -> Dat
     longest = inside.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 0
     doubtful = hints.select("chrom", "snp_idx", F.lit(True).alias("doubtful")).distinct()
     own = blocks.join(doubtful, ["chrom", "snp_idx"], "left").join(ends, key)
-    behind, size = (len(PATTERNS) + 2) * (longest + WINDOW), PIECE
+    behind, size = (len(PATTERNS) + 2) * (longest + WINDOW), PIECE if longest <= SKIP else None
     before = behind + SLACK
+    done, again = [], None
     while True:
-        made = stored(_corrected(reads, own, inside, size if longest <= SKIP else None, before, behind, longest))
-        if made.filter("NOT sure").isEmpty():
+        tried = stored(_corrected(reads, own, inside, size, before, behind, longest, again))
+        done.append(tried.filter("sure"))
+        again = tried.filter("NOT sure").select(*key, "piece").distinct()
+        if again.isEmpty():
             break
-        before, behind, size = 4 * before, 4 * behind, 4 * size
+        before, behind = 4 * before, 4 * behind
+    made = reduce(DataFrame.unionByName, done)
     # A piece tells its phases as if all pieces before it had left the last variant's phase as it was.
     turns = made.groupBy(*key, "piece").agg(F.max("turned").alias("turned"))
     earlier = W.partitionBy(*key).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
@@ -712,9 +716,13 @@ def correct_blocks(reads: DataFrame, blocks: DataFrame, hints: DataFrame) -> Dat
     return made.join(turns, [*key, "piece"]).select(*key, "snp_idx", F.col("phase").bitwiseXOR(F.col("before")).alias("phase"))
 
 
-def _corrected(reads: DataFrame, own: DataFrame, inside: DataFrame, size: int | None, before: int, behind: int, longest: int) -> DataFrame:
-    """(chrom, island, block, piece, snp_idx, phase, turned, sure) of pieces of `size` variants, with so many before and behind them; whole blocks without a size."""
+def _corrected(reads: DataFrame, own: DataFrame, inside: DataFrame, size: int | None, before: int, behind: int, longest: int, only: DataFrame | None = None) -> DataFrame:
+    """(chrom, island, block, piece, snp_idx, phase, turned, sure) of pieces of `size` variants, with so many before and behind them; whole blocks without a size.
+
+    only: the pieces (chrom, island, block, piece) that are asked for.
+    """
     key = ["chrom", "island", "block"]
+    wanted = lambda rows: rows if only is None else rows.join(only, [*key, "piece"], "left_semi")
 
     def pieces(first: str, last: str):
         """The pieces that read all from a variant to another one of a block."""
@@ -725,9 +733,9 @@ def _corrected(reads: DataFrame, own: DataFrame, inside: DataFrame, size: int |
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     null = F.lit(None).cast("long")
-    calls = reads.join(inside.select(*key, "rid", F.explode(pieces("first", "last")).alias("piece")), ["chrom", "rid"])
+    calls = reads.join(wanted(inside.select(*key, "rid", F.explode(pieces("first", "last")).alias("piece"))), ["chrom", "rid"])
     rows = own.select(*key, F.explode(pieces("snp_idx", "snp_idx")).alias("piece"), null.alias("rid"), _long("snp_idx").alias("snp_idx"), _long("phase").alias("value"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"), _long("begin").alias("begin"), _long("end").alias("end"))
-    rows = rows.unionByName(calls.select(*key, "piece", _long("rid").alias("rid"), _long("snp_idx").alias("snp_idx"), _long("allele").alias("value"), F.lit(False).alias("doubtful"), null.alias("begin"), null.alias("end")))
+    rows = wanted(rows).unionByName(calls.select(*key, "piece", _long("rid").alias("rid"), _long("snp_idx").alias("snp_idx"), _long("allele").alias("value"), F.lit(False).alias("doubtful"), null.alias("begin"), null.alias("end")))
 
     def block(mine: pd.DataFrame, calls: pd.DataFrame, piece: int) -> pd.DataFrame:
         mine, calls = mine.sort_values("snp_idx"), calls.sort_values(["rid", "snp_idx"])

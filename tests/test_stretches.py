@@ -73,3 +73,27 @@ def test_correction_in_pieces_equals_whole_blocks(spark, monkeypatch):
             inside = [(s, r) for s, r in chosen if s >= first and s + len(r) <= first + len(b)]
             assert got[first] == solver.Correction(first, list(b), np.array(hint[first : first + len(b)]), inside).run()
     assert tried[0] == 100 and len(tried) > 2 and tried[-1] is None
+
+
+def test_only_unsure_pieces_are_done_again(spark, monkeypatch):
+    """A piece that reads too little beside it makes neither itself nor the others longer."""
+    rng = random.Random(5)
+    rows, truth = matrix(62, n=900, depth=9, errors=0.1, size=6)
+    phases = [int(t ^ (rng.random() < 0.12)) for t in truth]
+    table = spark.createDataFrame([("c", 0, 0, s, p) for s, p in enumerate(phases)], "chrom string, island long, block long, snp_idx long, phase int")
+    doubtful = spark.createDataFrame([("c", s) for s in range(len(truth))], "chrom string, snp_idx long")
+    monkeypatch.setattr(solver, "PIECE", 100)
+    monkeypatch.setattr(solver, "SLACK", -150)
+    made, tried = solver._corrected, []
+
+    def corrected(*given):
+        out = made(*given).cache()
+        tried.append((given[3], {r.piece for r in out.collect()}, {r.piece for r in out.filter("NOT sure").collect()}))
+        return out
+
+    monkeypatch.setattr(solver, "_corrected", corrected)
+    assert solver.correct_blocks(frame(spark, rows), table, doubtful).count() == len(truth)
+    assert len(tried) > 1 and {size for size, _, _ in tried} == {100}
+    for (_, _, unsure), (_, again, _) in zip(tried, tried[1:]):
+        assert again == unsure
+    assert len(tried[1][1]) < len(tried[0][1])
