@@ -329,7 +329,7 @@ def _bam_format(names: dict[int, str], lengths: list[int], origin: int) -> piece
                 rows.append(row)
         return [_batch(rows[k : k + BATCH]) for k in range(0, len(rows), BATCH)], at
 
-    return pieces.Format(_unpacked, lambda data: _record_start(data, limits), parse, skip, origin)
+    return pieces.Format(lambda blocks: b"".join(map(_unpacked, blocks)), lambda data: _record_start(data, limits), parse, skip, origin)
 
 
 class _Opened:

@@ -193,9 +193,14 @@ def _records(data: bytes, at: int, final: bool, number) -> tuple[list[pa.RecordB
     return batches, at + sum(len(r) + 1 for r in rows[:k])
 
 
-#: Records that go to Spark at once.
+def _skip(data: bytes, at: int) -> int:
+    rows = data[at:].split(b"\n")[:-1]
+    return at + sum(len(r) + 1 for r in rows[: _parsed(rows, False)[1]])
+
+
+#: Records that go to Spark, and lines that come from it, at once.
 BATCH = 4096
-_FORMAT = pieces.Format(lambda line: line + b"\n", _start, _records, lambda data, at: _records(data, at, False, None)[1])
+_FORMAT = pieces.Format(lambda rows: b"\n".join(rows) + b"\n", _start, _records, _skip, rows=BATCH)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,9 @@ import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,18 +31,19 @@ PART = "part struct<stream:string,file:string,block:bigint>"
 class Format:
     """What a kind of file says of its records; each function gets bytes and a place in them.
 
-    unpack: the bytes that a piece stands for. start: the first place where a record
+    unpack: the bytes that pieces in a row stand for, `rows` of them at most. start: the first place where a record
     begins, or None if none is seen. parse: the whole records from a place on, as
     Arrow batches, and the place behind them; with `final` no more bytes come; the
     last argument gives a number of its own to each place. skip: the place behind
     them alone. origin: where the first record of a stream begins.
     """
 
-    unpack: Callable[[bytes], bytes]
+    unpack: Callable[[list[bytes]], bytes]
     start: Callable[[bytes], int | None]
     parse: Callable[[bytes, int, bool, Callable[[int], int]], tuple[list[pa.RecordBatch], int]]
     skip: Callable[[bytes, int], int]
     origin: int = 0
+    rows: int = 16
 
 
 class _Part:
@@ -79,16 +82,28 @@ class _Part:
         return [(0, rest, self.begin)] if self.head is None else [(0, self.head, self.begin), (1, rest, self.number)]
 
 
+def _stretches(batch: pa.RecordBatch, most: int) -> Iterator[tuple[dict, bool, int, list[bytes]]]:
+    """(part, first, number, values) of rows in a row that are of one part, so many at most."""
+    part, first, number, value = (batch.column(c) for c in ("part", "first", "number", "value"))
+    new = np.zeros(max(len(part) - 1, 0), bool)
+    for own in part.flatten():
+        new |= pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)
+    ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(part)]
+    for begin, end in zip(ends, ends[1:]):
+        for a in range(begin, end, most):
+            yield part[a].as_py(), first[a].as_py(), number[a].as_py(), value[a : min(a + most, end)].to_pylist()
+
+
 def _walk(batches: Iterator[pa.RecordBatch], form: Format, rows: bool) -> Iterator[tuple[dict, _Part, list[pa.RecordBatch], bool]]:
     """Feeds the pieces, which come in the order of their files, to their parts."""
     key, part, place = None, None, 0
     for batch in batches:
-        for own, first, number, value in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "number")), batch.column("value")):
+        for own, first, number, values in _stretches(batch, form.rows):
             if own != key:
                 if part is not None:
                     yield key, part, part.whole(True, rows), True
                 key, part = own, _Part(form, first, number + place)
-            data = form.unpack(value.as_py())
+            data = form.unpack(values)
             part.add(data)
             place += len(data)
             yield key, part, part.whole(False, rows), False

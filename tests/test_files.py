@@ -2,6 +2,7 @@ import contextlib
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 import simulate
 from pyspark.sql import Row
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom import __main__ as cli
 from strandloom.operators import calls
-from strandloom.sources import alignments, alleles, fasta, vcf
+from strandloom.sources import alignments, alleles, fasta, pieces, vcf
 
 
 def put(path, lines):
@@ -230,6 +231,18 @@ def test_records_by_splits(spark, files, kind):
             assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_lines_of_a_part_are_taken_together():
+    """Not one by one; those of two parts stay apart, and no more than the format says are taken at once."""
+    part = [{"stream": "s", "file": "f", "block": b} for b in (0, 0, 0, 9, 9)]
+    kind = pa.struct([("stream", pa.string()), ("file", pa.string()), ("block", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([True] * 3 + [False] * 2), pa.array([7] * 5), pa.array([b"a", b"b", b"c", b"d", b"e"])], names=["part", "first", "number", "value"])
+    taken = []
+    form = pieces.Format(lambda rows: taken.append(list(rows)) or b"".join(rows), lambda data: 0, lambda data, at, final, number: ([], at), lambda data, at: at, rows=2)
+    left = [(key["block"], p.left()) for key, p, _, ended in pieces._walk(iter([batch]), form, False) if ended]
+    assert taken == [[b"a", b"b"], [b"c"], [b"d", b"e"]]
+    assert left == [(0, [(0, b"", 7), (1, b"abc", 7)]), (9, [(0, b"", 10), (1, b"de", 10)])]
+
+
 def test_sequence_file_that_is_cut_off(spark, files):
     rows, _ = sequence_lines(random.Random(1), "fastq")
     path = put(files["top"] / "cut.fq", rows[:-1])
