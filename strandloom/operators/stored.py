@@ -31,3 +31,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, with the hint that a join sorts it by its key and doesn't broadcast it.
+
+    For what grows with the input. Spark goes by the size of files or of what an explode was made from, and either may be a
+    few MB where the rows, as the driver collects them for a broadcast, take GB.
+    """
+    return df.hint("merge")

@@ -62,3 +62,18 @@ def test_errors_solve_the_graph_once(spark, monkeypatch):
     monkeypatch.setattr(kmers, "patched_graph", lambda *given: made.append(1) or graph(*given))
     assert sorted(map(tuple, catalog.QUERIES["topology_errors"](spark, sf).collect())) == want and want
     assert len(made) == 1
+
+
+def test_pieces_give_what_one_piece_gives(spark, monkeypatch):
+    """Pieces of a few ranks that begin where they end: those that find a bubble's traces from before them are done again."""
+    rows, _ = matrix(21, n=700, depth=13, errors=0.05, size=14, holes=(333,))
+    own = reads.informative_reads(frame(spark, rows)).cache()
+    tips = solver.solve(own, 2, "tips").cache()
+    whole = [sorted(map(tuple, df.collect())) for df in linear.topology_bubbles(own, tips, 2)]
+    made, pieces = [], linear._pieces
+    monkeypatch.setattr(linear, "_pieces", lambda *given: made.append(given[5]) or pieces(*given))
+    monkeypatch.setattr(linear, "PIECE", 100)
+    monkeypatch.setattr(linear, "LEAD", 4)
+    parts = [sorted(map(tuple, df.collect())) for df in linear.topology_bubbles(own, tips, 2)]
+    assert parts == whole and len(whole[1]) > 5
+    assert made[:2] == [4, 16]
