@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .reads import read_spans
+from .reads import BUCKET, read_spans
+from .stored import shuffled
 
 BROKE, KEPT, REVERSE = -1, 0, 1
 
@@ -78,12 +79,12 @@ def block_connect(reads: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     order = block_order(blocks).filter(F.col("before").isNotNull())
     ends = order.select("*", F.explode(F.array_distinct(F.array("p_last", "c_first"))).alias("snp_idx"))
-    touch = reads.select("chrom", "rid", "snp_idx").join(ends, ["chrom", "snp_idx"]).drop("snp_idx").distinct()
-    cross = touch.join(read_spans(reads), ["chrom", "rid"]).filter("first >= p_first AND last <= c_last AND last >= c_first AND first <= p_last")
-    calls = cross.drop("first", "last").join(reads.filter("allele >= 0"), ["chrom", "rid"])
+    touch = reads.select("chrom", "rid", "snp_idx").join(shuffled(ends), ["chrom", "snp_idx"]).drop("snp_idx").distinct()
+    cross = touch.join(shuffled(read_spans(reads)), ["chrom", "rid"]).filter("first >= p_first AND last <= c_last AND last >= c_first AND first <= p_last")
+    calls = cross.drop("first", "last").join(shuffled(reads.filter("allele >= 0")), ["chrom", "rid"])
     calls = calls.withColumn("of", F.when(F.col("snp_idx") <= F.col("p_last"), F.col("before")).when(F.col("snp_idx") >= F.col("c_first"), F.col("block")))
     phases = blocks.select("chrom", F.col("block").alias("of"), "snp_idx", "phase")
-    calls = calls.join(phases, ["chrom", "of", "snp_idx"]).select("chrom", "block", "before", "rid", (F.col("of") == F.col("before")).alias("left"), (F.col("allele") == F.col("phase")).cast("long").alias("hit"))
+    calls = calls.join(shuffled(phases), ["chrom", "of", "snp_idx"]).select("chrom", "block", "before", "rid", (F.col("of") == F.col("before")).alias("left"), (F.col("allele") == F.col("phase")).cast("long").alias("hit"))
     each = calls.groupBy("chrom", "block", "before", "rid").agg(
         F.sum(F.when(F.col("left"), F.col("hit"))).alias("left_hits"), F.sum(F.when(~F.col("left"), F.col("hit"))).alias("right_hits"),
         F.count(F.when(F.col("left"), 1)).alias("n_left"), F.count(F.when(~F.col("left"), 1)).alias("n_right"),
@@ -96,22 +97,28 @@ def block_connect(reads: DataFrame, blocks: DataFrame) -> DataFrame:
     return order.select("chrom", "block", "before").join(sums, ["chrom", "block"], "left").na.fill(0, ["kept_mec", "reverse_mec"]).withColumn("state", state)
 
 
-def block_merge(blocks: DataFrame, connections: DataFrame) -> DataFrame:
-    """(chrom, block, group, turned): blocks that belong together under the name of their first, and whether each is reversed."""
+def _groups(blocks: DataFrame, connections: DataFrame) -> DataFrame:
+    """(chrom, block, first_snp, last_snp, group, ps_idx, turned): `block_merge` with each block's bounds and the first variant of its group."""
     along = W.partitionBy("chrom").orderBy("first_snp", "block")
     own = bounds(blocks).join(connections.select("chrom", "block", "state"), ["chrom", "block"], "left").withColumn("state", F.coalesce("state", F.lit(BROKE)))
-    own = own.withColumn("group", F.last(F.when(F.col("state") == BROKE, F.col("block")), True).over(along)).withColumn("_run", F.sum((F.col("state") == BROKE).cast("int")).over(along))
+    new = F.col("state") == BROKE
+    own = own.withColumn("group", F.last(F.when(new, F.col("block")), True).over(along)).withColumn("ps_idx", F.last(F.when(new, F.col("first_snp")), True).over(along)).withColumn("_run", F.sum(new.cast("int")).over(along))
     turned = F.sum((F.col("state") == REVERSE).cast("int")).over(W.partitionBy("chrom", "_run").orderBy("first_snp", "block"))
-    return own.select("chrom", "block", "group", (turned % 2).cast("int").alias("turned"))
+    return own.select("chrom", "block", "first_snp", "last_snp", "group", "ps_idx", (turned % 2).cast("int").alias("turned"))
+
+
+def block_merge(blocks: DataFrame, connections: DataFrame) -> DataFrame:
+    """(chrom, block, group, turned): blocks that belong together under the name of their first, and whether each is reversed."""
+    return _groups(blocks, connections).select("chrom", "block", "group", "turned")
 
 
 def merged_phases(blocks: DataFrame, connections: DataFrame) -> DataFrame:
     """(chrom, snp_idx, ps_idx, phase): every variant's merged block, by its first variant, and phase.
 
-    Where two blocks hold a variant, the later one decides.
+    Where two blocks hold a variant, the later one decides. A block may be as long as a chromosome: its variants meet its group bucket by bucket.
     """
-    merged = blocks.join(block_merge(blocks, connections), ["chrom", "block"])
-    first = merged.groupBy("chrom", "group").agg(F.min("snp_idx").alias("ps_idx"))
-    own = merged.join(first, ["chrom", "group"])
+    bucket = lambda c: F.floor(c / BUCKET)
+    parts = _groups(blocks, connections).select("chrom", "block", "ps_idx", "turned", F.explode(F.sequence(bucket(F.col("first_snp")), bucket(F.col("last_snp")))).alias("bucket"))
+    own = blocks.withColumn("bucket", bucket(F.col("snp_idx"))).join(shuffled(parts), ["chrom", "block", "bucket"])
     last = own.groupBy("chrom", "snp_idx").agg(F.max(F.struct("block", "ps_idx", F.col("phase").bitwiseXOR(F.col("turned")).alias("phase"))).alias("x"))
     return last.select("chrom", "snp_idx", "x.ps_idx", "x.phase")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .reads import adjacent_reads, read_spans
+from .stored import shuffled
 
 
 def ambiguous_pairs(weights: DataFrame, k: int) -> DataFrame:
@@ -20,8 +21,8 @@ def ambiguous_pairs(weights: DataFrame, k: int) -> DataFrame:
 
 def bubble_bounds(pairs: DataFrame, reads: DataFrame) -> DataFrame:
     """(chrom, snp_idx, l_bound, r_bound): what the reads over each ambiguous pair reach."""
-    over = adjacent_reads(reads).join(pairs, ["chrom", "snp_idx"], "left_semi")
-    return over.join(read_spans(reads), ["chrom", "rid"]).groupBy("chrom", "snp_idx").agg(F.min("first").alias("l_bound"), F.max("last").alias("r_bound"))
+    over = adjacent_reads(reads).join(shuffled(pairs), ["chrom", "snp_idx"], "left_semi")
+    return over.join(shuffled(read_spans(reads)), ["chrom", "rid"]).groupBy("chrom", "snp_idx").agg(F.min("first").alias("l_bound"), F.max("last").alias("r_bound"))
 
 
 def bubble_pairs(bounds: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from . import bubbles as _bubbles
 from . import reads as _reads
 from .cut import PATIENCE, QUALITY, ROUNDS, SEEDS
 from .solver import Island
+from .stored import shuffled
 
 #: An edge of at least this weight is no seed when it is drawn.
 SURE = 1.0
@@ -256,11 +257,11 @@ def tangle_cut(reads: DataFrame, closed: DataFrame, pairs: DataFrame, k: int) ->
     pairs of the tangles to be solved. An area is a group; its size is that of the reads over one run of ambiguous pairs.
     """
     areas = pairs.groupBy("chrom", "bubble").agg(F.first("l_bound").alias("l_bound"), F.first("r_bound").alias("r_bound"))
-    own = _reads.adjacent_reads(reads).join(pairs.select("chrom", "snp_idx", "bubble"), ["chrom", "snp_idx"]).select("chrom", "bubble", "rid").distinct()
-    calls = reads.filter("allele >= 0").join(own, ["chrom", "rid"]).join(areas, ["chrom", "bubble"])
+    own = _reads.adjacent_reads(reads).join(shuffled(pairs.select("chrom", "snp_idx", "bubble")), ["chrom", "snp_idx"]).select("chrom", "bubble", "rid").distinct()
+    calls = reads.filter("allele >= 0").join(shuffled(own), ["chrom", "rid"]).join(shuffled(areas), ["chrom", "bubble"])
     long = lambda c: F.col(c).cast("long")
     ranks = areas.withColumn("s", F.explode(F.sequence("l_bound", F.greatest(F.col("r_bound") - k, F.col("l_bound")))))
-    weights = closed.join(ranks, ["chrom", "s"]).filter(F.col("s") <= F.col("r_bound") - k)
+    weights = closed.join(shuffled(ranks), ["chrom", "s"]).filter(F.col("s") <= F.col("r_bound") - k)
     rows = calls.select("chrom", "bubble", "l_bound", "r_bound", F.lit("call").alias("kind"), long("rid").alias("a"), long("snp_idx").alias("b"), long("allele").alias("c"))
     rows = rows.unionByName(weights.select("chrom", "bubble", "l_bound", "r_bound", F.lit("edge").alias("kind"), long("s").alias("a"), long("e").alias("b"), long("weight").alias("c")))
 
@@ -294,5 +295,5 @@ def tangle_pairs(reads: DataFrame, tips: DataFrame, areas: DataFrame, k: int) ->
     """(chrom, snp_idx, bubble, l_bound, r_bound): the ambiguous pairs of the areas (chrom, l_bound, r_bound, kind) that are not simple."""
     marked = _bubbles.bubble_pairs(_bubbles.bubble_bounds(_bubbles.ambiguous_pairs(tips, k), reads))
     whole = marked.groupBy("chrom", "bubble").agg(F.min("l_bound").alias("l_bound"), F.max("r_bound").alias("r_bound"))
-    tangles = whole.join(areas.filter("kind <> 'simple'").select("chrom", "l_bound", "r_bound").distinct(), ["chrom", "l_bound", "r_bound"], "left_semi")
-    return marked.select("chrom", "snp_idx", "bubble").join(tangles, ["chrom", "bubble"])
+    tangles = whole.join(shuffled(areas.filter("kind <> 'simple'").select("chrom", "l_bound", "r_bound").distinct()), ["chrom", "l_bound", "r_bound"], "left_semi")
+    return marked.select("chrom", "snp_idx", "bubble").join(shuffled(tangles), ["chrom", "bubble"])

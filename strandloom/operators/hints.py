@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import shuffled
+
 LEAST_DEPTH, SHARE_PERCENT, FIRST_THRESHOLD, MOST_DIFF = 5, 5, 5, 20
 
 
 def all_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(chrom, s, total, gap) of every two neighbouring variants; without a read both are 0."""
     every = sizes.select("chrom", F.explode(F.expr("CASE WHEN n_snp > 1 THEN sequence(0L, n_snp - 2) ELSE array() END")).alias("s"))
-    return every.join(pairs, ["chrom", "s"], "left").select("chrom", "s", F.coalesce(F.col("same") + F.col("diff"), F.lit(0)).alias("total"), F.coalesce(F.abs(F.col("same") - F.col("diff")), F.lit(0)).alias("gap"))
+    return every.join(shuffled(pairs), ["chrom", "s"], "left").select("chrom", "s", F.coalesce(F.col("same") + F.col("diff"), F.lit(0)).alias("total"), F.coalesce(F.abs(F.col("same") - F.col("diff")), F.lit(0)).alias("gap"))
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def diff_threshold(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def low_diff_hint(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(chrom, snp_idx) of the pairs whose gap is below the chromosome's threshold."""
     limits = diff_threshold(pairs, sizes)  # one row for each chromosome
-    return _both(all_pairs(pairs, sizes).join(limits, "chrom").filter(F.col("gap") < F.col("threshold")))
+    return _both(all_pairs(pairs, sizes).join(F.broadcast(limits), "chrom").filter(F.col("gap") < F.col("threshold")))
 
 
 def hints(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stored import stored
+from .stored import shuffled, stored
 
 
 def words(reads: DataFrame, k: int) -> DataFrame:
@@ -63,11 +63,11 @@ def edge_patch(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     At equal means (rounded down) the least word wins; its complement comes with it.
     """
     mask, full = (1 << k) - 1, (1 << (k + 1)) - 1
-    bare = nodes.select("chrom", "s").distinct().join(edges.select("chrom", "s").distinct(), ["chrom", "s"], "left_anti")
-    u = nodes.join(bare, ["chrom", "s"], "left_semi").select("chrom", "s", F.col("w").alias("u"), F.col("cnt").alias("cnt_u"))
+    bare = nodes.select("chrom", "s").distinct().join(shuffled(edges.select("chrom", "s").distinct()), ["chrom", "s"], "left_anti")
+    u = nodes.join(shuffled(bare), ["chrom", "s"], "left_semi").select("chrom", "s", F.col("w").alias("u"), F.col("cnt").alias("cnt_u"))
     v = nodes.select("chrom", (F.col("s") - 1).alias("s"), F.col("w").alias("v"), F.col("cnt").alias("cnt_v"))
     # u and v overlap in k-1 alleles.
-    near = u.withColumn("mid", F.col("u").bitwiseAND(mask >> 1)).join(v.withColumn("mid", F.shiftright("v", 1)), ["chrom", "s", "mid"])
+    near = u.withColumn("mid", F.col("u").bitwiseAND(mask >> 1)).join(shuffled(v.withColumn("mid", F.shiftright("v", 1))), ["chrom", "s", "mid"])
     best = near.groupBy("chrom", "s").agg(F.max(F.struct(F.expr("(cnt_u + cnt_v) div 2").alias("weight"), (-(F.col("u") * 2 + F.col("v").bitwiseAND(1))).alias("e"))).alias("best"))
     made = best.select("chrom", "s", F.explode(F.array(-F.col("best.e"), full + F.col("best.e"))).alias("e"), F.col("best.weight").alias("weight"))
     return edges.select("chrom", "s", "e", F.col("cnt").alias("weight")).unionByName(made)
@@ -89,7 +89,7 @@ def degrees(weights: DataFrame, k: int, out: bool) -> DataFrame:
 def isolated_node_reset(nodes: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """The nodes that some edge touches."""
     touched = degrees(weights, k, True).select("chrom", "s", "w").union(degrees(weights, k, False).select("chrom", "s", "w")).distinct()
-    return nodes.join(touched, ["chrom", "s", "w"], "left_semi")
+    return nodes.join(shuffled(touched), ["chrom", "s", "w"], "left_semi")
 
 
 def symmetry_check(weights: DataFrame, k: int) -> DataFrame:

@@ -66,7 +66,7 @@ def carried(rows: DataFrame, column: str, how) -> DataFrame:
     before = W.partitionBy("chrom").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     ends = rows.groupBy("chrom", "bucket").agg(how(column).alias("_whole"))
     ends = ends.select("chrom", "bucket", how("_whole").over(before).alias("_before"))
-    both = rows.withColumn("_inside", how(column).over(inside)).join(ends, ["chrom", "bucket"])
+    both = rows.withColumn("_inside", how(column).over(inside)).join(F.broadcast(ends), ["chrom", "bucket"])
     if how is F.sum:
         value = F.coalesce("_inside", F.lit(0)) + F.coalesce("_before", F.lit(0))
     else:

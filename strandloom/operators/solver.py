@@ -25,7 +25,7 @@ from . import hints as _hints
 from . import kmers as _kmers
 from . import reads as _reads
 from . import walks as _walks
-from .stored import stored
+from .stored import shuffled, stored
 
 #: Lengths of short and long tips, the support a tip must lose by, paths that a bubble may have.
 TIP_SHORT, TIP_LONG, TIP_SUPPORT, MOST_PATHS = 5, 15, 1.5, 256
@@ -511,7 +511,7 @@ def _tips(weights: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     forks = u.union(v).filter("count > 1").select("chrom", "s").distinct()
     runs = _reads.runs(forks.select("chrom", (F.col("s") - APART).alias("first"), (F.col("s") + APART).alias("last")))
     near = _tasks(runs, BEHIND - APART, AHEAD - APART).withColumnRenamed("at", "s")
-    rows = _rows(weights.join(near, ["chrom", "s"]), "edge", "s", "e", "weight").join(sizes, "chrom")
+    rows = _rows(weights.join(shuffled(near), ["chrom", "s"]), "edge", "s", "e", "weight").join(F.broadcast(sizes), "chrom")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first, last = int(pdf.a.min()), int(pdf.a.max())
@@ -529,16 +529,16 @@ def _bubbles(reads: DataFrame, nodes: DataFrame, edges: DataFrame, sizes: DataFr
     """(stage, chrom, at, word, value): edges of the areas' runs once closed and once solved, areas, variants of tangles; and edges outside of any area."""
     pairs = stored(_areas.ambiguous_pairs(edges, k))
     spans = _reads.read_spans(reads)
-    over = stored(spans.withColumn("snp_idx", F.explode(F.expr("CASE WHEN last > first THEN sequence(first + 1, last) ELSE array() END"))).join(pairs, ["chrom", "snp_idx"], "left_semi"))
+    over = stored(spans.withColumn("snp_idx", F.explode(F.expr("CASE WHEN last > first THEN sequence(first + 1, last) ELSE array() END"))).join(shuffled(pairs), ["chrom", "snp_idx"], "left_semi"))
     bounds = over.groupBy("chrom", "snp_idx").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    bounds = pairs.join(bounds, ["chrom", "snp_idx"], "left").select("chrom", F.coalesce("first", "snp_idx").alias("first"), F.coalesce("last", "snp_idx").alias("last"))
+    bounds = pairs.join(shuffled(bounds), ["chrom", "snp_idx"], "left").select("chrom", F.coalesce("first", "snp_idx").alias("first"), F.coalesce("last", "snp_idx").alias("last"))
     near = stored(_tasks(_reads.runs(bounds)))
-    at = lambda table, name: table.join(near.withColumnRenamed("at", name), ["chrom", name])
+    at = lambda table, name: table.join(shuffled(near.withColumnRenamed("at", name)), ["chrom", name])
     held = at(over.select("chrom", "rid", "first").distinct(), "first").select("chrom", "rid", "task")
-    rows = _rows(reads.join(held, ["chrom", "rid"]), "call", "rid", "snp_idx", "allele")
+    rows = _rows(reads.join(shuffled(held), ["chrom", "rid"]), "call", "rid", "snp_idx", "allele")
     for table, kind, names in ((at(nodes, "s"), "node", ("s", "w", "cnt")), (at(edges, "s"), "edge", ("s", "e", "weight")), (at(pairs, "snp_idx"), "pair", ("snp_idx",))):
         rows = rows.unionByName(_rows(table, kind, *names))
-    rows = rows.join(sizes, "chrom")
+    rows = rows.join(F.broadcast(sizes), "chrom")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # The places that rows begin at; calls name their read first.
@@ -556,7 +556,7 @@ def _bubbles(reads: DataFrame, nodes: DataFrame, edges: DataFrame, sizes: DataFr
         return pd.concat(out).assign(chrom=pdf.chrom.iloc[0])[["stage", "chrom", "at", "word", "value"]]
 
     solved = rows.groupBy("chrom", "task").applyInPandas(run, "stage string, chrom string, at long, word long, value long")
-    apart = edges.join(near.withColumnRenamed("at", "s"), ["chrom", "s"], "left_anti")
+    apart = edges.join(shuffled(near.withColumnRenamed("at", "s")), ["chrom", "s"], "left_anti")
     return solved.unionByName(apart.select(F.explode(F.array(F.lit("closed"), F.lit("bubbles"))).alias("stage"), "chrom", _long("s").alias("at"), _long("e").alias("word"), _long("weight").alias("value")))
 
 
@@ -567,7 +567,7 @@ def _tiling(blocks: DataFrame) -> DataFrame:
     Blocks: (chrom, block, snp_idx, phase). Only the bounds of blocks are held, by runs of blocks that overlap.
     """
     bounds = stored(blocks.groupBy("chrom", "block").agg(F.min("snp_idx").alias("first"), F.max("snp_idx").alias("last")))
-    rows = bounds.join(_tasks(_reads.runs(bounds)).withColumnRenamed("at", "first"), ["chrom", "first"])
+    rows = bounds.join(shuffled(_tasks(_reads.runs(bounds)).withColumnRenamed("at", "first")), ["chrom", "first"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, reach, leader, end, joined = [], None, None, 0, 0
@@ -595,7 +595,7 @@ def _joined(blocks: DataFrame, tiling: DataFrame) -> DataFrame:
     """(chrom, block, snp_idx, phase) of the blocks after the overlaps go, as `de_overlap` makes them."""
     bucket = lambda c: F.floor(c / _reads.BUCKET)
     parts = tiling.select("chrom", "block", "joined", "first", "end", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("end") - 1))).alias("bucket"))
-    both = blocks.withColumn("bucket", bucket(F.col("snp_idx"))).join(parts, ["chrom", "block", "bucket"])
+    both = blocks.withColumn("bucket", bucket(F.col("snp_idx"))).join(shuffled(parts), ["chrom", "block", "bucket"])
     return both.filter("snp_idx >= first AND snp_idx < end").select("chrom", F.col("joined").alias("block"), "snp_idx", "phase")
 
 
@@ -619,7 +619,7 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
     nodes, patched, pairs = _kmers.patched_graph(reads, k)
     weights = stored(_kmers.edge_trim(patched))
     tips = stored(_tips(weights, sizes, k))
-    edges = stored(weights.join(tips.filter("kind = 'edge'").select("chrom", "s", "e"), ["chrom", "s", "e"], "left_anti"))
+    edges = stored(weights.join(shuffled(tips.filter("kind = 'edge'").select("chrom", "s", "e")), ["chrom", "s", "e"], "left_anti"))
     islands = _reads.coverage_islands(reads).withColumnRenamed("snp_idx", "at")
     none = F.lit(-1).cast("long")
     made = []
@@ -636,7 +636,7 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
             made.append(solved.filter(F.col("stage").isin(*kept)).select("stage", "chrom", none.alias("block"), "at", "word", "value"))
         if "hints" in stages:
             # Tangles come after tips, and both after what the counts say.
-            every = _hints.hints(pairs, sizes).join(islands.select("chrom", F.col("at").alias("snp_idx")), ["chrom", "snp_idx"], "left_semi").select("chrom", "snp_idx", _long("hint").alias("hint"))
+            every = _hints.hints(pairs, sizes).join(shuffled(islands.select("chrom", F.col("at").alias("snp_idx"))), ["chrom", "snp_idx"], "left_semi").select("chrom", "snp_idx", _long("hint").alias("hint"))
             every = every.unionByName(tips.filter("kind = 'hint'").select("chrom", F.col("s").alias("snp_idx"), F.lit(TIP_HINT).cast("long").alias("hint")))
             every = every.unionByName(solved.filter("stage = 'hints'").select("chrom", F.col("at").alias("snp_idx"), F.col("value").alias("hint")))
             add("hints", every.groupBy("chrom", "snp_idx").agg(F.max("hint").alias("hint")), "snp_idx", value=F.col("hint"))
@@ -649,7 +649,7 @@ def solve_stages(reads: DataFrame, k: int, stages: tuple[str, ...], sizes: DataF
         if "joined" in stages:
             add("joined", _joined(blocks, tiling), "snp_idx", value=_long("phase"), block=F.col("block"))
     columns = ["stage", "chrom", "island", "block", "at", "word", "value"]
-    out = [reduce(DataFrame.unionByName, made).join(islands, ["chrom", "at"]).select(columns)] if made else []
+    out = [reduce(DataFrame.unionByName, made).join(shuffled(islands), ["chrom", "at"]).select(columns)] if made else []
     if "shares" in stages:
         zero = F.lit(0).cast("long")
         tangled = solved.filter((F.col("stage") == "areas") & ((F.col("value") <= 0) | (F.col("value") >= MOST_PATHS)))
@@ -693,11 +693,15 @@ def correct_blocks(reads: DataFrame, blocks: DataFrame, hints: DataFrame) -> Dat
     """
     key = ["chrom", "island", "block"]
     ends = stored(blocks.groupBy(*key).agg(F.min("snp_idx").alias("begin"), F.max("snp_idx").alias("end")))
-    here = blocks.select(*key, F.col("snp_idx").alias("first")).join(ends, key)
-    inside = stored(_reads.read_spans(reads).join(here, ["chrom", "first"]).filter("last <= end").select(*key, "rid", "first", "last", "begin", "end"))
+    bucket = lambda c: F.floor(c / _reads.BUCKET)
+    # A block may be as long as a chromosome: its variants meet its ends bucket by bucket.
+    held = shuffled(ends.withColumn("bucket", F.explode(F.sequence(bucket(F.col("begin")), bucket(F.col("end"))))))
+    bounded = lambda rows: rows.withColumn("bucket", bucket(F.col("snp_idx"))).join(held, [*key, "bucket"]).drop("bucket")
+    here = bounded(blocks).select(*key, F.col("snp_idx").alias("first"), "begin", "end")
+    inside = stored(_reads.read_spans(reads).join(shuffled(here), ["chrom", "first"]).filter("last <= end").select(*key, "rid", "first", "last", "begin", "end"))
     longest = inside.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 0
     doubtful = hints.select("chrom", "snp_idx", F.lit(True).alias("doubtful")).distinct()
-    own = blocks.join(doubtful, ["chrom", "snp_idx"], "left").join(ends, key)
+    own = bounded(blocks.join(shuffled(doubtful), ["chrom", "snp_idx"], "left"))
     behind, size = (len(PATTERNS) + 2) * (longest + WINDOW), PIECE if longest <= SKIP else None
     before = behind + SLACK
     done, again = [], None
@@ -733,7 +737,7 @@ def _corrected(reads: DataFrame, own: DataFrame, inside: DataFrame, size: int |
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
     null = F.lit(None).cast("long")
-    calls = reads.join(wanted(inside.select(*key, "rid", F.explode(pieces("first", "last")).alias("piece"))), ["chrom", "rid"])
+    calls = reads.join(shuffled(wanted(inside.select(*key, "rid", F.explode(pieces("first", "last")).alias("piece")))), ["chrom", "rid"])
     rows = own.select(*key, F.explode(pieces("snp_idx", "snp_idx")).alias("piece"), null.alias("rid"), _long("snp_idx").alias("snp_idx"), _long("phase").alias("value"), F.coalesce("doubtful", F.lit(False)).alias("doubtful"), _long("begin").alias("begin"), _long("end").alias("end"))
     rows = wanted(rows).unionByName(calls.select(*key, "piece", _long("rid").alias("rid"), _long("snp_idx").alias("snp_idx"), _long("allele").alias("value"), F.lit(False).alias("doubtful"), null.alias("begin"), null.alias("end")))
 

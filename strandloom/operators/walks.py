@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stored import stored
+from .stored import shuffled, stored
 
 #: Ranks of a bucket.
 RANKS = 1 << 14
@@ -37,7 +37,7 @@ def haplotype_walks(edges: DataFrame, k: int, ranks: int = RANKS) -> DataFrame:
     live = edges.filter("weight > 0").select("chrom", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
     mask = (1 << k) - 1
     reached = live.select("chrom", (F.col("s") + 1).alias("s"), F.col("e").bitwiseAND(mask).alias("w"))
-    first = live.select("chrom", "s", F.shiftright("e", 1).alias("w")).filter(F.col("w") < 1 << (k - 1)).groupBy("chrom", "s", "w").count().filter("count = 1").drop("count").join(reached, ["chrom", "s", "w"], "left_anti")
+    first = live.select("chrom", "s", F.shiftright("e", 1).alias("w")).filter(F.col("w") < 1 << (k - 1)).groupBy("chrom", "s", "w").count().filter("count = 1").drop("count").join(shuffled(reached), ["chrom", "s", "w"], "left_anti")
     bucket = F.floor(F.col("s") / ranks)
     none = F.lit(None).cast("long")
     rows = live.select("chrom", bucket.alias("bucket"), "s", "e", none.alias("block"), F.lit(False).alias("start")).unionByName(
